@@ -10,12 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: Rows of one Arrow batch sent to a Python worker; texts are long, so few rows are many bytes.
 BATCH_ROWS = 512
 
 
 def tune(spark: SparkSession) -> None:
     """Keep Arrow batches small, so a Python worker's memory doesn't follow the text length."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     for key in ("spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxBytesPerOutputBatch"):
         try:

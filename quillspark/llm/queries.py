@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe_codec, packing, token_counts
-from .common import documents
+from . import bpe_codec, decontamination, packing, token_counts, toxicity
+from .common import documents, held_out
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +26,21 @@ def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.encode_decode(documents(spark, sf_dir), digests=True)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text by its nearest labelled examples."""
+    docs = documents(spark, sf_dir)
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", held_out("doc_id", 4).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"), "neighbours", "evidence")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items in every document, by greedy string tiling."""
+    return decontamination.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op4_token_counts, op8_bpe_codec)}
+    return {f.__name__: f for f in (op3_packing, op4_token_counts, op8_bpe_codec, op9_toxicity, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
