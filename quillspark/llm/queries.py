@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontamination, packing, token_counts, toxicity
+from . import bpe_codec, decontamination, minhash, packing, token_counts, toxicity
 from .common import documents, held_out
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups of documents on two-word shingles."""
+    return minhash.near_duplicates(documents(spark, sf_dir), width=2, percent=80)
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document as byte-level BPE ids, packed into rows of 2048."""
     return packing.pack(documents(spark, sf_dir))
@@ -40,7 +45,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_packing, op4_token_counts, op8_bpe_codec, op9_toxicity, op10_decontamination)}
+    return {f.__name__: f for f in (op2_minhash, op3_packing, op4_token_counts, op8_bpe_codec, op9_toxicity, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
