@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontamination, minhash, multi_index, packing, token_counts, toxicity
+from . import bpe_codec, decontamination, minhash, multi_index, packing, suffix_dedup, token_counts, toxicity
 from .common import documents, held_out
 
 
@@ -26,6 +26,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its 400-byte strings that occur elsewhere."""
+    return suffix_dedup.remove_repeats(documents(spark, sf_dir), length=400)
+
+
 def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate vectors of equal label."""
     return multi_index.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.93)
@@ -50,7 +55,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash, op3_packing, op4_token_counts, op6_multi_index, op8_bpe_codec, op9_toxicity, op10_decontamination)}
+    return {f.__name__: f for f in (op2_minhash, op3_packing, op4_token_counts, op5_suffix_dedup, op6_multi_index, op8_bpe_codec, op9_toxicity, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
