@@ -15,6 +15,24 @@ SCHEMA = "doc_id long, n_tokens long, ids array<int>, decoded string"
 DIGEST_SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
+FULL_SCHEMA = "doc_id long, n_tokens long, ids array<int>, ids_sha256 string, decoded_sha256 string"
+
+
+def encoded(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids and the digests of the ids and of the text decoded from them; edge cases as in encode_decode."""
+    path = tokenizer or bytebpe.default_path("byte_bpe_50k.json")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = bytebpe.load(path)
+        for keys, texts in text_batches(batches, 1 << 20):
+            ids = [bpe.encode(t) for t in texts]
+            a = [hashlib.sha256(bpe.digits(e).encode()).hexdigest() for e in ids]
+            b = [hashlib.sha256(bpe.decode(e).encode()).hexdigest() for e in ids]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(list(map(len, ids)), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(a), pa.array(b)], ["doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"])
+
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, FULL_SCHEMA)
+
+
 def encode_decode(docs: DataFrame, tokenizer: str | None = None, digests: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Token ids of each text and the text decoded from them; with digests, their SHA-256 instead.
 

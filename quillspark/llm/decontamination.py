@@ -176,6 +176,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 5, thresho
     )
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.8) -> DataFrame:
+    """The rows of docs, all columns, that cover no benchmark item to threshold or more; a null doc_id stays."""
+    bad = decontaminate(docs, benchmark, least, threshold).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
+    return docs.join(bad, docs["doc_id"].cast("long") == F.col("_bad"), "left_anti")
+
+
 def _broadcast(d: DataFrame, b: DataFrame, least: int) -> DataFrame:
     index = SeedIndex(sorted((r["item_id"], r["text"]) for r in b.collect()), least)
     shared = d.sparkSession.sparkContext.broadcast(index)

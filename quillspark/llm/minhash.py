@@ -200,3 +200,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     out = base.join(first.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
     group = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", group.alias("component_id"), F.coalesce(F.col("doc_id") == group, F.lit(True)).alias("kept"))
+
+
+def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, all columns, that stand for their group: the least doc_id, one row of it; rows with a null id stay."""
+    groups = near_duplicates(docs, width, percent)
+    gone = groups.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1):
+        return left
+    named = left.where("doc_id is not null").dropDuplicates(["doc_id"])
+    return named.unionByName(left.where("doc_id is null"))

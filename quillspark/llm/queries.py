@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, decontamination, minhash, multi_index, packing, suffix_dedup, token_counts, toxicity
+from . import bpe_codec, compact_windows, decontamination, minhash, multi_index, packing, suffix_dedup, token_counts, toxicity
 from .common import documents, held_out
 
 
@@ -36,6 +36,11 @@ def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), cosine=0.93)
 
 
+def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of every document that resemble one of an earlier document."""
+    return compact_windows.passage_report(documents(spark, sf_dir))
+
+
 def op8_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded; digests of both."""
     return bpe_codec.encode_decode(documents(spark, sf_dir), digests=True)
@@ -55,7 +60,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash, op3_packing, op4_token_counts, op5_suffix_dedup, op6_multi_index, op8_bpe_codec, op9_toxicity, op10_decontamination)}
+    return {f.__name__: f for f in (op2_minhash, op3_packing, op4_token_counts, op5_suffix_dedup, op6_multi_index, op7_compact_windows, op8_bpe_codec, op9_toxicity, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:

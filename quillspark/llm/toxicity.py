@@ -163,5 +163,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
+def drop_toxic(docs: DataFrame, model: Model, threshold: float | None = None) -> DataFrame:
+    """The rows of docs, all columns, whose text scores under threshold; order and repeated rows stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at, limit = docs.columns.index("text"), THRESHOLD if threshold is None else threshold
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for b in batches:
+            keep = [m.score(t or "")[0] < limit for t in b.column(at).to_pylist()]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 #: Scores from here on count as toxic.
 THRESHOLD = 0.3
