@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, compact_windows, decontamination, minhash, multi_index, packing, suffix_dedup, token_counts, toxicity
+from . import bpe_codec, compact_windows, decontamination, minhash, multi_index, packing, pitman_yor, suffix_dedup, token_counts, toxicity
 from .common import documents, held_out
 
 
+def op1_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text scored by the model of the texts not held out."""
+    return pitman_yor.score_documents(documents(spark, sf_dir))
+
+
 def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups of documents on two-word shingles."""
     return minhash.near_duplicates(documents(spark, sf_dir), width=2, percent=80)
@@ -60,7 +65,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_minhash, op3_packing, op4_token_counts, op5_suffix_dedup, op6_multi_index, op7_compact_windows, op8_bpe_codec, op9_toxicity, op10_decontamination)}
+    return {f.__name__: f for f in (op1_pitman_yor, op2_minhash, op3_packing, op4_token_counts, op5_suffix_dedup, op6_multi_index, op7_compact_windows, op8_bpe_codec, op9_toxicity, op10_decontamination)}
 
 
 def oracle_sql() -> dict[str, str]:
