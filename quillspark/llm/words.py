@@ -5,8 +5,6 @@ Words are runs of bytes other than 0x20 and 0x09-0x0D, A-Z lower-cased, as in th
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 import numpy as np
 
 _P = 0x9E3779B97F4A7C15
@@ -28,20 +26,23 @@ def mix_int(x: int) -> int:
     return int(mix(np.array([x & _MASK], dtype=np.uint64))[0])
 
 
-@lru_cache(maxsize=4)
+_TABLE: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """P^0..P^(n-1) and their inverses modulo 2^64, by doubling."""
-    out = []
-    for base in (_P, pow(_P, -1, 1 << 64)):
-        a = np.ones(n, dtype=np.uint64)
-        have, step = 1, base
-        while have < n:
-            m = min(have, n - have)
-            a[have : have + m] = a[:m] * np.uint64(step)
-            step = step * step & _MASK
-            have += m
-        out.append(a)
-    return out[0], out[1]
+    """P^0.. and their inverses modulo 2^64, at least n of each; the tables grow by doubling and stay."""
+    if len(_TABLE[0]) < n:
+        size = 1 << max(16, (n - 1).bit_length())
+        for i, base in enumerate((_P, pow(_P, -1, 1 << 64))):
+            a = np.ones(size, dtype=np.uint64)
+            have, step = 1, base
+            while have < size:
+                m = min(have, size - have)
+                a[have : have + m] = a[:m] * np.uint64(step)
+                step = step * step & _MASK
+                have += m
+            _TABLE[i] = a
+    return _TABLE[0], _TABLE[1]
 
 
 def hash_words(texts: list[str], keep_case: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -59,8 +60,7 @@ def hash_words(texts: list[str], keep_case: bool = False) -> tuple[np.ndarray, n
     if len(space) and not space[0]:
         edge = np.concatenate(([0], edge))
     starts, ends = edge[::2], edge[1::2]
-    size = 1 << max(10, int(len(buf)).bit_length())
-    pw, inv = _powers(size)
+    pw, inv = _powers(len(buf) + 1)
     sums = np.zeros(len(buf) + 1, dtype=np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * pw[: len(buf)], out=sums[1:])
     h = (sums[ends] - sums[starts]) * inv[starts]
