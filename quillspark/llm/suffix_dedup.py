@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import per_group, stored
 from .words import _powers, mix
 
 #: Bytes that decide a group; windows of length - ANCHOR + 1 starts have one minimizer.
@@ -142,7 +142,7 @@ def anchors_of(texts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
     empty = np.zeros(0, dtype=np.int64)
     if n < length:
         return empty, empty, empty, empty, empty, empty
-    pw, inv = _powers(1 << max(10, n.bit_length()))
+    pw, inv = _powers(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * pw[:n], out=sums[1:])
     h = mix((sums[k:] - sums[:-k]) * inv[: n - k + 1])
@@ -229,11 +229,15 @@ def _sorted_spans(contents: DataFrame, length: int) -> DataFrame:
         at = np.flatnonzero(some)
         return pa.table({"doc_id": t["doc_id"].take(pa.array(at)), "th": t["th"].take(pa.array(at)), "a": pa.array(begin[at].astype(np.int32)), "b": pa.array(end[at].astype(np.int32))})
 
-    return contents.select("key", "doc_id", "th", "lo", "o", "times", "content").groupBy("key").applyInArrow(run, SPANS)
+    return per_group(contents.select("key", "doc_id", "th", "lo", "o", "times", "content").groupBy("key"), run, SPANS, "th")
+
+
+#: Distinct contexts of a large group whose strings meet in one task.
+SHARE = 4096
 
 
 def _split_spans(contents: DataFrame, length: int) -> DataFrame:
-    """The same for large groups: one row for each string of a fragment, counted by its hash."""
+    """The same for large groups, of any size: the strings of each fragment, as hashes, are dealt over enough shares that one holds those of about SHARE fragments."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pw, inv = _powers(4096)
@@ -244,14 +248,31 @@ def _split_spans(contents: DataFrame, length: int) -> DataFrame:
                 s = np.zeros(len(c) + 1, dtype=np.uint64)
                 np.cumsum((c.astype(np.uint64) + np.uint64(1)) * pw[: len(c)], out=s[1:])
                 h = mix((s[length : length + n] - s[:n]) * inv[:n])
+                share = (h % np.uint64(-(-b.column(9)[i].as_py() // SHARE))).astype(np.int64)
+                at = [np.flatnonzero(share == k) for k in np.unique(share)]
+                m = len(at)
                 lo = b.column(4)[i].as_py()
-                yield pa.RecordBatch.from_arrays([*(pa.array([b.column(k)[i].as_py()] * n, pa.int64()) for k in (0, 1, 2, 3, 7)), pa.array(h.view(np.int64)), pa.array(np.arange(lo, lo + n, dtype=np.int32))], ["doc_id", "th", "key", "frag", "times", "string", "p"])
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array([b.column(k)[i].as_py()] * m, pa.int64()) for k in (0, 1, 2, 3, 7)), pa.array([int(share[x[0]]) for x in at], pa.int64()), pa.array([h[x].tobytes() for x in at], pa.binary()), pa.array([(lo + x).astype("<i4").tobytes() for x in at], pa.binary())],
+                    ["doc_id", "th", "key", "frag", "times", "share", "strings", "places"],
+                )
 
-    cols = contents.select("doc_id", "th", "key", "frag", "lo", "o", "n", "times", "content")
-    w = cols.mapInArrow(run, "doc_id long, th long, key long, frag long, times long, string long, p int")
-    dup = w.groupBy("key", "string").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "string")
-    hit = w.where("times = 1").join(dup, ["key", "string"])
-    return hit.groupBy("doc_id", "th", "key", "frag").agg(F.min("p").alias("a"), (F.max("p") + length).cast("int").alias("b")).select("doc_id", "th", "a", "b")
+    def meet(t: pa.Table) -> pa.Table:
+        h = [np.frombuffer(x, dtype="<u8") for x in t["strings"].to_pylist()]
+        p = np.concatenate([np.frombuffer(x, dtype="<i4") for x in t["places"].to_pylist()])
+        own = np.repeat(np.arange(len(h)), [len(x) for x in h])
+        _, at, count = np.unique(np.concatenate(h), return_inverse=True, return_counts=True)
+        dup = count[at] > 1
+        lo, hi = np.full(len(h), np.iinfo(np.int32).max), np.full(len(h), -1)
+        np.minimum.at(lo, own[dup], p[dup])
+        np.maximum.at(hi, own[dup], p[dup])
+        keep = np.flatnonzero((hi >= 0) & (t["times"].to_numpy() == 1))
+        return pa.table([t[c].take(pa.array(keep)) for c in ("doc_id", "th", "key", "frag")] + [pa.array(lo[keep].astype(np.int32)), pa.array((hi[keep] + length).astype(np.int32))], names=["doc_id", "th", "key", "frag", "a", "b"])
+
+    cols = contents.select("doc_id", "th", "key", "frag", "lo", "o", "n", "times", "content", "size")
+    w = cols.mapInArrow(run, "doc_id long, th long, key long, frag long, times long, share long, strings binary, places binary")
+    hit = per_group(w.groupBy("key", "share"), meet, "doc_id long, th long, key long, frag long, a int, b int", "th")
+    return hit.groupBy("doc_id", "th", "key", "frag").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("doc_id", "th", "a", "b")
 
 
 def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
