@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_batches
+from .common import per_group, stored, text_batches
 from .components import connected_components
 from .words import hash_words, mix, shingle
 
@@ -113,10 +113,10 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
-def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union of the full shingle sets."""
-    one = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    both = pairs.join(one.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(one.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
+def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union of the full shingle sets of texts (id, text)."""
+    one = texts.select("id", "text")
+    both = pairs.hint("merge").join(one.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a").join(one.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
@@ -137,42 +137,69 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataF
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
 
 
-def _close_pairs(members: DataFrame, percent: int, block: int = 512) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket whose sketches come near enough; buckets are cut into pairs of blocks of bounded size.
+def _short_sets(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, set): 32 bits of each shingle hash of the wanted texts (id, text), sorted."""
+    texts = texts.select("id", "text").join(ids.hint("merge"), "id", "left_semi")
 
-    members: bucket, id, component, sketch, n (size of the set), size (rows of the bucket).
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for keys, batch in text_batches(batches, 1 << 20):
+            sets = [np.unique((s >> np.uint64(32)).astype("<u4")).tobytes() for s in shingle_sets(batch, width)]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.binary())], ["id", "set"])
+
+    return texts.mapInArrow(run, "id long, set binary").dropDuplicates(["id"])
+
+
+def _forest(members: DataFrame, percent: int, block: int = 512) -> DataFrame:
+    """Links (a, b) that join components met in one bucket: a spanning forest, never all pairs.
+
+    members: bucket, band, id, component, sketch, n (size of the set), set, size (rows of the bucket). Buckets are cut into pairs of blocks of bounded size. A pair is tried in the lowest band it shares, if its sketches come within four standard deviations of the threshold, on the whole sets, nearest first, and only while its components are apart.
     """
-    least = percent / 100 - 0.14  # four standard deviations of a signature of 128 slots
-    blocks = F.ceil(F.col("size") / block).cast("int")
-    m = members.withColumn("blocks", blocks).withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    least = percent / 100 - 0.14
+    m = members.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other"))
 
     def run(table: pa.Table) -> pa.Table:
         ids, comp, part = table["id"].to_numpy(), table["component"].to_numpy(), table["part"].to_numpy()
-        n = table["n"].to_numpy()
+        n, band = table["n"].to_numpy(), table["band"][0].as_py()
         sk = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
-        same = table["lo"][0].as_py() == table["hi"][0].as_py()
+        sets = [np.frombuffer(x, dtype="<u4") for x in table["set"].to_pylist()]
+        across = table["lo"][0].as_py() != table["hi"][0].as_py()
+        # Components as small numbers, merged as links turn up.
+        _, comp = np.unique(comp, return_inverse=True)
         out_a, out_b = [], []
         for i in range(len(ids)):
             ok = (comp != comp[i]) & (ids > ids[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
-            if not same:
+            if across:
                 ok &= part != part[i]
             at = np.flatnonzero(ok)
-            if len(at):
-                near = at[(sk[at] == sk[i]).mean(axis=1) >= least]
-                out_a += [ids[i]] * len(near)
-                out_b += ids[near].tolist()
+            if not len(at):
+                continue
+            eq = sk[at] == sk[i]
+            near = eq.mean(axis=1)
+            good = (near >= least) & (eq.reshape(len(at), -1, ROWS).all(axis=2).argmax(axis=1) == band)
+            at, near = at[good], near[good]
+            for j in at[np.argsort(-near, kind="stable")].tolist():
+                if comp[j] == comp[i]:
+                    continue
+                x, y = sets[i], sets[j]
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                # One shared hash may be chance, one lost by two equal ones: such pairs are links to confirm, but merge nothing.
+                if 100 * (common + 1) >= percent * (len(x) + len(y) - common - 1):
+                    out_a.append(ids[i])
+                    out_b.append(ids[j])
+                    if 100 * (common - 1) >= percent * (len(x) + len(y) - common + 1):
+                        comp[comp == comp[j]] = comp[i]
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    return m.select("bucket", "lo", "hi", "id", "component", "part", "n", "sketch").groupBy("bucket", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
+    return per_group(m.select("bucket", "lo", "hi", "band", "id", "component", "part", "n", "sketch", "set").groupBy("bucket", "lo", "hi"), run, "a long, b long", "a").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Groups of documents linked by 100 * intersection >= percent * union of their sets of width-word shingles.
 
     Returns one row for each row of docs: doc_id, n_shingles, component_id (least doc_id reachable through links), kept (doc_id = component_id).
-    Equal sets are one class whose least id stands for it. In each band bucket every class is checked against the bucket's least class; only where such a check fails are classes of different components compared by their sketches, in blocks of bounded size, and the near ones checked too. So a group of copies costs a row each, not a row for each pair, and links between different texts hold up to the sketches' error (5e-8 a pair for the bands, 1e-5 for the second comparison).
+    Equal sets are one class whose least id stands for it. In each band bucket every class is checked against the bucket's least class; only where such a check fails are classes of different components compared on their sets, in blocks of bounded size. So a group of copies costs a row each, not a row for each pair, and links between different texts hold up to the sketches' error (5e-8 a pair for the bands, 4e-5 for the threshold of the second comparison).
     Null text or text without words is an empty set, linked with nothing. Rows with one doc_id share their component; rows with a null doc_id stand alone (component null, kept). An empty table gives an empty result; other columns are not looked at.
     """
     base = stored(signatures(docs, width), "minhash")
@@ -180,11 +207,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     classes = named.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("id"))
     copies = named.select("doc_id", "key1", "key2", "n_shingles").join(classes, ["key1", "key2", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
     one = named.join(classes.select("id"), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
-    rows = one.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
+    rows = one.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "bucket"))
     centres = rows.groupBy("bucket").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    star = stored(rows.join(centres, "bucket").select("bucket", "id", "centre", "size"), "minhash-buckets")
+    star = stored(rows.join(centres, "bucket").select("bucket", "band", "id", "centre", "size"), "minhash-buckets")
     pairs = star.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
-    sure = stored(verify(pairs, docs, width, percent), "minhash-links")
+    # Only texts that share a bucket are looked at again; they are fetched once.
+    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    texts = stored(texts.join(star.select("id").distinct().hint("merge"), "id", "left_semi"), "minhash-texts")
+    sure = stored(verify(pairs, texts, width, percent), "minhash-links")
     links = copies.unionByName(sure)
     first = stored(connected_components(links), "minhash-components")
 
@@ -192,9 +222,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     comp = first.select(F.col("id"), F.col("component"))
     placed = star.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
-    members = placed.join(split, "bucket").join(one.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch"), "id")
-    second = stored(_close_pairs(members.select("bucket", "id", "component", "sketch", "n", "size"), percent).join(pairs, ["a", "b"], "left_anti").join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"), "minhash-pairs")
-    more = stored(verify(second, docs, width, percent), "minhash-links")
+    members = stored(placed.join(split, "bucket").select("bucket", "band", "id", "component", "size"), "minhash-members")
+    whole = one.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch").join(_short_sets(texts, members.select("id").distinct(), width), "id")
+    second = stored(_forest(members.join(whole, "id"), percent), "minhash-pairs")
+    more = stored(verify(second, texts, width, percent), "minhash-links")
     if more.take(1):
         first = stored(connected_components(links.unionByName(more)), "minhash-components")
     out = base.join(first.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
