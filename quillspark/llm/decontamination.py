@@ -87,14 +87,12 @@ def tiles(item: np.ndarray, doc: np.ndarray, least: int = 5) -> list[tuple[int,
     width = max(least, len(item))
     while True:
         while found := matches(item, doc, item_marked, doc_marked, width):
-            for size, p, q in sorted(found, key=lambda m: (-m[0], m[1], m[2])):
+            most = max(found)[0]
+            for size, p, q in sorted(m for m in found if m[0] == most):
                 if not item_marked[p : p + size].any() and not doc_marked[q : q + size].any():
                     item_marked[p : p + size] = True
                     doc_marked[q : q + size] = True
                     out.append((p, q, size))
-                    longest_left = size
-                elif size < longest_left:
-                    break  # what is left must be searched again between the new marks
         if width == least:
             return out
         width = max(least, width // 2)
