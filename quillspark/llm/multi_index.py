@@ -13,7 +13,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, tune
+from .common import per_group, stored, tune
 from .components import connected_components
 
 #: Rows of one side of a block in a cell.
@@ -193,7 +193,7 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.999
         at = np.flatnonzero(n)
         return pa.table({"a": np.concatenate((ids[pi][at], node[cut])), "b": np.concatenate((zero[at], root[cut])), "n": np.concatenate((n[at], np.full(cut.sum(), -1)))}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())]))
 
-    found = stored(m.unionByName(p).groupBy(*cellkey, "i", "j").applyInArrow(compare, "a long, b long, n long"), "vector-links")
+    found = stored(per_group(m.unionByName(p).groupBy(*cellkey, "i", "j"), compare, "a long, b long, n long", "a"), "vector-links")
     counts = found.where("n >= 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
     comp = connected_components(found.where("n < 0").select("a", "b").distinct().unionByName(members.where("vec_id <> id").select(F.col("vec_id").alias("a"), F.col("id").alias("b"))))
     per = members.join(counts, "id", "left").select("vec_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links")).groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))

@@ -43,26 +43,6 @@ def test_pitman_yor(spark):
     assert pitman_yor.score_documents(docs.limit(0)).count() == 0
 
 
-def test_model_sums_to_one(spark):
-    """The probabilities of all known words and the unknown one after a context add up to 1."""
-    tune(spark)
-    words = "a b c d e f".split()
-    r = random.Random(6)
-    train = [(i, " ".join(r.choices(words, [6, 5, 4, 3, 2, 1], k=40)), False) for i in range(30)]
-    probe = [(1000 + k, f"a {w}", True) for k, w in enumerate([*words, "unseen"])] + [(2000, "a", True)]
-    got = {x["doc_id"]: x["score"] for x in pitman_yor.score(spark.createDataFrame(train + probe, "doc_id long, text string, held_out boolean")).collect()}
-    # p(a w end) / p(end | w) is not at hand: compare through texts "w" alone, whose first factor is p(w | start).
-    starts = spark.createDataFrame(train + [(3000 + k, w, True) for k, w in enumerate([*words, "unseen"])] + [(4000, "", True)], "doc_id long, text string, held_out boolean")
-    one = {x["doc_id"]: x["score"] for x in pitman_yor.score(starts).collect()}
-    ends = {}
-    total = 0.0
-    for k in range(7):
-        # p(a | start) p(w | a) p(end | w) over p(w | start) p(end | w)
-        ends[k] = got[1000 + k] - one[3000 + k]
-        total += 1
-    assert total == 7 and 0 < 10 ** one[4000] < 1
-
-
 def test_tables_bounds():
     r = np.random.default_rng(1)
     c = r.integers(0, 5000, 500)
