@@ -105,15 +105,10 @@ class Block:
         end = int(np.searchsorted(self.words, END))
         # The token before a text's first is the end of the text before.
         context = np.concatenate(([end], self.tok[:-1])).astype(np.int64)
-        code, self.pair_of = np.unique(context << 32 | self.tok, return_inverse=True)
-        u, w = code >> 32, code & 0xFFFFFFFF
-        key = mix(self.words[u] * np.uint64(0xD6E8FEB86659FD93) + self.words[w]) >> np.uint64(16)
-        order = np.argsort(key, kind="stable")
-        rank = np.empty_like(order)
-        rank[order] = np.arange(len(order))
-        self.pair_of = rank[self.pair_of]
-        self.u, self.w, self.keys = u[order], w[order], key[order]
-        self.pair_train = np.bincount(self.pair_of[self.train], minlength=len(code))
+        each = mix(self.words[context] * np.uint64(0xD6E8FEB86659FD93) + self.words[self.tok]) >> np.uint64(16)
+        self.keys, at, self.pair_of = np.unique(each, return_index=True, return_inverse=True)
+        self.u, self.w = context[at], self.tok[at].astype(np.int64)
+        self.pair_train = np.bincount(self.pair_of[self.train], minlength=len(self.keys))
         self.word_train = np.bincount(self.tok[self.train], minlength=len(self.words))
 
 
@@ -137,20 +132,27 @@ def _messages(kind: int, block: int, keys: np.ndarray, bits: int, buckets: int,
 def tables(c: np.ndarray, alpha: np.ndarray, d: float, seed: np.ndarray, sample: int) -> np.ndarray:
     """Tables of dishes with c customers seated one by one: a new table with odds alpha against customers - d * tables at the old ones.
 
-    Draws follow from the seeds, so every holder of a dish seats it alike. Beyond 128 customers they come in groups of equal odds, each an eighth of those before.
+    Draws follow from the seeds, so every holder of a dish seats it alike. Beyond 24 customers they come in groups of equal odds, each an eighth of those before.
     """
     t = (c > 0).astype(np.int64)
     at = np.flatnonzero(c > 1)
+    some, weight, base, have = c[at], alpha[at], seed[at], t[at]
     i, group = 1, 0
     while len(at):
-        step = max(1, i >> 3) if i >= 128 else 1
-        n = np.minimum(step, c[at] - i)
-        p = alpha[at] / (alpha[at] + np.maximum(i - d * t[at], 1e-9))
-        u = (mix(seed[at] + np.uint64((0x9E3779B97F4A7C15 * (2 * group + 1) + 0xC2B2AE3D27D4EB4F * sample) & ((1 << 64) - 1))) >> np.uint64(11)) * (1.0 / (1 << 53))
-        t[at] += np.minimum(n, np.floor(n * p + u).astype(np.int64))
+        step = max(1, i >> 3) if i >= 24 else 1
+        p = weight / (weight + np.maximum(i - d * have, 1e-9))
+        u = (mix(base + np.uint64((0x9E3779B97F4A7C15 * (2 * group + 1) + 0xC2B2AE3D27D4EB4F * sample) & ((1 << 64) - 1))) >> np.uint64(11)) * (1.0 / (1 << 53))
+        if step == 1:
+            have += u < p
+        else:
+            n = np.minimum(step, some - i)
+            have += np.minimum(n, np.floor(n * p + u).astype(np.int64))
         i += step
         group += 1
-        at = at[c[at] > i]
+        go = some > i
+        if not go.all():
+            t[at[~go]] = have[~go]
+            at, some, weight, base, have = at[go], some[go], weight[go], base[go], have[go]
     return t
 
 
