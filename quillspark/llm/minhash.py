@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_group, stored, text_batches
+from .common import stored, text_batches
 from .components import connected_components
 from .words import hash_words, mix, shingle
 
@@ -192,7 +192,7 @@ def _forest(members: DataFrame, percent: int, block: int = 512) -> DataFrame:
                         comp[comp == comp[j]] = comp[i]
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    return per_group(m.select("bucket", "lo", "hi", "band", "id", "component", "part", "n", "sketch", "set").groupBy("bucket", "lo", "hi"), run, "a long, b long", "a").distinct()
+    return m.select("bucket", "lo", "hi", "band", "id", "component", "part", "n", "sketch", "set").groupBy("bucket", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import per_group, stored
+from .common import stored
 from .words import _powers, mix
 
 #: Bytes that decide a group; windows of length - ANCHOR + 1 starts have one minimizer.
@@ -229,7 +229,7 @@ def _sorted_spans(contents: DataFrame, length: int) -> DataFrame:
         at = np.flatnonzero(some)
         return pa.table({"doc_id": t["doc_id"].take(pa.array(at)), "th": t["th"].take(pa.array(at)), "a": pa.array(begin[at].astype(np.int32)), "b": pa.array(end[at].astype(np.int32))})
 
-    return per_group(contents.select("key", "doc_id", "th", "lo", "o", "times", "content").groupBy("key"), run, SPANS, "th")
+    return contents.select("key", "doc_id", "th", "lo", "o", "times", "content").groupBy("key").applyInArrow(run, SPANS)
 
 
 #: Distinct contexts of a large group whose strings meet in one task.
@@ -271,7 +271,7 @@ def _split_spans(contents: DataFrame, length: int) -> DataFrame:
 
     cols = contents.select("doc_id", "th", "key", "frag", "lo", "o", "n", "times", "content", "size")
     w = cols.mapInArrow(run, "doc_id long, th long, key long, frag long, times long, share long, strings binary, places binary")
-    hit = per_group(w.groupBy("key", "share"), meet, "doc_id long, th long, key long, frag long, a int, b int", "th")
+    hit = w.groupBy("key", "share").applyInArrow(meet, "doc_id long, th long, key long, frag long, a int, b int")
     return hit.groupBy("doc_id", "th", "key", "frag").agg(F.min("a").alias("a"), F.max("b").alias("b")).select("doc_id", "th", "a", "b")
 
 
