@@ -6,6 +6,7 @@ For one hash function, all runs of at least `least` shingles of a text fall into
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -95,73 +96,219 @@ def _windows(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, f int, values binary, docs binary, places binary")
 
 
-SEEDS = "doc_id long, partner long, f int, c int, l int, r int, pc int, pl int, pr int"
+SEEDS = "doc_id long, partner long, f int, c int, l int, r int, pc int, pl int, pr int, value long, docs int, n int"
 
 
 def _seeds(t: pa.Table) -> pa.Table:
-    """Windows of one bucket whose value an earlier document has, each with the first such document's window."""
+    """Windows of one bucket whose value several documents have, each with the first such document's windows, taken together; with the value and the group's documents and windows. Where a group has three documents or more, the first one's windows come too, with itself as partner."""
     value = np.concatenate([_unpacked(x, "<u8") for x in t["values"].to_pylist()])
     doc = np.concatenate([_unpacked(x, "<i8") for x in t["docs"].to_pylist()])
     place = np.concatenate([_unpacked(x, "<i4") for x in t["places"].to_pylist()]).reshape(-1, 3)
     order = np.lexsort((place[:, 0], doc, value))
     value, doc, place = value[order], doc[order], place[order]
-    new = np.flatnonzero(np.concatenate(([True], value[1:] != value[:-1])))
-    first = np.repeat(new, np.diff(np.concatenate((new, [len(value)]))))
-    at = np.flatnonzero(doc != doc[first])
+    lead = np.concatenate(([True], value[1:] != value[:-1]))
+    new = np.flatnonzero(lead)
+    size = np.diff(np.concatenate((new, [len(value)])))
+    first = np.repeat(new, size)
+    docs = np.repeat(np.add.reduceat((lead | np.concatenate(([True], doc[1:] != doc[:-1]))).astype(np.int64), new), size)
+    l, r = place[:, 0] - place[:, 1], place[:, 0] + place[:, 2]
+    own = doc == doc[first]
+    pl = np.repeat(np.minimum.reduceat(np.where(own, l, np.iinfo(np.int32).max), new), size)
+    pr = np.repeat(np.maximum.reduceat(np.where(own, r, -1), new), size)
+    at = np.flatnonzero(~own | (docs > 2))
     to = first[at]
-    c, pc_ = place[at, 0], place[to, 0]
-    cols = [doc[at], doc[to], np.full(len(at), t["f"][0].as_py(), dtype=np.int32), c, c - place[at, 1], c + place[at, 2], pc_, pc_ - place[to, 1], pc_ + place[to, 2]]
-    return pa.table(cols, names=[x.split()[0] for x in SEEDS.split(", ")])
+    cols = [doc[at], doc[to], np.full(len(at), t["f"][0].as_py()), place[at, 0], l[at], r[at], place[to, 0], pl[at], pr[at], value[at].view(np.int64), docs[at], np.repeat(size, size)[at]]
+    return pa.table([pa.array(c.astype(np.int64 if k in (0, 1, 9) else np.int32)) for k, c in enumerate(cols)], names=[x.split()[0] for x in SEEDS.split(", ")])
 
 
-def _reach(found: np.ndarray, at: int) -> tuple[int, int]:
-    """The run around at in which, to both sides, shared shingles outweigh others most; a run as similar as asked has 8 shared ones for each other."""
-    score = np.where(found, 1, -8)
-    right = np.cumsum(score[at:])
-    left = np.cumsum(score[: at + 1][::-1])
-    return at - (len(left) - 1 - int(np.argmax(left[::-1]))), at + (len(right) - 1 - int(np.argmax(right[::-1])))
+#: Least shingles of a passage.
+LEAST = WORDS - WIDTH + 1
+
+
+def _enough(common: np.ndarray | int, union: np.ndarray | int) -> np.ndarray | bool:
+    return common >= SIMILARITY * union - 1e-9
+
+
+def _padded(i: int, j: int, n: int) -> tuple[int, int]:
+    """[i, j] with neighbours within n places, so that it has LEAST ones."""
+    if j - i + 1 < LEAST:
+        j = min(i + LEAST - 1, n - 1)
+        i = max(0, j - LEAST + 1)
+    return i, j
+
+
+def _run(b: np.ndarray, a: np.ndarray, at: int) -> tuple[int, int, int, int, float] | None:
+    """The longest run of b around `at` that is as similar as asked to a run of a: (first and last place in b, in a, similarity).
+
+    Runs begin and end with shared shingles and cross any gaps between; one that is too short takes neighbours along up to LEAST.
+    """
+    held = np.isin(b, a)
+    if min(len(a), len(b)) < LEAST or not held[at]:
+        return None
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], held, [False])).astype(np.int8)))
+    starts, ends = edge[::2], edge[1::2] - 1
+    starts, ends = starts[starts <= at], ends[ends >= at]
+    size = ends[None] - starts[:, None] + 1
+    # No run can do that holds too few shared shingles for its own others, and for the other text's between its ends.
+    (_, one), (known, place) = np.unique(b, return_index=True), np.unique(a, return_index=True)
+    lone = np.zeros(len(b), dtype=bool)
+    lone[one] = True
+    c, u = np.concatenate(([0], np.cumsum(held))), np.concatenate(([0], np.cumsum(~held & lone)))
+    common, rest = c[ends + 1][None] - c[starts][:, None], u[ends + 1][None] - u[starts][:, None]
+    union = common + rest
+    if len(one) == len(b) and len(known) == len(a):
+        to = lambda x: place[np.searchsorted(known, b[x])]
+        union = np.maximum(size, LEAST) + np.maximum(np.abs(to(ends)[None] - to(starts)[:, None]) + 1, LEAST) - common
+    p, q = np.nonzero(_enough(common, union))
+    for k in np.argsort(-size[p, q], kind="stable").tolist():
+        i, j = int(starts[p[k]]), int(ends[q[k]])
+        m, n = np.flatnonzero(a == b[i]), np.flatnonzero(a == b[j])
+        off = np.abs(n[None] - m[:, None] - (j - i))
+        x, y = np.unravel_index(int(off.argmin()), off.shape)
+        m, n = sorted((int(m[x]), int(n[y])))
+        i, j = _padded(i, j, len(b))
+        m, n = _padded(m, n, len(a))
+        x, y = np.unique(b[i : j + 1]), np.unique(a[m : n + 1])
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        if _enough(common, len(x) + len(y) - common):
+            return i, j, m, n, common / (len(x) + len(y) - common)
+    return None
 
 
 def passages(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, ...]]) -> list[tuple[int, int, int, int, float]]:
     """Verified passages of b that a holds: (first word, end word, first and end word in a, similarity), from seeds (c, l, r in b; c, l, r in a)."""
     out: list[tuple[int, int, int, int, float]] = []
     held = np.isin(b, a)
-    for cb, lb, rb, ca, la, ra in sorted(seeds, key=lambda s: (s[1] - s[2], s)):
-        if any(x[0] <= cb < x[1] - WIDTH + 1 for x in out):
-            continue
-        # First with what the whole other text holds: a run that is short even so needs no closer look.
-        i, j = _reach(held[lb : rb + 1], cb - lb)
-        if j - i + WIDTH < WORDS:
+    plain = len(np.unique(b)) == len(b)
+    c = np.concatenate(([0], np.cumsum(held)))
+    left = c
+    for cb, lb, rb, _, la, ra in sorted(set(seeds), key=lambda s: (s[1] - s[2], s)):
+        # A seed is passed over if its window holds too few shared shingles, or none besides those of passages found.
+        if plain and not _enough(int(c[rb + 1] - c[lb]), LEAST) or left[rb + 1] == left[lb]:
             continue
-        i, j = _reach(np.isin(b[lb : rb + 1], a[la : ra + 1]), cb - lb)
-        i, j = i + lb, j + lb
-        m, n = _reach(np.isin(a[la : ra + 1], b[i : j + 1]), ca - la)
-        m, n = m + la, n + la
-        if min(j - i, n - m) + WIDTH < WORDS:
-            continue
-        x, y = np.unique(b[i : j + 1]), np.unique(a[m : n + 1])
-        common = len(np.intersect1d(x, y, assume_unique=True))
-        if common >= SIMILARITY * (len(x) + len(y) - common):
-            out.append((i, j + WIDTH, m, n + WIDTH, common / (len(x) + len(y) - common)))
+        got = _run(b[lb : rb + 1], a[la : ra + 1], cb - lb)
+        if got:
+            i, j, m, n, similarity = got
+            i, j = i + lb, j + lb
+            if not any(x[0] <= i and j + WIDTH <= x[1] for x in out):
+                out = [x for x in out if not (i <= x[0] and x[1] <= j + WIDTH)]
+                out.append((i, j + WIDTH, m + la, n + la + WIDTH, similarity))
+            held[i : j + 1] = False
+            left = np.concatenate(([0], np.cumsum(held)))
     return sorted(out)
 
 
+#: Most windows of a group that meet at once are two blocks of about so many.
+BLOCK = 256
+
+
+def _meet(rows: list[dict], across: bool) -> list[tuple[int, ...]]:
+    """Pairs of windows of one group, as seeds, in which the later document has a passage with places not yet covered.
+
+    A pair is looked at if it shares as many shingles as a passage needs, and an open one; the most open ones first, while any are left.
+    """
+    sets = [np.frombuffer(x["shingles"], dtype="<u4") for x in rows]
+    free = [np.frombuffer(x["open"], dtype=bool) for x in rows]
+    _, number = np.unique(np.concatenate(sets), return_inverse=True)
+    cut = np.cumsum([0, *map(len, sets)])
+    numbers = [number[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
+    distinct = [np.unique(x) for x in numbers]
+    flat, start, total = np.concatenate(distinct), np.cumsum([0, *map(len, distinct[:-1])]), int(number.max()) + 1
+
+    def shared(with_: np.ndarray) -> np.ndarray:
+        """How many of some shingles each window holds."""
+        mark = np.zeros(total, dtype=np.int32)
+        mark[with_] = 1
+        return np.add.reduceat(mark[flat], start)
+
+    plain = np.array([len(d) == len(s) for d, s in zip(distinct, sets, strict=True)])
+    doc, part = np.array([x["doc_id"] for x in rows]), np.array([x["part"] for x in rows])
+    out = []
+    for k, row in enumerate(rows):
+        left = free[k].copy()
+        try_ = (doc < doc[k]) & ((part != part[k]) if across else True)
+        if not left.any() or not try_.any():
+            continue
+        common = shared(numbers[k])
+        try_ &= np.where(plain & plain[k], _enough(common, LEAST), common > 0)
+        while try_.any() and left.any():
+            gain = np.where(try_, shared(numbers[k][left]), 0)
+            best = int(gain.argmax())
+            if not gain[best]:
+                break
+            try_[best] = False
+            got = _run(sets[k], sets[best], row["c"] - row["l"])
+            if got and left[got[0] : got[1] + 1].any():
+                left[got[0] : got[1] + 1] = False
+                other = rows[best]
+                out.append((row["doc_id"], other["doc_id"], row["f"], row["c"], row["l"], row["r"], other["c"], other["l"], other["r"]))
+    return out
+
+
+def _others(groups: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
+    """Seeds between the windows (value, f, n, doc_id, c, l, r) of a group besides those to its first document, where they add to the passages found."""
+    cover = found.select("doc_id", F.explode("spans").alias("s")).groupBy("doc_id").agg(F.collect_set(F.struct("s.first", "s.end")).alias("cover"))
+    held = groups.groupBy("doc_id").agg(F.collect_list(F.struct("value", "f", "n", "c", "l", "r")).alias("w"))
+    held = held.hint("merge").join(texts.select("doc_id", "text"), "doc_id").join(cover, "doc_id", "left").select("doc_id", "text", "w", "cover")
+    wide = "value long, f int, n int, c int, l int, r int, doc_id long, shingles binary, open binary"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for key, text, ws, cover in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+                h, *_ = hash_words([text])
+                s = (shingle(h, WIDTH)[: max(0, len(h) - WIDTH + 1)] >> np.uint64(32)).astype("<u4")
+                free = np.ones(len(s), dtype=bool)
+                for x in cover or ():
+                    free[x["first"] : max(x["first"], x["end"] - WIDTH + 1)] = False
+                rows = [w | {"doc_id": key, "shingles": s[w["l"] : w["r"] + 1].tobytes(), "open": free[w["l"] : w["r"] + 1].tobytes()} for w in ws if w["r"] < len(s)]
+                if rows:
+                    yield pa.RecordBatch.from_pylist(rows, schema=WIDE)
+
+    m = held.mapInArrow(cut, wide).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    m = m.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other")).drop("blocks", "other", "n")
+    key = ("value", "f", "lo", "hi")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = (row for b in batches for row in b.to_pylist())
+        for (_, _, lo, hi), rows in groupby(stream, key=lambda x: tuple(x[k] for k in key)):
+            got = _meet(list(rows), lo != hi)
+            if got:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.int32()) for k, c in enumerate(zip(*got, strict=True))], PAIR.replace(" long", "").replace(" int", "").split(", "))
+
+    return m.repartition(shuffle_width(groups.sparkSession), *key).sortWithinPartitions(*key, "doc_id").mapInArrow(run, PAIR)
+
+
+PAIR = "doc_id long, partner long, f int, c int, l int, r int, pc int, pl int, pr int"
+WIDE = pa.schema([("value", pa.int64()), ("f", pa.int32()), ("n", pa.int32()), ("c", pa.int32()), ("l", pa.int32()), ("r", pa.int32()), ("doc_id", pa.int64()), ("shingles", pa.binary()), ("open", pa.binary())])
+
+
 FOUND = "doc_id long, th long, partner long, words int, spans array<struct<first:int,end:int,a:int,b:int,partner_first:int,partner_end:int,similarity:double>>"
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, th, partner, words, spans): passages of at least WORDS words that resemble (similarity SIMILARITY or more on WIDTH-word shingles) a passage of an earlier document, the partner.
 
-    In every group of windows with one value the least document stands for the others, so a passage in any number of documents gives one row for each of them, towards the first; the others of a group are not compared with each other. th is the hash of the text; spans: words [first, end), bytes [a, b), the partner's words and the similarity. docs: doc_id, text.
-    Windows travel packed by the bucket of their value; a bucket is read once, its windows sorted, and no pairs but those with the first document are made.
+    In every group of windows with one value each document is first compared with the least one, if two functions agree on it. Where a group has more documents, their windows then meet in blocks of bounded size, and a pair counts that adds to the passages found before; so a passage in any number of documents gives about one row for each of them, and a document isn't compared with others that repeat what it has.
+    th is the hash of the text; spans: words [first, end), bytes [a, b), the partner's words and the similarity. docs: doc_id, text.
+    Windows travel packed by the bucket of their value; a bucket is read once, its windows sorted.
     """
     spark = docs.sparkSession
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
-    hits = _windows(d, shuffle_width(spark)).groupBy("bucket", "f").applyInArrow(_seeds, SEEDS)
-    seeds = stored(hits.groupBy("doc_id", "partner").agg(F.collect_list(F.struct("f", "c", "l", "r", "pc", "pl", "pr")).alias("seeds")).where(F.size(F.array_distinct("seeds.f")) >= AGREE), "passage-seeds")
-    # Only texts in a pair are looked at again; they are fetched once.
-    ids = seeds.select("doc_id").union(seeds.select("partner")).distinct()
+    hits = stored(_windows(d, shuffle_width(spark)).groupBy("bucket", "f").applyInArrow(_seeds, SEEDS), "passage-windows")
+    as_list = F.collect_list(F.struct("f", "c", "l", "r", "pc", "pl", "pr")).alias("seeds")
+    seeds = stored(hits.where("doc_id <> partner").groupBy("doc_id", "partner").agg(as_list).where(F.size(F.array_distinct("seeds.f")) >= AGREE), "passage-seeds")
+    groups = hits.where("docs > 2")
+    # Only texts in a pair or group are looked at again; they are fetched once.
+    ids = seeds.select("doc_id").union(seeds.select("partner")).union(groups.select("doc_id")).distinct()
     texts = stored(d.withColumn("th", F.xxhash64("text")).join(ids.hint("merge"), "doc_id", "left_semi"), "passage-texts")
+    found = stored(_verified(seeds, texts), "passage-found")
+    more = stored(_others(groups, texts, found).groupBy("doc_id", "partner").agg(as_list), "passage-seeds")
+    return found.unionByName(_verified(more, texts))
+
+
+def _verified(seeds: DataFrame, texts: DataFrame) -> DataFrame:
+    """The passages that seeds (doc_id, partner, seeds) lead to, as FOUND."""
     both = seeds.hint("merge").join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("partner"), F.col("text").alias("other")).hint("merge"), "partner").select("doc_id", "th", "partner", "text", "other", "seeds")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -191,3 +191,43 @@ def test_passages(docs):
     assert not [v for v in runs.values() if len(v) > 1]
     assert all(left[i] == r["text"] for r in docs.collect() if (i := r["doc_id"]) is not None and i not in got)
     assert compact_windows.passage_report(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("words, changed", [(50, [25]), (50, [10]), (50, [16]), (60, [30]), (70, [35]), (80, [40]), (89, [44]), (120, [40, 80]), (120, [60]), (50, [2]), (60, [20, 40])])
+def test_passages_cross_changes(words, changed):
+    """A near copy is found from any shared place just where brute force has a run of enough shingles and similarity around it."""
+    r = np.random.default_rng(words + sum(changed))
+    a = r.integers(0, 1 << 60, words + 120, dtype=np.uint64)
+    b = r.integers(0, 1 << 60, words + 120, dtype=np.uint64)
+    b[60 : 60 + words] = a[60 : 60 + words]
+    b[60 + np.array(changed)] = 1
+    a, b = (compact_windows.shingle(x, 5)[: len(x) - 4] for x in (a, b))
+    same = np.concatenate(([0], np.cumsum(a == b)))
+    n = len(a)
+    good = np.zeros(n, dtype=bool)
+    for i in range(n):
+        for j in range(i + 45, n):
+            k = same[j + 1] - same[i]
+            if k >= 0.8 * (2 * (j - i + 1) - k):
+                good[i : j + 1] = True
+    assert good.any() == (words != 60 or len(changed) == 1)
+    for c in np.flatnonzero(a == b).tolist():
+        assert bool(compact_windows.passages(a, b, [(c, 0, n - 1, c, 0, n - 1)])) == good[c]
+
+
+@pytest.mark.parametrize("block", [256, 2])
+def test_passages_behind_weaker_ones(spark, block, monkeypatch):
+    """Earlier documents with parts of a passage don't hide that two later ones have all of it."""
+    monkeypatch.setattr(compact_windows, "BLOCK", block)
+    tune(spark)
+    r = random.Random(5)
+    make = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    rows, twice = [], {}
+    for k in range(30):
+        p = make(60)
+        for part in (p[:40], p[20:], p, p):
+            twice[len(rows)] = part is p and len(rows) % 4 == 3
+            rows.append((len(rows), " ".join(make(60) + part + make(60))))
+    got = {x["doc_id"]: x for x in compact_windows.passage_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i]["n_passages"] >= 1 and got[i]["n_repeated_words"] >= 60 and i - 1 in got[i]["partners"] for i in twice if twice[i])
+    assert not any(got[i]["n_passages"] for i in twice if i % 4 < 2)
