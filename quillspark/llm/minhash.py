@@ -152,7 +152,7 @@ def _short_sets(texts: DataFrame, ids: DataFrame, width: int) -> DataFrame:
 def _forest(members: DataFrame, percent: int, block: int = 512) -> DataFrame:
     """Links (a, b) that join components met in one bucket: a spanning forest, never all pairs.
 
-    members: bucket, band, id, component, sketch, n (size of the set), set, size (rows of the bucket). Buckets are cut into pairs of blocks of bounded size. A pair is tried in the lowest band it shares, if its sketches come within four standard deviations of the threshold, on the whole sets, nearest first, and only while its components are apart.
+    members: bucket, band, id, component, sketch, bands (hashes), n (size of the set), set, size (rows of the bucket). Buckets are cut into pairs of blocks of bounded size. A pair is tried in the lowest band it shares, if its sketches come within four standard deviations of the threshold, on the whole sets, nearest first, and only while its components are apart.
     """
     least = percent / 100 - 0.14
     m = members.withColumn("blocks", F.ceil(F.col("size") / block).cast("int")).withColumn("part", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
@@ -163,6 +163,7 @@ def _forest(members: DataFrame, percent: int, block: int = 512) -> DataFrame:
         ids, comp, part = table["id"].to_numpy(), table["component"].to_numpy(), table["part"].to_numpy()
         n, band = table["n"].to_numpy(), table["band"][0].as_py()
         sk = np.frombuffer(b"".join(table["sketch"].to_pylist()), dtype=np.uint8).reshape(len(ids), -1)
+        hashes = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1)
         sets = [np.frombuffer(x, dtype="<u4") for x in table["set"].to_pylist()]
         across = table["lo"][0].as_py() != table["hi"][0].as_py()
         # Components as small numbers, merged as links turn up.
@@ -175,9 +176,8 @@ def _forest(members: DataFrame, percent: int, block: int = 512) -> DataFrame:
             at = np.flatnonzero(ok)
             if not len(at):
                 continue
-            eq = sk[at] == sk[i]
-            near = eq.mean(axis=1)
-            good = (near >= least) & (eq.reshape(len(at), -1, ROWS).all(axis=2).argmax(axis=1) == band)
+            near = (sk[at] == sk[i]).mean(axis=1)
+            good = (near >= least) & ((hashes[at] == hashes[i]).argmax(axis=1) == band)
             at, near = at[good], near[good]
             for j in at[np.argsort(-near, kind="stable")].tolist():
                 if comp[j] == comp[i]:
@@ -192,7 +192,7 @@ def _forest(members: DataFrame, percent: int, block: int = 512) -> DataFrame:
                         comp[comp == comp[j]] = comp[i]
         return pa.table({"a": pa.array(out_a, pa.int64()), "b": pa.array(out_b, pa.int64())})
 
-    return m.select("bucket", "lo", "hi", "band", "id", "component", "part", "n", "sketch", "set").groupBy("bucket", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
+    return m.select("bucket", "lo", "hi", "band", "id", "component", "part", "n", "sketch", "bands", "set").groupBy("bucket", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -223,7 +223,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     placed = star.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
     members = stored(placed.join(split, "bucket").select("bucket", "band", "id", "component", "size"), "minhash-members")
-    whole = one.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch").join(_short_sets(texts, members.select("id").distinct(), width), "id")
+    whole = one.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch", "bands").join(_short_sets(texts, members.select("id").distinct(), width), "id")
     second = stored(_forest(members.join(whole, "id"), percent), "minhash-pairs")
     more = stored(verify(second, texts, width, percent), "minhash-links")
     if more.take(1):

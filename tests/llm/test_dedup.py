@@ -231,3 +231,13 @@ def test_passages_behind_weaker_ones(spark, block, monkeypatch):
     got = {x["doc_id"]: x for x in compact_windows.passage_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(got[i]["n_passages"] >= 1 and got[i]["n_repeated_words"] >= 60 and i - 1 in got[i]["partners"] for i in twice if twice[i])
     assert not any(got[i]["n_passages"] for i in twice if i % 4 < 2)
+
+
+def test_forest_lowest_band(spark):
+    """A lower band whose slots are equal only in the sketches' bytes doesn't take a pair away from the bucket it shares."""
+    tune(spark)
+    sketch, part = bytes(128), np.arange(100, dtype="<u4").tobytes()
+    bands = lambda k: [1000 + k if b < 3 else b for b in range(32)]
+    rows = [(3, 3, k, k, bytearray(sketch), bands(k), 100, bytearray(part), 2) for k in (1, 2)]
+    members = spark.createDataFrame(rows, "bucket long, band int, id long, component long, sketch binary, bands array<long>, n long, set binary, size long")
+    assert [tuple(x) for x in minhash._forest(members, 80).collect()] == [(1, 2)]
