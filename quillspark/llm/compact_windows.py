@@ -160,18 +160,28 @@ def _run(b: np.ndarray, a: np.ndarray, at: int) -> tuple[int, int, int, int, flo
         to = lambda x: place[np.searchsorted(known, b[x])]
         union = np.maximum(size, LEAST) + np.maximum(np.abs(to(ends)[None] - to(starts)[:, None]) + 1, LEAST) - common
     p, q = np.nonzero(_enough(common, union))
+    lone = np.zeros(len(a), dtype=bool)
+    lone[place] = True
+    other = np.concatenate(([0], np.cumsum(~np.isin(a, b) & lone)))
+    spots: dict[int, np.ndarray] = {}
     for k in np.argsort(-size[p, q], kind="stable").tolist():
         i, j = int(starts[p[k]]), int(ends[q[k]])
-        m, n = np.flatnonzero(a == b[i]), np.flatnonzero(a == b[j])
+        for x in (i, j):
+            if x not in spots:
+                spots[x] = np.flatnonzero(a == b[x])
+        m, n = spots[i], spots[j]
         off = np.abs(n[None] - m[:, None] - (j - i))
-        x, y = np.unravel_index(int(off.argmin()), off.shape)
+        x, y = divmod(int(off.argmin()), len(n))
         m, n = sorted((int(m[x]), int(n[y])))
+        most = int(common[p[k], q[k]])
+        if j - i + 1 >= LEAST and n - m + 1 >= LEAST and not _enough(most, most + int(rest[p[k], q[k]]) + int(other[n + 1] - other[m])):
+            continue
         i, j = _padded(i, j, len(b))
         m, n = _padded(m, n, len(a))
         x, y = np.unique(b[i : j + 1]), np.unique(a[m : n + 1])
-        common = len(np.intersect1d(x, y, assume_unique=True))
-        if _enough(common, len(x) + len(y) - common):
-            return i, j, m, n, common / (len(x) + len(y) - common)
+        both = len(np.intersect1d(x, y, assume_unique=True))
+        if _enough(both, len(x) + len(y) - both):
+            return i, j, m, n, both / (len(x) + len(y) - both)
     return None
 
 
