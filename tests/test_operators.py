@@ -1,5 +1,6 @@
 """Operators on small fixtures."""
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,3 +170,16 @@ def test_debounce_stream(spark, tmp_path):
     q = out.writeStream.format("memory").queryName("debounced").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r["n"] for r in spark.table("debounced").collect()) == [1, 3]
+
+
+def test_lsh_ann_recall(spark):
+    """The registered query finds nine tenths of what brute force finds at its threshold."""
+    from quillspark.plans.queries import lsh_ann
+
+    sf = "/root/testdata/sf0.01"
+    rows = {r["vec_id"]: np.array(r["embedding"], dtype=float) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()}
+    cos = lambda a, b: a @ b / np.sqrt((a @ a) * (b @ b))
+    want = {(q, d) for q in rows for d in rows if q % 20 == 0 and q != d and cos(rows[q], rows[d]) >= 0.3}
+    got = {(r["query_id"], r["doc_id"]) for r in lsh_ann(spark, sf).collect()}
+    print("recall", len(want & got), len(want))
+    assert len(want & got) >= 0.9 * len(want)
