@@ -13,8 +13,8 @@ SUPPORTED = "en de fr es it pt nl pl ru ja zh ko ar tr vi th id hi bn ta te mr g
 
 
 def fit_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = 400) -> dict[str, dict[str, float]]:
-    """Log odds of the `size` most frequent trigrams of each language; bounded by languages times size."""
-    t = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.substring(F.lower(F.regexp_replace(text, r"(?U)[^\p{L}]+", " ")), 1, 1000).alias("t")).where(F.length("t") >= 3)
+    """Log odds of the `size` most frequent trigrams of each language, from whole texts; bounded by languages times size."""
+    t = docs.where(F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.lower(F.regexp_replace(text, r"(?U)[^\p{L}]+", " ")).alias("t")).where(F.length("t") >= 3)
     grams = t.select("lang", F.explode(F.regexp_extract_all("t", F.lit("(?s)(?=(.{3}))"), 1)).alias("g")).groupBy("lang", "g").count()
     from pyspark.sql import Window as W
 

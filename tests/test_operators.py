@@ -183,3 +183,10 @@ def test_lsh_ann_recall(spark):
     got = {(r["query_id"], r["doc_id"]) for r in lsh_ann(spark, sf).collect()}
     print("recall", len(want & got), len(want))
     assert len(want & got) >= 0.9 * len(want)
+
+
+def test_profiles_count_whole_texts(spark):
+    from quillspark.functions.language import fit_profiles
+
+    got = fit_profiles(spark.createDataFrame([("a" * 1500 + "xyz", "en")], "text string, lang string"))
+    assert "xyz" in got["en"]
