@@ -85,6 +85,8 @@ class CachedEncoder:
         return np.asarray(ids, dtype="<u2").tobytes()
 
     def _learn(self, units: list[str]) -> None:
+        if len(self.spaced) > self.LIMIT:
+            self.spaced.clear()
         ids = np.asarray(self.bpe._enc.encode_ordinary(" " + " ".join(units)), dtype="<u2")
         at = np.flatnonzero(self.bpe.leads_space[ids])
         if len(at) != len(units):
@@ -98,7 +100,6 @@ class CachedEncoder:
     def encode_all(self, texts: list[str]) -> list[bytes]:
         plain: list[list[list[str]] | None] = []
         fresh: set[str] = set()
-        # Only here: the units of a batch stay until it is put together.
         if len(self.spaced) > self.LIMIT:
             self.spaced.clear()
         for t in texts:

@@ -111,13 +111,3 @@ def test_best_fit_decreasing():
             else:
                 free.append(50 - sizes[i])
         assert len(free) == len(rows)
-
-
-def test_cache_limit(monkeypatch):
-    """A limit passed within a batch loses no unit that the batch still needs."""
-    path = bytebpe.default_path("byte_bpe_50k.json")
-    texts = [" ".join(f"u{i * 700 + k}" for k in range(700)) for i in range(14)]
-    want = packing.CachedEncoder(path).encode_all(texts)
-    monkeypatch.setattr(packing.CachedEncoder, "LIMIT", 5)
-    enc = packing.CachedEncoder(path)
-    assert enc.encode_all(texts[:1]) + enc.encode_all(texts[1:]) == want
