@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import re
-from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -13,169 +11,260 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import held_out, text_batches
+from .words import hash_words
 
 SCHEMA = "doc_id long, score double, neighbours array<long>, similarities array<double>, evidence array<string>"
-WORD = re.compile(r"\w+")
-#: Longest word, in characters, that can be a feature.
-MAX_WORD = 64
+#: Scores from here on count as toxic.
+THRESHOLD = 0.3
+
+
+def ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places of all ranges [start, end) one after the other, number of the range of each)."""
+    n = end - start
+    own = np.repeat(np.arange(len(n)), n)
+    return np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + start[own], own
+
 
+def term_counts(texts: list[str], known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, tuple]:
+    """(text number, term, occurrences, first word of it) of the distinct words of each text, sorted by text and term, and the words' (starts, ends, bytes).
 
-def words(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    Terms are places in known (sorted hashes; others are left out), or the hashes themselves.
+    """
+    h, first, starts, ends, buf = hash_words(texts, letters_only=True)
+    own = np.repeat(np.arange(len(texts)), np.diff(first))
+    word = np.arange(len(h))
+    if known is not None:
+        at = np.minimum(np.searchsorted(known, h), max(0, len(known) - 1))
+        ok = known[at] == h if len(known) else np.zeros(len(h), dtype=bool)
+        h, own, word = at[ok], own[ok], word[ok]
+    order = np.lexsort((word, h, own))
+    h, own, word = h[order], own[order], word[order]
+    new = np.flatnonzero(np.concatenate(([True], (h[1:] != h[:-1]) | (own[1:] != own[:-1])))) if len(h) else np.zeros(0, dtype=np.int64)
+    return own[new], h[new], np.diff(np.concatenate((new, [len(h)]))), word[new], (starts, ends, buf)
 
 
 @dataclass
 class Model:
-    """Postings by term over blocks of examples, each block with its greatest weight of every term."""
-
-    terms: dict[str, int]
-    idf: np.ndarray
-    postings: np.ndarray  # terms x examples, unit vectors in the columns
-    block_max: np.ndarray  # terms x blocks
+    """Inverted index over blocks of examples: for each term and block with it the greatest weight, and the weights of the block's examples."""
+
+    known: np.ndarray  # hashes of the terms, sorted
+    gain: np.ndarray  # inverse document frequency times relevance of a term
+    row_start: np.ndarray  # by term: its rows, one for each block that holds it
+    row_block: np.ndarray
+    row_max: np.ndarray
+    row_start_posting: np.ndarray  # by row: its postings
+    example: np.ndarray  # of a posting: place in the block
+    weight: np.ndarray
     labels: np.ndarray
-    weights: np.ndarray  # of the examples, undoing the sampling by class
-    ids: list[int]
+    votes: np.ndarray  # of the examples, undoing the sampling by class
+    ids: np.ndarray
+    blocks: int
     block: int
     k: int
     prior: float
-
-    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        known = self.terms
-        tf = Counter([known[w] for w in words(text) if w in known])
-        if not tf:
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
-        t = np.fromiter(tf, dtype=np.int64, count=len(tf))
-        t.sort()
-        v = (1 + np.log([tf[i] for i in t.tolist()])) * self.idf[t]
-        return t, v / np.sqrt(v @ v)
-
-    def nearest(self, t: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest with a cosine over 0; equal cosines in the examples' order.
-
-        Blocks are read by falling upper bound until no bound reaches the k-th best cosine, so the result is exact.
+    _dense: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict, repr=False)
+
+    def postings(self, b: int) -> tuple[np.ndarray, np.ndarray]:
+        """(place by term or -1, weights of the block's examples) of block b, laid out when first read."""
+        if b not in self._dense:
+            rows = np.flatnonzero(self.row_block == b)
+            place = np.full(len(self.known), -1, dtype=np.int32)
+            place[np.searchsorted(self.row_start, rows, "right") - 1] = np.arange(len(rows))
+            at, own = ranges(self.row_start_posting[rows], self.row_start_posting[rows + 1])
+            out = np.zeros((len(rows), self.block), dtype=np.float32)
+            out[own, self.example[at]] = self.weight[at]
+            self._dense[b] = place, out
+        return self._dense[b]
+
+    def nearest(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """(examples, cosines) of the k nearest of each text, best first, -1 where fewer have a cosine over 0; equal cosines in the examples' order; and the texts' terms.
+
+        Blocks are read by falling upper bound, in rounds of 1, 2, 4, ... blocks, until no bound reaches the k-th best cosine; so the result is exact.
         """
-        bound = v @ self.block_max[t]
-        found_at: list[np.ndarray] = []
-        found: list[np.ndarray] = []
-        best = np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) >= self.k and bound[b] < best[self.k - 1] - 1e-12):
+        d, t, tf, word, where = term_counts(texts, self.known)
+        v = (1 + np.log(tf)) * self.gain[t]
+        norm = np.sqrt(np.bincount(d, weights=v * v, minlength=len(texts)))
+        v = v / np.where(norm > 0, norm, 1)[d]
+        first = np.searchsorted(d, np.arange(len(texts) + 1))
+        at, own = ranges(self.row_start[t], self.row_start[t + 1])
+        bound = np.bincount(d[own] * self.blocks + self.row_block[at], weights=v[own] * self.row_max[at], minlength=len(texts) * self.blocks).reshape(len(texts), self.blocks)
+        del at, own
+        order = np.argsort(-bound, axis=1, kind="stable")
+        best = np.zeros((len(texts), self.k))
+        who = np.full((len(texts), self.k), -1, dtype=np.int64)
+        lo, step = 0, 1
+        while lo < self.blocks:
+            turn = order[:, lo : lo + step]
+            ub = np.take_along_axis(bound, turn, axis=1)
+            text, place = np.nonzero((ub > 0) & (ub >= best[:, -1:] - 1e-9))
+            if not len(text):
                 break
-            lo = b * self.block
-            s = v @ self.postings[t, lo : lo + self.block]
-            at = np.flatnonzero(s > 0)
-            found_at.append(at + lo)
-            found.append(s[at])
-            best = np.sort(np.concatenate((best, s[at])))[::-1][: self.k]
-        if not found:
-            return np.zeros(0, dtype=np.int64), np.zeros(0)
-        at, s = np.concatenate(found_at), np.concatenate(found)
-        order = np.lexsort((at, -np.round(s, 12)))[: self.k]
-        return at[order], s[order]
-
-    def score(self, text: str) -> tuple[float, list[int], list[float], list[str]]:
-        t, v = self.vector(text)
-        if not len(t):
-            return self.prior, [], [], []
-        at, s = self.nearest(t, v)
-        vote = self.weights[at] * s / (1.0 + 1e-9 - np.minimum(s, 1.0) + 0.25)
-        share = 0.05 * self.weights.min()
-        score = float((vote @ self.labels[at] + share * self.prior) / (vote.sum() + share))
-        strongest = [w for w in dict.fromkeys(words(text)) if w in self.terms and any(self.postings[self.terms[w], at[:3]] > 0)][:5]
-        return min(1.0, max(0.0, score)), [self.ids[i] for i in at[:3]], s[:3].tolist(), strongest
-
-
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, features: int = 1024, least_chi2: float = 20.0, k: int = 15, block: int = 64) -> Model:
+            got = np.zeros((len(texts), turn.shape[1] * self.block))
+            number = np.full(got.shape, -1, dtype=np.int64)
+            b_of = turn[text, place]
+            for b in np.unique(b_of).tolist():
+                mine = b_of == b
+                rows, col = text[mine], place[mine]
+                terms, dense = self.postings(b)
+                x, o = ranges(first[rows], first[rows + 1])
+                spot = terms[t[x]]
+                held = spot >= 0
+                here = np.zeros((len(rows), len(dense)), dtype=np.float32)
+                here[o[held], spot[held]] = v[x[held]]
+                s = here @ dense
+                cells = (col * self.block)[:, None] + np.arange(self.block)
+                got[rows[:, None], cells] = s
+                number[rows[:, None], cells] = b * self.block + np.arange(self.block)
+            touched = np.unique(text)
+            s = np.concatenate((best[touched], np.round(got[touched], 9)), axis=1)
+            n = np.concatenate((who[touched], np.where(s[:, self.k :] > 0, number[touched], -1)), axis=1)
+            top = np.lexsort((n, -s), axis=1)[:, : self.k]
+            best[touched], who[touched] = np.take_along_axis(s, top, axis=1), np.take_along_axis(n, top, axis=1)
+            lo, step = lo + step, step * 2
+        return np.where(best > 0, who, -1), best, (d, t, v, word, first, where)
+
+    def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
+        """(score of each text, its examples, their cosines, terms): votes weighted by nearness, drawn to the prior where nothing is near."""
+        at, s, terms = self.nearest(texts)
+        vote = np.where(at >= 0, self.votes[at] * s / (1.25 - np.minimum(s, 1.0)), 0)
+        least = 0.05 * (self.votes[: len(self.ids)].min() if len(self.ids) else 1.0)
+        score = ((vote * self.labels[at]).sum(axis=1) + least * self.prior) / (vote.sum(axis=1) + least)
+        return np.clip(score, 0.0, 1.0), at, s, terms
+
+    def evidence(self, i: int, at: np.ndarray, terms: tuple) -> list[str]:
+        """The five weightiest words of text i that one of its three nearest examples has too."""
+        _, t, v, word, first, (starts, ends, buf) = terms
+        x = np.arange(first[i], first[i + 1])
+        shared = np.zeros(len(x), dtype=bool)
+        for e in at[i, :3].tolist():
+            if e >= 0:
+                place, dense = self.postings(e // self.block)
+                spot = place[t[x]]
+                shared |= (spot >= 0) & (dense[spot, e % self.block] > 0)
+        x = x[shared]
+        return [buf[starts[w] : ends[w]].tobytes().decode("utf-8", "replace") for w in word[x[np.argsort(-v[x], kind="stable")[:5]]].tolist()]
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, k: int = 15, block: int = 64) -> Model:
     """Learn from at most per_class labelled documents of each class (the least hashes of the id), outside the held-out rows.
 
-    The sample is the documented bound of what reaches the driver: at most 2 * per_class sparse vectors over at most features words, those most associated with the label by chi-square. Class counts come from all labelled rows.
+    The sample is the documented bound of what reaches the driver and goes to the executors: at most 2 * per_class sparse vectors. Every word of theirs is a term: weight (1 + log tf) * idf, scaled by the chi-square of the word and the label, so words that say nothing of the label hardly count. Document frequencies are those of all documents, class counts those of all labelled rows.
+    Of labels, rows with a null id or a label other than 0 and 1 are left out; an id with both labels is toxic.
     """
-    lab = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", 4)).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("y"))
+    spark = docs.sparkSession
+    lab = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels["toxic"].cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id", 4)).groupBy("doc_id").agg(F.max("y").alias("y"))
     totals = {r["y"]: r["n"] for r in lab.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n1, n0 = totals.get(1, 0), totals.get(0, 0)
     order = F.xxhash64(F.col("doc_id"))
     picked = lab.where("y = 1").orderBy(order, "doc_id").limit(per_class).unionByName(lab.where("y = 0").orderBy(order, "doc_id").limit(per_class))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    text = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    # Of repeated rows of one id, one is an example.
+    rows = text.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, ys, texts = (b.column(i).to_pylist() for i in range(3))
-            for i, y, text in zip(ids, ys, texts, strict=True):
-                c = Counter(w for w in words(text or "") if len(w) <= MAX_WORD)
-                yield pa.RecordBatch.from_arrays([pa.array([i] * len(c), pa.int64()), pa.array([y] * len(c), pa.int32()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int32())], ["doc_id", "y", "word", "tf"])
-
-    from .common import stored
-
-    terms = stored(rows.select("doc_id", "y", "text").mapInArrow(split, "doc_id long, y int, word string, tf int"), "toxicity-terms")
-    seen = {r["y"]: r["n"] for r in terms.groupBy("y").agg(F.countDistinct("doc_id").alias("n")).collect()}
-    m1, m0 = seen.get(1, 0), seen.get(0, 0)
-    n = m1 + m0
-    a, b = F.col("a").cast("double"), F.col("b").cast("double")
-    chi2 = n * F.pow(a * (m0 - b) - b * (m1 - a), 2) / (F.greatest((a + b) * (n - a - b) * m1 * m0, F.lit(1.0)))
-    table = terms.groupBy("word").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).where("a + b >= 3").withColumn("chi2", chi2).where(F.col("chi2") >= least_chi2)
-    chosen = table.orderBy(F.desc("chi2"), "word").limit(features)
-    vocab = chosen.select("word", "a", "b").collect() if n else []
-    index = {r["word"]: i for i, r in enumerate(sorted(vocab, key=lambda r: r["word"]))}
-    idf = np.zeros(len(index))
-    for r in vocab:
-        idf[index[r["word"]]] = np.log((1 + n) / (1 + r["a"] + r["b"])) + 1
-    got: dict[int, tuple[int, dict[int, int]]] = {}
-    if index:
-        for r in terms.join(F.broadcast(chosen.select("word")), "word").groupBy("doc_id", "y").agg(F.collect_list(F.struct("word", "tf")).alias("v")).collect():
-            got[r["doc_id"]] = (r["y"], {index[x["word"]]: x["tf"] for x in r["v"]})
-    # Examples with the same label and strongest word stand together, so that block maxima are tight.
-    def lead(item: tuple[int, tuple[int, dict[int, int]]]) -> tuple:
-        y, v = item[1]
-        return y, max(v, key=lambda t: ((1 + np.log(v[t])) * idf[t], t)), item[0]
-
-    examples = sorted(got.items(), key=lead)
-    width = -(-max(1, len(examples)) // block) * block
-    postings = np.zeros((len(index), width))
-    labels_, weights = np.zeros(width), np.zeros(width)
+            for i, y, x in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+                _, h, tf, _, _ = term_counts([x])
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([y], pa.int32()), pa.array([h.astype("<u8").tobytes()], pa.binary()), pa.array([tf.astype("<i4").tobytes()], pa.binary())], ["doc_id", "y", "words", "tf"])
+
+    sample = sorted(rows.mapInArrow(split, "doc_id long, y int, words binary, tf binary").collect(), key=lambda r: r["doc_id"])
+    words = [np.frombuffer(r["words"], dtype="<u8") for r in sample]
+    y = np.array([r["y"] for r in sample], dtype=np.int64)
+    m1, m0 = int(y.sum()), int((1 - y).sum())
     by_class = {1: n1 / max(1, m1), 0: n0 / max(1, m0)}
-    for j, (_, (y, v)) in enumerate(examples):
-        t = np.array(sorted(v))
-        x = (1 + np.log([v[i] for i in t.tolist()])) * idf[t]
-        postings[t, j] = x / np.sqrt(x @ x)
-        labels_[j], weights[j] = y, by_class[y]
-    weights[len(examples) :] = max(1e-9, min(by_class.values()))
-    empty1 = m1 - sum(y for y, _ in got.values())
-    empty0 = m0 - sum(1 - y for y, _ in got.values())
-    prior = (empty1 * by_class[1] + 0.5 * n1 / max(1, n1 + n0)) / (empty1 * by_class[1] + empty0 * by_class[0] + 0.5)
-    return Model(index, idf, postings, postings.reshape(len(index), -1, block).max(axis=2) if index else np.zeros((0, width // block)), labels_, weights, [i for i, _ in examples], block, k, float(prior) if n else 0.0)
+    known, term = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *words]), return_inverse=True)
+    own = np.repeat(np.arange(len(sample)), [len(w) for w in words]).astype(np.int64)
+    df, n_docs = _document_frequencies(text, known)
+    a, n = np.bincount(term, weights=y[own], minlength=len(known)), max(1, m1 + m0)
+    both = np.bincount(term, minlength=len(known)).astype(float)
+    chi2 = n * (a * (m0 - (both - a)) - (both - a) * (m1 - a)) ** 2 / np.maximum(both * (n - both) * m1 * m0, 1.0)
+    gain = (np.log((1 + n_docs) / (1 + df)) + 1) * chi2
+    tf = np.frombuffer(b"".join(r["tf"] for r in sample), dtype="<i4")
+    weight = (1 + np.log(np.maximum(tf, 1))) * gain[term]
+    norm = np.sqrt(np.bincount(own, weights=weight**2, minlength=len(sample)))
+    weight = weight / np.where(norm > 0, norm, 1)[own]
+    # Examples with the same label and weightiest word stand together, so that block maxima are tight.
+    heavy = np.zeros(len(sample), dtype=np.int64)
+    by_weight = np.lexsort((weight, own))
+    last = np.flatnonzero(np.diff(own[by_weight], append=-1)) if len(own) else np.zeros(0, dtype=np.int64)
+    heavy[own[by_weight[last]]] = term[by_weight[last]]
+    stand = np.lexsort((np.arange(len(sample)), heavy, y))
+    place = np.empty(len(sample), dtype=np.int64)
+    place[stand] = np.arange(len(sample))
+    blocks = max(1, -(-len(sample) // block))
+    keep = weight > 0
+    term, weight, at = term[keep], weight[keep], place[own[keep]]
+    order_ = np.lexsort((at, term))
+    term, weight, at = term[order_], weight[order_].astype(np.float32), at[order_]
+    row = np.concatenate(([True], (term[1:] != term[:-1]) | (at[1:] // block != at[:-1] // block)))[: len(term)]
+    start = np.flatnonzero(row)
+    width = blocks * block
+    labels_, votes = np.zeros(width), np.full(width, 1e-9)
+    labels_[: len(sample)] = y[stand]
+    votes[: len(sample)] = np.where(y[stand] == 1, by_class[1], by_class[0])
+    bare = norm == 0
+    bare1, bare0 = float((bare & (y == 1)).sum()), float((bare & (y == 0)).sum())
+    prior = (bare1 * by_class[1] + 0.5 * n1 / max(1, n1 + n0)) / (bare1 * by_class[1] + bare0 * by_class[0] + 0.5)
+    return Model(
+        known, gain, np.searchsorted(term[start], np.arange(len(known) + 1)), at[start] // block, np.nextafter(np.maximum.reduceat(weight, start), np.float32(2)) if len(start) else weight,
+        np.concatenate((start, [len(term)])), (at % block).astype(np.int32), weight, labels_, votes, np.array([sample[i]["doc_id"] for i in stand.tolist()], dtype=np.int64), blocks, block, k, float(prior) if n1 + n0 else 0.0,
+    )
+
+
+def _document_frequencies(docs: DataFrame, known: np.ndarray) -> tuple[np.ndarray, int]:
+    """In how many of docs (doc_id, text) each of the known words is, and the number of docs; partitions send one sum a word."""
+    shared = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, n = shared.value, 0
+        df = np.zeros(len(words), dtype=np.int64)
+        for keys, texts in text_batches(batches, 1 << 20):
+            df += np.bincount(term_counts(texts, words)[1], minlength=len(words))
+            n += len(keys)
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1).astype(np.int32)), pa.array(np.append(df[at], n))], ["term", "n"])
+
+    rows = docs.mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(len(known) + 1)
+    out[rows["term"].to_numpy()] = rows["n"].to_numpy()  # the last place: -1, the number of docs
+    return out[:-1], int(out[-1])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """Score (0 to 1), nearest examples and shared words of each text.
 
-    Null and empty texts, and texts without a known word, get the share of toxic ones among labelled texts of that kind. Repeated rows get the same score, a null id stays null, an empty table gives an empty result; without labels the score is 0. Other columns, labels and ids are no inputs.
-    The model goes to the executors as one broadcast of bounded size; nothing is shuffled.
+    Null and empty texts, and texts without a known word, get the share of toxic ones among labelled texts of that kind. Words are lower-cased runs of ASCII letters, digits, underscores and all characters beyond ASCII, of any length. Repeated rows get the same score, equal cosines count by the examples' order, a null id stays null, an empty table gives an empty result; without labels the score is 0. Other columns, labels and ids are no inputs.
+    The model goes to the executors as one broadcast of bounded size; nothing is shuffled. Texts are taken whole, in batches of about a megabyte; memory follows the longest text.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for keys, texts in text_batches(batches):
-            out = [m.score(t) for t in texts]
-            cols = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.float64(), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.string())), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), *cols], ["doc_id", "score", "neighbours", "similarities", "evidence"])
+        for keys, texts in text_batches(batches, 1 << 20):
+            value, at, s, terms = m.scores(texts)
+            few = [x[x >= 0] for x in at[:, :3]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.int64()), pa.array(value), pa.array([m.ids[x].tolist() for x in few], pa.list_(pa.int64())), pa.array([x[: len(e)].tolist() for x, e in zip(s, few, strict=True)], pa.list_(pa.float64())), pa.array([m.evidence(i, at, terms) for i in range(len(keys))], pa.list_(pa.string()))],
+                ["doc_id", "score", "neighbours", "similarities", "evidence"],
+            )
 
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, SCHEMA)
 
 
-def drop_toxic(docs: DataFrame, model: Model, threshold: float | None = None) -> DataFrame:
-    """The rows of docs, all columns, whose text scores under threshold; order and repeated rows stay."""
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, all columns, whose text scores under threshold.
+
+    Rows are judged one by one by their text alone (null: empty): ids, repeated rows, order and other columns, whatever their names, don't matter; an empty table gives an empty result.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at, limit = docs.columns.index("text"), THRESHOLD if threshold is None else threshold
+    at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in batches:
-            keep = [m.score(t or "")[0] < limit for t in b.column(at).to_pylist()]
-            yield b.filter(pa.array(keep, pa.bool_()))
+            lo = 0
+            for keys, texts in text_batches(iter([pa.RecordBatch.from_arrays([pa.nulls(b.num_rows), b.column(at)], ["i", "t"])]), 1 << 20):
+                yield b.slice(lo, len(keys)).filter(pa.array(m.scores(texts)[0] < threshold))
+                lo += len(keys)
 
     return docs.mapInArrow(run, docs.schema)
-
-
-#: Scores from here on count as toxic.
-THRESHOLD = 0.3

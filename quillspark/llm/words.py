@@ -45,17 +45,22 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _TABLE[0], _TABLE[1]
 
 
-def hash_words(texts: list[str], keep_case: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+#: Bytes that end a word: the spaces of the contracts, or all ASCII but letters, digits and the underscore.
+_SPACES = np.isin(np.arange(256), [32, *range(9, 14)])
+_SIGNS = np.array([b < 128 and not (chr(b).isalnum() or chr(b) == "_") for b in range(256)])
+
+
+def hash_words(texts: list[str], keep_case: bool = False, letters_only: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, words before each text and in all, first byte and end of each word in buf, buf).
 
-    buf holds the texts' UTF-8 bytes, each followed by one newline.
+    buf holds the texts' UTF-8 bytes, each followed by one newline. With letters_only, all ASCII bytes but letters, digits and underscores end words too; bytes of other characters are part of words.
     """
     raw = ("\n".join(texts) + "\n").encode("utf-8", "surrogatepass")
     buf = np.frombuffer(raw, dtype=np.uint8)
     if not keep_case:
         upper = (buf >= 65) & (buf <= 90)
         buf = buf + (upper.view(np.uint8) << 5)
-    space = (buf == 32) | ((buf >= 9) & (buf <= 13))
+    space = (_SIGNS if letters_only else _SPACES)[buf]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if len(space) and not space[0]:
         edge = np.concatenate(([0], edge))
