@@ -6,6 +6,7 @@ import base64
 import json
 from collections.abc import Callable
 from functools import lru_cache
+from itertools import chain
 from operator import itemgetter
 
 import numpy as np
@@ -27,11 +28,32 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: White space of the split pattern: the Unicode property, spelled out.
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+class _Known(dict):
+    """Ids by piece, worked out when first asked for; emptied when full."""
+
+    LIMIT = 500_000
+
+    def __init__(self, encode: Callable[[str], tuple[int, ...]]):
+        self.encode = encode
+
+    def __missing__(self, piece: str) -> tuple[int, ...]:
+        ids = self.encode(piece)
+        if len(self) >= self.LIMIT:
+            self.clear()
+        if len(piece) <= 64:
+            self[piece] = ids
+        return ids
+
+
 class ByteBpe:
-    """Encoder of one tokenizer file; merges of a single piece are tiktoken's, long pieces go through the tree."""
+    """Encoder of one tokenizer file. Texts are halved down to leaves, which are encoded on their own, and the halves are joined; long pieces within them likewise."""
 
-    #: Texts above so many characters are cut into leaves.
-    LEAF = 16_384
+    #: Characters of a leaf of a text, bytes of a leaf of one piece.
+    LEAF, PIECE_LEAF = 512, 64
 
     def __init__(self, path: str):
         import regex
@@ -44,8 +66,11 @@ class ByteBpe:
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         ranks = {bytes(map(u2b.__getitem__, tok)): i for tok, i in vocab.items() if tok not in self.special}
         self._enc = tiktoken.Encoding("quillspark", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
-        self.pattern = regex.compile(PATTERN)
-        self.safe = regex.compile(r"(?<=\S) (?=\S)")
+        self.pattern = regex.compile(PATTERN.replace(r"[^\s", rf"[^{_SPACE}").replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]"))
+        self._byte_id = [vocab[c] for c, _ in sorted(u2b.items(), key=lambda x: x[1])]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
+        #: (rank, id of the merged token) by pair of ids.
+        self._merges = {(vocab[x], vocab[y]): (rank, vocab[x + y]) for rank, (x, y) in enumerate(merges)}
         size = max([*ranks.values(), *self.special.values()]) + 1
         self.bytes_of: list[bytes] = [b""] * size
         for b, i in ranks.items():
@@ -55,58 +80,113 @@ class ByteBpe:
         self.text_of = [str(i) for i in range(size)]
         self.leads_space = np.array([b[:1] == b" " for b in self.bytes_of])
         self._special_pattern = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        self._known = _Known(lambda p: tuple(self.piece(p.encode("utf-8", "replace"))))
+
+    def merge(self, data: bytes) -> list[int]:
+        """Ids of a short piece: the pair of least rank is merged, the leftmost first, until none is left."""
+        ids = list(map(self._byte_id.__getitem__, data))
+        find, none = self._merges.get, (len(self._merges), -1)
+        pairs = [find(p, none) for p in zip(ids, ids[1:], strict=False)]
+        while len(pairs) > 4 * self.PIECE_LEAF:  # a large window: all places of the least pair at once
+            best = min(pairs)
+            if best is none:
+                return ids
+            out, i = [], 0
+            while i < len(ids):
+                if i < len(pairs) and pairs[i] == best:
+                    out.append(best[1])
+                    i += 2
+                else:
+                    out.append(ids[i])
+                    i += 1
+            ids = out
+            pairs = [find(p, none) for p in zip(ids, ids[1:], strict=False)]
+        while pairs:
+            best = min(pairs)
+            if best is none:
+                break
+            i = pairs.index(best)
+            ids[i : i + 2] = best[1:]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = find((ids[i], ids[i + 1]), none)
+            if i:
+                pairs[i - 1] = find((ids[i - 1], ids[i]), none)
+        return ids
 
     def piece(self, data: bytes, leaf: int | None = None) -> list[int]:
-        """Ids of one unsplit piece by tree concatenation: halves encoded on their own, then joined."""
-        leaf = leaf or self.LEAF
-        one = self._enc._core_bpe.encode_single_piece
-        parts = [data]
-        while max(map(len, parts)) > leaf:
-            parts = [h for p in parts for h in ((p[: len(p) // 2], p[len(p) // 2 :]) if len(p) > 1 else (p,))]
-        level = [one(p) for p in parts if p]
-        while len(level) > 1:
-            level = [self.join(level[i], level[i + 1], one) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-        return level[0] if level else []
-
-    def join(self, left: list[int], right: list[int], one: Callable[[bytes], list[int]]) -> list[int]:
-        """The encoding of both texts in one: a window around the join grows until its first token is the left side's and its last the right side's.
+        """Ids of one piece by tree concatenation: halves encoded on their own, then joined."""
+        leaf = leaf or self.PIECE_LEAF
+        if len(data) <= leaf:
+            return self.merge(data)
+        half = len(data) // 2
+        return self.join_ids(self.piece(data[:half], leaf), self.piece(data[half:], leaf))
+
+    def join_ids(self, left: list[int], right: list[int]) -> list[int]:
+        """The encoding of two parts of one piece in one: a window around the join grows until its first token is the left side's and its last the right side's.
 
         An encoding is the right one if every two neighbours are what the merges give for their own text; with an agreed token on each side all pairs come from valid encodings.
         """
         w = 4
         while True:
             a, b = left[-w:], right[:w]
-            ids = one(b"".join(map(self.bytes_of.__getitem__, a + b)))
+            ids = self.merge(b"".join(map(self.bytes_of.__getitem__, a + b)))
             whole_left, whole_right = len(a) == len(left), len(b) == len(right)
             if len(ids) >= 2 and (whole_left or ids[0] == a[0]) and (whole_right or ids[-1] == b[-1]):
-                return left[: len(left) - len(a)] + list(ids) + right[len(b) :]
+                return left[: len(left) - len(a)] + ids + right[len(b) :]
             if whole_left and whole_right:
-                return list(ids)
+                return ids
+            w *= 2
+
+    def join(self, left: tuple[list[str], list], right: tuple[list[str], list]) -> tuple[list[str], list]:
+        """The encoding of two neighbouring texts in one, from theirs, as (pieces, ids of each); left is used up.
+
+        A window around the join is encoded anew and grows until both sides agree with it: on the left it starts where a piece of the left side does, two characters at least before the join, as no piece looks further ahead; on the right some piece of the window ends where one of the right side does, two characters before the window's end at least.
+        """
+        (pieces, ids), (more, more_ids) = left, right
+        w = 2
+        while True:
+            a, b = pieces[-w:], more[:w]
+            at = sum(map(len, a))
+            if at >= 2 or len(a) == len(pieces):
+                window = "".join(a + b)
+                got = self.pattern.findall(window)
+                take, skip = len(got), len(b)
+                if len(b) < len(more):
+                    take, end, skip, start = 0, 0, 0, at
+                    while end != start or end < at:
+                        if end < start or end < at:
+                            if take == len(got):
+                                break
+                            end += len(got[take])
+                            take += 1
+                        else:
+                            if skip == len(b):
+                                break
+                            start += len(b[skip])
+                            skip += 1
+                    if end != start or len(window) - end < 2:
+                        w *= 2
+                        continue
+                got = got[:take]
+                pieces[len(pieces) - len(a) :] = got
+                ids[len(ids) - len(a) :] = map(self._known.__getitem__, got)
+                pieces += more[skip:]
+                ids += more_ids[skip:]
+                return pieces, ids
             w *= 2
 
+    def halves(self, text: str) -> tuple[list[str], list]:
+        """(pieces, ids of each) of a text: of a leaf by the merges, of a longer one from its halves."""
+        if len(text) <= self.LEAF:
+            pieces = self.pattern.findall(text)
+            return pieces, list(map(self._known.__getitem__, pieces))
+        half = len(text) // 2
+        return self.join(self.halves(text[:half]), self.halves(text[half:]))
+
     def ordinary(self, text: str) -> list[int]:
         """Ids of a text without special strings."""
-        if len(text) <= self.LEAF:
-            return self._enc.encode_ordinary(text)
-        out: list[int] = []
-        lo = 0
-        while len(text) - lo > self.LEAF:
-            cut = text.rfind(" ", lo + 1, lo + self.LEAF)
-            while cut > lo and not (text[cut - 1 : cut].strip() and text[cut + 1 : cut + 2].strip() and text[cut - 1] > " " and text[cut + 1] > " "):
-                cut = text.rfind(" ", lo + 1, cut)
-            if cut > lo:
-                out += self._enc.encode_ordinary(text[lo:cut])
-                lo = cut
-                continue
-            after = self.safe.search(text, lo + self.LEAF - 1)
-            hi = after.start() if after else len(text)
-            for m in self.pattern.finditer(text[lo:hi]):
-                data = m[0].encode("utf-8", "replace")
-                out += self.piece(data)
-            lo = hi
-        if lo < len(text):
-            out += self._enc.encode_ordinary(text[lo:])
-        return out
+        return list(chain.from_iterable(self.halves(text)[1]))
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text; special strings inside it become their ids, as the library's default does."""
