@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,11 +51,45 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet under the shared checkpoint folder and read again."""
+    """df written as Parquet under the shared checkpoint folder and read again; the shuffles that led to it may go."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/quillspark/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    del df
+    # Spark removes shuffle files when the driver's JVM has collected what refers to them; else they'd pile up.
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    out = spark.read.schema(spark.read.parquet(path).schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that stored() wrote, once nothing reads them any more."""
+    for df in tables:
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Keys that join_on_key broadcasts at most; no other key has over 1/HOT_KEYS of the rows.
+HOT_KEYS = 1000
+
+
+def join_on_key(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """left joined to right, which has one row a key (columns on, not null), and may have any share of its rows under one key.
+
+    Keys with over 1/HOT_KEYS of left's rows are at most HOT_KEYS, so their rows of right are broadcast; all others are shuffled. how: inner or left_semi.
+    """
+    n = left.count()
+    many = left.groupBy(*on).count().where(F.col("count") > n / HOT_KEYS).select(*on)
+    hot = [tuple(r) for r in many.collect()]
+    if not hot:
+        return left.join(right.hint("merge"), on, how)
+    keys = left.sparkSession.createDataFrame(hot, many.schema)
+    few = right.join(F.broadcast(keys), on, "left_semi")
+    rest = left.join(F.broadcast(keys), on, "left_anti").join(right.hint("merge"), on, how)
+    return rest.unionByName(left.join(F.broadcast(few), on, how))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

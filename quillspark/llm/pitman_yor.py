@@ -1,6 +1,6 @@
 """Language-model scores by a hierarchical Pitman-Yor bigram model.
 
-Every word is a context restaurant whose dishes are the words that followed it; all share one parent restaurant of single words, whose base is uniform. Seats are sampled by blocked Gibbs sweeps: given the tables of each context and the parent's predictive probabilities, all customers of one dish in one restaurant are seated anew, one after the other; the new tables are the parent's customers. Predictive probabilities are averaged over the samples kept.
+Every word is a context restaurant whose dishes are the words that followed it; all share one parent restaurant of single words, whose base is uniform. Seats are sampled by blocked Gibbs sweeps, each from the state the one before left: given the tables of each context and the parent's predictive probabilities, all customers of one dish in one restaurant are seated anew, one after the other; the new tables are the parent's customers. Predictive probabilities are averaged over the samples kept.
 
 Text stays in blocks of bounded size. A block sends its distinct words and word pairs, as sorted hashes, to buckets, and gets the totals back in the same order; so what is gathered grows with the corpus, no table of all words is in one place, and a word or pair with any share of the rows is one entry a block.
 """
@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, held_out, shuffle_width, stored
+from .common import checkpoint, discard, held_out, shuffle_width, stored
 from .words import hash_words, mix
 
 #: Characters of text in a block, and blocks whose entries one bucket holds.
@@ -106,7 +106,12 @@ class Block:
         # The token before a text's first is the end of the text before.
         context = np.concatenate(([end], self.tok[:-1])).astype(np.int64)
         each = mix(self.words[context] * np.uint64(0xD6E8FEB86659FD93) + self.words[self.tok]) >> np.uint64(16)
-        self.keys, at, self.pair_of = np.unique(each, return_index=True, return_inverse=True)
+        order = np.argsort(each)
+        new = np.concatenate(([True], each[order[1:]] != each[order[:-1]]))
+        at = order[new]
+        self.keys = each[at]
+        self.pair_of = np.empty(len(each), dtype=np.int64)
+        self.pair_of[order] = np.cumsum(new) - 1
         self.u, self.w = context[at], self.tok[at].astype(np.int64)
         self.pair_train = np.bincount(self.pair_of[self.train], minlength=len(self.keys))
         self.word_train = np.bincount(self.tok[self.train], minlength=len(self.words))
@@ -129,30 +134,58 @@ def _messages(kind: int, block: int, keys: np.ndarray, bits: int, buckets: int,
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [c.split()[0] for c in MESSAGE.split(", ")])
 
 
+def _draw(seed: np.ndarray, step: int, sample: int) -> np.ndarray:
+    """Uniform numbers in (0, 1) from the seeds, so that every holder of a dish draws alike."""
+    salt = (0x9E3779B97F4A7C15 * (2 * step + 1) + 0xC2B2AE3D27D4EB4F * sample) & ((1 << 64) - 1)
+    return ((mix(seed + np.uint64(salt)) >> np.uint64(11)).astype(np.float64) + 0.5) * (1.0 / (1 << 53))
+
+
+#: Customers seated one by one in any case; those of a dish from which on likely new tables are drawn in runs, and the odds beyond which they count as likely.
+ONE_BY_ONE, RUNS, FEW = 24, 128, 64
+
+
 def tables(c: np.ndarray, alpha: np.ndarray, d: float, seed: np.ndarray, sample: int) -> np.ndarray:
-    """Tables of dishes with c customers seated one by one: a new table with odds alpha against customers - d * tables at the old ones.
+    """Tables of dishes with c customers seated one after the other: a new table with odds alpha against customers - d * tables at the old ones.
 
-    Draws follow from the seeds, so every holder of a dish seats it alike. Beyond 24 customers they come in groups of equal odds, each an eighth of those before.
+    Later customers aren't visited one by one. Where new tables are rare, the number of customers up to the next one is drawn by inverting the product of their odds (a ratio of gamma functions, to a relative error under 1e-3); where they are likely and customers many, the new tables of a run of an eighth of the customers so far are a binomial draw by its normal limit.
     """
     t = (c > 0).astype(np.int64)
     at = np.flatnonzero(c > 1)
-    some, weight, base, have = c[at], alpha[at], seed[at], t[at]
-    i, group = 1, 0
+    some, weight, base, have = c[at], alpha[at].astype(np.float64), seed[at], t[at]
+    for i in range(1, ONE_BY_ONE):
+        if not len(at):
+            return t
+        have += _draw(base, i, sample) * (weight + (i - d * have)) < weight
+        go = some > i + 1
+        if not go.all():
+            t[at[~go]] = have[~go]
+            at, some, weight, base, have = at[go], some[go], weight[go], base[go], have[go]
+    i, step = np.full(len(at), ONE_BY_ONE, dtype=np.int64), ONE_BY_ONE
     while len(at):
-        step = max(1, i >> 3) if i >= 24 else 1
-        p = weight / (weight + np.maximum(i - d * have, 1e-9))
-        u = (mix(base + np.uint64((0x9E3779B97F4A7C15 * (2 * group + 1) + 0xC2B2AE3D27D4EB4F * sample) & ((1 << 64) - 1))) >> np.uint64(11)) * (1.0 / (1 << 53))
-        if step == 1:
-            have += u < p
-        else:
-            n = np.minimum(step, some - i)
-            have += np.minimum(n, np.floor(n * p + u).astype(np.int64))
-        i += step
-        group += 1
+        old = i - d * have
+        u = _draw(base, 2 * step, sample)
+        rare = weight <= np.minimum(old / 8, FEW)
+        run = ~rare & (old >= RUNS)
+        more, new = np.ones(len(at), dtype=np.int64), (u * (weight + old) < weight).astype(np.int64)
+        if rare.any():
+            w, x = weight[rare], old[rare] + (weight[rare] - 1) / 2
+            with np.errstate(over="ignore"):
+                skip = np.minimum(x * np.expm1(-np.log(u[rare]) / w), 1e15).astype(np.int64)
+            more[rare] = skip + 1
+            new[rare] = i[rare] + skip < some[rare]
+        if run.any():
+            n = np.minimum(i[run] // 8, some[run] - i[run])
+            w = weight[run]
+            p = w / (w + old[run])
+            p = w / (w + old[run] + n / 2 * (1 - d * p))  # half-way through the run
+            z = np.sqrt(-2 * np.log(u[run])) * np.cos(2 * np.pi * _draw(base[run], 2 * step + 1, sample))
+            more[run] = n
+            new[run] = np.clip(np.rint(n * p + z * np.sqrt(n * p * (1 - p))), 0, n)
+        have, i, step = have + new, i + more, step + 1
         go = some > i
         if not go.all():
             t[at[~go]] = have[~go]
-            at, some, weight, base, have = at[go], some[go], weight[go], base[go], have[go]
+            at, some, weight, base, have, i = at[go], some[go], weight[go], base[go], have[go], i[go]
     return t
 
 
@@ -239,6 +272,7 @@ def score(docs: DataFrame, theta: float = THETA, samples: int = SAMPLES, burn_in
         blocks = checkpoint(raw.repartition(max(shuffle_width(spark), -(-n_blocks // 4)), "block"))
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    discard(raw)
     buckets = 1 << max(0, (max(1, n_blocks) // BLOCKS_A_BUCKET).bit_length())
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,15 +313,12 @@ def score(docs: DataFrame, theta: float = THETA, samples: int = SAMPLES, burn_in
 
     known: dict[int, np.ndarray] = {}
 
-    def sweep(replies: DataFrame, before: int | None, kinds: list[int]) -> DataFrame:
+    def sweep(replies: DataFrame, before: int | None, kind: int) -> DataFrame:
         def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
             x, c, c2, mine = load(left, right)
             tab, p = state0(x, c) if before is None else state(right, before, known[before])
-            out = []
-            for kind in kinds:
-                t = seats(x, c2, tab, p, kind) * mine
-                out.append(_messages(kind, key[0].as_py(), x.words, 64, buckets, np.bincount(x.u, weights=t, minlength=len(x.words)), np.bincount(x.w, weights=t, minlength=len(x.words))))
-            return pa.Table.from_batches(out)
+            t = seats(x, c2, tab, p, kind) * mine
+            return pa.Table.from_batches([_messages(kind, key[0].as_py(), x.words, 64, buckets, np.bincount(x.u, weights=t, minlength=len(x.words)), np.bincount(x.w, weights=t, minlength=len(x.words)))])
 
         msgs = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, MESSAGE)
         base = (theta + discount0 * v) * uniform
@@ -295,24 +326,31 @@ def score(docs: DataFrame, theta: float = THETA, samples: int = SAMPLES, burn_in
         known.update(_totals(out))
         return out
 
-    replies = counted.where("block >= 0")
-    before, kind = None, PAIRS_KIND
-    for _ in range(burn_in):
-        kind += 1
-        got = sweep(replies, before, [kind]).where("block >= 0")
-        replies, before = counted.where("block >= 0").unionByName(got), kind
-    kept = list(range(kind + 1, kind + 1 + samples))
-    replies = replies.unionByName(sweep(replies, before, kept).where("block >= 0"))
+    counts = counted.where("block >= 0")
+    first_kept = PAIRS_KIND + 1 + burn_in
+    # The last sweep before the first sample, then the samples: the states that the scores come from.
+    needed: list[DataFrame] = []
+    last, state_kind = None, None
+    for kind in range(PAIRS_KIND + 1, first_kept + samples):
+        got = sweep(counts if last is None else counts.unionByName(last.where("block >= 0")), state_kind, kind)
+        if last is not None and kind < first_kept:
+            discard(last)
+        if kind >= first_kept - 1:
+            needed.append(got)
+        last, state_kind = got, kind
+    replies = counts
+    for got in needed:
+        replies = replies.unionByName(got.where("block >= 0"))
 
     def finish(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         x, c, c2, _ = load(left, right)
-        tab, p = state0(x, c) if before is None else state(right, before, known[before])
+        tab, p = state(right, first_kept - 1, known[first_kept - 1]) if burn_in else state0(x, c)
         prob = np.zeros(len(c2))
-        for k in kept:
+        for k in range(first_kept, first_kept + samples):
             t = seats(x, c2, tab, p, k)
-            own, q = state(right, k, known[k])
-            prob += (np.maximum(0, c2 - discount * t) + (theta + discount * own[x.u]) * q[x.w]) / (theta + c[x.u])
-        logp = np.log10(prob / len(kept))[x.pair_of]
+            tab, p = state(right, k, known[k])
+            prob += (np.maximum(0, c2 - discount * t) + (theta + discount * tab[x.u]) * p[x.w]) / (theta + c[x.u])
+        logp = np.log10(prob / samples)[x.pair_of]
         base = np.log10((c + 1) / (n + v + 1))[x.tok]
         first = np.concatenate(([0], np.cumsum(x.sizes)[:-1]))
         total_, base_, hits = np.add.reduceat(logp, first), np.add.reduceat(base, first), np.add.reduceat((c > 0)[x.tok].astype(np.int64), first)

@@ -12,6 +12,7 @@ import pytest
 import corpus_pipeline
 from quillspark.llm import decontamination, pitman_yor, queries, toxicity
 from quillspark.llm.common import tune
+from quillspark.llm.words import hash_words, mix
 
 SF = "/root/testdata/sf0.001"
 
@@ -52,6 +53,78 @@ def test_tables_bounds():
     assert abs(few.mean() - sum(2 / (2 + i) for i in range(10))) < 0.1
 
 
+def dictionary_model(texts, held, theta, samples, burn_in):
+    """Log10 scores by dictionaries: restaurants by context, seated dish by dish in the same order of sweeps."""
+    end = pitman_yor.END
+    streams = [[*hash_words([t])[0].tolist(), int(end)] for t in texts]
+    pair = lambda u, w: int(mix(np.array([u], dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(w))[0] >> np.uint64(16))
+    count, two = Counter(), Counter()
+    for s, h in zip(streams, held, strict=True):
+        if not h:
+            count.update(s)
+            two.update(zip([int(end), *s[:-1]], s, strict=True))
+    n, v = sum(count.values()), len(count)
+    ones, pairs = Counter(count.values()), Counter(two.values())
+    d = min(0.95, max(0.05, pairs[1] / max(1.0, pairs[1] + 2 * pairs[2])))
+    d0 = min(0.95, max(0.05, ones[1] / max(1.0, ones[1] + 2 * ones[2])))
+    uniform = 1 / (v + 1)
+    seat = lambda c, alpha, dd, key, kind: int(pitman_yor.tables(np.array([c]), np.array([alpha]), dd, np.array([key], dtype=np.uint64), kind)[0])
+    own = {u: max(1, count[u]) ** 0.9 for s in streams for u in s}
+    prob = lambda w: (count[w] + 0.5) / (n + 0.5 * (v + 1))
+    states = []
+    for kind in range(2, 2 + burn_in + samples):
+        t = {(u, w): seat(c, (theta + d * own.get(u, 0)) * prob(w), d, pair(u, w), kind) for (u, w), c in two.items()}
+        own, dish = Counter(), Counter()
+        for (u, w), k in t.items():
+            own[u] += k
+            dish[w] += k
+        top = {w: seat(k, (theta + d0 * v) * uniform, d0, w, kind) for w, k in dish.items()}
+        total, tops = sum(dish.values()), sum(top.values())
+        prob = lambda w, dish=dish, top=top, total=total, tops=tops: (dish[w] - d0 * top.get(w, 0) + (theta + d0 * tops) * uniform) / (theta + total)
+        if kind >= 2 + burn_in:
+            states.append((t, own, prob))
+
+    def predict(u, w):
+        return sum((max(0, two[u, w] - d * t.get((u, w), 0)) + (theta + d * own[u]) * p(w)) / (theta + count[u]) for t, own, p in states) / samples
+
+    scores = [sum(math.log10(predict(u, w)) for u, w in zip([int(end), *s[:-1]], s, strict=True)) for s in streams]
+    return scores, predict, list(count)
+
+
+def test_pitman_yor_against_dictionaries(spark):
+    tune(spark)
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(r.choices(words, weights=[1 / (i + 1) for i in range(40)], k=r.choice([0, 1, 30, 200]))) for _ in range(60)] + ["unseen words here", "the " * 3000]
+    held = [i % 7 == 2 for i in range(len(texts))]
+    df = spark.createDataFrame(list(zip(range(len(texts)), texts, held, ["x"] * len(texts), strict=True)), "doc_id long, text string, held_out boolean, block string").repartition(3)
+    want, predict, vocab = dictionary_model(texts, held, pitman_yor.THETA, pitman_yor.SAMPLES, pitman_yor.BURN_IN)
+    for u in (vocab[0], vocab[5], int(pitman_yor.END)):
+        assert math.isclose(sum(predict(u, w) for w in vocab) + predict(u, 12345), 1, rel_tol=1e-9)
+    got = {x["doc_id"]: x for x in pitman_yor.score(df).collect()}
+    assert len(got) == len(texts)
+    for i, w in enumerate(want):
+        assert math.isclose(got[i]["score"], w, rel_tol=1e-9)
+
+
+def seated(c, alpha, d, n, r):
+    out = []
+    for _ in range(n):
+        t, u = 1, r.random(c)
+        for i in range(1, c):
+            t += u[i] * (alpha + i - d * t) < alpha
+        out.append(t)
+    return np.array(out)
+
+
+@pytest.mark.parametrize("c, alpha, d", [(10, 2.0, 0.5), (200, 0.3, 0.6), (200, 5.0, 0.6), (2000, 1.5, 0.7), (2000, 90.0, 0.7), (2000, 400.0, 0.7)])
+def test_tables_follow_the_restaurant(c, alpha, d):
+    """Mean and spread of the tables are those of customers seated one by one."""
+    r = np.random.default_rng(c)
+    a, b = seated(c, alpha, d, 300, r), pitman_yor.tables(np.full(3000, c), np.full(3000, alpha), d, r.integers(0, 1 << 63, 3000, dtype=np.uint64), 3)
+    assert abs(a.mean() - b.mean()) < 4 * a.std() / math.sqrt(300) + 0.02 and 0.8 < b.std() / a.std() < 1.25
+
+
 def test_block_arrays():
     a = np.array([1, 5, 900, 1 << 60], dtype=np.uint64)
     assert np.array_equal(pitman_yor.expand_keys(pitman_yor.squeeze_keys(a)), a)
