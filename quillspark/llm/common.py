@@ -76,13 +76,14 @@ def discard(*tables: DataFrame) -> None:
 HOT_KEYS = 1000
 
 
-def join_on_key(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def join_on_key(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner", rows: str | None = None) -> DataFrame:
     """left joined to right, which has one row a key (columns on, not null), and may have any share of its rows under one key.
 
-    Keys with over 1/HOT_KEYS of left's rows are at most HOT_KEYS, so their rows of right are broadcast; all others are shuffled. how: inner or left_semi.
+    Keys with over 1/HOT_KEYS of left's rows are at most HOT_KEYS, so their rows of right are broadcast; all others are shuffled. how: inner or left_semi. rows: the column of right with left's rows of the key, if there is one.
     """
     n = left.count()
-    many = left.groupBy(*on).count().where(F.col("count") > n / HOT_KEYS).select(*on)
+    many = right.where(F.col(rows) > n / HOT_KEYS) if rows else left.groupBy(*on).count().where(F.col("count") > n / HOT_KEYS)
+    many = many.select(*on)
     hot = [tuple(r) for r in many.collect()]
     if not hot:
         return left.join(right.hint("merge"), on, how)
@@ -92,6 +93,14 @@ def join_on_key(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
     return rest.unionByName(left.join(F.broadcast(few), on, how))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name like name that df doesn't have yet, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     tune(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

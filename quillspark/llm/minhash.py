@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_batches
+from .common import discard, fresh, join_on_key, stored, text_batches
 from .components import connected_components
 from .words import hash_words, mix, shingle
 
@@ -18,7 +18,7 @@ SLOTS, ROWS = 128, 4
 #: Elements whose permutations are held at once.
 ELEMENTS = 32_768
 
-SCHEMA = "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>, sketch binary"
+SCHEMA = "doc_id long, th long, n_shingles long, key1 long, key2 long, bands array<long>, sketch binary"
 
 
 def _uniform(e: np.ndarray, step: int, salt: int) -> np.ndarray:
@@ -73,10 +73,11 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, size of the shingle set, 128 bits that stand for the set, band hashes and a byte of each slot."""
+    """doc_id, hash of the text, size of the shingle set, 128 bits that stand for the set, band hashes and a byte of each slot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, texts in text_batches(batches, 1 << 20):
+        for pairs, texts in text_batches(batches, 1 << 20):
+            keys, hashes = [x["doc_id"] for x in pairs], [x["th"] for x in pairs]
             sets = shingle_sets(texts, width)
             n = [len(s) for s in sets]
             k1, k2, bands, sketch = [], [], [], []
@@ -106,11 +107,12 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                 k1.append(int(m.sum(dtype=np.uint64).view(np.int64)))
                 k2.append(int(np.bitwise_xor.reduce(mix(m + np.uint64(77))).view(np.int64)) if len(s) else 0)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
-                ["doc_id", "n_shingles", "key1", "key2", "bands", "sketch"],
+                [pa.array(keys, pa.int64()), pa.array(hashes, pa.int64()), pa.array(n, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketch, pa.binary())],
+                ["doc_id", "th", "n_shingles", "key1", "key2", "bands", "sketch"],
             )
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text")).mapInArrow(run, SCHEMA)
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    return docs.select(F.struct(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("th")), text).mapInArrow(run, SCHEMA)
 
 
 def verify(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -195,50 +197,70 @@ def _forest(members: DataFrame, percent: int, block: int = 512) -> DataFrame:
     return m.select("bucket", "lo", "hi", "band", "id", "component", "part", "n", "sketch", "bands", "set").groupBy("bucket", "lo", "hi").applyInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """Groups of documents linked by 100 * intersection >= percent * union of their sets of width-word shingles.
-
-    Returns one row for each row of docs: doc_id, n_shingles, component_id (least doc_id reachable through links), kept (doc_id = component_id).
-    Equal sets are one class whose least id stands for it. In each band bucket every class is checked against the bucket's least class; only where such a check fails are classes of different components compared on their sets, in blocks of bounded size. So a group of copies costs a row each, not a row for each pair, and links between different texts hold up to the sketches' error (5e-8 a pair for the bands, 4e-5 for the threshold of the second comparison).
-    Null text or text without words is an empty set, linked with nothing. Rows with one doc_id share their component; rows with a null doc_id stand alone (component null, kept). An empty table gives an empty result; other columns are not looked at.
-    """
-    base = stored(signatures(docs, width), "minhash")
-    named = base.where("n_shingles > 0 and doc_id is not null")
-    classes = named.groupBy("key1", "key2", "n_shingles").agg(F.min("doc_id").alias("id"))
-    copies = named.select("doc_id", "key1", "key2", "n_shingles").join(classes, ["key1", "key2", "n_shingles"]).select(F.col("doc_id").alias("a"), F.col("id").alias("b")).where("a <> b")
-    one = named.join(classes.select("id"), F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
-    rows = one.select(F.col("doc_id").alias("id"), F.posexplode("bands").alias("band", "bucket"))
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """(doc_id, th, n_shingles, component_id, leader) of every row of docs; leader: the text's hash of the row that stands for the component, the least of the least id."""
+    base = stored(signatures(docs, width).withColumn("set", F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.xxhash64("key1", "key2", "n_shingles"))), "minhash")
+    named = base.where("set is not null")
+    # Equal sets are one class; one row stands for it.
+    classes = stored(named.groupBy("set").agg(F.min(F.struct("doc_id", "th")).alias("s"), F.count(F.lit(1)).alias("rows")).select("set", "s.*", "rows"), "minhash-classes")
+    one = stored(named.join(classes.select("set", "doc_id", "th").hint("merge"), ["set", "doc_id", "th"]).dropDuplicates(["set"]).withColumnRenamed("set", "id"), "minhash-one")
+    rows = one.select("id", F.posexplode("bands").alias("band", "bucket"))
     centres = rows.groupBy("bucket").agg(F.min("id").alias("centre"), F.count(F.lit(1)).alias("size")).where("size > 1")
     star = stored(rows.join(centres, "bucket").select("bucket", "band", "id", "centre", "size"), "minhash-buckets")
     pairs = star.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
     # Only texts that share a bucket are looked at again; they are fetched once.
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    texts = stored(texts.join(star.select("id").distinct().hint("merge"), "id", "left_semi"), "minhash-texts")
+    met = one.select("id", "doc_id", "th").join(star.select("id").distinct().hint("merge"), "id", "left_semi")
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+    texts = stored(texts.join(met.hint("merge"), ["doc_id", "th"]).select("id", "text").dropDuplicates(["id"]), "minhash-texts")
     sure = stored(verify(pairs, texts, width, percent), "minhash-links")
-    links = copies.unionByName(sure)
-    first = stored(connected_components(links), "minhash-components")
+    first = stored(connected_components(sure), "minhash-components")
 
     # Buckets in which some class is not in the component of the centre.
-    comp = first.select(F.col("id"), F.col("component"))
-    placed = star.join(comp, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    placed = star.join(first, "id", "left").withColumn("component", F.coalesce("component", "id"))
     split = placed.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("bucket")
     members = stored(placed.join(split, "bucket").select("bucket", "band", "id", "component", "size"), "minhash-members")
-    whole = one.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "sketch", "bands").join(_short_sets(texts, members.select("id").distinct(), width), "id")
+    whole = one.select("id", F.col("n_shingles").alias("n"), "sketch", "bands").join(_short_sets(texts, members.select("id").distinct(), width), "id")
     second = stored(_forest(members.join(whole, "id"), percent), "minhash-pairs")
     more = stored(verify(second, texts, width, percent), "minhash-links")
     if more.take(1):
-        first = stored(connected_components(links.unionByName(more)), "minhash-components")
-    out = base.join(first.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left")
-    group = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", group.alias("component_id"), F.coalesce(F.col("doc_id") == group, F.lit(True)).alias("kept"))
+        before, first = first, stored(connected_components(sure.unionByName(more)), "minhash-components")
+        discard(before)
+    discard(star, texts, members, second, one)
+    # The least row of each component, then of each class of it.
+    of = classes.join(first.withColumnRenamed("id", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+    of = stored(of, "minhash-placed")
+    least = of.groupBy("component").agg(F.min(F.struct("doc_id", "th")).alias("l"), F.count(F.lit(1)).alias("n"))
+    known = stored(join_on_key(of.select("set", "component", "rows"), least, ["component"], rows="n").select("set", "rows", F.col("l.doc_id").alias("component_id"), F.col("l.th").alias("leader")), "minhash-known")
+    discard(sure, more, first, classes, of)
+    few = base.select("doc_id", "th", "n_shingles", "set")
+    alone = few.where("set is null").select("doc_id", "th", "n_shingles", F.col("doc_id").alias("component_id"), F.col("th").alias("leader"))
+    return join_on_key(few.where("set is not null"), known, ["set"], rows="rows").select("doc_id", "th", "n_shingles", "component_id", "leader").unionByName(alone)
+
+
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """Groups of documents linked by 100 * intersection >= percent * union of their sets of width-word shingles.
+
+    Returns one row for each row of docs: doc_id, n_shingles, component_id (least doc_id reachable through links), kept (doc_id = component_id).
+    Equal sets are one class. In each band bucket every class is checked against the bucket's least class; only where such a check fails are classes of different components compared on their sets, in blocks of bounded size. So a group of copies costs a row each, not a row for each pair, and links between different texts hold up to the sketches' error (5e-8 a pair for the bands, 4e-5 for the threshold of the second comparison).
+    Null text or text without words is an empty set, linked with nothing. Rows are documents of their own, also where they share a doc_id; rows with a null doc_id stand alone (component null, kept). Very long texts are signed in parts; an empty table gives an empty result; other columns, whatever their names, are not looked at.
+    """
+    return _grouped(docs, width, percent).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, all columns, that stand for their group: the least doc_id, one row of it; rows with a null id stay."""
-    groups = near_duplicates(docs, width, percent)
-    gone = groups.where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(gone, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
-    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").take(1):
+    """The rows of docs, all columns, that stand for their group: of each group the row of the least doc_id, and of rows that share that id the one with the least hash of its text.
+
+    Rows with a null id and rows without words stay, all of them; of rows equal in id and text one stays, whatever their other columns. Columns may have any names; an empty table gives an empty result.
+    """
+    groups = stored(_grouped(docs, width, percent).where("doc_id is not null and n_shingles > 0").select("doc_id", "th", ((F.col("doc_id") == F.col("component_id")) & (F.col("th") == F.col("leader"))).alias("stays")), "minhash-rows")
+    i, h = fresh(docs, "gone_id"), fresh(docs, "gone_text")
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    gone = groups.where("not stays").select(F.col("doc_id").alias(i), F.col("th").alias(h)).distinct()
+    left = docs.join(gone.hint("merge"), (docs["doc_id"].cast("long") == F.col(i)) & (F.xxhash64(text) == F.col(h)), "left_anti")
+    twice = groups.where("stays").groupBy("doc_id", "th").count().where("count > 1")
+    if not twice.take(1):
         return left
-    named = left.where("doc_id is not null").dropDuplicates(["doc_id"])
-    return named.unionByName(left.where("doc_id is null"))
+    twice = twice.select(F.col("doc_id").alias(i), F.col("th").alias(h))
+    same = (left["doc_id"].cast("long") == F.col(i)) & (F.xxhash64(F.coalesce(left["text"].cast("string"), F.lit(""))) == F.col(h))
+    return left.join(twice, same, "left_anti").unionByName(left.join(twice, same, "left_semi").dropDuplicates(["doc_id", "text"]))

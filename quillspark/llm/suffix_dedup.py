@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, join_on_key, stored
 from .words import _powers, mix
 
 #: Bytes that decide a group; windows of length - ANCHOR + 1 starts have one minimizer.
@@ -278,15 +278,19 @@ def _split_spans(contents: DataFrame, length: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, length: int) -> DataFrame:
     """(doc_id, th, a, b): byte spans covered by strings of `length` bytes that start anywhere else too; spans of a document may overlap. docs: doc_id, th (hash of the text), text."""
     anchors = stored(_anchor_rows(docs, length), "anchors")
-    again = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    near = stored(anchors.join(again, "key"), "anchors-again")
+    again = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    near = stored(join_on_key(anchors, again, ["key"], rows="c").drop("c"), "anchors-again")
+    discard(anchors)
     distinct = near.groupBy("key", "frag").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc_id", "th", "lo", "o", "n")).alias("s"))
     distinct = stored(distinct, "fragments")
-    whole = near.join(distinct.where("times > 1").select("key", "frag"), ["key", "frag"]).select("doc_id", "th", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1 + length).cast("int").alias("b"))
+    whole = join_on_key(near, distinct.where("times > 1").select("key", "frag", "times"), ["key", "frag"], rows="times").select("doc_id", "th", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1 + length).cast("int").alias("b"))
     open_ = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("times").alias("least")).where("size > 1 and least = 1").select("key", "size")
-    wanted = distinct.join(open_, "key").select("s.*", "key", "frag", "times", "size")
+    wanted = join_on_key(distinct, open_, ["key"], rows="size").select("s.*", "key", "frag", "times", "size")
     contents = stored(_contents(docs, wanted, length), "contexts")
-    return whole.unionByName(_sorted_spans(contents.where(F.col("size") <= GROUP), length)).unionByName(_split_spans(contents.where(F.col("size") > GROUP), length))
+    spans = whole.unionByName(_sorted_spans(contents.where(F.col("size") <= GROUP), length)).unionByName(_split_spans(contents.where(F.col("size") > GROUP), length))
+    out = stored(spans, "spans")
+    discard(near, distinct, contents)
+    return out
 
 
 def remove_repeats(docs: DataFrame, length: int = 400, texts: bool = False) -> DataFrame:
