@@ -6,7 +6,6 @@ For one hash function, all runs of at least `least` shingles of a text fall into
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -14,8 +13,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, stored, text_batches
-from .words import hash_words, mix, shingle
+from .common import discard, fresh, join_on_key, shuffle_width, stored, text_batches
+from .words import hash_words, mix, mix_int, shingle
 
 #: Words of a shingle, least words of a passage, hash functions, and how many of them must agree.
 WIDTH, WORDS, HASHES, AGREE = 5, 50, 5, 2
@@ -185,26 +184,94 @@ def _run(b: np.ndarray, a: np.ndarray, at: int) -> tuple[int, int, int, int, flo
     return None
 
 
-def passages(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, ...]]) -> list[tuple[int, int, int, int, float]]:
+def _reach(p: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each of starts the last place whose sum p is no less than there; p is seen from its end."""
+    top = np.maximum.accumulate(p[::-1])[::-1]
+    return np.searchsorted(-top, -p[starts], side="right") - 1
+
+
+def _possible(held: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which places of b lie in a run of LEAST places or more that may be as similar as asked: it holds four shared shingles for each other one."""
+    lone = np.zeros(len(b), dtype=bool)
+    lone[np.unique(b, return_index=True)[1]] = True
+    p = np.concatenate(([0], np.cumsum(np.where(held, 1, np.where(lone, -4, 0)))))
+    far = _reach(p, np.arange(len(p)))
+    far = np.maximum.accumulate(np.where(far - np.arange(len(p)) >= LEAST, far, 0))
+    return far[:-1] > np.arange(len(b))
+
+
+def _quick(b: np.ndarray, a: np.ndarray, at: int, held: np.ndarray) -> tuple[int, int, int, int, float] | None:
+    """As _run, for a run in which eight of nine shingles are shared, if there is one."""
+    p = np.concatenate(([0], np.cumsum(np.where(held, 1, -8))))
+    top = np.maximum.accumulate(p[: at : -1])[::-1]
+    ends = np.searchsorted(-top, -p[: at + 1], side="right") + at
+    i = int((ends - np.arange(at + 1)).argmax())
+    j = int(ends[i]) - 1
+    if j < at or j - i + 1 < LEAST:
+        return None
+    shared = np.flatnonzero(held[i : j + 1])
+    i, j = i + int(shared[0]), i + int(shared[-1])
+    m, n = np.flatnonzero(a == b[i]), np.flatnonzero(a == b[j])
+    off = np.abs(n[None] - m[:, None] - (j - i))
+    x, y = divmod(int(off.argmin()), len(n))
+    m, n = sorted((int(m[x]), int(n[y])))
+    i, j = _padded(i, j, len(b))
+    m, n = _padded(m, n, len(a))
+    x, y = np.unique(b[i : j + 1]), np.unique(a[m : n + 1])
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return (i, j, m, n, both / (len(x) + len(y) - both)) if _enough(both, len(x) + len(y) - both) else None
+
+
+def _best(b: np.ndarray, a: np.ndarray, at: int) -> tuple[int, int, int, int, float] | None:
+    """A run of b around `at` that is as similar as asked to a run of a, as _run gives it: by the quick ways where they decide."""
+    if min(len(a), len(b)) < LEAST:
+        return None
+    held = np.isin(b, a)
+    if not held[at]:
+        return None
+    can = _possible(held, b)
+    if not can[at]:
+        return None
+    out = np.flatnonzero(~can)
+    k = int(np.searchsorted(out, at))
+    lo, hi = int(out[k - 1]) + 1 if k else 0, int(out[k]) if k < len(out) else len(b)
+    got = _quick(b[lo:hi], a, at - lo, held[lo:hi]) or _run(b[lo:hi], a, at - lo)
+    return (got[0] + lo, got[1] + lo, *got[2:]) if got else None
+
+
+def passages(a: np.ndarray, b: np.ndarray, seeds: np.ndarray | list[tuple[int, ...]]) -> list[tuple[int, int, int, int, float]]:
     """Verified passages of b that a holds: (first word, end word, first and end word in a, similarity), from seeds (c, l, r in b; c, l, r in a)."""
     out: list[tuple[int, int, int, int, float]] = []
-    held = np.isin(b, a)
-    plain = len(np.unique(b)) == len(b)
-    c = np.concatenate(([0], np.cumsum(held)))
-    left = c
-    for cb, lb, rb, _, la, ra in sorted(set(seeds), key=lambda s: (s[1] - s[2], s)):
-        # A seed is passed over if its window holds too few shared shingles, or none besides those of passages found.
-        if plain and not _enough(int(c[rb + 1] - c[lb]), LEAST) or left[rb + 1] == left[lb]:
+    can = _possible(np.isin(b, a), b)
+    if not can.any():
+        return out
+    edge = np.flatnonzero(np.diff(np.concatenate(([False], can, [False])).astype(np.int8)))
+    starts, ends = edge[::2], edge[1::2]
+    done = np.zeros(len(b), dtype=bool)
+    failed: set[tuple] = set()
+    # A run lies between places that no run can cross.
+    x = np.asarray(seeds, dtype=np.int64).reshape(-1, 6)
+    x = x[can[x[:, 0]]]
+    k = np.searchsorted(starts, x[:, 0], side="right") - 1
+    x = np.stack((x[:, 0], np.maximum(x[:, 1], starts[k]), np.minimum(x[:, 2] + 1, ends[k]), x[:, 4], x[:, 5]), axis=1)
+    x = x[x[:, 2] - x[:, 1] >= LEAST]
+    for cb, lo, hi, la, ra in x[np.lexsort((x[:, 0], x[:, 1] - x[:, 2]))].tolist():
+        if done[cb]:
+            continue
+        # Where a document repeats itself, places that look alike over twice a passage's length on either side are tried once.
+        like = (b[max(lo, cb - 2 * LEAST) : cb].tobytes(), b[cb : min(hi, cb + 2 * LEAST)].tobytes(), la, ra)
+        if like in failed:
             continue
-        got = _run(b[lb : rb + 1], a[la : ra + 1], cb - lb)
+        got = _best(b[lo:hi], a[la : ra + 1], cb - lo)
         if got:
             i, j, m, n, similarity = got
-            i, j = i + lb, j + lb
+            i, j = i + lo, j + lo
             if not any(x[0] <= i and j + WIDTH <= x[1] for x in out):
                 out = [x for x in out if not (i <= x[0] and x[1] <= j + WIDTH)]
                 out.append((i, j + WIDTH, m + la, n + la + WIDTH, similarity))
-            held[i : j + 1] = False
-            left = np.concatenate(([0], np.cumsum(held)))
+            done[i : j + 1] = True
+        else:
+            failed.add(like)
     return sorted(out)
 
 
@@ -212,85 +279,121 @@ def passages(a: np.ndarray, b: np.ndarray, seeds: list[tuple[int, ...]]) -> list
 BLOCK = 256
 
 
-def _meet(rows: list[dict], across: bool) -> list[tuple[int, ...]]:
-    """Pairs of windows of one group, as seeds, in which the later document has a passage with places not yet covered.
+#: Bits that stand for the shingles around a place, and those that the places of one passage share at least.
+BITS, COMMON = 512, 36
 
-    A pair is looked at if it shares as many shingles as a passage needs, and an open one; the most open ones first, while any are left.
+
+def _meet(group: np.ndarray, doc: np.ndarray, part: np.ndarray, wanted: np.ndarray, sets: list[np.ndarray], at: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of windows (later, earlier) of one group that hold a common passage around their places: for each wanted one the first found, by falling number of common bits.
+
+    The windows are sorted by group and document; part: the block of each where two blocks meet, else -1.
     """
-    sets = [np.frombuffer(x["shingles"], dtype="<u4") for x in rows]
-    free = [np.frombuffer(x["open"], dtype=bool) for x in rows]
-    _, number = np.unique(np.concatenate(sets), return_inverse=True)
-    cut = np.cumsum([0, *map(len, sets)])
-    numbers = [number[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True)]
-    distinct = [np.unique(x) for x in numbers]
-    flat, start, total = np.concatenate(distinct), np.cumsum([0, *map(len, distinct[:-1])]), int(number.max()) + 1
-
-    def shared(with_: np.ndarray) -> np.ndarray:
-        """How many of some shingles each window holds."""
-        mark = np.zeros(total, dtype=np.int32)
-        mark[with_] = 1
-        return np.add.reduceat(mark[flat], start)
-
-    plain = np.array([len(d) == len(s) for d, s in zip(distinct, sets, strict=True)])
-    doc, part = np.array([x["doc_id"] for x in rows]), np.array([x["part"] for x in rows])
-    out = []
-    for k, row in enumerate(rows):
-        left = free[k].copy()
-        try_ = (doc < doc[k]) & ((part != part[k]) if across else True)
-        if not left.any() or not try_.any():
-            continue
-        common = shared(numbers[k])
-        try_ &= np.where(plain & plain[k], _enough(common, LEAST), common > 0)
-        while try_.any() and left.any():
-            gain = np.where(try_, shared(numbers[k][left]), 0)
-            best = int(gain.argmax())
-            if not gain[best]:
-                break
-            try_[best] = False
-            got = _run(sets[k], sets[best], row["c"] - row["l"])
-            if got and left[got[0] : got[1] + 1].any():
-                left[got[0] : got[1] + 1] = False
-                other = rows[best]
-                out.append((row["doc_id"], other["doc_id"], row["f"], row["c"], row["l"], row["r"], other["c"], other["l"], other["r"]))
+    mark = np.zeros((len(sets), BITS), dtype=bool)
+    size = [len(s) for s in sets]
+    mark[np.repeat(np.arange(len(sets)), size), np.concatenate(sets) % BITS] = True
+    bits = np.packbits(mark, axis=1).view(np.uint64)
+    first = np.searchsorted(group, group)
+    later = np.flatnonzero(wanted)
+    n = later - first[later]
+    out: list[tuple[int, int]] = []
+    for lo in range(0, len(later), 512):
+        k = np.repeat(later[lo : lo + 512], n[lo : lo + 512])
+        j = np.arange(len(k)) - np.repeat(np.cumsum(n[lo : lo + 512]) - n[lo : lo + 512], n[lo : lo + 512]) + first[k]
+        ok = (doc[j] < doc[k]) & ((part[j] != part[k]) | (part[k] < 0))
+        k, j = k[ok], j[ok]
+        common = np.bitwise_count(bits[k] & bits[j]).sum(axis=1)
+        ok = common >= COMMON
+        k, j, common = k[ok], j[ok], common[ok]
+        order = np.lexsort((j, -common, k))
+        found = -1
+        for x, y in zip(k[order].tolist(), j[order].tolist(), strict=True):
+            if x != found and _best(sets[x], sets[y], int(at[x])):
+                found = x
+                out.append((x, y))
     return out
 
 
-def _others(groups: DataFrame, texts: DataFrame, found: DataFrame) -> DataFrame:
-    """Seeds between the windows (value, f, n, doc_id, c, l, r) of a group besides those to its first document, where they add to the passages found."""
+#: Places around the least shingle that windows are compared on, and those on each side whose least hash under one more function deals the windows of a value out.
+AROUND, SIDE = LEAST - 1, LEAST // 2 - 1
+
+
+def _others(groups: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
+    """Seeds between the windows (value, f, doc_id, partner, c, l, r) of a group besides those to its first document, for places not in the passages found.
+
+    Windows of one value are dealt out anew by the least hash of the shingles on the left, and of those on the right; a passage has at least half of its own on one side. Windows of a document that look alike count once.
+    """
+    spark = groups.sparkSession
     cover = found.select("doc_id", F.explode("spans").alias("s")).groupBy("doc_id").agg(F.collect_set(F.struct("s.first", "s.end")).alias("cover"))
-    held = groups.groupBy("doc_id").agg(F.collect_list(F.struct("value", "f", "n", "c", "l", "r")).alias("w"))
-    held = held.hint("merge").join(texts.select("doc_id", "text"), "doc_id").join(cover, "doc_id", "left").select("doc_id", "text", "w", "cover")
-    wide = "value long, f int, n int, c int, l int, r int, doc_id long, shingles binary, open binary"
+    # Only groups with a place of a later document that no passage holds.
+    w = F.col("s")
+    marked = groups.groupBy("doc_id").agg(F.collect_list(F.struct("value", "f", "c", "l", "r", (F.col("doc_id") != F.col("partner")).alias("later"))).alias("w")).join(cover, "doc_id", "left")
+    bare = ~F.coalesce(F.exists("cover", lambda x: (x["first"] <= w["c"]) & (w["c"] + WIDTH <= x["end"])), F.lit(False))
+    marked = stored(marked.select("doc_id", F.explode("w").alias("s"), "cover").select("doc_id", "s.*", (w["later"] & bare).alias("wanted")), "passage-marked")
+    live = marked.groupBy("value", "f").agg(F.max("wanted").alias("any"), F.count(F.lit(1)).alias("n")).where("any").select("value", "f", "n")
+    held = join_on_key(marked, live, ["value", "f"], rows="n").groupBy("doc_id").agg(F.collect_list(F.struct("value", "f", "c", "l", "r", "wanted")).alias("w"))
+    held = held.hint("merge").join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "text", "w")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for key, text, ws, cover in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+            held = b.column(2)
+            cut_at, fields = held.offsets.to_numpy(), [held.values.field(c).to_numpy(zero_copy_only=False).tolist() for c in ("value", "f", "c", "l", "r", "wanted")]
+            for key, text, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), cut_at[:-1].tolist(), cut_at[1:].tolist(), strict=True):
                 h, *_ = hash_words([text])
-                s = (shingle(h, WIDTH)[: max(0, len(h) - WIDTH + 1)] >> np.uint64(32)).astype("<u4")
-                free = np.ones(len(s), dtype=bool)
-                for x in cover or ():
-                    free[x["first"] : max(x["first"], x["end"] - WIDTH + 1)] = False
-                rows = [w | {"doc_id": key, "shingles": s[w["l"] : w["r"] + 1].tobytes(), "open": free[w["l"] : w["r"] + 1].tobytes()} for w in ws if w["r"] < len(s)]
+                s = shingle(h, WIDTH)[: max(0, len(h) - WIDTH + 1)]
+                side, short = mix(s ^ salt(HASHES)), (s >> np.uint64(48)).astype("<u2")
+                rows, seen = [], set()
+                for value, f, c, l, r, wanted in zip(*(v[x:y] for v in fields), strict=True):
+                    if r >= len(s):
+                        continue
+                    lo, hi = max(l, c - AROUND), min(r, c + AROUND) + 1
+                    around = short[lo:hi].tobytes()
+                    if (f, around) in seen:
+                        continue
+                    seen.add((f, around))
+                    for k, part in enumerate((side[max(l, c - SIDE) : c], side[c + 1 : min(r, c + SIDE) + 1])):
+                        if len(part) >= SIDE // 2:
+                            rows.append((value ^ (mix_int(int(part.min()) + 2 * f + k) - (1 << 63)), f, c, l, r, lo, key, wanted, around))
                 if rows:
-                    yield pa.RecordBatch.from_pylist(rows, schema=WIDE)
+                    yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(zip(*rows, strict=True), WIDE, strict=True)], schema=WIDE)
 
-    m = held.mapInArrow(cut, wide).withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    m = stored(held.mapInArrow(cut, "key long, f int, c int, l int, r int, lo_at int, doc_id long, wanted boolean, shingles binary"), "passage-around")
+    sizes = m.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.max(F.when(F.col("wanted"), F.col("doc_id"))).alias("last")).where("last > least").select("key", "n")
+    m = join_on_key(m, sizes, ["key"], rows="n").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other")).drop("blocks", "other", "n")
-    key = ("value", "f", "lo", "hi")
+    key = ["key", "lo", "hi"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        stream = (row for b in batches for row in b.to_pylist())
-        for (_, _, lo, hi), rows in groupby(stream, key=lambda x: tuple(x[k] for k in key)):
-            got = _meet(list(rows), lo != hi)
-            if got:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.int32()) for k, c in enumerate(zip(*got, strict=True))], PAIR.replace(" long", "").replace(" int", "").split(", "))
+        def met(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            if not t.num_rows:
+                return
+            x = {c: t[c].to_numpy() for c in ("key", "lo", "hi", "part", "doc_id", "wanted", "f", "c", "l", "r", "lo_at")}
+            new = np.concatenate(([True], (x["key"][1:] != x["key"][:-1]) | (x["lo"][1:] != x["lo"][:-1]) | (x["hi"][1:] != x["hi"][:-1])))
+            sets = [np.frombuffer(s, dtype="<u2") for s in t["shingles"].to_pylist()]
+            pairs = _meet(np.cumsum(new), x["doc_id"], np.where(x["lo"] == x["hi"], -1, x["part"]), x["wanted"], sets, x["c"] - x["lo_at"])
+            if pairs:
+                k, j = (np.array(p) for p in zip(*pairs, strict=True))
+                cols = (x["doc_id"][k], x["doc_id"][j], x["f"][k], x["c"][k], x["l"][k], x["r"][k], x["c"][j], x["l"][j], x["r"][j])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], PAIR.replace(" long", "").replace(" int", "").split(", "))
+
+        rest: pa.Table | None = None
+        for b in batches:
+            t = pa.Table.from_batches([b])
+            t = pa.concat_tables([rest, t]) if rest is not None else t
+            # The last group may go on in the next batch.
+            lead = [t[c].to_numpy() for c in key]
+            same = np.logical_and.reduce([c == c[-1] for c in lead])
+            last = int(np.argmax(same))
+            yield from met(t.slice(0, last))
+            rest = t.slice(last)
+        if rest is not None:
+            yield from met(rest)
 
-    return m.repartition(shuffle_width(groups.sparkSession), *key).sortWithinPartitions(*key, "doc_id").mapInArrow(run, PAIR)
+    return m.repartition(shuffle_width(spark), *key).sortWithinPartitions(*key, "doc_id").mapInArrow(run, PAIR)
 
 
 PAIR = "doc_id long, partner long, f int, c int, l int, r int, pc int, pl int, pr int"
-WIDE = pa.schema([("value", pa.int64()), ("f", pa.int32()), ("n", pa.int32()), ("c", pa.int32()), ("l", pa.int32()), ("r", pa.int32()), ("doc_id", pa.int64()), ("shingles", pa.binary()), ("open", pa.binary())])
+WIDE = pa.schema([("key", pa.int64()), ("f", pa.int32()), ("c", pa.int32()), ("l", pa.int32()), ("r", pa.int32()), ("lo_at", pa.int32()), ("doc_id", pa.int64()), ("wanted", pa.bool_()), ("shingles", pa.binary())])
 
 
 FOUND = "doc_id long, th long, partner long, words int, spans array<struct<first:int,end:int,a:int,b:int,partner_first:int,partner_end:int,similarity:double>>"
@@ -305,26 +408,37 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
-    hits = stored(_windows(d, shuffle_width(spark)).groupBy("bucket", "f").applyInArrow(_seeds, SEEDS), "passage-windows")
+    d = d.withColumn("th", F.xxhash64("text"))
+    hits = stored(_windows(d.select("doc_id", "text"), shuffle_width(spark)).groupBy("bucket", "f").applyInArrow(_seeds, SEEDS), "passage-windows")
     as_list = F.collect_list(F.struct("f", "c", "l", "r", "pc", "pl", "pr")).alias("seeds")
     seeds = stored(hits.where("doc_id <> partner").groupBy("doc_id", "partner").agg(as_list).where(F.size(F.array_distinct("seeds.f")) >= AGREE), "passage-seeds")
-    groups = hits.where("docs > 2")
-    # Only texts in a pair or group are looked at again; they are fetched once.
-    ids = seeds.select("doc_id").union(seeds.select("partner")).union(groups.select("doc_id")).distinct()
-    texts = stored(d.withColumn("th", F.xxhash64("text")).join(ids.hint("merge"), "doc_id", "left_semi"), "passage-texts")
-    found = stored(_verified(seeds, texts), "passage-found")
-    more = stored(_others(groups, texts, found).groupBy("doc_id", "partner").agg(as_list), "passage-seeds")
-    return found.unionByName(_verified(more, texts))
+    found = stored(_verified(seeds, d), "passage-found")
+    discard(seeds)
+    more = stored(_others(hits.where("docs > 2"), d, found).groupBy("doc_id", "partner").agg(as_list), "passage-seeds")
+    discard(hits)
+    again = stored(_verified(more, d), "passage-found")
+    discard(more)
+    return found.unionByName(again)
+
+
+#: Texts that meet one partner's in a task.
+SHARE = 200
 
 
-def _verified(seeds: DataFrame, texts: DataFrame) -> DataFrame:
-    """The passages that seeds (doc_id, partner, seeds) lead to, as FOUND."""
-    both = seeds.hint("merge").join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("partner"), F.col("text").alias("other")).hint("merge"), "partner").select("doc_id", "th", "partner", "text", "other", "seeds")
+def _verified(seeds: DataFrame, docs: DataFrame) -> DataFrame:
+    """The passages that seeds (doc_id, partner, seeds) between docs (doc_id, th, text) lead to, as FOUND. A partner of many documents is dealt out over shares of them."""
+    many = stored(seeds.groupBy("partner").agg(F.count(F.lit(1)).alias("n")).withColumn("shares", F.ceil(F.col("n") / SHARE).cast("int")), "passage-partners")
+    pairs = join_on_key(seeds, many, ["partner"], rows="n").withColumn("share", F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int")).select("doc_id", "partner", "share", "seeds")
+    other = many.join(docs.select(F.col("doc_id").alias("partner"), F.col("text").alias("other")).hint("merge"), "partner").select("partner", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "other")
+    both = pairs.hint("merge").join(docs.select("doc_id", "th", "text"), "doc_id").join(other.hint("merge"), ["partner", "share"]).select("doc_id", "th", "partner", "text", "other", "seeds")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
-            ids_, ths, partners, texts_, others, lists = (b.column(k).to_pylist() for k in range(6))
+            ids_, ths, partners, texts_, others = (b.column(k).to_pylist() for k in range(5))
+            held = b.column(5)
+            cut_at, fields = held.offsets.to_numpy(), [held.values.field(c).to_numpy(zero_copy_only=False) for c in ("c", "l", "r", "pc", "pl", "pr")]
+            lists = [np.stack([c[x:y] for c in fields], axis=1) for x, y in zip(cut_at[:-1].tolist(), cut_at[1:].tolist(), strict=True)]
             for lo in range(0, len(ids_), 32):
                 part = range(lo, min(lo + 32, len(ids_)))
                 # Pairs come sorted by partner: each of its texts is hashed once.
@@ -336,7 +450,7 @@ def _verified(seeds: DataFrame, texts: DataFrame) -> DataFrame:
                 cut = lambda n: s[first[n] : max(first[n], first[n + 1] - WIDTH + 1)]  # noqa: E731, B023
                 for n, k in enumerate(part):
                     a, z = cut(n), cut(place[others[k]])
-                    got = passages(z, a, [(x["c"], x["l"], x["r"], x["pc"], x["pl"], x["pr"]) for x in lists[k] if x["r"] < len(a) and x["pr"] < len(z)])
+                    got = passages(z, a, lists[k][(lists[k][:, 2] < len(a)) & (lists[k][:, 5] < len(z))])
                     if got:
                         w = int(first[n])
                         rows.append((ids_[k], ths[k], partners[k], int(first[n + 1]) - w, [{"first": x, "end": y, "a": int(starts[w + x] - at[n]), "b": int(ends[w + y - 1] - at[n]), "partner_first": m, "partner_end": e, "similarity": sim} for x, y, m, e, sim in got]))
@@ -368,8 +482,9 @@ def remove_passages(docs: DataFrame) -> DataFrame:
 
     The earliest occurrence stays. Passages are cut from their first word to the next word after them. n_chars, where there is such a column, follows the text. Rows without passages stay as they are.
     """
-    found = repeated_passages(docs).select("doc_id", "th", F.explode("spans").alias("s")).groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(F.collect_set(F.struct("s.a", "s.b")).alias("_cuts"))
-    marked = docs.join(found, (docs["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("_th")), "left").drop("_id", "_th")
+    i, h, c = (fresh(docs, f"passage_{x}") for x in ("id", "text", "cuts"))
+    found = repeated_passages(docs).select("doc_id", "th", F.explode("spans").alias("s")).groupBy(F.col("doc_id").alias(i), F.col("th").alias(h)).agg(F.collect_set(F.struct("s.a", "s.b")).alias(c))
+    marked = docs.join(found, (docs["doc_id"].cast("long") == F.col(i)) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col(h)), "left").drop(i, h)
     cols = docs.columns
     at = cols.index("text")
 

@@ -241,3 +241,50 @@ def test_forest_lowest_band(spark):
     rows = [(3, 3, k, k, bytearray(sketch), bands(k), 100, bytearray(part), 2) for k in (1, 2)]
     members = spark.createDataFrame(rows, "bucket long, band int, id long, component long, sketch binary, bands array<long>, n long, set binary, size long")
     assert [tuple(x) for x in minhash._forest(members, 80).collect()] == [(1, 2)]
+
+
+def passage_like(a, b):
+    """Whether two passages (lists of words) of equal place are as similar as asked, by their sets of shingles."""
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+    return len(x & y) >= 0.8 * len(x | y)
+
+
+@pytest.fixture(scope="module")
+def near_passages():
+    """Pairs of 70-word passages one word apart, and chains in which each is one word from its parent; all amid other words, in random order."""
+    r = random.Random(11)
+    make = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    groups = []
+    for _ in range(400):
+        p = make(70)
+        q = list(p)
+        q[r.randrange(70)] = "changed"
+        groups.append([p, q])
+    for _ in range(20):
+        chain = [make(70)]
+        for _ in range(38):
+            q = list(chain[-1])
+            q[r.randrange(70)] = f"x{r.randrange(10**6)}"
+            chain.append(q)
+        groups.append(chain)
+    rows = [(g, p) for g, ps in enumerate(groups) for p in ps]
+    r.shuffle(rows)
+    want, seen, earlier = set(), defaultdict(list), {}
+    for i, (g, p) in enumerate(rows):
+        if any(passage_like(p, q) for q in seen[g]):
+            want.add(i)
+        earlier[i] = (p, list(seen[g]))
+        seen[g].append(p)
+    return [(i, " ".join(make(60) + p + make(60))) for i, (_, p) in enumerate(rows)], want, {i for i, (g, _) in enumerate(rows) if g < 400}, earlier
+
+
+def test_near_passages_are_found(spark, near_passages):
+    """Recall against brute force of at least 0.95, in pairs and in chains; what else is flagged has a shorter run that is similar enough."""
+    tune(spark)
+    rows, want, pairs, earlier = near_passages
+    got = {x["doc_id"] for x in compact_windows.passage_report(spark.createDataFrame(rows, "doc_id long, text string")).collect() if x["n_passages"]}
+    for some in (want & pairs, want - pairs):
+        assert len(got & some) >= 0.95 * len(some)
+    for i in got - want:
+        p, others = earlier[i]
+        assert any(passage_like(p[x:y], q[x:y]) for q in others for x in range(21) for y in range(x + 50, 71))
