@@ -93,6 +93,15 @@ def join_on_key(left: DataFrame, right: DataFrame, on: list[str], how: str = "in
     return rest.unionByName(left.join(F.broadcast(few), on, how))
 
 
+#: Rows of ids (and a few numbers each) that a side may have at most to be broadcast; larger sides are shuffled.
+SMALL = 250_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df (a stored table) marked for a broadcast join if it has at most SMALL rows, else for a merge join."""
+    return F.broadcast(df) if df.count() <= SMALL else df.hint("merge")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name like name that df doesn't have yet, in any case."""
     taken = {c.lower() for c in df.columns}

@@ -13,40 +13,70 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, join_on_key, shuffle_width, stored, text_batches
-from .words import hash_words, mix, mix_int, shingle
+from .common import discard, fresh, join_on_key, shuffle_width, small, stored, text_batches
+from .words import _powers, hash_words, mix, mix_int, shingle
 
 #: Words of a shingle, least words of a passage, hash functions, and how many of them must agree.
 WIDTH, WORDS, HASHES, AGREE = 5, 50, 5, 2
 SIMILARITY = 0.8
 
 def compact_windows(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(l, c, r) of all windows of at least `least` places within the disjoint runs [lo, hi) of h; equal hashes: the left one counts as less.
+    """(l, c, r) of all windows of at least `least` places within the disjoint runs [lo, hi) of h, in order; equal hashes: the left one counts as less.
 
-    All nodes of one depth of the Cartesian trees are found together.
+    A node of the Cartesian tree spans so many places if and only if it is the least of some run of `least`, and its ancestors then do too. So the tree is built of those places alone; all nodes of one depth are found together.
     """
-    bits = np.uint64(max(20, len(h).bit_length()))
-    code = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
-    code = np.concatenate((code, [~np.uint64(0)]))
-    mask = (np.uint64(1) << bits) - np.uint64(1)
-    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     keep = hi - lo >= least
     lo, hi = lo[keep], hi[keep]
-    while len(lo):
-        order = np.argsort(lo, kind="stable")
-        lo, hi = lo[order], hi[order]
-        at = np.empty(2 * len(lo), dtype=np.int64)
-        at[::2], at[1::2] = lo, hi
-        c = (np.minimum.reduceat(code, at)[::2] & mask).astype(np.int64)
-        out.append((lo, c, hi - 1))
-        lo, hi = np.concatenate((lo, c + 1)), np.concatenate((c, hi))
-        keep = hi - lo >= least
-        lo, hi = lo[keep], hi[keep]
-    if not out:
+    if not len(lo):
         z = np.zeros(0, dtype=np.int64)
         return z, z, z
-    l, c, r = (np.concatenate(x) for x in zip(*out, strict=True))
-    return l, c, r
+    bits = np.uint64(max(20, len(h).bit_length()))
+    code = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
+    grid = np.concatenate((code, np.full(-len(code) % least, ~np.uint64(0)))).reshape(-1, least)
+    ahead = np.minimum.accumulate(grid, axis=1).reshape(-1)
+    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    n = hi - lo - least + 1
+    starts = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+    at = np.minimum(behind[starts], ahead[starts + least - 1])
+    place = (at[np.concatenate(([True], at[1:] != at[:-1]))] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    few = np.append(code[place], ~np.uint64(0))
+    order = np.argsort(np.argsort(few)).astype(np.int64) * len(few) + np.arange(len(few))
+    x, y, l, r = np.searchsorted(place, lo), np.searchsorted(place, hi), lo, hi - 1
+    out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    while len(x):
+        at = np.empty(2 * len(x), dtype=np.int64)
+        at[::2], at[1::2] = x, y
+        k = np.minimum.reduceat(order, at)[::2] % len(few)
+        c = place[k]
+        out.append((l, c, r))
+        x, y, l, r = (np.stack(v, axis=1).reshape(-1) for v in ((x, k + 1), (k, y), (l, c + 1), (c - 1, r)))
+        some = y > x
+        x, y, l, r = x[some], y[some], l[some], r[some]
+    l, c, r = (np.concatenate(v) for v in zip(*out, strict=True))
+    by = np.argsort(c)
+    return l[by], c[by], r[by]
+
+
+def _anew(h: np.ndarray, own: np.ndarray, value: np.ndarray, c: np.ndarray, hi: np.ndarray, least: int) -> np.ndarray:
+    """Which windows (of text own, with least hash value at c) a passage can need: not those whose place and the one before with this value are a period apart, of fewer than `least` places, that repeats after c.
+
+    A passage that starts within that period has the same shingles if it starts a period earlier, so it is found through the window before.
+    """
+    pw, inv = _powers(len(h) + 1)
+    sums = np.zeros(len(h) + 1, dtype=np.uint64)
+    np.cumsum(h * pw[: len(h)], out=sums[1:])
+    order = np.lexsort((c, value, own))
+    a, b = order[:-1], order[1:]
+    p = c[b] - c[a]
+    ok = (own[a] == own[b]) & (value[a] == value[b]) & (p < least)
+    b, p = b[ok], p[ok]
+    ok = c[b] + p <= hi[own[b]]
+    b, p = b[ok], p[ok]
+    x = c[b]
+    same = (sums[x] - sums[x - p]) * inv[x - p] == (sums[x + p] - sums[x]) * inv[x]
+    out = np.ones(len(c), dtype=bool)
+    out[b[same]] = False
+    return out
 
 
 def salt(f: int) -> np.uint64:
@@ -80,6 +110,8 @@ def _windows(docs: DataFrame, buckets: int) -> DataFrame:
                 if not len(l):
                     continue
                 doc = np.searchsorted(first, c, side="right") - 1
+                need = _anew(s, doc, v[c], c, hi, least)
+                l, c, r, doc = l[need], c[need], r[need], doc[need]
                 base = first[doc]
                 value = v[c]
                 bucket = (value % np.uint64(buckets)).astype(np.int64)
@@ -331,7 +363,8 @@ def _others(groups: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
     marked = stored(marked.select("doc_id", F.explode("w").alias("s"), "cover").select("doc_id", "s.*", (w["later"] & bare).alias("wanted")), "passage-marked")
     live = marked.groupBy("value", "f").agg(F.max("wanted").alias("any"), F.count(F.lit(1)).alias("n")).where("any").select("value", "f", "n")
     held = join_on_key(marked, live, ["value", "f"], rows="n").groupBy("doc_id").agg(F.collect_list(F.struct("value", "f", "c", "l", "r", "wanted")).alias("w"))
-    held = held.hint("merge").join(docs.select("doc_id", "text"), "doc_id").select("doc_id", "text", "w")
+    ids = stored(held.select("doc_id"), "passage-ids")
+    held = held.hint("merge").join(docs.join(small(ids), "doc_id", "left_semi").select("doc_id", "text"), "doc_id").select("doc_id", "text", "w")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -412,11 +445,11 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     hits = stored(_windows(d.select("doc_id", "text"), shuffle_width(spark)).groupBy("bucket", "f").applyInArrow(_seeds, SEEDS), "passage-windows")
     as_list = F.collect_list(F.struct("f", "c", "l", "r", "pc", "pl", "pr")).alias("seeds")
     seeds = stored(hits.where("doc_id <> partner").groupBy("doc_id", "partner").agg(as_list).where(F.size(F.array_distinct("seeds.f")) >= AGREE), "passage-seeds")
-    found = stored(_verified(seeds, d), "passage-found")
+    found = _verified(seeds, d)
     discard(seeds)
     more = stored(_others(hits.where("docs > 2"), d, found).groupBy("doc_id", "partner").agg(as_list), "passage-seeds")
     discard(hits)
-    again = stored(_verified(more, d), "passage-found")
+    again = _verified(more, d)
     discard(more)
     return found.unionByName(again)
 
@@ -426,8 +459,11 @@ SHARE = 200
 
 
 def _verified(seeds: DataFrame, docs: DataFrame) -> DataFrame:
-    """The passages that seeds (doc_id, partner, seeds) between docs (doc_id, th, text) lead to, as FOUND. A partner of many documents is dealt out over shares of them."""
+    """(stored) The passages that seeds (doc_id, partner, seeds) between docs (doc_id, th, text) lead to, as FOUND. A partner of many documents is dealt out over shares of them."""
     many = stored(seeds.groupBy("partner").agg(F.count(F.lit(1)).alias("n")).withColumn("shares", F.ceil(F.col("n") / SHARE).cast("int")), "passage-partners")
+    # Only texts in a pair are looked at again; they are fetched once.
+    ids = stored(seeds.select("doc_id").union(many.select("partner")).distinct(), "passage-ids")
+    docs = stored(docs.join(small(ids), "doc_id", "left_semi"), "passage-texts")
     pairs = join_on_key(seeds, many, ["partner"], rows="n").withColumn("share", F.pmod(F.xxhash64("doc_id"), F.col("shares")).cast("int")).select("doc_id", "partner", "share", "seeds")
     other = many.join(docs.select(F.col("doc_id").alias("partner"), F.col("text").alias("other")).hint("merge"), "partner").select("partner", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), "other")
     both = pairs.hint("merge").join(docs.select("doc_id", "th", "text"), "doc_id").join(other.hint("merge"), ["partner", "share"]).select("doc_id", "th", "partner", "text", "other", "seeds")
@@ -457,7 +493,9 @@ def _verified(seeds: DataFrame, docs: DataFrame) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.int32(), SPAN), strict=True)], ["doc_id", "th", "partner", "words", "spans"])
 
-    return both.mapInArrow(check, FOUND)
+    out = stored(both.mapInArrow(check, FOUND), "passage-found")
+    discard(many, ids, docs)
+    return out
 
 
 SPAN = pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32()), ("a", pa.int32()), ("b", pa.int32()), ("partner_first", pa.int32()), ("partner_end", pa.int32()), ("similarity", pa.float64())]))
@@ -484,7 +522,7 @@ def remove_passages(docs: DataFrame) -> DataFrame:
     """
     i, h, c = (fresh(docs, f"passage_{x}") for x in ("id", "text", "cuts"))
     found = repeated_passages(docs).select("doc_id", "th", F.explode("spans").alias("s")).groupBy(F.col("doc_id").alias(i), F.col("th").alias(h)).agg(F.collect_set(F.struct("s.a", "s.b")).alias(c))
-    marked = docs.join(found, (docs["doc_id"].cast("long") == F.col(i)) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col(h)), "left").drop(i, h)
+    marked = docs.join(small(stored(found, "passage-cuts")), (docs["doc_id"].cast("long") == F.col(i)) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col(h)), "left").drop(i, h)
     cols = docs.columns
     at = cols.index("text")
 

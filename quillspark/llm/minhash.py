@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fresh, join_on_key, stored, text_batches
+from .common import discard, fresh, join_on_key, small, stored, text_batches
 from .components import connected_components
 from .words import hash_words, mix, shingle
 
@@ -209,10 +209,10 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     star = stored(rows.join(centres, "bucket").select("bucket", "band", "id", "centre", "size"), "minhash-buckets")
     pairs = star.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b")).distinct()
     # Only texts that share a bucket are looked at again; they are fetched once.
-    met = one.select("id", "doc_id", "th").join(star.select("id").distinct().hint("merge"), "id", "left_semi")
+    met = stored(one.select("id", "doc_id", "th").join(star.select("id").distinct().hint("merge"), "id", "left_semi"), "minhash-met")
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
-    texts = stored(texts.join(met.hint("merge"), ["doc_id", "th"]).select("id", "text").dropDuplicates(["id"]), "minhash-texts")
+    texts = stored(texts.join(small(met), ["doc_id", "th"]).select("id", "text").dropDuplicates(["id"]), "minhash-texts")
     sure = stored(verify(pairs, texts, width, percent), "minhash-links")
     first = stored(connected_components(sure), "minhash-components")
 
@@ -226,7 +226,7 @@ def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     if more.take(1):
         before, first = first, stored(connected_components(sure.unionByName(more)), "minhash-components")
         discard(before)
-    discard(star, texts, members, second, one)
+    discard(star, texts, members, second, one, met)
     # The least row of each component, then of each class of it.
     of = classes.join(first.withColumnRenamed("id", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     of = stored(of, "minhash-placed")
@@ -256,8 +256,8 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     groups = stored(_grouped(docs, width, percent).where("doc_id is not null and n_shingles > 0").select("doc_id", "th", ((F.col("doc_id") == F.col("component_id")) & (F.col("th") == F.col("leader"))).alias("stays")), "minhash-rows")
     i, h = fresh(docs, "gone_id"), fresh(docs, "gone_text")
     text = F.coalesce(docs["text"].cast("string"), F.lit(""))
-    gone = groups.where("not stays").select(F.col("doc_id").alias(i), F.col("th").alias(h)).distinct()
-    left = docs.join(gone.hint("merge"), (docs["doc_id"].cast("long") == F.col(i)) & (F.xxhash64(text) == F.col(h)), "left_anti")
+    gone = stored(groups.where("not stays").select(F.col("doc_id").alias(i), F.col("th").alias(h)).distinct(), "minhash-gone")
+    left = docs.join(small(gone), (docs["doc_id"].cast("long") == F.col(i)) & (F.xxhash64(text) == F.col(h)), "left_anti")
     twice = groups.where("stays").groupBy("doc_id", "th").count().where("count > 1")
     if not twice.take(1):
         return left
