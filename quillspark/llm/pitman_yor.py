@@ -141,7 +141,7 @@ def _draw(seed: np.ndarray, step: int, sample: int) -> np.ndarray:
 
 
 #: Customers seated one by one in any case; those of a dish from which on likely new tables are drawn in runs, and the odds beyond which they count as likely.
-ONE_BY_ONE, RUNS, FEW = 24, 128, 64
+ONE_BY_ONE, RUNS, FEW = 8, 64, 24
 
 
 def tables(c: np.ndarray, alpha: np.ndarray, d: float, seed: np.ndarray, sample: int) -> np.ndarray:
