@@ -411,6 +411,8 @@ def _others(groups: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
 
         rest: pa.Table | None = None
         for b in batches:
+            if not b.num_rows:
+                continue
             t = pa.Table.from_batches([b])
             t = pa.concat_tables([rest, t]) if rest is not None else t
             # The last group may go on in the next batch.
