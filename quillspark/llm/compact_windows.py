@@ -222,11 +222,11 @@ def _reach(p: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.searchsorted(-top, -p[starts], side="right") - 1
 
 
-def _possible(held: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Which places of b lie in a run of LEAST places or more that may be as similar as asked: it holds four shared shingles for each other one."""
+def _possible(held: np.ndarray, b: np.ndarray, each: int) -> np.ndarray:
+    """Which places of b lie in a run of LEAST places or more that holds `each` shared shingles for each other one, repeated ones not counted."""
     lone = np.zeros(len(b), dtype=bool)
     lone[np.unique(b, return_index=True)[1]] = True
-    p = np.concatenate(([0], np.cumsum(np.where(held, 1, np.where(lone, -4, 0)))))
+    p = np.concatenate(([0], np.cumsum(np.where(held, 1, np.where(lone, -each, 0)))))
     far = _reach(p, np.arange(len(p)))
     far = np.maximum.accumulate(np.where(far - np.arange(len(p)) >= LEAST, far, 0))
     return far[:-1] > np.arange(len(b))
@@ -261,29 +261,25 @@ def _best(b: np.ndarray, a: np.ndarray, at: int) -> tuple[int, int, int, int, fl
     held = np.isin(b, a)
     if not held[at]:
         return None
-    can = _possible(held, b)
-    if not can[at]:
-        return None
-    out = np.flatnonzero(~can)
-    k = int(np.searchsorted(out, at))
-    lo, hi = int(out[k - 1]) + 1 if k else 0, int(out[k]) if k < len(out) else len(b)
-    got = _quick(b[lo:hi], a, at - lo, held[lo:hi]) or _run(b[lo:hi], a, at - lo)
-    return (got[0] + lo, got[1] + lo, *got[2:]) if got else None
+    return _quick(b, a, at, held) or _run(b, a, at)
 
 
 def passages(a: np.ndarray, b: np.ndarray, seeds: np.ndarray | list[tuple[int, ...]]) -> list[tuple[int, int, int, int, float]]:
     """Verified passages of b that a holds: (first word, end word, first and end word in a, similarity), from seeds (c, l, r in b; c, l, r in a)."""
     out: list[tuple[int, int, int, int, float]] = []
-    can = _possible(np.isin(b, a), b)
+    in_a = np.isin(b, a)
+    # Four of five shingles of a run are shared, and eight of nine of the shorter run of the two: common >= 0.8 * (both - common).
+    can = _possible(in_a, b, 4)
     if not can.any():
         return out
+    dense, other = _possible(in_a, b, 8), _possible(np.isin(a, b), a, 8)
     edge = np.flatnonzero(np.diff(np.concatenate(([False], can, [False])).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     done = np.zeros(len(b), dtype=bool)
     failed: set[tuple] = set()
     # A run lies between places that no run can cross.
     x = np.asarray(seeds, dtype=np.int64).reshape(-1, 6)
-    x = x[can[x[:, 0]]]
+    x = x[can[x[:, 0]] & (dense[x[:, 0]] | other[x[:, 3]])]
     k = np.searchsorted(starts, x[:, 0], side="right") - 1
     x = np.stack((x[:, 0], np.maximum(x[:, 1], starts[k]), np.minimum(x[:, 2] + 1, ends[k]), x[:, 4], x[:, 5]), axis=1)
     x = x[x[:, 2] - x[:, 1] >= LEAST]
@@ -308,40 +304,63 @@ def passages(a: np.ndarray, b: np.ndarray, seeds: np.ndarray | list[tuple[int, .
 
 
 #: Most windows of a group that meet at once are two blocks of about so many.
-BLOCK = 256
+BLOCK = 2048
+
+
+#: Bits that stand for the shingles around a place.
+BITS = 4096
+
 
+def _dense(marks: np.ndarray, places: np.ndarray, size: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For pairs of windows (x, y): whether a run of LEAST shingles or more of x around its place has eight of nine in y, going by the bits of y.
 
-#: Bits that stand for the shingles around a place, and those that the places of one passage share at least.
-BITS, COMMON = 512, 36
+    marks: the bits of each window; places: its shingles' bits, padded; size, at: its shingles and the place among them. The shorter side of a pair of runs that are similar enough has so many, as common >= 0.8 * (both - common) makes common >= 8/9 of it.
+    """
+    width = places.shape[1]
+    held = marks[y[:, None], places[x]]
+    p = np.zeros((len(x), width + 1), dtype=np.int32)
+    np.cumsum(np.where(held, 1, -8), axis=1, out=p[:, 1:])
+    p[np.arange(width + 1)[None] > size[x][:, None]] = -(1 << 30)
+    top = np.maximum.accumulate(p[:, ::-1], axis=1)[:, ::-1]
+    out = np.zeros(len(x), dtype=bool)
+    row, place = np.arange(len(x)), at[x]
+    for i in range(width - LEAST + 1):
+        out |= (i <= place) & (top[row, np.minimum(np.maximum(i + LEAST, place + 1), width)] >= p[:, i])
+    return out
 
 
 def _meet(group: np.ndarray, doc: np.ndarray, part: np.ndarray, wanted: np.ndarray, sets: list[np.ndarray], at: np.ndarray) -> list[tuple[int, int]]:
-    """Pairs of windows (later, earlier) of one group that hold a common passage around their places: for each wanted one the first found, by falling number of common bits.
+    """Pairs of windows (later, earlier) of one group that hold a common passage around their places: for each wanted one the first found.
 
     The windows are sorted by group and document; part: the block of each where two blocks meet, else -1.
     """
-    mark = np.zeros((len(sets), BITS), dtype=bool)
-    size = [len(s) for s in sets]
-    mark[np.repeat(np.arange(len(sets)), size), np.concatenate(sets) % BITS] = True
-    bits = np.packbits(mark, axis=1).view(np.uint64)
+    size = np.array([len(s) for s in sets])
+    width = max(2 * AROUND + 1, int(size.max()))
+    places = np.zeros((len(sets), width), dtype=np.int16)
+    inside = np.arange(width)[None] < size[:, None]
+    places[inside] = np.concatenate(sets) % BITS
+    marks = np.zeros((len(sets), BITS), dtype=bool)
+    marks[np.nonzero(inside)[0], places[inside]] = True
     first = np.searchsorted(group, group)
-    later = np.flatnonzero(wanted)
+    later = np.flatnonzero(wanted & (first < np.arange(len(group))))
     n = later - first[later]
     out: list[tuple[int, int]] = []
-    for lo in range(0, len(later), 512):
-        k = np.repeat(later[lo : lo + 512], n[lo : lo + 512])
-        j = np.arange(len(k)) - np.repeat(np.cumsum(n[lo : lo + 512]) - n[lo : lo + 512], n[lo : lo + 512]) + first[k]
+    lo, total = 0, np.cumsum(n)
+    while lo < len(later):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + 50_000, side="right")))
+        m = n[lo:hi]
+        k = np.repeat(later[lo:hi], m)
+        j = np.arange(len(k)) - np.repeat(np.cumsum(m) - m, m) + first[k]
         ok = (doc[j] < doc[k]) & ((part[j] != part[k]) | (part[k] < 0))
         k, j = k[ok], j[ok]
-        common = np.bitwise_count(bits[k] & bits[j]).sum(axis=1)
-        ok = common >= COMMON
-        k, j, common = k[ok], j[ok], common[ok]
-        order = np.lexsort((j, -common, k))
+        ok = _dense(marks, places, size, at, k, j)
+        ok[~ok] = _dense(marks, places, size, at, j[~ok], k[~ok])
         found = -1
-        for x, y in zip(k[order].tolist(), j[order].tolist(), strict=True):
+        for x, y in zip(k[ok].tolist(), j[ok].tolist(), strict=True):
             if x != found and _best(sets[x], sets[y], int(at[x])):
                 found = x
                 out.append((x, y))
+        lo = hi
     return out
 
 
@@ -368,30 +387,16 @@ def _others(groups: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            held = b.column(2)
-            cut_at, fields = held.offsets.to_numpy(), [held.values.field(c).to_numpy(zero_copy_only=False).tolist() for c in ("value", "f", "c", "l", "r", "wanted")]
-            for key, text, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), cut_at[:-1].tolist(), cut_at[1:].tolist(), strict=True):
-                h, *_ = hash_words([text])
-                s = shingle(h, WIDTH)[: max(0, len(h) - WIDTH + 1)]
-                side, short = mix(s ^ salt(HASHES)), (s >> np.uint64(48)).astype("<u2")
-                rows, seen = [], set()
-                for value, f, c, l, r, wanted in zip(*(v[x:y] for v in fields), strict=True):
-                    if r >= len(s):
-                        continue
-                    lo, hi = max(l, c - AROUND), min(r, c + AROUND) + 1
-                    around = short[lo:hi].tobytes()
-                    if (f, around) in seen:
-                        continue
-                    seen.add((f, around))
-                    for k, part in enumerate((side[max(l, c - SIDE) : c], side[c + 1 : min(r, c + SIDE) + 1])):
-                        if len(part) >= SIDE // 2:
-                            rows.append((value ^ (mix_int(int(part.min()) + 2 * f + k) - (1 << 63)), f, c, l, r, lo, key, wanted, around))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(zip(*rows, strict=True), WIDE, strict=True)], schema=WIDE)
-
-    m = stored(held.mapInArrow(cut, "key long, f int, c int, l int, r int, lo_at int, doc_id long, wanted boolean, shingles binary"), "passage-around")
-    sizes = m.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.max(F.when(F.col("wanted"), F.col("doc_id"))).alias("last")).where("last > least").select("key", "n")
-    m = join_on_key(m, sizes, ["key"], rows="n").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+            for lo in range(0, b.num_rows, 64):
+                yield _around(b.slice(lo, 64))
+
+    m = stored(held.mapInArrow(cut, "key long, look long, f int, c int, l int, r int, lo_at int, doc_id long, wanted boolean, shingles binary"), "passage-around")
+    # Windows that look alike are one; its first document is the partner of the others.
+    alike = stored(m.groupBy("key", "look").agg(F.min(F.struct("doc_id", "f", "c", "l", "r", "lo_at", "wanted", "shingles")).alias("s"), F.count(F.lit(1)).alias("rows")).select("key", "look", "rows", "s.*"), "passage-alike")
+    to = alike.select("key", "look", "rows", F.col("doc_id").alias("partner"), F.col("c").alias("pc"), F.col("l").alias("pl"), F.col("r").alias("pr"))
+    exact = join_on_key(m.where("wanted").select("key", "look", "doc_id", "f", "c", "l", "r"), to, ["key", "look"], rows="rows").where("partner < doc_id").select(*(x.split()[0] for x in PAIR.split(", ")))
+    sizes = alike.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.max(F.when(F.col("wanted"), F.col("doc_id"))).alias("last")).where("last > least").select("key", "n")
+    m = join_on_key(alike.drop("rows", "look"), sizes, ["key"], rows="n").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     m = m.withColumn("lo", F.least("part", "other")).withColumn("hi", F.greatest("part", "other")).drop("blocks", "other", "n")
     key = ["key", "lo", "hi"]
@@ -424,11 +429,51 @@ def _others(groups: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
         if rest is not None:
             yield from met(rest)
 
-    return m.repartition(shuffle_width(spark), *key).sortWithinPartitions(*key, "doc_id").mapInArrow(run, PAIR)
+    return m.repartition(shuffle_width(spark), *key).sortWithinPartitions(*key, "doc_id").mapInArrow(run, PAIR).unionByName(exact)
+
+
+def _around(b: pa.RecordBatch) -> pa.RecordBatch:
+    """The windows of some documents (doc_id, text, windows) with the shingles around their places, under the keys of their sides; those of a document that look alike under one function count once."""
+    h, first, *_ = hash_words(b.column(1).to_pylist())
+    s = shingle(h, WIDTH)
+    last = np.maximum(first[:-1], first[1:] - WIDTH + 1)
+    held = b.column(2)
+    at = held.offsets.to_numpy()
+    own = np.repeat(np.arange(b.num_rows), np.diff(at))
+    w = held.values.slice(int(at[0]), len(own))
+    value, f, c, l, r, wanted = (w.field(i).to_numpy(zero_copy_only=False) for i in range(6))
+    base = first[own]
+    c, l, r = (x.astype(np.int64) + base for x in (c, l, r))
+    lo, hi = np.maximum(l, c - AROUND), np.minimum(r, c + AROUND) + 1
+    ok = r < last[own]
+    pw, inv = _powers(len(s) + 1)
+    sums = np.zeros(len(s) + 1, dtype=np.uint64)
+    np.cumsum(s * pw[: len(s)], out=sums[1:])
+    at_lo, at_hi = np.where(ok, lo, 0), np.where(ok, hi, 0)
+    look = mix((sums[at_hi] - sums[at_lo]) * inv[at_lo] + (c - lo).astype(np.uint64)).view(np.int64)
+    order = np.lexsort((c, look, f, own))
+    order = order[ok[order]]
+    new = np.concatenate(([True], (look[order[1:]] != look[order[:-1]]) | (f[order[1:]] != f[order[:-1]]) | (own[order[1:]] != own[order[:-1]])))[: len(order)]
+    side = np.append(mix(s ^ salt(HASHES)), np.full(SIDE, ~np.uint64(0)))
+    grid = np.concatenate((side, np.full(-len(side) % SIDE, ~np.uint64(0)))).reshape(-1, SIDE)
+    ahead, behind = np.minimum.accumulate(grid, axis=1).reshape(-1), np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    x = order[new]
+    keys, rows = [], []
+    for k, (there, start) in enumerate(((c - l >= SIDE, c - SIDE), (r - c >= SIDE, c + 1))):
+        y = x[there[x]]
+        least = np.minimum(behind[start[y]], ahead[start[y] + SIDE - 1])
+        keys.append(value[y] ^ mix(least + (2 * f[y] + k).astype(np.uint64)).view(np.int64))
+        rows.append(y)
+    key, y = np.concatenate(keys), np.concatenate(rows)
+    short = (s >> np.uint64(48)).astype("<u2")
+    text = [short[a:e].tobytes() for a, e in zip(lo[y].tolist(), hi[y].tolist(), strict=True)]
+    ids = b.column(0).to_numpy()
+    cols = (key, look[y], f[y], (c - base)[y], (l - base)[y], (r - base)[y], (lo - base)[y], ids[own[y]], wanted[y], text)
+    return pa.RecordBatch.from_arrays([pa.array(v, t.type) for v, t in zip(cols, WIDE, strict=True)], schema=WIDE)
 
 
 PAIR = "doc_id long, partner long, f int, c int, l int, r int, pc int, pl int, pr int"
-WIDE = pa.schema([("key", pa.int64()), ("f", pa.int32()), ("c", pa.int32()), ("l", pa.int32()), ("r", pa.int32()), ("lo_at", pa.int32()), ("doc_id", pa.int64()), ("wanted", pa.bool_()), ("shingles", pa.binary())])
+WIDE = pa.schema([("key", pa.int64()), ("look", pa.int64()), ("f", pa.int32()), ("c", pa.int32()), ("l", pa.int32()), ("r", pa.int32()), ("lo_at", pa.int32()), ("doc_id", pa.int64()), ("wanted", pa.bool_()), ("shingles", pa.binary())])
 
 
 FOUND = "doc_id long, th long, partner long, words int, spans array<struct<first:int,end:int,a:int,b:int,partner_first:int,partner_end:int,similarity:double>>"
