@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_batches
+from .common import fresh, stored, text_batches
 
 SCHEMA = "doc_id long, items array<long>, coverages array<double>"
 WORD = re.compile(r"\w+")
@@ -157,8 +157,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 5, thresho
     A benchmark of at most broadcast_words words goes to every task; a larger one is joined on seeds instead.
     """
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    text = F.coalesce(benchmark["text"].cast("string"), F.lit(""))
-    b = benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), text.alias("text")).where("item_id is not null").groupBy("item_id").agg(F.max(F.struct(F.length("text").alias("n"), "text"))["text"].alias("text"))
+    b = _items(benchmark)
     size = b.agg(F.sum(F.length("text") / 2 + 1).alias("n")).collect()[0]["n"] or 0
     raw = _broadcast(d, b, least) if size <= broadcast_words else _joined(d, b, least)
     pairs = F.arrays_zip("items", "coverages")
@@ -174,10 +173,33 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, least: int = 5, thresho
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of docs, all columns, that cover no benchmark item to threshold or more; a null doc_id stays."""
-    bad = decontaminate(docs, benchmark, least, threshold).where("contaminated").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, docs["doc_id"].cast("long") == F.col("_bad"), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.8, broadcast_words: int = 2_000_000) -> DataFrame:
+    """The rows of docs, all columns, whose text covers no benchmark item to threshold or more.
+
+    Rows are judged by their text alone (null: empty, which stays): null or shared ids, repeated rows and other columns, whatever their names, don't matter; an empty table gives an empty result.
+    """
+    text = F.coalesce(docs["text"].cast("string"), F.lit(""))
+    b = _items(benchmark)
+    if (b.agg(F.sum(F.length("text") / 2 + 1).alias("n")).collect()[0]["n"] or 0) > broadcast_words:
+        key = fresh(docs, "contaminated_text")
+        texts = docs.select(F.xxhash64(text).alias("doc_id"), text.alias("text"))
+        bad = decontaminate(texts, benchmark, least, threshold, broadcast_words).where("contaminated").select(F.col("doc_id").alias(key)).distinct()
+        return docs.join(bad, F.xxhash64(text) == F.col(key), "left_anti")
+    shared = docs.sparkSession.sparkContext.broadcast(SeedIndex(sorted((r["item_id"], r["text"]) for r in b.collect()), least))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            keep = [max(shared.value.coverage(t or "").values(), default=0.0) < threshold for t in x.column(at).to_pylist()]
+            yield x.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    """(item_id, text), one row an id: the longest text, then the greatest."""
+    text = F.coalesce(benchmark["text"].cast("string"), F.lit(""))
+    return benchmark.select(benchmark["item_id"].cast("long").alias("item_id"), text.alias("text")).where("item_id is not null").groupBy("item_id").agg(F.max(F.struct(F.length("text").alias("n"), "text"))["text"].alias("text"))
 
 
 def _broadcast(d: DataFrame, b: DataFrame, least: int) -> DataFrame:

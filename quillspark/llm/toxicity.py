@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +53,7 @@ class Model:
     row_block: np.ndarray
     row_max: np.ndarray
     row_start_posting: np.ndarray  # by row: its postings
-    example: np.ndarray  # of a posting: place in the block
+    example: np.ndarray  # of a posting
     weight: np.ndarray
     labels: np.ndarray
     votes: np.ndarray  # of the examples, undoing the sampling by class
@@ -62,66 +62,77 @@ class Model:
     block: int
     k: int
     prior: float
-    _dense: dict[int, tuple[np.ndarray, np.ndarray]] = field(default_factory=dict, repr=False)
-
-    def postings(self, b: int) -> tuple[np.ndarray, np.ndarray]:
-        """(place by term or -1, weights of the block's examples) of block b, laid out when first read."""
-        if b not in self._dense:
-            rows = np.flatnonzero(self.row_block == b)
-            place = np.full(len(self.known), -1, dtype=np.int32)
-            place[np.searchsorted(self.row_start, rows, "right") - 1] = np.arange(len(rows))
-            at, own = ranges(self.row_start_posting[rows], self.row_start_posting[rows + 1])
-            out = np.zeros((len(rows), self.block), dtype=np.float32)
+    _common: tuple[np.ndarray, np.ndarray] | None = None
+
+    def common(self) -> tuple[np.ndarray, np.ndarray]:
+        """(place by term or -1, weights of all examples) of the terms that over a sixteenth of the examples have, laid out when first asked for."""
+        if self._common is None:
+            width = self.blocks * self.block
+            n = self.row_start_posting[self.row_start[1:]] - self.row_start_posting[self.row_start[:-1]] if len(self.known) else np.zeros(0)
+            terms = np.flatnonzero(n > width / 16)
+            place = np.full(len(self.known), -1, dtype=np.int64)
+            place[terms] = np.arange(len(terms))
+            at, own = ranges(self.row_start_posting[self.row_start[terms]], self.row_start_posting[self.row_start[terms + 1]])
+            out = np.zeros((len(terms), width))
             out[own, self.example[at]] = self.weight[at]
-            self._dense[b] = place, out
-        return self._dense[b]
+            self._common = place, out
+        return self._common
 
     def nearest(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, tuple]:
         """(examples, cosines) of the k nearest of each text, best first, -1 where fewer have a cosine over 0; equal cosines in the examples' order; and the texts' terms.
 
-        Blocks are read by falling upper bound, in rounds of 1, 2, 4, ... blocks, until no bound reaches the k-th best cosine; so the result is exact.
+        Blocks are read by falling upper bound, the first few, then more, until no bound reaches the k-th best cosine; so the result is exact.
         """
         d, t, tf, word, where = term_counts(texts, self.known)
         v = (1 + np.log(tf)) * self.gain[t]
         norm = np.sqrt(np.bincount(d, weights=v * v, minlength=len(texts)))
         v = v / np.where(norm > 0, norm, 1)[d]
         first = np.searchsorted(d, np.arange(len(texts) + 1))
-        at, own = ranges(self.row_start[t], self.row_start[t + 1])
-        bound = np.bincount(d[own] * self.blocks + self.row_block[at], weights=v[own] * self.row_max[at], minlength=len(texts) * self.blocks).reshape(len(texts), self.blocks)
-        del at, own
+        # The words of many examples are added up first, in one product; bounds are for the others.
+        place, laid_out = self.common()
+        often = place[t] >= 0
+        here = np.zeros((len(texts), len(laid_out)))
+        here[d[often], place[t[often]]] = v[often]
+        width = self.blocks * self.block
+        cosine = here @ laid_out
+        bound = cosine.reshape(len(texts), self.blocks, self.block).max(axis=2)
+        x = np.flatnonzero(~often)
+        row, own = ranges(self.row_start[t[x]], self.row_start[t[x] + 1])
+        own = x[own]
+        cell = d[own] * self.blocks + self.row_block[row]
+        bound += np.bincount(cell, weights=v[own] * self.row_max[row], minlength=bound.size).reshape(bound.shape)
         order = np.argsort(-bound, axis=1, kind="stable")
-        best = np.zeros((len(texts), self.k))
-        who = np.full((len(texts), self.k), -1, dtype=np.int64)
-        lo, step = 0, 1
+        # Examples of blocks not read have no part in the result: their cosines can't reach the k-th best.
+        cosine, seen = cosine.reshape(-1), np.zeros(len(texts) * self.blocks, dtype=bool)
+        least = np.zeros(len(texts))  # the k-th best so far
+        lo, step = 0, 4
         while lo < self.blocks:
             turn = order[:, lo : lo + step]
             ub = np.take_along_axis(bound, turn, axis=1)
-            text, place = np.nonzero((ub > 0) & (ub >= best[:, -1:] - 1e-9))
+            text, place = np.nonzero((ub > 0) & (ub >= least[:, None] - 1e-9))
             if not len(text):
                 break
-            got = np.zeros((len(texts), turn.shape[1] * self.block))
-            number = np.full(got.shape, -1, dtype=np.int64)
-            b_of = turn[text, place]
-            for b in np.unique(b_of).tolist():
-                mine = b_of == b
-                rows, col = text[mine], place[mine]
-                terms, dense = self.postings(b)
-                x, o = ranges(first[rows], first[rows + 1])
-                spot = terms[t[x]]
-                held = spot >= 0
-                here = np.zeros((len(rows), len(dense)), dtype=np.float32)
-                here[o[held], spot[held]] = v[x[held]]
-                s = here @ dense
-                cells = (col * self.block)[:, None] + np.arange(self.block)
-                got[rows[:, None], cells] = s
-                number[rows[:, None], cells] = b * self.block + np.arange(self.block)
+            visited = np.zeros(len(texts) * self.blocks, dtype=bool)
+            visited[text * self.blocks + turn[text, place]] = True
+            seen |= visited
+            x = np.flatnonzero(visited[cell])
+            r, term = row[x], own[x]
+            posting, o = ranges(self.row_start_posting[r], self.row_start_posting[r + 1])
+            term = term[o]
+            cosine += np.bincount(d[term] * width + self.example[posting], weights=v[term] * self.weight[posting], minlength=len(cosine))
             touched = np.unique(text)
-            s = np.concatenate((best[touched], np.round(got[touched], 9)), axis=1)
-            n = np.concatenate((who[touched], np.where(s[:, self.k :] > 0, number[touched], -1)), axis=1)
-            top = np.lexsort((n, -s), axis=1)[:, : self.k]
-            best[touched], who[touched] = np.take_along_axis(s, top, axis=1), np.take_along_axis(n, top, axis=1)
-            lo, step = lo + step, step * 2
-        return np.where(best > 0, who, -1), best, (d, t, v, word, first, where)
+            if width > self.k:
+                known = np.where(np.repeat(seen, self.block).reshape(-1, width)[touched], cosine.reshape(-1, width)[touched], 0)
+                least[touched] = np.partition(known, width - self.k, axis=1)[:, width - self.k]
+            lo, step = lo + step, step * 4
+        best, who = np.zeros((len(texts), self.k)), np.full((len(texts), self.k), -1, dtype=np.int64)
+        cosine = np.where(np.repeat(seen, self.block), cosine, 0).reshape(-1, width)
+        for i in range(len(texts)):
+            at = np.flatnonzero(cosine[i] >= max(least[i] - 1e-9, 1e-12))
+            s = np.round(cosine[i, at], 9)
+            top = np.lexsort((at, -s))[: self.k]
+            who[i, : len(top)], best[i, : len(top)] = at[top], s[top]
+        return who, best, (d, t, v, word, first, where)
 
     def scores(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple]:
         """(score of each text, its examples, their cosines, terms): votes weighted by nearness, drawn to the prior where nothing is near."""
@@ -135,12 +146,13 @@ class Model:
         """The five weightiest words of text i that one of its three nearest examples has too."""
         _, t, v, word, first, (starts, ends, buf) = terms
         x = np.arange(first[i], first[i + 1])
+        near = [e for e in at[i, :3].tolist() if e >= 0]
+        row, own = ranges(self.row_start[t[x]], self.row_start[t[x] + 1])
+        keep = np.isin(self.row_block[row], [e // self.block for e in near])
+        row, own = row[keep], own[keep]
+        posting, o = ranges(self.row_start_posting[row], self.row_start_posting[row + 1])
         shared = np.zeros(len(x), dtype=bool)
-        for e in at[i, :3].tolist():
-            if e >= 0:
-                place, dense = self.postings(e // self.block)
-                spot = place[t[x]]
-                shared |= (spot >= 0) & (dense[spot, e % self.block] > 0)
+        shared[own[o[np.isin(self.example[posting], near)]]] = True
         x = x[shared]
         return [buf[starts[w] : ends[w]].tobytes().decode("utf-8", "replace") for w in word[x[np.argsort(-v[x], kind="stable")[:5]]].tolist()]
 
@@ -207,7 +219,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = 2000, k: int = 15,
     prior = (bare1 * by_class[1] + 0.5 * n1 / max(1, n1 + n0)) / (bare1 * by_class[1] + bare0 * by_class[0] + 0.5)
     return Model(
         known, gain, np.searchsorted(term[start], np.arange(len(known) + 1)), at[start] // block, np.nextafter(np.maximum.reduceat(weight, start), np.float32(2)) if len(start) else weight,
-        np.concatenate((start, [len(term)])), (at % block).astype(np.int32), weight, labels_, votes, np.array([sample[i]["doc_id"] for i in stand.tolist()], dtype=np.int64), blocks, block, k, float(prior) if n1 + n0 else 0.0,
+        np.concatenate((start, [len(term)])), at.astype(np.int32), weight, labels_, votes, np.array([sample[i]["doc_id"] for i in stand.tolist()], dtype=np.int64), blocks, block, k, float(prior) if n1 + n0 else 0.0,
     )
 
 

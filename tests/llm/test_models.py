@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillspark.llm import decontamination, pitman_yor, queries, toxicity
@@ -140,13 +141,37 @@ def test_toxicity(spark):
     assert sum(r["predicted"] == r["toxic"] for r in x) / len(x) > 0.9
     assert out.count() == docs.count() and out.where("score < 0 or score > 1").count() == 0
     model = toxicity.fit(docs, labels)
-    r = random.Random(1)
-    for t in r.sample([d["text"] for d in docs.select("text").collect()], 60):
-        terms, v = model.vector(t)
-        if len(terms):
-            every = v @ model.postings[terms]
-            at, s = model.nearest(terms, v)
-            assert np.allclose(np.sort(s), np.sort(every[every > 0])[-len(s) :]) and len(s) == min(model.k, (every > 0).sum())
+    # The same by dictionaries over the full vocabulary.
+    texts = {d["doc_id"]: d["text"] or "" for d in docs.select("doc_id", "text").collect()}
+    split = lambda t: Counter(re.findall(rb"[a-z0-9_\x80-\xff]+", lower(t).encode()))
+    df = Counter(w for t in texts.values() for w in split(t))
+    lab = {d["doc_id"]: d["toxic"] for d in labels.where("toxic is not null").collect() if d["doc_id"] in texts and zlib.crc32(str(d["doc_id"]).encode()) % 4 != 2}
+    assert sorted(model.ids.tolist()) == sorted(lab)
+    bags = {i: split(texts[i]) for i in lab}
+    with_, toxic = Counter(w for b in bags.values() for w in b), Counter(w for i, b in bags.items() if lab[i] for w in b)
+    n, m1 = len(lab), sum(lab.values())
+    m0 = n - m1
+
+    def vector(bag):
+        out = {}
+        for w, k in bag.items():
+            a, both = toxic[w], with_[w]
+            if 0 < both < n:
+                chi2 = n * (a * (m0 - both + a) - (both - a) * (m1 - a)) ** 2 / (both * (n - both) * m1 * m0)
+                out[w] = (1 + math.log(k)) * (math.log((1 + len(texts)) / (1 + df[w])) + 1) * chi2
+        size = math.sqrt(sum(x * x for x in out.values()))
+        return {w: x / size for w, x in out.items()} if size else {}
+
+    known = {i: vector(b) for i, b in bags.items()}
+    some = random.Random(1).sample(list(texts.values()), 60) + [""]
+    at, s, _ = model.nearest(some)
+    for k, t in enumerate(some):
+        v = vector(split(t))
+        want = sorted((sum(x * e.get(w, 0.0) for w, x in v.items()) for e in known.values()), reverse=True)[: model.k]
+        assert np.allclose(s[k], want, atol=1e-5)
+    twice = spark.createDataFrame([(1, some[0]), (1, some[0]), (2, some[0] + " " + " ".join(f"long{i}" for i in range(300_000)))], "score long, text string").withColumnRenamed("score", "doc_id").withColumn("score", F.lit("x")).withColumn("toxic", F.lit(1))
+    got = toxicity.score(twice, model).orderBy("doc_id").collect()
+    assert got[0] == got[1] and got[2]["score"] == got[0]["score"] and got[2]["neighbours"] == got[0]["neighbours"]
     odd = spark.createDataFrame([(1, None), (2, ""), (None, "idiot")], "doc_id long, text string")
     assert len({r["score"] for r in toxicity.score(odd, model).where("doc_id is not null").collect()}) == 1
     none = toxicity.fit(docs.limit(0), labels.limit(0))
@@ -215,3 +240,35 @@ def test_pipeline(spark, tmp_path):
             assert after.dtypes == docs.dtypes
         docs = after
     assert docs.count() < before and docs.where("size(ids) <> n_tokens").count() == 0
+
+
+def odd_documents(spark):
+    """Documents with null ids and texts, repeated rows, one id for different texts, a text of 5 MB and columns named like those that operators add."""
+    r = random.Random(3)
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").limit(60)
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    long = " ".join(f"l{r.randrange(10**7)}" for _ in range(600_000))
+    more = [(None, None), (None, "plain words of a text"), (None, item), (70_001, None), (70_001, None), (70_002, ""), (70_003, "some quiet text of its own"), (70_003, "some quiet text of its own"), (70_003, item), (70_004, "another quite different text"), (70_005, long)]
+    out = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    for c in ("_id", "_th", "_cuts", "_gone", "_bad", "gone_id", "gone_text", "passage_id", "PASSAGE_CUTS", "contaminated_text", "th", "set", "key", "n", "component_id", "score"):
+        out = out.withColumn(c, F.lit(c))
+    return out, item, long
+
+
+def test_stages_on_odd_documents(spark):
+    tune(spark)
+    docs, item, long = odd_documents(spark)
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        assert stage(spark, docs.limit(0), SF).count() == 0
+        got = stage(spark, docs, SF)
+        if k == 4:
+            assert got.count() == docs.count()
+            continue
+        assert got.dtypes == docs.dtypes
+        rows = Counter((x["doc_id"], x["text"]) for x in got.select("doc_id", "text").collect())
+        assert rows[70_005, long] == 1 and rows[70_004, "another quite different text"] == 1
+        assert rows[None, "plain words of a text"] == 1 and rows[70_003, "some quiet text of its own"] == (1 if name == "minhash_near_dedup" else 2)
+        if name == "benchmark_decontamination":
+            assert not rows[70_003, item] and not rows[None, item]
+        if name == "minhash_near_dedup":
+            assert rows[None, None] == 1 and rows[70_001, None] == 2 and rows[None, item] == 1
