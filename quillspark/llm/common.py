@@ -54,7 +54,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """df written as Parquet under the shared checkpoint folder and read again; the shuffles that led to it may go."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/quillspark/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     del df
     # Spark removes shuffle files when the driver's JVM has collected what refers to them; else they'd pile up.
     gc.collect()

@@ -20,6 +20,15 @@ from .words import _powers, hash_words, mix, mix_int, shingle
 WIDTH, WORDS, HASHES, AGREE = 5, 50, 5, 2
 SIMILARITY = 0.8
 
+def sliding_least(x: np.ndarray, width: int) -> np.ndarray:
+    """The least of the width values from each place on, where there are so many."""
+    size = 1
+    while 2 * size <= width:
+        x = np.minimum(x[:-size], x[size:])
+        size *= 2
+    return np.minimum(x[: len(x) - (width - size)], x[width - size :])
+
+
 def compact_windows(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(l, c, r) of all windows of at least `least` places within the disjoint runs [lo, hi) of h, in order; equal hashes: the left one counts as less.
 
@@ -32,12 +41,9 @@ def compact_windows(h: np.ndarray, lo: np.ndarray, hi: np.ndarray, least: int) -
         return z, z, z
     bits = np.uint64(max(20, len(h).bit_length()))
     code = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
-    grid = np.concatenate((code, np.full(-len(code) % least, ~np.uint64(0)))).reshape(-1, least)
-    ahead = np.minimum.accumulate(grid, axis=1).reshape(-1)
-    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
     n = hi - lo - least + 1
     starts = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
-    at = np.minimum(behind[starts], ahead[starts + least - 1])
+    at = sliding_least(code, least)[starts]
     place = (at[np.concatenate(([True], at[1:] != at[:-1]))] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     few = np.append(code[place], ~np.uint64(0))
     order = np.argsort(np.argsort(few)).astype(np.int64) * len(few) + np.arange(len(few))
@@ -222,14 +228,26 @@ def _reach(p: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.searchsorted(-top, -p[starts], side="right") - 1
 
 
-def _possible(held: np.ndarray, b: np.ndarray, each: int) -> np.ndarray:
-    """Which places of b lie in a run of LEAST places or more that holds `each` shared shingles for each other one, repeated ones not counted."""
-    lone = np.zeros(len(b), dtype=bool)
-    lone[np.unique(b, return_index=True)[1]] = True
+def _possible(held: np.ndarray, lone: np.ndarray, each: int) -> np.ndarray:
+    """Which places lie in a run of LEAST places or more that has `each` shared shingles for each other one, repeated ones not counted."""
     p = np.concatenate(([0], np.cumsum(np.where(held, 1, np.where(lone, -each, 0)))))
     far = _reach(p, np.arange(len(p)))
     far = np.maximum.accumulate(np.where(far - np.arange(len(p)) >= LEAST, far, 0))
-    return far[:-1] > np.arange(len(b))
+    return far[:-1] > np.arange(len(held))
+
+
+def _firsts(x: np.ndarray, size: int) -> np.ndarray:
+    """Which places hold a number below size that isn't before."""
+    place = np.empty(size, dtype=np.int64)
+    place[x[::-1]] = np.arange(len(x) - 1, -1, -1)
+    return place[x] == np.arange(len(x))
+
+
+def _among(x: np.ndarray, a: np.ndarray, size: int) -> np.ndarray:
+    """Which places of x hold a number of a, all below size."""
+    mark = np.zeros(size, dtype=bool)
+    mark[a] = True
+    return mark[x]
 
 
 def _quick(b: np.ndarray, a: np.ndarray, at: int, held: np.ndarray) -> tuple[int, int, int, int, float] | None:
@@ -255,10 +273,10 @@ def _quick(b: np.ndarray, a: np.ndarray, at: int, held: np.ndarray) -> tuple[int
 
 
 def _best(b: np.ndarray, a: np.ndarray, at: int) -> tuple[int, int, int, int, float] | None:
-    """A run of b around `at` that is as similar as asked to a run of a, as _run gives it: by the quick ways where they decide."""
+    """A run of b around `at` that is as similar as asked to a run of a, as _run gives it: by the quick way where that decides. Shingles are small numbers here."""
     if min(len(a), len(b)) < LEAST:
         return None
-    held = np.isin(b, a)
+    held = _among(b, a, int(max(a.max(), b.max())) + 1)
     if not held[at]:
         return None
     return _quick(b, a, at, held) or _run(b, a, at)
@@ -267,12 +285,15 @@ def _best(b: np.ndarray, a: np.ndarray, at: int) -> tuple[int, int, int, int, fl
 def passages(a: np.ndarray, b: np.ndarray, seeds: np.ndarray | list[tuple[int, ...]]) -> list[tuple[int, int, int, int, float]]:
     """Verified passages of b that a holds: (first word, end word, first and end word in a, similarity), from seeds (c, l, r in b; c, l, r in a)."""
     out: list[tuple[int, int, int, int, float]] = []
-    in_a = np.isin(b, a)
+    known, number = np.unique(np.concatenate((a, b)), return_inverse=True)
+    size = len(known)
+    a, b = number[: len(a)], number[len(a) :]
+    in_a, lone = _among(b, a, size), _firsts(b, size)
     # Four of five shingles of a run are shared, and eight of nine of the shorter run of the two: common >= 0.8 * (both - common).
-    can = _possible(in_a, b, 4)
+    can = _possible(in_a, lone, 4)
     if not can.any():
         return out
-    dense, other = _possible(in_a, b, 8), _possible(np.isin(a, b), a, 8)
+    dense, other = _possible(in_a, lone, 8), _possible(_among(a, b, size), _firsts(a, size), 8)
     edge = np.flatnonzero(np.diff(np.concatenate(([False], can, [False])).astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     done = np.zeros(len(b), dtype=bool)
@@ -307,8 +328,8 @@ def passages(a: np.ndarray, b: np.ndarray, seeds: np.ndarray | list[tuple[int, .
 BLOCK = 2048
 
 
-#: Bits that stand for the shingles around a place.
-BITS = 4096
+#: Bits that stand for the shingles around a place, those of a first look, and how many of them the places of one passage share at least.
+BITS, LOOK, COMMON = 4096, 512, 36
 
 
 def _dense(marks: np.ndarray, places: np.ndarray, size: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -341,18 +362,21 @@ def _meet(group: np.ndarray, doc: np.ndarray, part: np.ndarray, wanted: np.ndarr
     places[inside] = np.concatenate(sets) % BITS
     marks = np.zeros((len(sets), BITS), dtype=bool)
     marks[np.nonzero(inside)[0], places[inside]] = True
+    look = np.packbits(marks.reshape(len(sets), -1, LOOK).any(axis=1), axis=1).view(np.uint64)
     first = np.searchsorted(group, group)
     later = np.flatnonzero(wanted & (first < np.arange(len(group))))
     n = later - first[later]
     out: list[tuple[int, int]] = []
     lo, total = 0, np.cumsum(n)
     while lo < len(later):
-        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + 50_000, side="right")))
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + 200_000, side="right")))
         m = n[lo:hi]
         k = np.repeat(later[lo:hi], m)
         j = np.arange(len(k)) - np.repeat(np.cumsum(m) - m, m) + first[k]
         ok = (doc[j] < doc[k]) & ((part[j] != part[k]) | (part[k] < 0))
         k, j = k[ok], j[ok]
+        ok = np.bitwise_count(look[k] & look[j]).sum(axis=1) >= COMMON
+        k, j = k[ok], j[ok]
         ok = _dense(marks, places, size, at, k, j)
         ok[~ok] = _dense(marks, places, size, at, j[~ok], k[~ok])
         found = -1
@@ -368,18 +392,19 @@ def _meet(group: np.ndarray, doc: np.ndarray, part: np.ndarray, wanted: np.ndarr
 AROUND, SIDE = LEAST - 1, LEAST // 2 - 1
 
 
-def _others(groups: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
-    """Seeds between the windows (value, f, doc_id, partner, c, l, r) of a group besides those to its first document, for places not in the passages found.
+def _others(hits: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
+    """(stored) Seeds (doc_id, partner, seeds) between the windows (hits, which go) of a group besides those to its first document, for places not in the passages found.
 
     Windows of one value are dealt out anew by the least hash of the shingles on the left, and of those on the right; a passage has at least half of its own on one side. Windows of a document that look alike count once.
     """
-    spark = groups.sparkSession
+    spark, groups = hits.sparkSession, hits.where("docs > 2")
     cover = found.select("doc_id", F.explode("spans").alias("s")).groupBy("doc_id").agg(F.collect_set(F.struct("s.first", "s.end")).alias("cover"))
     # Only groups with a place of a later document that no passage holds.
     w = F.col("s")
     marked = groups.groupBy("doc_id").agg(F.collect_list(F.struct("value", "f", "c", "l", "r", (F.col("doc_id") != F.col("partner")).alias("later"))).alias("w")).join(cover, "doc_id", "left")
     bare = ~F.coalesce(F.exists("cover", lambda x: (x["first"] <= w["c"]) & (w["c"] + WIDTH <= x["end"])), F.lit(False))
     marked = stored(marked.select("doc_id", F.explode("w").alias("s"), "cover").select("doc_id", "s.*", (w["later"] & bare).alias("wanted")), "passage-marked")
+    discard(hits)
     live = marked.groupBy("value", "f").agg(F.max("wanted").alias("any"), F.count(F.lit(1)).alias("n")).where("any").select("value", "f", "n")
     held = join_on_key(marked, live, ["value", "f"], rows="n").groupBy("doc_id").agg(F.collect_list(F.struct("value", "f", "c", "l", "r", "wanted")).alias("w"))
     ids = stored(held.select("doc_id"), "passage-ids")
@@ -391,10 +416,12 @@ def _others(groups: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
                 yield _around(b.slice(lo, 64))
 
     m = stored(held.mapInArrow(cut, "key long, look long, f int, c int, l int, r int, lo_at int, doc_id long, wanted boolean, shingles binary"), "passage-around")
+    discard(marked, ids)
     # Windows that look alike are one; its first document is the partner of the others.
     alike = stored(m.groupBy("key", "look").agg(F.min(F.struct("doc_id", "f", "c", "l", "r", "lo_at", "wanted", "shingles")).alias("s"), F.count(F.lit(1)).alias("rows")).select("key", "look", "rows", "s.*"), "passage-alike")
     to = alike.select("key", "look", "rows", F.col("doc_id").alias("partner"), F.col("c").alias("pc"), F.col("l").alias("pl"), F.col("r").alias("pr"))
-    exact = join_on_key(m.where("wanted").select("key", "look", "doc_id", "f", "c", "l", "r"), to, ["key", "look"], rows="rows").where("partner < doc_id").select(*(x.split()[0] for x in PAIR.split(", ")))
+    exact = stored(join_on_key(m.where("wanted").select("key", "look", "doc_id", "f", "c", "l", "r"), to, ["key", "look"], rows="rows").where("partner < doc_id").select(*(x.split()[0] for x in PAIR.split(", "))), "passage-alike-pairs")
+    discard(m)
     sizes = alike.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("least"), F.max(F.when(F.col("wanted"), F.col("doc_id"))).alias("last")).where("last > least").select("key", "n")
     m = join_on_key(alike.drop("rows", "look"), sizes, ["key"], rows="n").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     m = m.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -429,7 +456,14 @@ def _others(groups: DataFrame, docs: DataFrame, found: DataFrame) -> DataFrame:
         if rest is not None:
             yield from met(rest)
 
-    return m.repartition(shuffle_width(spark), *key).sortWithinPartitions(*key, "doc_id").mapInArrow(run, PAIR).unionByName(exact)
+    pairs = m.repartition(shuffle_width(spark), *key).sortWithinPartitions(*key, "doc_id").mapInArrow(run, PAIR).unionByName(exact)
+    out = stored(pairs.groupBy("doc_id", "partner").agg(seed_list()), "passage-seeds")
+    discard(alike, exact)
+    return out
+
+
+def seed_list() -> F.Column:
+    return F.collect_list(F.struct("f", "c", "l", "r", "pc", "pl", "pr")).alias("seeds")
 
 
 def _around(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -490,12 +524,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.coalesce(docs["text"].cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
     d = d.withColumn("th", F.xxhash64("text"))
     hits = stored(_windows(d.select("doc_id", "text"), shuffle_width(spark)).groupBy("bucket", "f").applyInArrow(_seeds, SEEDS), "passage-windows")
-    as_list = F.collect_list(F.struct("f", "c", "l", "r", "pc", "pl", "pr")).alias("seeds")
-    seeds = stored(hits.where("doc_id <> partner").groupBy("doc_id", "partner").agg(as_list).where(F.size(F.array_distinct("seeds.f")) >= AGREE), "passage-seeds")
+    seeds = stored(hits.where("doc_id <> partner").groupBy("doc_id", "partner").agg(seed_list()).where(F.size(F.array_distinct("seeds.f")) >= AGREE), "passage-seeds")
     found = _verified(seeds, d)
     discard(seeds)
-    more = stored(_others(hits.where("docs > 2"), d, found).groupBy("doc_id", "partner").agg(as_list), "passage-seeds")
-    discard(hits)
+    more = _others(hits, d, found)
     again = _verified(more, d)
     discard(more)
     return found.unionByName(again)
