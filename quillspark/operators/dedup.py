@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, shingles
@@ -66,9 +67,15 @@ def lookup(signed: DataFrame, index: DataFrame, threshold: float = 0.9) -> DataF
 
 
 def duplicate_list(docs: DataFrame, threshold: float = 0.9, most: int = 5) -> DataFrame:
-    """For each document up to `most` matches with other contents, best first."""
+    """For each document up to `most` matches, copies of itself included, best first."""
     s = fingerprints(docs)
-    return top_per_query(lookup(s, s, threshold).withColumnRenamed("similarity", "score"), most, key="doc_id", item="match_id").withColumnRenamed("score", "similarity")
+    signed = s.where("signature is not null")
+    order = W.partitionBy("signature").orderBy("doc_id")
+    members = signed.withColumn("r", F.row_number().over(order)).withColumn("first", F.min("doc_id").over(order)).where(F.col("r") <= most + 1).select("first", F.col("doc_id").alias("match_id"))
+    own = signed.groupBy("signature").agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.col("doc_id").alias("first"), F.lit(1.0).alias("similarity"))
+    near = lookup(s, s, threshold).withColumnRenamed("match_id", "first").unionByName(own)
+    every = near.join(members, "first").where("doc_id <> match_id").select("doc_id", "match_id", F.col("similarity").alias("score"))
+    return top_per_query(every, most, key="doc_id", item="match_id").withColumnRenamed("score", "similarity")
 
 
 def add(index: DataFrame, signed: DataFrame) -> DataFrame:
@@ -87,15 +94,38 @@ def size(index: DataFrame) -> DataFrame:
     return index.agg(F.count(F.lit(1)).alias("size"))
 
 
+def _dropped(pairs: DataFrame) -> DataFrame:
+    """(doc_id) of the documents that go if each in id order goes when an earlier kept one matches it; pairs: (doc_id, match_id), match_id less.
+
+    In each round, matches without an open match of their own are kept, and what they match goes.
+    """
+    spark = pairs.sparkSession
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+    edges = pairs.select("doc_id", "match_id").checkpoint()
+    out = edges.select("doc_id").limit(0)
+    while edges.take(1):
+        sure = edges.select("match_id").distinct().join(edges.select(F.col("doc_id").alias("match_id")).distinct(), "match_id", "left_anti")
+        gone = edges.join(sure, "match_id", "left_semi").select("doc_id").distinct().checkpoint()
+        edges = edges.join(gone, "doc_id", "left_anti").join(gone.select(F.col("doc_id").alias("match_id")), "match_id", "left_anti").checkpoint()
+        out = out.unionByName(gone)
+    return out
+
+
 def handle(docs: DataFrame, action: str = "flag", threshold: float = 0.9) -> DataFrame:
     """Decision on each document in id order: doc_id, kept, canonical_doc_id, metadata.
 
-    flag keeps all and points at the best earlier match; skip and merge drop those with an earlier kept match, merge adds their metadata to the match's (its own values win). docs: doc_id, text and, for merge, metadata map.
+    flag keeps all and points at the best earlier match; skip and merge drop those with an earlier kept match (a dropped document is no match for later ones) and point at the best of these, merge adds their metadata to the match's (its own values win). docs: doc_id, text and, for merge, metadata map.
     """
     if action not in ("flag", "skip", "merge"):
         raise ValueError(f"unknown action {action!r}")
     s = fingerprints(docs)
-    first = top_per_query(lookup(s, s, threshold).where("match_id < doc_id").withColumnRenamed("similarity", "score"), 1, key="doc_id", item="match_id").select("doc_id", F.col("match_id").alias("canonical_doc_id"))
+    # Of equal signatures the first document alone can be kept, so matches are looked up among these.
+    earlier = lookup(s, s, threshold).where("match_id < doc_id")
+    if action != "flag":
+        earlier = earlier.join(_dropped(earlier).select(F.col("doc_id").alias("match_id")), "match_id", "left_anti")
+    first = top_per_query(earlier.withColumnRenamed("similarity", "score"), 1, key="doc_id", item="match_id").select("doc_id", F.col("match_id").alias("canonical_doc_id"))
     out = docs.join(first, "doc_id", "left")
     kept = F.lit(True) if action == "flag" else F.col("canonical_doc_id").isNull()
     has = "metadata" in docs.columns

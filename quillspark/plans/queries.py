@@ -132,7 +132,11 @@ def highlight_terms(spark, d):
     return _docs(spark, d).select("doc_id", F.md5(text.highlight(F.col("text"), F.lit(QUERY))).alias("highlighted_md5"))
 
 
-@register()
+_MARKED = r"md5(replace(regexp_replace(regexp_replace(text, '([\p{L}\p{N}\p{M}_]+)', chr(1) || '\1' || chr(2), 'g'), '(?i)' || chr(1) || '(of|pathetic|thand|the|and)' || chr(2), TAGS, 'g').replace(chr(1), ''), chr(2), ''))"
+_TAGS = {"terminal": r"chr(27) || '[1;33m\1' || chr(27) || '[0m'", "html": r"""'<span class="highlight">\1</span>'""", "markdown": r"'**\1**'"}
+
+
+@register("SELECT doc_id, " + ", ".join(f"{_MARKED.replace('TAGS', t)} AS {k}" for k, t in _TAGS.items()) + " FROM documents")
 def highlight_styles(spark, d):
     """Words of the query in terminal, HTML and Markdown tags."""
     return _docs(spark, d).select("doc_id", *(F.md5(text.highlight(F.col("text"), F.lit(QUERY), s)).alias(s) for s in ("terminal", "html", "markdown")))
@@ -208,6 +212,23 @@ def bm25_batch(spark, d):
     return bm25.score_all(bm25.fit(_docs(spark, d), only=bm25.query_terms(q)), q).select("doc_id", _r("score").alias("score"))
 
 
+@register(_BM25.replace("{queries}", _ONE) + " SELECT doc_id, round(score, 6) AS score FROM scored")
+def bm25_okapi(spark, d):
+    q = _one_query(spark)
+    return bm25.score(bm25.okapi(_docs(spark, d), only=bm25.query_terms(q)), q).select("doc_id", _r("score").alias("score"))
+
+
+_RARE = "(SELECT item_id AS query_id, concat('zzqqx ', CASE WHEN item_id % 2 = 0 THEN '' ELSE substr(text, 1, 12) END) AS query_text FROM benchmark)"
+
+
+@register(_BM25.replace("{queries}", _RARE) + f" SELECT query_id, doc_id, round(score, 6) AS score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM (SELECT w.query_id, d.doc_id, coalesce(score, 0) AS score FROM {_RARE} w CROSS JOIN documents d LEFT JOIN scored s ON s.query_id = w.query_id AND s.doc_id = d.doc_id)) WHERE r <= 5")
+def bm25_zero_fill(spark, d):
+    """The five best documents of queries that few documents or none match; those without any term fill up by id."""
+    item = F.col("item_id")
+    q = table(spark, d, "benchmark").select(item.alias("query_id"), F.concat(F.lit("zzqqx "), F.when(item % 2 == 0, "").otherwise(F.substring("text", 1, 12))).alias("query_text"))
+    return bm25.top_k(bm25.fit(_docs(spark, d), only=bm25.query_terms(q)), q, 5).select("query_id", "doc_id", _r("score").alias("score"), "rank")
+
+
 @register(f"WITH p AS (SELECT DISTINCT doc_id, unnest(list_filter({TOKENS.format('text')}, lambda x: x NOT IN {STOP})) AS term FROM documents) SELECT term, count(*) AS df, round(ln(((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5) + 1), 6) AS idf FROM p GROUP BY term")
 def bm25_fit(spark, d):
     return bm25.fit(_docs(spark, d)).terms.select("term", "df", _r("idf").alias("idf"))
@@ -258,6 +279,15 @@ def lsh_ann(spark, d):
     return vector_search.lsh_query(vector_search.lsh_index(v, 64, **wide), q, 64, 0.3, **wide).select("query_id", "doc_id", _r("score").alias("score"))
 
 
+@register(f"SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round({_COS}, 6) AS score FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0 AND {_COS} >= 0.95")
+def lsh_near(spark, d):
+    """Neighbours at a cosine of 0.95 by hashing, where tables of few bits miss none."""
+    v = _vectors(spark, d)
+    q = v.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
+    wide = {"tables": 30, "bits": 4}
+    return vector_search.lsh_query(vector_search.lsh_index(v, 64, **wide), q, 64, 0.95, **wide).select("query_id", "doc_id", _r("score").alias("score"))
+
+
 @register(f"SELECT CAST(0 AS BIGINT) AS query_id, v.vec_id AS doc_id, CASE WHEN r <= 20 THEN round(s, 6) ELSE 0.0 END AS score FROM (SELECT v.vec_id, {_COS} AS s, row_number() OVER (ORDER BY round({_COS}, 9) DESC, v.vec_id) AS r FROM embeddings v, (SELECT embedding FROM embeddings WHERE vec_id = 0) q) v")
 def ann_candidates(spark, d):
     v = _vectors(spark, d)
@@ -329,6 +359,32 @@ def minhash_duplicates(spark, d):
     return dedup.duplicate_list(_docs(spark, d), 0.9).select("doc_id", "match_id", _r("similarity").alias("similarity"), "rank")
 
 
+_HASHED = r"(SELECT doc_id, min(doc_id) OVER (PARTITION BY sha256(regexp_replace(lower(text), '^\s+|\s+$', '', 'g'))) AS first FROM documents)"
+
+
+@register(f"SELECT doc_id, doc_id <> first AS is_duplicate, CASE WHEN doc_id <> first THEN first ELSE -1 END AS canonical_doc_id FROM {_HASHED}")
+def duplicates_marked(spark, d):
+    """Every document with the first one of the same content."""
+    docs = _docs(spark, d).select("doc_id", text.content_hash(F.col("text")).alias("content_hash"))
+    found = docs.join(dedup.exact_duplicates(_docs(spark, d)), "content_hash").where("doc_id <> canonical_doc_id")
+    return dedup.mark(docs.select("doc_id"), found).fillna(-1, ["canonical_doc_id"])
+
+
+@register("SELECT (SELECT count(*) FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 6 = 0) AS size, CAST(0 AS BIGINT) AS size_cleared")
+def duplicate_index(spark, d):
+    """Size of the index of signatures after removals, additions (one of them again) and clearing."""
+    signed = dedup.fingerprints(_docs(spark, d))
+    index = dedup.remove(signed, signed.where("doc_id % 3 = 0"))
+    index = dedup.add(dedup.add(index, signed.where("doc_id % 6 = 0")), signed.where("doc_id % 12 = 0"))
+    return dedup.size(index).crossJoin(dedup.size(dedup.clear(index)).withColumnRenamed("size", "size_cleared"))
+
+
+@register()
+def duplicate_skips(spark, d):
+    """Documents that stay if each in id order goes when an earlier one that stayed matches it."""
+    return dedup.handle(_docs(spark, d), "skip").select("doc_id", "kept", "canonical_doc_id")
+
+
 @register()
 def duplicate_decisions(spark, d):
     return dedup.handle(_docs(spark, d), "flag").select("doc_id", "kept", "canonical_doc_id")
@@ -361,11 +417,14 @@ for _name, (_expr, _where) in _FILTERS.items():
     register(f"SELECT doc_id FROM {_META} WHERE coalesce({_where}, false)")(_run)
 
 
-@register("SELECT doc_id, quality IS NOT NULL AS valid_flag FROM (SELECT doc_id, 1 AS quality FROM documents)")
+@register("SELECT doc_id, doc_id % 4 <> 1 AND doc_id % 3 = 0 AS valid_flag FROM documents")
 def filter_schema(spark, d):
-    """Metadata against its declared types."""
-    ok = filters.valid(F.col("metadata"), {"lang": "TEXT", "n_chars": "NUMBER", "tags": "ARRAY", "quality": "NUMBER"})
-    return _metadata(spark, d).select("doc_id", ok.alias("valid_flag"))
+    """Metadata whose fields have changing types against the declared ones; a missing field is no fault, a boolean counts as a number."""
+    i = F.col("doc_id")
+    grade = F.when(i % 4 == 0, F.lit('"grade": 2.5, ')).when(i % 4 == 1, F.lit('"grade": "two", ')).when(i % 4 == 2, F.lit("")).otherwise(F.lit('"grade": true, '))
+    tags = F.when(i % 3 == 0, F.lit('["a", "b"]')).when(i % 3 == 1, F.lit('"a"')).otherwise(F.lit("7"))
+    meta = F.concat(F.lit("{"), grade, F.lit('"tags": '), tags, F.lit("}"))
+    return _docs(spark, d).select("doc_id", filters.valid(meta, {"grade": "NUMBER", "tags": "ARRAY"}).alias("valid_flag"))
 
 
 @register("SELECT doc_id, coalesce(CAST(u.quality AS VARCHAR), d.source) AS metadata FROM documents d LEFT JOIN labels u USING (doc_id)")
@@ -462,9 +521,10 @@ def eval_metrics(spark, d):
     return m.select("query_id", *(_r(c).alias(c) for c in evaluation.METRICS))
 
 
-@register()
+@register(f"SELECT 'exact' AS config, count(*) AS num_queries, {', '.join(f'round(avg({m}), 4) AS avg_{m}' for m in evaluation.METRICS)} FROM ({_SQL['eval_metrics']})")
 def eval_report(spark, d):
-    return evaluation.report(_evaluated(spark, d).withColumn("config", F.lit("exact")), "config")
+    m = eval_metrics(spark, d).withColumn("config", F.lit("exact"))
+    return evaluation.report(m, "config").select("config", "num_queries", *(_r(f"avg_{c}", 4).alias(f"avg_{c}") for c in evaluation.METRICS))
 
 
 @register("SELECT event_type AS config, count(*) AS num_queries, round(avg(value), 6) AS avg_latency_ms, round(quantile_cont(value, 0.5), 6) AS p50_latency_ms, round(quantile_cont(value, 0.95), 6) AS p95_latency_ms, round(quantile_cont(value, 0.99), 6) AS p99_latency_ms FROM events GROUP BY 1")

@@ -190,3 +190,31 @@ def test_profiles_count_whole_texts(spark):
 
     got = fit_profiles(spark.createDataFrame([("a" * 1500 + "xyz", "en")], "text string, lang string"))
     assert "xyz" in got["en"]
+
+
+def test_duplicates_in_id_order(spark):
+    """skip against the rule row by row, on the same signatures; lists with all copies."""
+    import random
+
+    r = random.Random(6)
+    base = "".join(r.choices("abcdefghij ", k=400))
+    texts = []
+    for k in range(40):
+        t = list(r.choice([base, *texts[-6:]]) if texts else base)
+        for _ in range(r.choice([0, 0, 3, 8])):
+            t[r.randrange(len(t))] = r.choice("klmnop")
+        texts.append("".join(t))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    sig = {x["doc_id"]: x["signature"] for x in dedup.fingerprints(df).collect()}
+    near = {(x["doc_id"], x["match_id"]): x["similarity"] for x in dedup.lookup(dedup.fingerprints(df), dedup.fingerprints(df), 0.9).collect()}
+    kept, want = [], {}
+    for i in range(40):
+        match = sorted((-near[i, j], j) for j in kept if (i, j) in near)
+        want[i] = match[0][1] if match else None
+        if not match:
+            kept.append(i)
+    got = {x["doc_id"]: x for x in dedup.handle(df, "skip").collect()}
+    assert {i: x["canonical_doc_id"] for i, x in got.items()} == want and [i for i, x in sorted(got.items()) if x["kept"]] == kept
+    assert 1 < len(kept) < 40
+    listed = {(x["doc_id"], x["match_id"]) for x in dedup.duplicate_list(df, 0.9, most=40).collect()}
+    assert all((i, j) in listed for i in sig for j in sig if i != j and sig[i] == sig[j])
