@@ -84,6 +84,12 @@ class CachedEncoder:
     def _raw(ids: list[int]) -> bytes:
         return np.asarray(ids, dtype="<u2").tobytes()
 
+    def _whole(self, text: str) -> list[int]:
+        """Ids of a text at once; with special strings or very long words in it by halves."""
+        if any(x in text for x in self.bpe.special) or max(map(len, text.split()), default=0) > 4096:
+            return self.bpe.encode(text)
+        return self.bpe._enc.encode_ordinary(text)
+
     def _learn(self, units: list[str]) -> None:
         if len(self.spaced) > self.LIMIT:
             self.spaced.clear()
@@ -117,7 +123,7 @@ class CachedEncoder:
         out = []
         for t, lines in zip(texts, plain, strict=True):
             if lines is None:
-                out.append(self._raw(self.bpe.encode(t)))
+                out.append(self._raw(self._whole(t)))
                 continue
             parts = []
             for ln in lines:
