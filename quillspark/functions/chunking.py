@@ -27,13 +27,15 @@ def sentence_chunks(docs: DataFrame, max_sentences: int = 3, overlap: int = 1) -
     sentences = F.filter(F.split(strip(F.coalesce("text", F.lit(""))), _SENTENCE), lambda s: F.length(strip(s)) > 0)
     d = docs.select("doc_id", sentences.alias("s")).where(F.size("s") > 0)
     starts = F.sequence(F.lit(0), F.size("s") - 1, F.lit(max_sentences - overlap))
-    return d.select("doc_id", "s", F.posexplode(starts).alias("chunk_id", "at")).select(
+    # Joined before they become rows, so that no row carries all sentences of its text.
+    windows = F.transform(starts, lambda i: F.struct(i.alias("at"), F.array_join(F.slice("s", i + 1, max_sentences), " ").alias("content"), F.least(F.lit(max_sentences), F.size("s") - i).alias("n")))
+    return d.select("doc_id", F.posexplode_outer(windows).alias("chunk_id", "w")).select(
         "doc_id",
         "chunk_id",
-        F.array_join(F.slice("s", F.col("at") + 1, max_sentences), " ").alias("content"),
+        F.col("w.content").alias("content"),
         F.lit(None).cast("int").alias("start_char"),
         F.lit(None).cast("int").alias("end_char"),
-        F.create_map(F.lit("sentence_count"), F.least(F.lit(max_sentences), F.size("s") - F.col("at")).cast("string"), F.lit("start_sentence"), F.col("at").cast("string")).alias("metadata"),
+        F.create_map(F.lit("sentence_count"), F.col("w.n").cast("string"), F.lit("start_sentence"), F.col("w.at").cast("string")).alias("metadata"),
     )
 
 
@@ -45,7 +47,7 @@ def sliding_chunks(docs: DataFrame, size: int = 512, overlap: int = 128) -> Data
     d = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(n > 0)
     starts = F.filter(F.sequence(F.lit(0), n - 1, F.lit(step)), lambda i: (i == 0) | (i - step + size < n))
     windows = F.filter(F.transform(starts, lambda i: F.struct(i.alias("at"), strip(F.substring(F.col("text"), i + 1, F.lit(size))).alias("content"))), lambda w: F.length(w["content"]) > 0)
-    return d.select("doc_id", n.alias("n"), F.posexplode(windows).alias("chunk_id", "w")).select(
+    return d.select("doc_id", n.alias("n"), windows.alias("windows")).select("doc_id", "n", F.posexplode_outer("windows").alias("chunk_id", "w")).where("w is not null").select(
         "doc_id", "chunk_id", F.col("w.content").alias("content"), F.col("w.at").alias("start_char"), F.least(F.col("w.at") + size, F.col("n")).alias("end_char"), F.create_map().cast("map<string,string>").alias("metadata")
     )
 

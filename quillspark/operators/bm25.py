@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from .lexical import few_or_merge
+
 
 
 @dataclass
 class Bm25:
-    """postings (term, doc_id, tf), lengths (doc_id, dl), terms (term, df, idf), stats (n, avgdl: one row)."""
+    """postings (term, doc_id, tf, dl), lengths (doc_id, dl), terms (term, df, idf), stats (n, avgdl: one row)."""
 
     postings: DataFrame
     lengths: DataFrame
@@ -23,17 +25,37 @@ class Bm25:
     b: float = 0.75
     delta: float = 0.0
 
+    def save(self, path: str) -> None:
+        """Each table as Parquet below path, for load(); postings sorted by term, so that a query's terms prune row groups."""
+        for name in TABLES:
+            rows = getattr(self, name)
+            (rows.repartition("term").sortWithinPartitions("term") if name == "postings" else rows).write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+TABLES = ("postings", "lengths", "terms", "stats")
+
+
+def load(spark: SparkSession, path: str, k1: float = 1.5, b: float = 0.75, delta: float = 0.0) -> Bm25:
+    """A saved index; queries read it without the texts."""
+    return Bm25(*(spark.read.parquet(f"{path}/{name}") for name in TABLES), k1, b, delta)
+
 
 def fit(docs: DataFrame, k1: float = 1.5, b: float = 0.75, delta: float = 0.0, drop_stop_words: bool = True, only: DataFrame | None = None) -> Bm25:
     """Statistics of docs (doc_id, text). With only (term), postings are kept for these terms alone, before any shuffle of all tokens."""
-    t = docs.select("doc_id", tokens(F.col("text"), drop_stop_words).alias("t"))
-    lengths = t.select("doc_id", F.size("t").cast("long").alias("dl"))
+    t = docs.select("doc_id", tokens(F.col("text"), drop_stop_words).alias("t")).select("doc_id", "t", F.size("t").cast("long").alias("dl"))
+    lengths = t.select("doc_id", "dl")
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    words = t.select("doc_id", F.explode("t").alias("term"))
-    if only is not None:
-        words = words.join(only.select("term").distinct(), "term", "left_semi")
-    postings = words.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"))
-    df = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    wanted = None if only is None else few_or_merge(only.select("term").distinct())
+
+    def kept(words: DataFrame) -> DataFrame:
+        return words if wanted is None else words.join(wanted, "term", "left_semi")
+
+    # explode() would test the token list before the texts are dealt out, in the few tasks of a small scan; the outer form does not.
+    # The length goes with the words, so that scoring joins postings with nothing as large as the corpus.
+    words = kept(t.select("doc_id", "dl", F.explode_outer("t").alias("term")).where("term is not null"))
+    postings = words.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
+    # Counted from each document's distinct words: partial counts a term are all that is shuffled.
+    df = kept(t.select(F.explode_outer(F.array_distinct("t")).alias("term")).where("term is not null")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     terms = df.crossJoin(F.broadcast(stats)).select("term", "df", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
     return Bm25(postings, lengths, terms, stats, k1, b, delta)
 
@@ -54,8 +76,8 @@ def query_terms(queries: DataFrame, drop_stop_words: bool = True) -> DataFrame:
 
 def score(index: Bm25, queries: DataFrame, drop_stop_words: bool = True) -> DataFrame:
     """(query_id, doc_id, score) of documents with at least one query term; for BM25+ without the part every document gets."""
-    q = query_terms(queries, drop_stop_words).join(index.terms, "term")
-    hits = q.join(index.postings, "term").join(index.lengths, "doc_id").crossJoin(F.broadcast(index.stats))
+    q = query_terms(queries, drop_stop_words)
+    hits = index.postings.join(few_or_merge(q, q.join(index.terms, "term")), "term").crossJoin(F.broadcast(index.stats))
     tf, norm = F.col("tf"), index.k1 * (1 - index.b + index.b * F.col("dl") / F.col("avgdl"))
     part = F.col("qtf") * F.col("idf") * tf * (index.k1 + 1) / (tf + norm)
     return hits.groupBy("query_id", "doc_id").agg(F.sum(part).alias("score"))
@@ -96,4 +118,4 @@ def top_k(index: Bm25, queries: DataFrame, k: int = 5, drop_stop_words: bool = T
     return out
 
 
-__all__ = ["Bm25", "W", "constant", "fit", "okapi", "plus", "query_terms", "score", "score_all", "top_k"]
+__all__ = ["Bm25", "W", "constant", "fit", "load", "okapi", "plus", "query_terms", "score", "score_all", "top_k"]

@@ -21,6 +21,15 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     return docs.select(content_hash(F.col("text")).alias("content_hash"), "doc_id").groupBy("content_hash").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("canonical_doc_id")).where("copies > 1")
 
 
+def _kept(rows: DataFrame) -> DataFrame:
+    """rows computed once, in the checkpoint folder that the session names (else one in the warehouse)."""
+    spark = rows.sparkSession
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
+    return rows.checkpoint()
+
+
 def fingerprints(docs: DataFrame, permutations: int = PERMUTATIONS) -> DataFrame:
     """(doc_id, signature): MinHash of the distinct character trigrams, with fixed permutations; without shingles null."""
     rng = np.random.default_rng(1)
@@ -68,7 +77,7 @@ def lookup(signed: DataFrame, index: DataFrame, threshold: float = 0.9) -> DataF
 
 def duplicate_list(docs: DataFrame, threshold: float = 0.9, most: int = 5) -> DataFrame:
     """For each document up to `most` matches, copies of itself included, best first."""
-    s = fingerprints(docs)
+    s = _kept(fingerprints(docs))
     signed = s.where("signature is not null")
     order = W.partitionBy("signature").orderBy("doc_id")
     members = signed.withColumn("r", F.row_number().over(order)).withColumn("first", F.min("doc_id").over(order)).where(F.col("r") <= most + 1).select("first", F.col("doc_id").alias("match_id"))
@@ -99,11 +108,7 @@ def _dropped(pairs: DataFrame) -> DataFrame:
 
     In each round, matches without an open match of their own are kept, and what they match goes.
     """
-    spark = pairs.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
-    edges = pairs.select("doc_id", "match_id").checkpoint()
+    edges = _kept(pairs.select("doc_id", "match_id"))
     out = edges.select("doc_id").limit(0)
     while edges.take(1):
         sure = edges.select("match_id").distinct().join(edges.select(F.col("doc_id").alias("match_id")).distinct(), "match_id", "left_anti")
@@ -120,7 +125,7 @@ def handle(docs: DataFrame, action: str = "flag", threshold: float = 0.9) -> Dat
     """
     if action not in ("flag", "skip", "merge"):
         raise ValueError(f"unknown action {action!r}")
-    s = fingerprints(docs)
+    s = _kept(fingerprints(docs))
     # Of equal signatures the first document alone can be kept, so matches are looked up among these.
     earlier = lookup(s, s, threshold).where("match_id < doc_id")
     if action != "flag":

@@ -9,6 +9,19 @@ from ..functions.fuzzy import fuzzy_partial
 from ..functions.text import tokens
 
 
+#: Rows of query terms that are broadcast at most.
+FEW = 100_000
+
+
+def few_or_merge(terms: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """rows (terms themselves if not given, else no more of them) marked for broadcast if terms, counted here, are few; otherwise for a merge join.
+
+    Without the count the planner, which guesses sizes from files, may send the corpus's terms to the one task of a query's.
+    """
+    out = terms if rows is None else rows
+    return F.broadcast(out) if len(terms.select(F.lit(1)).take(FEW + 1)) <= FEW else out.hint("merge")
+
+
 def overlap(query: Column, text: Column) -> Column:
     """Share of the query's distinct tokens that the text has; 0 without query tokens."""
     q = F.array_distinct(tokens(query))
@@ -19,8 +32,8 @@ def overlap_scores(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score) of pairs with a shared token, joined on tokens."""
     q = queries.select("query_id", F.array_distinct(tokens(F.col("query_text"))).alias("t"))
     q = q.select("query_id", F.size("t").alias("n"), F.explode("t").alias("term"))
-    d = docs.select("doc_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
-    return d.join(q, "term").groupBy("query_id", "doc_id").agg((F.count(F.lit(1)) / F.first("n")).alias("score"))
+    d = docs.select("doc_id", F.explode_outer(F.array_distinct(tokens(F.col("text")))).alias("term")).where("term is not null")
+    return d.join(few_or_merge(q), "term").groupBy("query_id", "doc_id").agg((F.count(F.lit(1)) / F.first("n")).alias("score"))
 
 
 def hybrid_lexical(docs: DataFrame, queries: DataFrame, fuzzy_weight: float = 0.7, overlap_weight: float = 0.3) -> DataFrame:

@@ -14,7 +14,7 @@ from ..operators import bm25, cache, dedup, evaluation, feedback, fusion, lexica
 from ..operators.providers import embed
 from ..shipping import ship
 from ..sources import store
-from ..sources.loader import corpus_frame
+from ..sources.loader import corpus_frame, spread
 from ..streaming import jobs, stateful
 from . import pipelines
 
@@ -45,7 +45,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 def _one_query(spark, query: str = QUERY) -> DataFrame:

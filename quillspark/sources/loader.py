@@ -51,6 +51,12 @@ def discover(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SUFFIXE
     return load(spark, path, suffixes).select("source_path", normalise(F.col("raw")).alias("content"), text_stats(F.col("raw")).alias("stats")).where("content <> ''")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows of a file scan, dealt out evenly if it has fewer splits than there are cores (few or unsplittable files); else as they are, without a shuffle."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows._jdf.queryExecution().toRdd().getNumPartitions() < cores else rows
+
+
 def from_list(spark: SparkSession, texts: list[str], paths: list[str] | None = None) -> DataFrame:
     """The corpus frame of a list: doc_id, content, source_path, char_count, word_count."""
     paths = paths or [""] * len(texts)
