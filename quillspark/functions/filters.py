@@ -140,6 +140,31 @@ def compile_filter(meta: Column, tree: object | str) -> Column:
     return out
 
 
+def _quoted(x: object) -> str:
+    return "'" + (str(x).lower() if isinstance(x, bool) else str(x)).replace("'", "''") + "'"
+
+
+def to_sql(tree: object | str, meta: str = "metadata", extract: str = "json_extract_string") -> str:
+    """The filter as the text of a WHERE clause over JSON, for engines without Columns; the engine here uses compile_filter.
+
+    Looser than that: equality compares texts, order casts to DOUBLE, ~ minds the case, ALL holds for every row, missing fields are null. Quotes in values are doubled. extract names the function that takes the JSON and a path (get_json_object in Spark).
+    """
+    tree = parse(tree) if isinstance(tree, str) else tree
+    if isinstance(tree, Not):
+        return f"NOT ({to_sql(tree.part, meta, extract)})"
+    if isinstance(tree, All | Any):
+        word = " AND " if isinstance(tree, All) else " OR "
+        return "(" + word.join(to_sql(p, meta, extract) for p in tree.parts) + ")"
+    field = f"{extract}({meta}, {_quoted('$.' + tree.field)})"
+    if tree.op in ("=", "!="):
+        return f"{field} {tree.op} {_quoted(tree.value)}"
+    if tree.op in (">", ">=", "<", "<="):
+        return f"CAST({field} AS DOUBLE) {tree.op} {float(tree.value)!r}"
+    if tree.op == "~":
+        return f"{field} LIKE {_quoted(f'%{tree.value}%')}"
+    return "1=1" if tree.op == "ALL" else f"{field} IN ({', '.join(map(_quoted, tree.value))})"
+
+
 def apply_filter(rows: DataFrame, filter_: object | str, meta: str = "metadata") -> DataFrame:
     return rows.where(compile_filter(F.col(meta), filter_))
 

@@ -60,9 +60,14 @@ class Engine:
             d = d.where(F.col("language") == language)
         return d.select("doc_id", F.col("content").alias("text"))
 
-    def search(self, queries: DataFrame | str, k: int = 5, pipeline: str = "basic", where: str | None = None, language: str | None = None, highlights: bool = False, log: bool = True, learned: bool = False, **options: object) -> DataFrame:
-        """Hits of one query or of queries (query_id, query_text); metadata and language filters come before scoring."""
+    def search(self, queries: DataFrame | str, k: int = 5, pipeline: str = "basic", where: str | None = None, language: str | None = None, highlights: bool = False, log: bool = True, learned: bool = False, mode: str = "pre", **options: object) -> DataFrame:
+        """Hits of one query or of queries (query_id, query_text); metadata and language filters come before scoring or, with mode="post", thin out the best 3k hits, which may leave less than k."""
         _check("k", k, 1, 100)
+        for name in ("semantic_weight", "lexical_weight"):
+            if options.get(name) is not None:
+                _check(name, options[name], 0, 1)
+        if mode not in ("pre", "post"):
+            raise ValueError(f"unknown mode {mode!r}")
         q = self._queries(queries)
         if learned:
             w = feedback.learned_weights(self.store.read("query_history"), self.store.read("feedback")).collect()[0]
@@ -70,7 +75,13 @@ class Engine:
         elif pipeline == "basic":
             a, b = fusion.check_weights(options.get("semantic_weight"), options.get("lexical_weight"))
             options |= {"semantic_weight": a, "lexical_weight": b}
-        out = create(pipeline, highlights=highlights, **self.parts, **options).index(self._corpus(where, language)).search(q, k)
+        post = mode == "post" and bool(where or language)
+        searcher = create(pipeline, highlights=highlights, **self.parts, **options)
+        out = searcher.index(self._corpus() if post else self._corpus(where, language)).search(q, 3 * k if post else k)
+        if post:
+            document = "parent_id" if "parent_id" in out.columns else "doc_id"
+            allowed = self._corpus(where, language).select(F.col("doc_id").alias(document))
+            out = fusion.top_per_query(out.drop("rank").join(allowed, document, "left_semi"), k)
         if log:
             self.log_queries(q, k, options.get("semantic_weight"), options.get("lexical_weight"))
         return out
@@ -104,10 +115,12 @@ class Engine:
         return fusion.rerank(found, self.parts["pair_score"], k or len(ids))
 
     def ask(self, query: str, k: int = 5) -> DataFrame:
+        _check("k", k, 1, 10)
         q = self._queries(query)
         return rag.ask(self.search(q, k, "rag", log=False), q, self.parts["generate"])
 
     def suggest(self, text: str, limit: int = 10) -> DataFrame:
+        _check("limit", limit, 1, 50)
         return suggest.suggest(self.store.read("suggestions"), text, limit=limit)
 
     # Upkeep.
@@ -131,5 +144,18 @@ class Engine:
         """One row: documents, query and feedback counts and means."""
         return self.store.read("docs").agg(F.count(F.lit(1)).alias("total_documents")).crossJoin(feedback.query_stats(self.store.read("query_history"), self.store.read("feedback")))
 
+    def cache_stats(self) -> dict:
+        return self.cache.stats()
+
+    def clear_cache(self) -> int:
+        """Empty the cache; how many entries it had."""
+        return self.cache.clear()
+
+    def metadata(self, doc_id: int) -> str | None:
+        return self.store.metadata(doc_id)
+
+    def set_metadata(self, updates: DataFrame) -> None:
+        self.store.set_metadata(updates)
+
     def health(self) -> dict:
         return {"status": "healthy", "documents": self.store.read("docs").count(), "version": self.store.version()}

@@ -417,6 +417,12 @@ for _name, (_expr, _where) in _FILTERS.items():
     register(f"SELECT doc_id FROM {_META} WHERE coalesce({_where}, false)")(_run)
 
 
+@register(f"SELECT doc_id FROM {_META} WHERE (lang IN ('en', 'fr') AND n_chars >= 500) OR source LIKE '%rc1%'")
+def filter_text(spark, d):
+    """The text form of a filter, run as SQL."""
+    return _metadata(spark, d).where(filters.to_sql("(lang:[en,fr] AND n_chars:>=500) OR source:~rc1", extract="get_json_object")).select("doc_id")
+
+
 @register("SELECT doc_id, doc_id % 4 <> 1 AND doc_id % 3 = 0 AS valid_flag FROM documents")
 def filter_schema(spark, d):
     """Metadata whose fields have changing types against the declared ones; a missing field is no fault, a boolean counts as a number."""
@@ -661,6 +667,9 @@ for _n, _o in (("basic", {}), ("chunked", {"strategy": "sentence"}), ("reranked"
     _pipeline(_n, **_o)
 
 
+_SQL["pipe_bm25"] = _BM25.replace("{queries}", _ONE) + " SELECT CAST(0 AS BIGINT) AS query_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM (SELECT doc_id, coalesce(score, 0) AS score FROM documents LEFT JOIN scored USING (doc_id)) ORDER BY round(score, 9) DESC, doc_id LIMIT 5"
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best documents of every benchmark text by BM25."""
     ship(spark)

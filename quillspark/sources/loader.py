@@ -27,8 +27,8 @@ def flatten_json(raw: str) -> str:
     return str(x)
 
 
-def load(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
-    """(source_path, raw) of the files below path with one of the suffixes, in any case; undecodable bytes make a file empty."""
+def load(spark: SparkSession, path: str | list[str], suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """(source_path, raw) of the files below path (or of the listed files) with one of the suffixes, in any case; undecodable bytes make a file empty."""
 
     @F.pandas_udf("string")
     def decode(content: pd.Series, name: pd.Series) -> pd.Series:
@@ -46,7 +46,7 @@ def load(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SUFFIXES) -
     return files.where(wanted).select(F.col("path").alias("source_path"), decode("content", "path").alias("raw"))
 
 
-def discover(spark: SparkSession, path: str, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+def discover(spark: SparkSession, path: str | list[str], suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
     """(source_path, content, stats): normalised contents and statistics of the raw ones; blank files are left out."""
     return load(spark, path, suffixes).select("source_path", normalise(F.col("raw")).alias("content"), text_stats(F.col("raw")).alias("stats")).where("content <> ''")
 

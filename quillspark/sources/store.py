@@ -1,4 +1,4 @@
-"""The persistent corpus: Parquet tables under one folder, written whole and switched by a version."""
+"""The persistent corpus: Parquet tables under one folder; a version written whole, and folders of rows appended to it."""
 
 from __future__ import annotations
 
@@ -20,6 +20,9 @@ SCHEMAS = {
     "jobs": "job_id string, status string, progress double, message string, created_at timestamp_ntz, updated_at timestamp_ntz",
 }
 
+#: Appended folders of a version at most.
+APPENDS = 32
+
 
 class Store:
     """Tables of one corpus. Each write makes a new version; readers of the old one are not disturbed."""
@@ -41,13 +44,21 @@ class Store:
     def versions(self, name: str) -> list[int]:
         if not self._fs.exists(self._at(name)):
             return []
+        return sorted(v for v, k in self._folders(name) if k == 0)
+
+    def _folders(self, name: str) -> list[tuple[int, int]]:
+        """(version, number of the append, 0 for the version itself) of the folders written to the end."""
         done = []
         for s in self._fs.listStatus(self._at(name)):
             part = s.getPath().getName()
             if part.startswith("v") and self._fs.exists(self._at(f"{name}/{part}/_SUCCESS")):
-                done.append(int(part[1:]))
+                v, _, k = part[1:].partition("_")
+                done.append((int(v), int(k or 0)))
         return sorted(done)
 
+    def _folder(self, name: str, version: int, k: int) -> str:
+        return f"{name}/v{version}" + (f"_{k}" if k else "")
+
     def create(self) -> Store:
         """Empty tables where there are none."""
         for name, schema in SCHEMAS.items():
@@ -57,21 +68,31 @@ class Store:
 
     def read(self, name: str) -> DataFrame:
         v = self.versions(name)
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}/v{v[-1]}") if v else self.spark.createDataFrame([], SCHEMAS[name])
+        if not v:
+            return self.spark.createDataFrame([], SCHEMAS[name])
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*(f"{self.path}/{self._folder(name, *f)}" for f in self._folders(name) if f[0] == v[-1]))
 
     def write(self, name: str, rows: DataFrame) -> None:
         """A new version; the last two stay."""
         old = self.versions(name)
+        self._typed(name, rows).write.parquet(f"{self.path}/{name}/v{(old[-1] if old else 0) + 1}")
+        for f in self._folders(name):
+            if f[0] in old[:-1]:
+                self._fs.delete(self._at(self._folder(name, *f)), True)
+
+    def _typed(self, name: str, rows: DataFrame) -> DataFrame:
         cols = [f.split(" ")[0] for f in SCHEMAS[name].split(", ")]
         have = dict(rows.dtypes)
         kinds = dict(f.split(" ", 1) for f in SCHEMAS[name].split(", "))
-        full = rows.select(*((F.col(c) if c in have else F.lit(None)).cast(kinds[c]).alias(c) for c in cols))
-        full.write.parquet(f"{self.path}/{name}/v{(old[-1] if old else 0) + 1}")
-        for v in old[:-1]:
-            self._fs.delete(self._at(f"{name}/v{v}"), True)
+        return rows.select(*((F.col(c) if c in have else F.lit(None)).cast(kinds[c]).alias(c) for c in cols))
 
     def append(self, name: str, rows: DataFrame) -> None:
-        self.write(name, self.read(name).unionByName(rows, allowMissingColumns=True))
+        """Rows in a folder of their own, so that only they are written; after APPENDS of them the table is written anew."""
+        last = self._folders(name)[-1] if self.versions(name) else None
+        if last is None or last[1] >= APPENDS:
+            self.write(name, self.read(name).unionByName(self._typed(name, rows)))
+        else:
+            self._typed(name, rows).write.parquet(f"{self.path}/{self._folder(name, last[0], last[1] + 1)}")
 
     def version(self) -> int:
         v = self.versions("docs")
@@ -96,6 +117,17 @@ class Store:
         self.append("embeddings", self.read("docs").where(F.col("doc_id") >= start).select("doc_id", embed(F.col("content")).alias("embedding")))
         return self.all()
 
+    def sync(self, changes: list[tuple[str, str]]) -> DataFrame:
+        """Take changes (path, created | modified | deleted) of files: rows of changed and deleted ones go, created and changed ones are added with the next ids; all other rows keep theirs."""
+        gone = [p for p, kind in changes if kind != "created"]
+        if gone:
+            left = self.spark.createDataFrame([(p,) for p in gone], "source_path string")
+            ids = self.read("docs").join(left, "source_path", "left_semi").select("doc_id")
+            self.write("embeddings", self.read("embeddings").join(ids, "doc_id", "left_anti"))
+            self.write("docs", self.read("docs").join(left, "source_path", "left_anti"))
+        new = [p for p, kind in changes if kind != "deleted"]
+        return self.add(discover(self.spark, new).select("content", "source_path")) if new else self.all()
+
     def _new(self, rows: DataFrame, start: int) -> DataFrame:
         return with_ids(rows, start).transform(lambda d: corpus_frame(d.withColumn("content", normalise(F.col("content"))))).withColumn("indexed_at", F.localtimestamp()).withColumn("fingerprint", content_hash(F.col("content"))).withColumn("is_duplicate", F.lit(False))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -42,6 +44,27 @@ def limited(times: list[float], limit: int = LIMIT, window: float = WINDOW, coun
     return out, state
 
 
+class Limiter:
+    """limited() for the callers of a service, one window for each identifier (kept by its digest only)."""
+
+    def __init__(self, limit: int = LIMIT, window: float = WINDOW, now: Callable[[], float] = time.time):
+        self.limit, self.window, self.now = limit, window, now
+        self._windows: dict[str, tuple[float, int]] = {}
+
+    @staticmethod
+    def key(identifier: str) -> str:
+        return hashlib.md5(identifier.encode()).hexdigest()
+
+    def check(self, identifier: str, limit: int | None = None) -> tuple[bool, dict[str, int]]:
+        """Whether this request may pass; limit, remaining, reset and, if not, retry_after."""
+        key, at, most = self.key(identifier), self.now(), limit or self.limit
+        [(ok, left, end)], self._windows[key] = limited([at], most, self.window, self._windows.get(key))
+        return ok, {"limit": most, "remaining": left, "reset": int(end)} | ({} if ok else {"retry_after": int(end - at)})
+
+    def reset(self, identifier: str) -> None:
+        self._windows.pop(self.key(identifier), None)
+
+
 def _seconds(s: pd.Series) -> list[float]:
     return (s.astype("datetime64[us]").astype("int64") / 1e6).tolist()
 
@@ -162,8 +185,6 @@ class FileWatcher:
 
     def poll(self, now: float | None = None) -> list[tuple[str, str]]:
         """(path, change) since the last poll, without those within the gap of the path's last accepted one."""
-        import time
-
         if self._last is None:
             raise RuntimeError("the watcher is not running")
         at = time.time() if now is None else now
@@ -193,8 +214,8 @@ class FileWatcher:
 
 
 def auto_index(spark: SparkSession, path: str, store: object) -> FileWatcher:
-    """A watcher that indexes its folder again on any change."""
-    return FileWatcher(spark, path, lambda changes: store.replace_from(path))
+    """A watcher that takes the changed files, and only these, into the store."""
+    return FileWatcher(spark, path, store.sync)
 
 
 def new_files_stream(spark: SparkSession, path: str) -> DataFrame:

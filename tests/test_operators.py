@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.operators import auth, cache, dedup, evaluation, fusion, rag, suggest, vector_search
+from quillspark.functions import filters
+from quillspark.operators import auth, bm25, cache, dedup, evaluation, fusion, rag, suggest, vector_search
 from quillspark.plans import pipelines
 from quillspark.plans.engine import Engine
 from quillspark.sources import loader, store
@@ -218,3 +219,89 @@ def test_duplicates_in_id_order(spark):
     assert 1 < len(kept) < 40
     listed = {(x["doc_id"], x["match_id"]) for x in dedup.duplicate_list(df, 0.9, most=40).collect()}
     assert all((i, j) in listed for i in sig for j in sig if i != j and sig[i] == sig[j])
+
+
+def test_store_appends_and_syncs(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / "in" / f"{i}.txt").write_text(f"text number {i}")
+    s = store.Store(spark, str(tmp_path / "store")).create()
+    s.replace_from(str(tmp_path / "in"))
+    before = s.version()
+    w = stateful.auto_index(spark, str(tmp_path / "in"), s)
+    w.gap = 0.0
+    w.start()
+    (tmp_path / "in" / "3.txt").write_text("text number 3")
+    w.poll()
+    assert s.version() == before and [r["doc_id"] for r in s.all().collect()] == [0, 1, 2, 3]
+    (tmp_path / "in" / "0.txt").write_text("changed text")
+    (tmp_path / "in" / "1.txt").unlink()
+    w.poll()
+    got = {r["doc_id"]: r["content"] for r in s.all().collect()}
+    assert got == {2: "text number 2", 3: "text number 3", 4: "changed text"}
+    assert sorted(r["doc_id"] for r in s.read("embeddings").collect()) == [2, 3, 4]
+
+
+def test_many_appends_make_a_version(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store, "APPENDS", 2)
+    s = store.Store(spark, str(tmp_path)).create()
+    row = lambda i: spark.createDataFrame([(f"q{i}", i)], "query_text string, frequency long")
+    for i in range(4):
+        s.append("suggestions", row(i))
+    assert s.versions("suggestions") == [1, 2] and sorted(r["frequency"] for r in s.read("suggestions").collect()) == [0, 1, 2, 3]
+
+
+def test_saved_indexes(spark, docs, query, tmp_path):
+    v = spark.createDataFrame([(i, np.random.default_rng(i).standard_normal(8).tolist()) for i in range(30)], "doc_id long, embedding array<double>")
+    q = v.where("doc_id < 5").select(F.col("doc_id").alias("query_id"), "embedding")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    vector_search.save_index(v.where("doc_id < 20"), str(tmp_path / "ann"), 8, tables=6, bits=3, seed=7)
+    vector_search.append_index(v.where("doc_id >= 20"), str(tmp_path / "ann"))
+    index, options = vector_search.load_index(spark, str(tmp_path / "ann"))
+    whole = vector_search.lsh_query(vector_search.lsh_index(v, 8, tables=6, bits=3, seed=7), q, 8, 0.2, tables=6, bits=3, seed=7)
+    assert rows(vector_search.lsh_query(index, q, threshold=0.2, **options)) == rows(whole)
+    made = bm25.fit(docs)
+    made.save(str(tmp_path / "bm25"))
+    assert rows(bm25.score(bm25.load(spark, str(tmp_path / "bm25")), query)) == rows(bm25.score(made, query))
+
+
+def test_keys_of_requests(spark):
+    clock = [0.0]
+    limiter = stateful.Limiter(now=lambda: clock[0])
+    key, keys = auth.generate(spark, "me", ("search",), rate_limit=2)
+    assert auth.presented({"x-api-key": "a"}, {"api_key": "b"}) == "a" and auth.presented({}, {"api_key": "b"}) == "b" and auth.presented({}) is None
+    row, headers = auth.authorise(keys, key, limiter, "search")
+    assert row["name"] == "me" and headers == {"X-RateLimit-Limit": "2", "X-RateLimit-Remaining": "1", "X-RateLimit-Reset": "60"}
+
+    def status(*args, **more):
+        with pytest.raises(auth.Denied) as e:
+            auth.authorise(keys, *args, **more)
+        return e.value.status, e.value.headers.get("Retry-After")
+
+    assert status(None, limiter) == (401, None) and status("wrong", limiter) == (401, None)
+    assert status(key, limiter, "index") == (403, None)
+    clock[0] = 20.0
+    assert status(key, limiter) == (429, "40")
+    limiter.reset(key)
+    assert auth.authorise(keys, key, limiter)[0]["name"] == "me"
+    assert auth.authorise(keys, None, limiter, address="10.0.0.1")[0] is None
+    assert all(key not in k and len(k) == 32 for k in limiter._windows)
+
+
+def test_filter_text():
+    assert filters.to_sql('a:"it\'s" AND NOT b:>2') == "(json_extract_string(metadata, '$.a') = 'it''s' AND NOT (CAST(json_extract_string(metadata, '$.b') AS DOUBLE) > 2.0))"
+    assert filters.to_sql(filters.Leaf("t", "ALL", ["a"])) == "1=1"
+
+
+def test_filters_after_the_search(spark, tmp_path):
+    rows = spark.createDataFrame([(t, f"p{i}") for i, t in enumerate(CORPUS)], "content string, source_path string")
+    e = Engine(spark, str(tmp_path / "store"))
+    e.index(rows)
+    ids = {r["content"]: r["doc_id"] for r in e.store.all().collect()}
+    e.set_metadata(spark.createDataFrame([(ids[CORPUS[2]], '{"kind":"proverb"}'), (ids[CORPUS[1]], '{"kind":"spark"}')], "doc_id long, metadata string"))
+    got = e.search("early bird", 1, where="kind:proverb", mode="post", log=False).collect()
+    assert [(r["doc_id"], r["rank"]) for r in got] == [(ids[CORPUS[2]], 1)] and e.metadata(ids[CORPUS[1]]) == '{"kind":"spark"}'
+    assert e.cache_stats()["size"] == 0 and e.clear_cache() == 0
+    for bad in (lambda: e.ask("x", 11), lambda: e.suggest("x", 51), lambda: e.search("x", semantic_weight=1.5), lambda: e.search("x", mode="sideways")):
+        with pytest.raises(ValueError):
+            bad()
