@@ -30,7 +30,7 @@ def tune(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; a temporary one only where unset."""
+    """The shared folder the cluster names in spark.checkpoint.dir; where unset, a temporary one in local mode, as in tests, and an error elsewhere."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir")
     if named:
@@ -39,6 +39,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         return named
     found = sc._jsc.sc().getCheckpointDir()
     if not found.isDefined():
+        if not sc.master.startswith("local"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
         found = sc._jsc.sc().getCheckpointDir()
     return found.get()
