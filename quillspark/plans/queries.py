@@ -613,6 +613,15 @@ def semantic_cache_linear(spark, d):
     return cache.semantic_lookup_linear(e, q, 0.3, F.lit("2025-01-01").cast("timestamp")).select("query_id", "key", _r("score").alias("score"))
 
 
+@register(f"SELECT query_id, key, round(score, 6) AS score, results FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, key DESC) AS r FROM (SELECT q.vec_id AS query_id, v.vec_id AS key, CAST(v.label AS VARCHAR) AS results, {_COS} AS score FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0 AND v.label < 5) WHERE score >= 0.95) WHERE r = 1")
+def semantic_cache(spark, d):
+    """The best live entry for each query by hashing, at the cache's threshold of 0.95."""
+    v = _vectors(spark, d)
+    e = v.select(F.col("doc_id").alias("key"), "embedding", F.col("label").cast("string").alias("results"), F.when(F.col("label") < 5, F.lit("2030-01-01")).otherwise(F.lit("2020-01-01")).cast("timestamp").alias("expires_at"))
+    q = v.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
+    return cache.semantic_lookup(e, q, 64, 0.95, F.lit("2025-01-01").cast("timestamp")).select("query_id", "key", _r("score").alias("score"), "results")
+
+
 @register("SELECT status, count(*) AS n FROM (SELECT user_id, arg_max(event_type, event_id) AS status FROM events GROUP BY 1) GROUP BY 1")
 def job_counts(spark, d):
     return jobs.job_counts(table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), F.col("event_id").alias("updated_at")))

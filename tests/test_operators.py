@@ -1,11 +1,16 @@
 """Operators on small fixtures."""
 
+import math
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions import filters
-from quillspark.operators import auth, bm25, cache, dedup, evaluation, fusion, rag, suggest, vector_search
+from quillspark.functions.text import STOP_WORDS
+from quillspark.operators import auth, bm25, cache, dedup, evaluation, fusion, lexical, rag, suggest, vector_search
+from quillspark.operators.providers import hashed_vectors, lexical_pair_score
 from quillspark.plans import pipelines
 from quillspark.plans.engine import Engine
 from quillspark.sources import loader, store
@@ -305,3 +310,79 @@ def test_filters_after_the_search(spark, tmp_path):
     for bad in (lambda: e.ask("x", 11), lambda: e.suggest("x", 51), lambda: e.search("x", semantic_weight=1.5), lambda: e.search("x", mode="sideways")):
         with pytest.raises(ValueError):
             bad()
+
+
+def _unit(x):
+    x = np.asarray(x, dtype=float)
+    return x / (np.linalg.norm(x) or 1)
+
+
+def test_mmr_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    v = {i: rng.standard_normal(6) for i in range(12)}
+    v[7] = v[3]  # a copy is as near as can be
+    score = {i: round(float(rng.random()), 3) for i in v}
+    rows = [(q, i, score[i], v[i].tolist()) for q in (1, 2) for i in v if q == 1 or i % 2]
+    got = fusion.mmr(spark.createDataFrame(rows, "query_id long, doc_id long, score double, embedding array<double>"), 5, 0.6).collect()
+    for q in (1, 2):
+        left, taken = [i for i in v if q == 1 or i % 2], []
+        while len(taken) < 5:
+            worth = {i: 0.6 * score[i] - 0.4 * max((float(_unit(v[i]) @ _unit(v[j])) for j in taken), default=0.0) for i in left}
+            best = min(left, key=lambda i: (-round(worth[i], 12), -score[i], i))
+            left.remove(best)
+            taken.append(best)
+        assert [r["doc_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == taken
+
+
+def _cosines(query):
+    q, d = (hashed_vectors(x).astype("float32").astype(float) for x in ([query], CORPUS))
+    return [float(_unit(x) @ _unit(q[0])) for x in d]
+
+
+def _scaled(x):
+    return [1.0 if max(x) == min(x) else (y - min(x)) / (max(x) - min(x)) for y in x]
+
+
+def test_hybrid_pipelines_against_brute_force(spark, docs):
+    text = "early bird rows"
+    one = spark.createDataFrame([(1, text)], "query_id long, query_text string")
+    words = lambda t: re.findall("[a-z0-9_]+", t.lower())
+    lex = [r["score"] for r in lexical.hybrid_lexical(docs, one).orderBy("doc_id").collect()]
+    want = [0.7 * s + 0.3 * x for s, x in zip(_scaled(_cosines(text)), _scaled(lex), strict=True)]
+    got = {r["doc_id"]: r["score"] for r in pipelines.create("basic").index(docs).search(one, 5).collect()}
+    assert got == pytest.approx(dict(enumerate(want)), abs=1e-6)
+    kept = [[w for w in words(t) if w not in STOP_WORDS] for t in CORPUS]
+    mean = sum(map(len, kept)) / len(kept)
+    bm = []
+    for t in kept:
+        total = 0.0
+        for w in (w for w in words(text) if w not in STOP_WORDS):
+            df, tf = sum(w in k for k in kept), t.count(w)
+            if df:
+                total += math.log((len(kept) - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(t) / mean))
+        bm.append(total)
+    cos = _cosines(text)
+    top = lambda x: max(x) if max(x) > 0 else 1.0
+    want = [0.6 * s / top(cos) + 0.4 * b / top(bm) for s, b in zip(cos, bm, strict=True)]
+    got = {r["doc_id"]: r["score"] for r in pipelines.create("hybrid_bm25").index(docs).search(one, 5).collect()}
+    assert got == pytest.approx(dict(enumerate(want)), abs=1e-6)
+    staged = pipelines.create("multi_stage", stage1_k=4, stage2_k=2).index(docs).search(one, 2).collect()
+    first = sorted(range(5), key=lambda i: (-round(cos[i], 9), i))[:4]
+    second = sorted(first, key=lambda i: (-round(bm[i], 9), i))[:2]
+    assert {r["doc_id"]: r["score"] for r in staged} == pytest.approx({i: lexical_pair_score(text, CORPUS[i]) for i in second})
+
+
+def test_rerank_fusion_against_brute_force(spark):
+    rows = [(1, "early bird", i, t, float(s)) for i, (t, s) in enumerate(zip(CORPUS, (5, 1, 2, 2, 4), strict=True))]
+    got = {r["doc_id"]: r["score"] for r in fusion.rerank_fusion(spark.createDataFrame(rows, "query_id long, query_text string, doc_id long, content string, score double"), k=5).collect()}
+    was, new = _scaled([r[4] for r in rows]), _scaled([lexical_pair_score("early bird", t) for t in CORPUS])
+    assert got == pytest.approx({i: 0.3 * a + 0.7 * b for i, (a, b) in enumerate(zip(was, new, strict=True))})
+
+
+def test_postings_of_long_and_empty_texts(spark):
+    rows = [(0, "word " * 50_000 + "rare"), (1, ""), (2, None), (3, "the and of"), (4, "Rare rare")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    made = bm25.fit(d)
+    assert sorted(map(tuple, made.postings.select("term", "doc_id", "tf", "dl").collect())) == [("rare", 0, 1, 50_001), ("rare", 4, 2, 2), ("word", 0, 50_000, 50_001)]
+    assert {r["doc_id"]: r["dl"] for r in made.lengths.collect()} == {0: 50_001, 1: 0, 2: 0, 3: 0, 4: 2}
+    assert {r["term"]: r["df"] for r in made.terms.collect()} == {"rare": 2, "word": 1}
