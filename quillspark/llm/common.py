@@ -52,15 +52,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet under the shared checkpoint folder and read again; the shuffles that led to it may go."""
+def stored(df: DataFrame, name: str, tidy: bool = True) -> DataFrame:
+    """df written as Parquet under the shared checkpoint folder and read again; with tidy, the shuffles that led to it may go at once."""
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark).rstrip('/')}/quillspark/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     del df
-    # Spark removes shuffle files when the driver's JVM has collected what refers to them; else they'd pile up.
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    if tidy:  # Spark removes shuffle files when the driver's JVM has collected what refers to them; else they'd pile up
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
     out = spark.read.schema(spark.read.parquet(path).schema).parquet(path)
     out.stored_at = path
     return out
@@ -117,9 +117,9 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def held_out(doc_id: str, modulus: int) -> F.Column:
-    """crc32 of the id's decimal text, modulo modulus, is 2 (a null id: false)."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == 2, F.lit(False))
+def held_out(doc_id: str, modulus: int, rest: int = 2) -> F.Column:
+    """crc32 of the id's decimal text, modulo modulus, is rest (a null id: false)."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus == rest, F.lit(False))
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, compact_windows, decontamination, minhash, multi_index, packing, pitman_yor, suffix_dedup, token_counts, toxicity
+from . import bpe_codec, compact_windows, cross_parsing, decontamination, hard_negatives, minhash, multi_index, packing, pitman_yor, prefix_trie, suffix_dedup, token_counts, toxicity
 from .common import documents, held_out
 
 
@@ -64,8 +64,28 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every 50th vector among all, with every 7th label moved on by one."""
+    x = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(x.withColumn("label", label), F.col("vec_id") % 50 == 0)
+
+
+def op12_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from the labelled ones not held out."""
+    docs = documents(spark, sf_dir).withColumn("held_out", held_out("doc_id", 5, 0))
+    model = cross_parsing.fit(docs.where("not held_out"))
+    return cross_parsing.identify(docs, model).select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "lang_pred", "score", "n_phrases", "bits_per_byte")
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trie of all conversations, most of which start like another one of their five."""
+    turns = prefix_trie.numbered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return prefix_trie.trie(*prefix_trie.rebuilt(turns, family=5, heads=9))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_pitman_yor, op2_minhash, op3_packing, op4_token_counts, op5_suffix_dedup, op6_multi_index, op7_compact_windows, op8_bpe_codec, op9_toxicity, op10_decontamination)}
+    return {f.__name__: f for f in (op1_pitman_yor, op2_minhash, op3_packing, op4_token_counts, op5_suffix_dedup, op6_multi_index, op7_compact_windows, op8_bpe_codec, op9_toxicity, op10_decontamination, op11_hard_negatives, op12_cross_parsing, op13_prefix_trie)}
 
 
 _REACH = "r AS (SELECT id AS a, id AS b FROM ids UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)"
@@ -85,6 +105,27 @@ ids AS (SELECT vec_id AS id FROM embeddings), {_REACH}, c AS (SELECT a, count(*)
 SELECT id AS vec_id, CAST(coalesce(any_value(k), 0) AS BIGINT) AS n_links, min(r.b) AS component_id, min(r.b) = id AS kept FROM ids JOIN r ON r.a = id LEFT JOIN c ON c.a = id GROUP BY id"""
 
 
+#: Every anchor against every row.
+OP11_SQL = """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS s FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, s FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY s DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) AS INTEGER) AS rank, n.b AS negative_id, p.s AS positive_score, n.s AS negative_score
+FROM p JOIN s n ON n.a = p.a AND NOT n.same AND 50 * p.s <= 100 * n.s AND 100 * n.s <= 95 * p.s QUALIFY row_number() OVER (PARTITION BY p.a, p.b ORDER BY n.s DESC, n.b) <= 3"""
+
+#: Conversations as lists of turns, rebuilt and grouped by each of their prefixes; crc32 is worked out bit by bit.
+OP13_SQL = """WITH t AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS t FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, t, xor(4294967295, list_reduce(list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT)), lambda r, b: list_reduce([xor(r, b), 1, 1, 1, 1, 1, 1, 1, 1], lambda x, i: xor(x >> 1, 3988292384 * (x & 1))), CAST(4294967295 AS BIGINT))) % 9 AS h FROM t),
+r AS (SELECT h.conv_id AS c, CASE WHEN h.conv_id % 5 = 0 THEN h.t ELSE list_concat(coalesce(b.t, [])[:h.h], h.t[h.h + 1:]) END AS t FROM h LEFT JOIN t b ON b.conv_id = h.conv_id - h.conv_id % 5),
+m AS (SELECT c, unnest(range(0, len(t) + 1)) AS depth, t FROM r),
+k AS (SELECT c, depth, len(t) = depth AS ends, t[:depth] AS p, octet_length(encode(CASE WHEN depth = 0 THEN '' ELSE t[depth].text END)) AS b FROM m),
+n AS (SELECT depth, p, min(c) AS conv_id, count(*) AS n_convs, any_value(b) AS b, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE ends), '')) AS ends_sha256 FROM k GROUP BY depth, p),
+u AS (SELECT n.*, q.conv_id AS parent FROM n LEFT JOIN n q ON q.depth = n.depth - 1 AND q.p = n.p[:n.depth - 1]),
+l AS (SELECT u.depth, u.conv_id, NOT EXISTS (SELECT 1 FROM u c WHERE c.depth = u.depth + 1 AND c.parent = u.conv_id) AS leaf, (u.n_convs - 1) * u.b AS saved, u.p FROM u)
+SELECT u.conv_id, u.depth, u.parent AS parent_conv_id, u.n_convs, (SELECT count(*) FROM u c WHERE c.depth = u.depth + 1 AND c.parent = u.conv_id) AS n_children, x.n_leaves, x.saved_tokens, u.ends_sha256
+FROM u JOIN (SELECT a.depth, a.p, CAST(count(*) FILTER (WHERE l.leaf) AS BIGINT) AS n_leaves, CAST(sum(l.saved) AS BIGINT) AS saved_tokens FROM n a JOIN l ON l.depth >= a.depth AND l.p[:a.depth] = a.p GROUP BY a.depth, a.p) x ON x.depth = u.depth AND x.p = u.p"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that it can express in reasonable time; the tests hold the others against brute force."""
-    return {"op2_minhash": OP2_SQL, "op6_multi_index": OP6_SQL}
+    return {"op2_minhash": OP2_SQL, "op6_multi_index": OP6_SQL, "op11_hard_negatives": OP11_SQL, "op13_prefix_trie": OP13_SQL}
