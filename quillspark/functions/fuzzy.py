@@ -29,72 +29,115 @@ def ratio(a: str, b: str) -> float:
     return 200.0 * lcs(a, b) / n if n else 100.0
 
 
-def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter string with any window of the longer one of its length, or a shorter window at either end."""
+def partial_ratio(a: str, b: str, least: float = -1.0) -> float:
+    """The best ratio of the shorter string with any window of the longer one of its length, or a shorter window at either end; -1 if that is below least, which can be known much earlier."""
     s, t = (a, b) if len(a) <= len(b) else (b, a)
     if not s:
-        return 100.0 if not t else 0.0
-    if s in t:
-        return 100.0
-    m, n = len(s), len(t)
-    if m < 64:
-        return _all_windows(s, t)
-    chars = set(s)
-    best = 0.0
+        best = 100.0 if not t else 0.0
+    elif s in t:
+        best = 100.0
+    else:
+        best = _windows(s, t, max(least - 1e-7, _ends(s, t), _ends(s[::-1], t[::-1])))
+    return best if best >= least else -1.0
 
-    def windows():
-        for k in range(1, m):
-            if t[k - 1] in chars:
-                yield 0, k
-        for i in range(n - m + 1):
-            if t[i + m - 1] in chars or i == 0:
-                yield i, i + m
-        for k in range(n - m + 1, n):
-            if t[k] in chars:
-                yield k, n
-
-    have: dict[str, int] = {}
-    for ch in s:
-        have[ch] = have.get(ch, 0) + 1
-    # Characters in common, counted with repetition, bound the subsequence; the counts slide with the window.
-    count: dict[str, int] = {}
-    lo = hi = shared = 0
-    for x, y in windows():
-        while hi < y:
-            c = t[hi]
-            count[c] = count.get(c, 0) + 1
-            shared += count[c] <= have.get(c, 0)
-            hi += 1
-        while lo < x:
-            c = t[lo]
-            shared -= count[c] <= have.get(c, 0)
-            count[c] -= 1
-            lo += 1
-        if 200.0 * shared / (m + y - x) <= best:
-            continue
-        best = max(best, ratio(s, t[x:y]))
+
+def _ends(s: str, t: str) -> float:
+    """The best ratio of s with the first characters of t, fewer than s has."""
+    m = len(s)
+    masks: dict[str, int] = {}
+    for i, ch in enumerate(s):
+        masks[ch] = masks.get(ch, 0) | 1 << i
+    full = state = (1 << m) - 1
+    best = 0.0
+    for i, ch in enumerate(t[: m - 1], 1):
+        u = state & masks.get(ch, 0)
+        if u:
+            state = ((state + u) | (state - u)) & full
+            best = max(best, 200.0 * (m - state.bit_count()) / (m + i))
     return best
 
 
-def _all_windows(s: str, t: str) -> float:
-    """partial_ratio for short s: one 64-bit word for each window of t, all windows a character at a time."""
+def _windows(s: str, t: str, least: float) -> float:
+    """The best ratio of s with a window of t of its length, or least if none is better.
+
+    Windows that begin in [x, x + h) are parts of one stretch of t, and no subsequence of theirs is longer than that stretch's. So stretches are compared with s all at once; those that can't pass the best so far go, and the others are parted in four until a stretch is a window. First some of the most promising stretches have a window of theirs compared, which raises the best early.
+    """
     m, n = len(s), len(t)
+    words = (m + 63) // 64
+    places: dict[str, int] = {}
+    for i, ch in enumerate(s):
+        places[ch] = places.get(ch, 0) | 1 << i
     codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    masks = np.zeros(n + m, dtype=np.uint64)
-    for ch in set(s):
-        bits = sum(1 << i for i, c in enumerate(s) if c == ch)
-        masks[:n][codes == ord(ch)] = bits
-    full = np.uint64((1 << m) - 1)
-    state = np.full(n, full, dtype=np.uint64)
-    best = 0.0
-    for i in range(m):
-        u = state & masks[i : i + n]
-        state = ((state + u) | (state - u)) & full
-        if i + 1 < m:  # the first window so far is a shorter one at the start
-            best = max(best, 200.0 * (m - int(state[0]).bit_count()) / (m + i + 1))
-    found = m - np.bitwise_count(state).astype(np.int64)
-    length = np.minimum(m, n - np.arange(n))
-    return max(best, float((200.0 * found / (m + length)).max()))
+    symbol = np.zeros(n + 2 * m + 2, dtype=np.int64)  # 0: not in s, or beyond the end
+    table = np.zeros((words, len(places) + 1), dtype=np.uint64)
+    for k, (ch, bits) in enumerate(places.items(), 1):
+        symbol[:n][codes == ord(ch)] = k
+        for w in range(words):
+            table[w, k] = np.uint64(bits >> 64 * w & 0xFFFFFFFFFFFFFFFF)
+    full = np.array([(1 << min(64, m - 64 * w)) - 1 for w in range(words)], dtype=np.uint64)
+
+    def common(starts: np.ndarray, length: int) -> np.ndarray:
+        """Longest common subsequences of s with the stretches of one length."""
+        state = np.repeat(full[:, None], len(starts), axis=1)
+        for i in range(length):
+            now = symbol[starts + i]
+            carry = None
+            for w in range(words):
+                x = state[w]
+                u = x & table[w][now]
+                total = x + u
+                if words > 1:
+                    over = total < x
+                    if carry is not None:
+                        total = total + carry
+                        over |= total < carry
+                    carry = over.astype(np.uint64)
+                state[w] = (total | (x - u)) & full[w]
+        return m - np.bitwise_count(state).sum(axis=0).astype(np.int64)
+
+    last = n - m  # the last window's start
+    h = max(1, min(m, n // 1024))  # about a thousand stretches: fewer would hardly be faster
+    starts = np.arange(0, last + 1, h)
+    best, first = least, True
+    while len(starts):
+        bound = 100.0 * common(starts, m + h - 1) / m
+        if h == 1:
+            return max(best, float(bound.max()))
+        if first:
+            top = starts[np.argsort(-bound, kind="stable")[:64]]
+            best, first = max(best, float(100.0 * common(np.minimum(top + h // 2, last), m).max() / m)), False
+        starts = starts[bound > best]
+        part = (h + 3) // 4
+        starts = np.unique((starts[:, None] + np.arange(0, h, part)).ravel())
+        starts, h = starts[starts <= last], part
+    return best
+
+
+#: Characters of a gram in gram_bound.
+GRAM = 3
+
+
+def gram_codes(t: str) -> np.ndarray:
+    """A number for the gram at each place of t."""
+    c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    if len(c) < GRAM:
+        return np.zeros(0, dtype=np.int64)
+    return (c[:-2] << 42) | (c[1:-1] << 21) | c[2:]
+
+
+def gram_bound(m: int, n: int, s_grams: np.ndarray, t_grams: np.ndarray) -> float:
+    """partial_ratio is at most this for a shorter string of m characters in one of n, from the places of t's grams that are grams of s.
+
+    Of the m - 2 grams of s, every character left out of the common subsequence breaks 3 at most, and every one of the window that is put between breaks 2; those left stand in the window. So with g of them, L <= (g + 2 (m + 1) + 2 w) / 5 for a window of w, and 200 L / (m + w) is greatest where that meets L <= w. g is the most in any window of m.
+    """
+    if m < GRAM:
+        return 100.0
+    hits = np.concatenate(([0], np.cumsum(np.isin(t_grams, s_grams))))
+    span = m - GRAM + 1
+    g = int((hits[span:] - hits[:-span]).max()) if len(hits) > span else int(hits[-1])
+    g = min(g, span)
+    w = min(float(m), (g + 2 * (m + 1)) / 3)
+    return min(100.0, max(200.0 * w / (m + w), 200.0 * min(m, (g + 4 * m + 2) / 5) / (2 * m)) + 1e-9)
 
 
 def _pairwise(f):

@@ -9,11 +9,23 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, shingles
+from ..sources.scratch import checkpoint
 from .fusion import top_per_query
 
 PERMUTATIONS = 128
-#: (bands, rows) of 128 permutations for which false positives and negatives weigh alike, by threshold.
-BANDS = {0.9: (5, 25), 0.8: (9, 13), 0.5: (25, 5)}
+#: Pairs at the very threshold that may share no band.
+MISSED = 0.005
+
+
+def banding(threshold: float, permutations: int = PERMUTATIONS) -> tuple[int, int]:
+    """(bands, rows) for a threshold: as many rows a band as can be, so that copies of chance meet least, while at most MISSED of the pairs whose signatures agree in a share `threshold` of their places share no band.
+
+    From 0.9 up there are more bands than places that may differ, so no such pair is missed at all.
+    """
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must be over 0 and at most 1")
+    rows = max((r for r in range(1, permutations + 1) if (1 - threshold**r) ** (permutations // r) <= MISSED), default=1)
+    return permutations // rows, rows
 
 
 def exact_duplicates(docs: DataFrame) -> DataFrame:
@@ -21,15 +33,6 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
     return docs.select(content_hash(F.col("text")).alias("content_hash"), "doc_id").groupBy("content_hash").agg(F.count(F.lit(1)).alias("copies"), F.min("doc_id").alias("canonical_doc_id")).where("copies > 1")
 
 
-def _kept(rows: DataFrame) -> DataFrame:
-    """rows computed once, in the checkpoint folder that the session names (else one in the warehouse)."""
-    spark = rows.sparkSession
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
-    return rows.checkpoint()
-
-
 def fingerprints(docs: DataFrame, permutations: int = PERMUTATIONS) -> DataFrame:
     """(doc_id, signature): MinHash of the distinct character trigrams, with fixed permutations; without shingles null."""
     rng = np.random.default_rng(1)
@@ -61,7 +64,7 @@ def estimate(a: F.Column, b: F.Column) -> F.Column:
 
 
 def band_rows(signed: DataFrame, threshold: float = 0.9) -> DataFrame:
-    bands, rows = BANDS[min(BANDS, key=lambda t: abs(t - threshold))]
+    bands, rows = banding(threshold)
     cuts = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.slice("signature", i * rows + 1, rows)).alias("h")))
     return signed.where("signature is not null").select("doc_id", "signature", F.explode(cuts).alias("x")).select("doc_id", "signature", "x.band", "x.h")
 
@@ -77,7 +80,7 @@ def lookup(signed: DataFrame, index: DataFrame, threshold: float = 0.9) -> DataF
 
 def duplicate_list(docs: DataFrame, threshold: float = 0.9, most: int = 5) -> DataFrame:
     """For each document up to `most` matches, copies of itself included, best first."""
-    s = _kept(fingerprints(docs))
+    s = checkpoint(fingerprints(docs))
     signed = s.where("signature is not null")
     order = W.partitionBy("signature").orderBy("doc_id")
     members = signed.withColumn("r", F.row_number().over(order)).withColumn("first", F.min("doc_id").over(order)).where(F.col("r") <= most + 1).select("first", F.col("doc_id").alias("match_id"))
@@ -108,7 +111,7 @@ def _dropped(pairs: DataFrame) -> DataFrame:
 
     In each round, matches without an open match of their own are kept, and what they match goes.
     """
-    edges = _kept(pairs.select("doc_id", "match_id"))
+    edges = checkpoint(pairs.select("doc_id", "match_id"))
     out = edges.select("doc_id").limit(0)
     while edges.take(1):
         sure = edges.select("match_id").distinct().join(edges.select(F.col("doc_id").alias("match_id")).distinct(), "match_id", "left_anti")
@@ -125,7 +128,7 @@ def handle(docs: DataFrame, action: str = "flag", threshold: float = 0.9) -> Dat
     """
     if action not in ("flag", "skip", "merge"):
         raise ValueError(f"unknown action {action!r}")
-    s = _kept(fingerprints(docs))
+    s = checkpoint(fingerprints(docs))
     # Of equal signatures the first document alone can be kept, so matches are looked up among these.
     earlier = lookup(s, s, threshold).where("match_id < doc_id")
     if action != "flag":

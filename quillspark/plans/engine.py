@@ -94,8 +94,11 @@ class Engine:
 
     def log_queries(self, queries: DataFrame, k: int, a: float | None, b: float | None) -> None:
         self.store.append("query_history", queries.select("query_id", "query_text", F.lit(a).cast("double").alias("semantic_weight"), F.lit(b).cast("double").alias("lexical_weight"), F.lit(k).alias("top_k"), F.localtimestamp().alias("ts")))
-        table = self.store.read("suggestions")
-        self.store.write("suggestions", suggest.record(table, queries.select("query_text")))
+        self.store.append("suggestions", suggest.insert(queries.select("query_text")))  # summed on read
+
+    def suggestions(self) -> DataFrame:
+        """(query_text, frequency) of all searches logged."""
+        return suggest.insert(self.store.read("suggestions"))
 
     def feedback(self, query_id: int, doc_id: int, relevance: int = 0, clicked: bool = False) -> int:
         _check("relevance", relevance, 0, 5)
@@ -121,14 +124,14 @@ class Engine:
 
     def suggest(self, text: str, limit: int = 10) -> DataFrame:
         _check("limit", limit, 1, 50)
-        return suggest.suggest(self.store.read("suggestions"), text, limit=limit)
+        return suggest.suggest(self.suggestions(), text, limit=limit)
 
     # Upkeep.
 
     def detect_languages(self, labelled: DataFrame) -> None:
         """Fill the language column with a detector fitted on labelled (text, lang)."""
         profiles = fit_profiles(labelled)
-        self.store.write("docs", self.store.read("docs").withColumn("language", detect(F.col("content"), profiles)["language"]))
+        self.store.update("docs", lambda docs: docs.withColumn("language", detect(F.col("content"), profiles)["language"]))
 
     def languages(self) -> DataFrame:
         return self.store.read("docs").groupBy("language").agg(F.count(F.lit(1)).alias("n")).withColumn("name", language_name(F.col("language")))
@@ -137,8 +140,7 @@ class Engine:
         return dedup.duplicate_list(self.store.read("docs").select("doc_id", F.col("content").alias("text")), threshold)
 
     def mark_duplicates(self, threshold: float = 0.9) -> None:
-        docs = self.store.read("docs")
-        self.store.write("docs", dedup.mark(docs, dedup.handle(docs.select("doc_id", F.col("content").alias("text")), "flag", threshold)))
+        self.store.update("docs", lambda docs: dedup.mark(docs, dedup.handle(docs.select("doc_id", F.col("content").alias("text")), "flag", threshold)))
 
     def stats(self) -> DataFrame:
         """One row: documents, query and feedback counts and means."""

@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions import chunking, filters, language, snippets, text
 from ..functions.vectors import cosine
-from ..operators import bm25, cache, dedup, evaluation, feedback, fusion, lexical, rag, suggest, vector_search
+from ..operators import blockmax, bm25, cache, dedup, evaluation, feedback, fusion, lexical, nearest, rag, suggest, vector_search
 from ..operators.providers import embed
 from ..shipping import ship
-from ..sources import store
+from ..sources import scratch, store
 from ..sources.loader import corpus_frame, spread
 from ..streaming import jobs, stateful
 from . import pipelines
@@ -199,6 +199,14 @@ def bm25_topk(spark, d):
     return fusion.top_per_query(bm25.score(bm25.fit(_docs(spark, d), only=bm25.query_terms(q)), q), 5).select("query_id", "doc_id", _r("score").alias("score"), "rank")
 
 
+@register(_SQL["bm25_topk"])
+def bm25_blockmax(spark, d):
+    """The five best documents of every benchmark text, from an index in blocks that is saved, loaded and read where its bounds allow."""
+    path = scratch.place(spark, "blockmax")
+    blockmax.build(bm25.fit(_docs(spark, d))).save(path)
+    return blockmax.top_k(blockmax.load(spark, path), _batch(spark, d), 5).select("query_id", "doc_id", _r("score").alias("score"), "rank")
+
+
 @register(_BM25.replace("{queries}", _ONE) + " SELECT doc_id, round(coalesce(score, 0) + b, 6) AS score FROM documents LEFT JOIN scored USING (doc_id), (SELECT sum(qtf * idf) AS b FROM q JOIN i USING (term))")
 def bm25_plus(spark, d):
     """BM25+ of every document for one query."""
@@ -245,6 +253,12 @@ def fuzzy_hybrid(spark, d):
     return lexical.hybrid_lexical(_docs(spark, d), _one_query(spark)).select("doc_id", _r("score").alias("score"))
 
 
+@register()
+def fuzzy_topk(spark, d):
+    """The five best documents by fuzzy and overlap score for one query."""
+    return lexical.hybrid_top_k(_docs(spark, d), _one_query(spark), 5).select("query_id", "doc_id", _r("score").alias("score"), "rank")
+
+
 # Vectors.
 
 _COS = "list_cosine_similarity(CAST(v.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[]))"
@@ -265,6 +279,24 @@ def cosine_batch(spark, d):
     return vector_search.search(v, q, 5).select("query_id", "doc_id", _r("score").alias("score"), "rank")
 
 
+def _cells(spark, d):
+    v = _vectors(spark, d)
+    index = nearest.save(v.where("doc_id % 3 <> 1"), scratch.place(spark, "vector-cells"))
+    return nearest.append(v.where("doc_id % 3 = 1"), index), v.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
+
+
+@register(_SQL["cosine_batch"])
+def cells_exact(spark, d):
+    """Five nearest of every 20th vector from an index in cells, a third of which was appended; bounds say which cells are read."""
+    return nearest.search(*_cells(spark, d), 5, exact=True).select("query_id", "doc_id", _r("score").alias("score"), "rank")
+
+
+@register()
+def cells_probed(spark, d):
+    """The same from the nearest cells alone, as many as hold 0.95 of the neighbours in a sample."""
+    return nearest.search(*_cells(spark, d), 5).select("query_id", "doc_id", _r("score").alias("score"), "rank")
+
+
 @register(f"SELECT v.vec_id AS a, q.vec_id AS b, round({_COS}, 6) AS score FROM embeddings v, embeddings q WHERE v.vec_id < q.vec_id AND {_COS} >= 0.3")
 def cosine_pairs(spark, d):
     return vector_search.cosine_pairs(_vectors(spark, d), 0.3).select("a", "b", _r("score").alias("score"))

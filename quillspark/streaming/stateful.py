@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ..sources.loader import SUFFIXES
+from ..sources.scratch import stored
 from ..sources.store import snapshot_diff
 
 #: Seconds of the debounce; requests and seconds of a limiter's window; requests a minute of one address.
@@ -180,25 +181,28 @@ class FileWatcher:
         return self._last is not None
 
     def _snapshot(self) -> DataFrame:
-        rows = [tuple(r) for r in listing(self.spark, self.path, self.suffixes).toLocalIterator()]
-        return self.spark.createDataFrame(rows, "path string, mtime timestamp, size long")
+        return stored(listing(self.spark, self.path, self.suffixes), "listing")
 
     def poll(self, now: float | None = None) -> list[tuple[str, str]]:
-        """(path, change) since the last poll, without those within the gap of the path's last accepted one."""
+        """(path, change) since what was last reported of each path; what comes within the gap of the path's last report waits, and the first poll after the gap reports what it has come to.
+
+        The state is a stored table of files as last reported; only paths that changed come to the driver.
+        """
         if self._last is None:
             raise RuntimeError("the watcher is not running")
         at = time.time() if now is None else now
         new = self._snapshot()
         found = [(r["path"], r["change"]) for r in snapshot_diff(self._last, new, compare=("mtime", "size")).orderBy("path").collect()]
-        self._last = new
-        out = []
-        for path, change in found:
-            if at - self._seen.get(path, float("-inf")) >= self.gap:
-                self._seen[path] = at
-                out.append((path, change))
+        self._seen = {p: t for p, t in self._seen.items() if at - t < self.gap}
+        out = [(path, change) for path, change in found if path not in self._seen]
+        if not out:
+            return out
+        if self.on_change:
+            self.on_change(out)  # if it fails, the next poll reports them again
+        self._seen |= {path: at for path, _ in out}
+        paths = self.spark.createDataFrame([(p,) for p, _ in out], "path string")
+        self._last = stored(self._last.join(paths, "path", "left_anti").unionByName(new.join(paths, "path", "left_semi").select(*self._last.columns)), "listing")
         self._pending += out
-        if out and self.on_change:
-            self.on_change(out)
         return out
 
     def pending(self) -> list[tuple[str, str]]:
