@@ -328,10 +328,30 @@ def passages(a: np.ndarray, b: np.ndarray, seeds: np.ndarray | list[tuple[int, .
 BLOCK = 2048
 
 
-#: Bits that stand for the shingles around a place, those of a first look, and how many of them the places of one passage share at least.
+#: Bits that stand for the shingles around a place, those of a first look, and how many of them the places of one passage without repetition share at least.
 BITS, LOOK, COMMON = 4096, 512, 36
 
 
+def _shared(shingles: np.ndarray, at: int) -> int:
+    """Bits of the first look that a passage around place `at` shares with a similar one at least.
+
+    Of LEAST shingles or more around the place, one of nine distinct ones may be missing, so that no more bits than these can; a passage that repeats itself has few distinct ones to begin with. Two bits less for shingles beyond those of the shortest run that stand for no new bit.
+    """
+    n = len(shingles)
+    starts = np.arange(max(0, at - LEAST + 1), max(0, min(at, n - LEAST)) + 1)
+    places = np.arange(n)
+    within = (places >= starts[:, None]) & (places < starts[:, None] + LEAST)
+
+    def distinct(x: np.ndarray) -> np.ndarray:
+        order = np.argsort(x, kind="stable")
+        before = np.full(n, -1)
+        same = x[order][1:] == x[order][:-1]
+        before[order[1:][same]] = order[:-1][same]
+        return (within & (before < starts[:, None])).sum(axis=1)
+
+    return max(1, min(COMMON, int((distinct(shingles % LOOK) - distinct(shingles) // 9).min()) - 2))
+
+
 def _dense(marks: np.ndarray, places: np.ndarray, size: np.ndarray, at: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """For pairs of windows (x, y): whether a run of LEAST shingles or more of x around its place has eight of nine in y, going by the bits of y.
 
@@ -363,6 +383,13 @@ def _meet(group: np.ndarray, doc: np.ndarray, part: np.ndarray, wanted: np.ndarr
     marks = np.zeros((len(sets), BITS), dtype=bool)
     marks[np.nonzero(inside)[0], places[inside]] = True
     look = np.packbits(marks.reshape(len(sets), -1, LOOK).any(axis=1), axis=1).view(np.uint64)
+    # Windows with some repeated shingles; the others have COMMON bits and more.
+    raw = np.full((len(sets), width), -1, dtype=np.int32)
+    raw[inside] = np.concatenate(sets)
+    raw.sort(axis=1)
+    shared = np.full(len(sets), COMMON, dtype=np.int16)
+    for i in np.flatnonzero(((raw[:, 1:] == raw[:, :-1]) & (raw[:, 1:] >= 0)).sum(axis=1) > 2).tolist():
+        shared[i] = _shared(sets[i], int(at[i]))
     first = np.searchsorted(group, group)
     later = np.flatnonzero(wanted & (first < np.arange(len(group))))
     n = later - first[later]
@@ -375,7 +402,7 @@ def _meet(group: np.ndarray, doc: np.ndarray, part: np.ndarray, wanted: np.ndarr
         j = np.arange(len(k)) - np.repeat(np.cumsum(m) - m, m) + first[k]
         ok = (doc[j] < doc[k]) & ((part[j] != part[k]) | (part[k] < 0))
         k, j = k[ok], j[ok]
-        ok = np.bitwise_count(look[k] & look[j]).sum(axis=1) >= COMMON
+        ok = np.bitwise_count(look[k] & look[j]).sum(axis=1) >= np.minimum(shared[k], shared[j])
         k, j = k[ok], j[ok]
         ok = _dense(marks, places, size, at, k, j)
         ok[~ok] = _dense(marks, places, size, at, j[~ok], k[~ok])

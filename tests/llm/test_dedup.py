@@ -233,6 +233,34 @@ def test_passages_behind_weaker_ones(spark, block, monkeypatch):
     assert not any(got[i]["n_passages"] for i in twice if i % 4 < 2)
 
 
+def test_repetitive_passages_behind_weaker_ones(spark):
+    """Passages of two phrases, each said twice, have few distinct shingles; the second exact copy is found behind documents with parts of it."""
+    tune(spark)
+    r = random.Random(21)
+    make = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    rows, second = [], []
+    for _ in range(50):
+        x, y = make(15), make(15)
+        p = x + y + x + y
+        for part in (p[:40], p[20:], p, p):
+            rows.append((len(rows), " ".join(make(60) + part + make(60))))
+        second.append(len(rows) - 1)
+    got = {x["doc_id"]: x["n_passages"] for x in compact_windows.passage_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i] > 0 for i in second) >= 0.95 * len(second)
+
+
+def test_shared_bits():
+    """The least number of shared bits against all runs, with and without repetition."""
+    r = np.random.default_rng(3)
+    n = compact_windows.LEAST
+    for period in (200, 31, 12):
+        s = np.tile(r.integers(0, 1 << 16, period), 10)[:91].astype(np.uint16)
+        at = 45
+        runs = [s[i : i + n] for i in range(91 - n + 1) if i <= at < i + n]
+        want = min(len(set((x % compact_windows.LOOK).tolist())) - len(set(x.tolist())) // 9 for x in runs) - 2
+        assert compact_windows._shared(s, at) == min(compact_windows.COMMON, want)
+
+
 def test_forest_lowest_band(spark):
     """A lower band whose slots are equal only in the sketches' bytes doesn't take a pair away from the bucket it shares."""
     tune(spark)
