@@ -148,10 +148,20 @@ def _pairwise(f):
     return run
 
 
+def pair_ratio():
+    """ratio as a UDF of two columns, for expressions and for SQL."""
+    return _pairwise(ratio)
+
+
+def pair_partial():
+    """partial_ratio of the lower-cased strings, from 0 to 1, likewise."""
+    return _pairwise(lambda x, y: partial_ratio(x.lower(), y.lower()) / 100)
+
+
 def fuzzy_ratio(a: Column, b: Column) -> Column:
-    return _pairwise(ratio)(a, b)
+    return pair_ratio()(a, b)
 
 
 def fuzzy_partial(a: Column, b: Column) -> Column:
     """partial_ratio of the lower-cased strings, from 0 to 1."""
-    return _pairwise(lambda x, y: partial_ratio(x.lower(), y.lower()) / 100)(a, b)
+    return pair_partial()(a, b)

@@ -13,7 +13,6 @@ from ..sources.scratch import stored
 from .lexical import few_or_merge
 
 
-
 @dataclass
 class Bm25:
     """postings (term, doc_id, tf, dl), lengths (doc_id, dl), terms (term, df, idf), stats (n, avgdl: one row)."""
@@ -33,6 +32,9 @@ class Bm25:
             (rows.repartition("term").sortWithinPartitions("term") if name == "postings" else rows).write.mode("overwrite").parquet(f"{path}/{name}")
 
 
+#: Terms that are held against each token as a set; more of them are joined.
+LITERAL = 10_000
+
 TABLES = ("postings", "lengths", "terms", "stats")
 
 
@@ -42,21 +44,28 @@ def load(spark: SparkSession, path: str, k1: float = 1.5, b: float = 0.75, delta
 
 
 def fit(docs: DataFrame, k1: float = 1.5, b: float = 0.75, delta: float = 0.0, drop_stop_words: bool = True, only: DataFrame | None = None) -> Bm25:
-    """Statistics of docs (doc_id, text). With only (term), postings are kept for these terms alone: one pass over the texts leaves each document's length and its wanted words, and all else is made of these, so the texts are read and split once."""
-    t = docs.select("doc_id", tokens(F.col("text"), drop_stop_words).alias("t"), F.monotonically_increasing_id().alias("_row")).select("_row", "doc_id", "t", F.size("t").cast("long").alias("dl"))
+    """Statistics of docs (doc_id, text). With only (term), postings are kept for these terms alone; while they are at most LITERAL, one pass over the texts leaves each document's length and its wanted words, and all else is made of these, so that the texts are read and split once."""
+    t = docs.select("doc_id", tokens(F.col("text"), drop_stop_words).alias("t")).select("doc_id", "t", F.size("t").cast("long").alias("dl"))
+    wanted = None
     if only is not None:
-        wanted = few_or_merge(only.select("term").distinct().withColumn("_wanted", F.lit(True)))
-        words = t.select("_row", "doc_id", "dl", F.explode_outer("t").alias("term")).join(wanted, "term", "left")
-        # A document's words are together, so the partial groups are whole: what is shuffled is a row a document.
-        t = stored(words.groupBy("_row").agg(F.first("doc_id").alias("doc_id"), F.first("dl").alias("dl"), F.collect_list(F.when(F.col("_wanted"), F.col("term"))).alias("t")).drop("_row"), "bm25-words")
+        terms = only.select("term").where("term is not null").distinct()
+        few = [r["term"] for r in terms.limit(LITERAL + 1).collect()]
+        if len(few) <= LITERAL:  # looked up in a set, token by token
+            t = stored(t.select("doc_id", F.filter("t", lambda x: x.isin(few)).alias("t"), "dl"), "bm25-words")
+        else:
+            wanted = few_or_merge(terms)
+
+    def kept(words: DataFrame) -> DataFrame:
+        return words if wanted is None else words.join(wanted, "term", "left_semi")
+
     lengths = t.select("doc_id", "dl")
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     # explode() would test the token list before the texts are dealt out, in the few tasks of a small scan; the outer form does not.
     # The length goes with the words, so that scoring joins postings with nothing as large as the corpus.
-    words = t.select("doc_id", "dl", F.explode_outer("t").alias("term")).where("term is not null")
+    words = kept(t.select("doc_id", "dl", F.explode_outer("t").alias("term")).where("term is not null"))
     postings = words.groupBy("term", "doc_id").agg(F.count(F.lit(1)).alias("tf"), F.max("dl").alias("dl"))
     # Counted from each document's distinct words: partial counts a term are all that is shuffled.
-    df = t.select(F.explode_outer(F.array_distinct("t")).alias("term")).where("term is not null").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = kept(t.select(F.explode_outer(F.array_distinct("t")).alias("term")).where("term is not null")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     terms = df.crossJoin(F.broadcast(stats)).select("term", "df", F.ln((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
     return Bm25(postings, lengths, terms, stats, k1, b, delta)
 

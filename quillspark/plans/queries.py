@@ -9,8 +9,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import chunking, filters, language, snippets, text
+from ..functions.register import register as functions_for_sql
 from ..functions.vectors import cosine
-from ..operators import blockmax, bm25, cache, dedup, evaluation, feedback, fusion, lexical, nearest, rag, suggest, vector_search
+from ..operators import blockmax, bm25, cache, completion, dedup, evaluation, feedback, fusion, lexical, nearest, rag, suggest, vector_search
+from ..operators import duplicate_index as duplicate_index_
 from ..operators.providers import embed
 from ..shipping import ship
 from ..sources import scratch, store
@@ -163,6 +165,14 @@ def chunk_sentence(spark, d):
     return c.select("doc_id", "chunk_id", F.md5("content").alias("content_md5"), F.col("metadata")["sentence_count"].cast("int").alias("sentences"))
 
 
+@register(_SQL["chunk_sentence"])
+def sql_chunks(spark, d):
+    """The same by a table function in SQL."""
+    functions_for_sql(spark)
+    _docs(spark, d).createOrReplaceTempView("_sql_chunks")
+    return spark.sql("SELECT doc_id, c.chunk_id, md5(c.content) AS content_md5, c.sentences FROM _sql_chunks, LATERAL chunk_sentence(text) AS c")
+
+
 @register(r"SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INTEGER) AS chunk_id, md5(c) AS content_md5, CAST(i AS INTEGER) AS start_char, CAST(least(i + 512, n) AS INTEGER) AS end_char FROM (SELECT doc_id, n, i, regexp_replace(substr(text, i + 1, 512), '^\s+|\s+$', '', 'g') AS c FROM (SELECT doc_id, text, length(text) AS n, unnest(range(0, length(text), 384)) AS i FROM documents) WHERE i = 0 OR i - 384 + 512 < n) WHERE c <> ''")
 def chunk_sliding(spark, d):
     return chunking.sliding_chunks(_docs(spark, d)).select("doc_id", "chunk_id", F.md5("content").alias("content_md5"), "start_char", "end_char")
@@ -411,6 +421,26 @@ def duplicate_index(spark, d):
     return dedup.size(index).crossJoin(dedup.size(dedup.clear(index)).withColumnRenamed("size", "size_cleared"))
 
 
+_SETS = r"(SELECT doc_id, CASE WHEN length(t) < 3 THEN [t] ELSE list_distinct(list_transform(range(1, length(t) - 1), lambda i: substr(t, i, 3))) END AS s FROM (SELECT min(doc_id) AS doc_id, regexp_replace(lower(text), '^\s+|\s+$', '', 'g') AS t FROM documents WHERE text IS NOT NULL GROUP BY t) WHERE t <> '')"
+
+
+@register(f"WITH s AS MATERIALIZED {_SETS}, n AS (SELECT doc_id, len(s) AS n FROM s), x AS (SELECT doc_id, unnest(s) AS x FROM s), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM x a JOIN x b ON a.x = b.x AND a.doc_id > b.doc_id GROUP BY 1, 2), o AS (SELECT a, b, k / (m.n + q.n - k) AS j FROM p JOIN n m ON m.doc_id = a JOIN n q ON q.doc_id = b) SELECT a AS doc_id, min(b) AS match_id, round(arg_min(j, b), 6) AS similarity FROM o WHERE j >= 0.9 GROUP BY a")
+def near_duplicates(spark, d):
+    """The least earlier document with nine tenths of the trigrams in common, for each that has one."""
+    return dedup.verified(_docs(spark, d), 0.9).select("doc_id", "match_id", _r("similarity").alias("similarity"))
+
+
+@register()
+def duplicates_in_batches(spark, d):
+    """The decisions of duplicate_skips, made in three batches of rising ids against a stored index."""
+    index = duplicate_index_.DuplicateIndex(spark, scratch.place(spark, "duplicates"), 0.9)
+    docs = _docs(spark, d)
+    end = (docs.agg(F.max("doc_id")).collect()[0][0] or 0) + 1
+    for part in range(3):
+        index.take(docs.where(F.floor(F.col("doc_id") * 3 / end) == part))
+    return index.read("decisions").select("doc_id", "kept", "canonical_doc_id")
+
+
 @register()
 def duplicate_skips(spark, d):
     """Documents that stay if each in id order goes when an earlier one that stayed matches it."""
@@ -492,6 +522,22 @@ def ac_prefix(spark, d):
     return suggest.prefix(_suggestions(spark, d), "bl", 10)
 
 
+@register(_SQL["ac_prefix"])
+def ac_prefix_index(spark, d):
+    """The same from one key of a saved index of prefixes."""
+    path = scratch.place(spark, "completion")
+    completion.build(_suggestions(spark, d)).save(path)
+    return completion.prefix(completion.load(spark, path), "bl", 10)
+
+
+@register(f"SELECT query_text, frequency, CAST(levenshtein(query_text, 'blu rodd') AS INTEGER) AS distance FROM {_SUGG} WHERE levenshtein(query_text, 'blu rodd') <= 2 ORDER BY distance, frequency DESC, query_text LIMIT 10")
+def ac_typed(spark, d):
+    """Entries within two typing errors, from the request's deletion neighbours in a saved index."""
+    path = scratch.place(spark, "completion")
+    completion.build(_suggestions(spark, d)).save(path)
+    return completion.typed(completion.load(spark, path), "blu rodd", 10)
+
+
 @register(f"SELECT query_text, frequency FROM {_SUGG} ORDER BY frequency DESC, query_text LIMIT 10")
 def ac_top(spark, d):
     return suggest.top_queries(_suggestions(spark, d), 10)

@@ -38,23 +38,17 @@ class Conflict(RuntimeError):
     """Another writer's commit came first, TRIES times."""
 
 
-class Store:
-    """Tables of one corpus.
+class Log:
+    """Tables below one folder, of given schemas, some in folders by the values of a column.
 
     A write puts its rows into folders of unique names and then makes the commit file with the next number, by an operation that fails if that file is there: so a write that dies leaves folders that nobody reads, two writers never take one number, and the tables that a commit changes change together. Who loses reads the new state and does the step again. Readers keep the folders of the commit they began with.
     """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, schemas: dict[str, str], parted: dict[str, str] | None = None):
+        self.spark, self.path, self.schemas, self.parted = spark, path.rstrip("/"), schemas, parted or {}
         self._jvm = spark.sparkContext._jvm
         self._fs = self._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def __enter__(self) -> Store:
-        return self.create()
-
-    def __exit__(self, *exc: object) -> None:
-        return None
-
     def _at(self, name: str) -> object:
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
 
@@ -106,7 +100,8 @@ class Store:
             new = {k: dict(v) for k, v in state.items()}
             for name, (whole, rows) in step(state).items():
                 folder = f"{name}/{uuid.uuid4().hex}"
-                self._typed(name, rows).write.parquet(f"{self.path}/{folder}")
+                out, by = self._typed(name, rows), self.parted.get(name)
+                (out.repartition(by).write.partitionBy(by) if by else out.write).parquet(f"{self.path}/{folder}")
                 old = new.get(name, {"version": 0, "folders": []})
                 new[name] = {"version": old["version"] + 1, "folders": [folder]} if whole else {"version": old["version"], "folders": [*old["folders"], folder]}
             if self._commit(number + 1, new):
@@ -123,7 +118,7 @@ class Store:
         used = {f for n in numbers[-COMMITS:] for t in self._state(n).values() for f in t["folders"]}
         before = self._jvm.java.lang.System.currentTimeMillis() - stay * 1000
         gone = 0
-        for name in SCHEMAS:
+        for name in self.schemas:
             if self._fs.exists(self._at(name)):
                 for s in self._fs.listStatus(self._at(name)):
                     if f"{name}/{s.getPath().getName()}" not in used and s.getModificationTime() <= before:
@@ -138,22 +133,25 @@ class Store:
         """Versions of a table, each from a whole write, in the commits of the log."""
         return sorted({s[name]["version"] for s in map(self._state, self.commits()) if name in s})
 
-    def version(self) -> int:
-        """Of the documents: it changes with a whole write."""
-        return self._latest()[1].get("docs", {"version": 0})["version"]
-
-    def create(self) -> Store:
+    def create(self) -> Log:
         """Empty tables where there are none."""
-        if set(SCHEMAS) - set(self._latest()[1]):
-            self.change(lambda state: {name: (True, self.spark.createDataFrame([], schema)) for name, schema in SCHEMAS.items() if name not in state})
+        if set(self.schemas) - set(self._latest()[1]):
+            self.change(lambda state: {name: (True, self.spark.createDataFrame([], schema)) for name, schema in self.schemas.items() if name not in state})
         return self
 
     def read(self, name: str, state: dict | None = None) -> DataFrame:
         """A table as of the last commit, or of a state."""
         table = (self._latest()[1] if state is None else state).get(name)
         if table is None:
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(*(f"{self.path}/{f}" for f in table["folders"]))
+            return self.spark.createDataFrame([], self.schemas[name])
+        read = self.spark.read.schema(self.schemas[name])
+        if name not in self.parted:
+            return read.parquet(*(f"{self.path}/{f}" for f in table["folders"]))
+        parts = [read.parquet(f"{self.path}/{f}") for f in table["folders"]]  # each folder is a base of partitions
+        out = parts[0]
+        for x in parts[1:]:
+            out = out.unionByName(x)
+        return out
 
     def write(self, name: str, rows: DataFrame) -> None:
         """A new version, whatever others write meanwhile; the rows of old ones stay for readers that began with them."""
@@ -164,9 +162,9 @@ class Store:
         self.change(lambda state: {name: (True, step(self.read(name, state)))})
 
     def _typed(self, name: str, rows: DataFrame) -> DataFrame:
-        cols = [f.split(" ")[0] for f in SCHEMAS[name].split(", ")]
+        cols = [f.split(" ")[0] for f in self.schemas[name].split(", ")]
         have = dict(rows.dtypes)
-        kinds = dict(f.split(" ", 1) for f in SCHEMAS[name].split(", "))
+        kinds = dict(f.split(" ", 1) for f in self.schemas[name].split(", "))
         return rows.select(*((F.col(c) if c in have else F.lit(None)).cast(kinds[c]).alias(c) for c in cols))
 
     def append(self, name: str, rows: DataFrame) -> None:
@@ -178,6 +176,23 @@ class Store:
             return False, rows
         return True, self.read(name, state).unionByName(self._typed(name, rows))
 
+
+class Store(Log):
+    """The tables of one corpus."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        super().__init__(spark, path, SCHEMAS)
+
+    def __enter__(self) -> Store:
+        return self.create()
+
+    def __exit__(self, *exc: object) -> None:
+        return None
+
+    def version(self) -> int:
+        """Of the documents: it changes with a whole write."""
+        return self._latest()[1].get("docs", {"version": 0})["version"]
+
     # Corpus.
 
     def _with_vectors(self, docs: DataFrame) -> DataFrame:
