@@ -87,19 +87,8 @@ class ByteBpe:
         ids = list(map(self._byte_id.__getitem__, data))
         find, none = self._merges.get, (len(self._merges), -1)
         pairs = [find(p, none) for p in zip(ids, ids[1:], strict=False)]
-        while len(pairs) > 4 * self.PIECE_LEAF:  # a large window: all places of the least pair at once
-            best = min(pairs)
-            if best is none:
-                return ids
-            out, i = [], 0
-            while i < len(ids):
-                if i < len(pairs) and pairs[i] == best:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+        if len(pairs) > 4 * self.PIECE_LEAF or len(pairs) > 40 and len(set(pairs)) * 8 < len(pairs):
+            ids = self._merge_large(np.array(ids, dtype=np.int64))
             pairs = [find(p, none) for p in zip(ids, ids[1:], strict=False)]
         while pairs:
             best = min(pairs)
@@ -114,6 +103,30 @@ class ByteBpe:
                 pairs[i - 1] = find((ids[i - 1], ids[i]), none)
         return ids
 
+    def _merge_large(self, ids: np.ndarray) -> list[int]:
+        """merge for a large window, or one that repeats itself: all places of the least pair at once, so that a text that repeats itself takes as many passes as it has different merges."""
+        find, none, size = self._merges.get, (len(self._merges), -1), len(self.bytes_of)
+        known: dict[int, tuple[int, int]] = {}
+        while len(ids) > 1:
+            keys = ids[:-1] * size + ids[1:]
+            best, at = none, -1
+            for k in set(keys.tolist()):
+                got = known.get(k)
+                if got is None:
+                    got = known[k] = find(divmod(k, size), none)
+                if got < best:
+                    best, at = got, k
+            if best is none:
+                break
+            places = np.flatnonzero(keys == at)
+            # Places that follow each other overlap: of such a run every second one is merged, from the left.
+            first = np.concatenate(([True], places[1:] != places[:-1] + 1))
+            run = np.maximum.accumulate(np.where(first, np.arange(len(places)), 0))
+            places = places[(np.arange(len(places)) - run) % 2 == 0]
+            ids[places] = best[1]
+            ids = np.delete(ids, places + 1)
+        return ids.tolist()
+
     def piece(self, data: bytes, leaf: int | None = None) -> list[int]:
         """Ids of one piece by tree concatenation: halves encoded on their own, then joined."""
         leaf = leaf or self.PIECE_LEAF
@@ -127,16 +140,17 @@ class ByteBpe:
 
         An encoding is the right one if every two neighbours are what the merges give for their own text; with an agreed token on each side all pairs come from valid encodings.
         """
-        w = 4
+        before = after = 4
         while True:
-            a, b = left[-w:], right[:w]
+            a, b = left[-before:], right[:after]
             ids = self.merge(b"".join(map(self.bytes_of.__getitem__, a + b)))
             whole_left, whole_right = len(a) == len(left), len(b) == len(right)
-            if len(ids) >= 2 and (whole_left or ids[0] == a[0]) and (whole_right or ids[-1] == b[-1]):
+            left_agrees = whole_left or len(ids) >= 2 and ids[0] == a[0]
+            right_agrees = whole_right or len(ids) >= 2 and ids[-1] == b[-1]
+            if left_agrees and right_agrees:
                 return left[: len(left) - len(a)] + ids + right[len(b) :]
-            if whole_left and whole_right:
-                return ids
-            w *= 2
+            # Only the side that disagrees grows.
+            before, after = before * (1 if left_agrees else 2), after * (1 if right_agrees else 2)
 
     def join(self, left: tuple[list[str], list], right: tuple[list[str], list]) -> tuple[list[str], list]:
         """The encoding of two neighbouring texts in one, from theirs, as (pieces, ids of each); left is used up.
@@ -169,8 +183,17 @@ class ByteBpe:
                         w *= 2
                         continue
                 got = got[:take]
+                new = []
+                start = 0
+                for p in got:
+                    # A long piece that is the last one on the left and the first one on the right in one is joined from their ids.
+                    if len(p) > self.LEAF and start < at and start == at - len(a[-1]) and b and start + len(p) == at + len(b[0]):
+                        new.append(tuple(self.join_ids(list(ids[-1]), list(more_ids[0]))))
+                    else:
+                        new.append(self._known[p])
+                    start += len(p)
                 pieces[len(pieces) - len(a) :] = got
-                ids[len(ids) - len(a) :] = map(self._known.__getitem__, got)
+                ids[len(ids) - len(a) :] = new
                 pieces += more[skip:]
                 ids += more_ids[skip:]
                 return pieces, ids

@@ -111,3 +111,22 @@ def test_best_fit_decreasing():
             else:
                 free.append(50 - sizes[i])
         assert len(free) == len(rows)
+
+
+def test_long_repetitive_pieces():
+    """Pieces without a space that repeat themselves, as the library encodes them; work grows with the length."""
+    import time
+
+    encode, _ = library("byte_bpe_50k.json")
+    bpe = bytebpe.load(bytebpe.default_path("byte_bpe_50k.json"))
+    r = random.Random(6)
+    texts = ["a" * n for n in (63, 64, 65, 129, 5000, 30_000)] + ["=" * 20_000, "7" * 9000, "ab" * 9000, "abc" * 7000, "-=" * 5000, "é" * 4000, "日" * 3000]
+    texts += [("xyz" * r.randrange(1, 300) + "q" * r.randrange(1, 500)) * r.randrange(1, 5) for _ in range(30)]
+    texts += ["".join(r.choice(["a" * r.randrange(1, 900), "  ", "\n", "ha" * r.randrange(1, 400), "don't ", "===" * 90, "<|endoftext|>"]) for _ in range(6)) for _ in range(60)]
+    assert [bpe.encode(t) for t in texts] == encode(texts)
+    began = time.perf_counter()
+    bpe.encode("a" * 25_000)
+    once = time.perf_counter() - began
+    began = time.perf_counter()
+    assert len(bpe.encode("a" * 250_000)) < 250_000
+    assert time.perf_counter() - began < 40 * once + 2
