@@ -78,9 +78,11 @@ class PrefixCache(Backend):
 
     def __init__(self, client: object, prefix: str = "search:", ttl: int = 3600):
         self.client, self.prefix, self.ttl = client, prefix, ttl
+        self.hits = self.misses = 0
 
     def get(self, key: str) -> object | None:
         raw = self.client.get(self.prefix + key)
+        self.hits, self.misses = self.hits + bool(raw), self.misses + (not raw)
         return json.loads(raw) if raw else None
 
     def set(self, key: str, value: object) -> None:
@@ -95,6 +97,11 @@ class PrefixCache(Backend):
     def size(self) -> int:
         return sum(1 for _ in self.client.scan_iter(self.prefix + "*"))
 
+    def stats(self) -> dict:
+        """Entries of the store under the prefix, and the lookups made here."""
+        total = self.hits + self.misses
+        return {"size": self.size(), "prefix": self.prefix, "ttl": self.ttl, "hits": self.hits, "misses": self.misses, "hit_rate": self.hits / total if total else 0.0}
+
 
 def cached(cache: MemoryCache, version: Callable[[], object] = lambda: 0):
     """Decorator of search(query, **options): results by query, options and the index's version."""

@@ -51,5 +51,5 @@ def save_report(rows: DataFrame, path: str) -> None:
 
 
 def summary(rows: DataFrame) -> str:
-    """A report of a few rows as text."""
-    return "\n".join(", ".join(f"{k}: {v:.4f}" if isinstance(v, float) else f"{k}: {v}" for k, v in r.asDict().items()) for r in rows.limit(1000).collect())
+    """A report as text, a line a row; rows come to the driver a partition at a time."""
+    return "\n".join(", ".join(f"{k}: {v:.4f}" if isinstance(v, float) else f"{k}: {v}" for k, v in r.asDict().items()) for r in rows.toLocalIterator())

@@ -82,3 +82,13 @@ def parse_decision(reply: str) -> str | None:
     """DONE stops; SEARCH: text goes on with it; anything else stops."""
     reply = reply.strip()
     return reply[7:].strip() or None if reply.upper().startswith("SEARCH:") else None
+
+
+def decider(generate: Callable[[str], str]) -> Callable[[str, list[dict], int], str | None]:
+    """A decide for agentic(): the generator is shown the question and the previews of what was found, and replies as parse_decision reads it."""
+
+    def decide(query: str, hits: list[dict], _round: int) -> str | None:
+        found = "\n".join(f"{n}. {h['content']}" for n, h in enumerate(hits, 1)) or "(nothing)"
+        return parse_decision(generate(f"Question: {query}\n\nFound so far:\n{found}\n\nReply DONE if this is enough to answer. Otherwise reply SEARCH: followed by a better query."))
+
+    return decide

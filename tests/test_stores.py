@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.functions.register import register
-from quillspark.operators import completion, dedup, suggest
+from quillspark.operators import cache, completion, dedup, evaluation, rag, suggest
 from quillspark.operators.duplicate_index import DuplicateIndex
 from quillspark.streaming.durable import DurableQueue, Lost
 
@@ -203,3 +203,37 @@ def test_functions_in_sql(spark):
     assert spark.sql("SELECT doc_id, c.content FROM sql_docs, LATERAL chunk_paragraph(text, 1, 1000) c").collect()[0]["content"] == "One two. Three! Four? Five.\n\nNext."
     got = spark.sql("SELECT text_tokens('A b-c_1 É'), vector_cosine(array(1D, 0D), array(1D, 1D)), vector_cosine(array(0D), array(1D)), token_overlap('a b', 'B c'), fuzzy_ratio('abc', 'abd'), fuzzy_partial('ABC', 'xxabcxx'), token_overlap('', 'a')").collect()[0]
     assert got[0] == ["a", "b", "c_1"] and abs(got[1] - 0.5**0.5) < 1e-12 and got[2:4] == (0.0, 0.5) and abs(got[4] - 200 * 2 / 6) < 1e-9 and got[5:] == (1.0, 0.0)
+
+
+def test_decisions_by_a_generator():
+    """The generator sees the question and what was found, and its reply ends or continues the search."""
+    seen, replies = [], ["search: young birds", "DONE"]
+
+    def generate(prompt):
+        seen.append(prompt)
+        return replies.pop(0)
+
+    out = rag.agentic(lambda q, k: [{"doc_id": len(q), "score": 0.5, "content": q.upper() + "." * 200}], "do birds fly", rag.decider(generate), generate=lambda p: "yes")
+    assert out["searches"] == ["do birds fly", "young birds"] and len(out["sources"]) == 2 and out["answer"] == "yes"
+    assert "do birds fly" in seen[0] and "DO BIRDS FLY" in seen[0] and "." * 101 not in seen[0]
+
+
+def test_stats_of_an_external_cache():
+    class Client(dict):
+        def setex(self, key, ttl, value):
+            self[key] = value
+
+        def delete(self, key):
+            return self.pop(key, None) is not None
+
+        def scan_iter(self, pattern):
+            return [k for k in self if k.startswith(pattern[:-1])]
+
+    c = cache.PrefixCache(Client(other=1), "s:", 60)
+    c.set("a", [1])
+    assert (c.get("a"), c.get("b")) == ([1], None)
+    assert c.stats() == {"size": 1, "prefix": "s:", "ttl": 60, "hits": 1, "misses": 1, "hit_rate": 0.5}
+
+
+def test_summary_of_many_rows(spark):
+    assert len(evaluation.summary(spark.range(1500)).split("\n")) == 1500
