@@ -43,6 +43,11 @@ def load(spark: SparkSession, path: str, k1: float = 1.5, b: float = 0.75, delta
     return Bm25(*(spark.read.parquet(f"{path}/{name}") for name in TABLES), k1, b, delta)
 
 
+def wanted_words(words: DataFrame, terms: list[str]) -> DataFrame:
+    """words (doc_id, t, dl) with those of t that are terms."""
+    return words.select("doc_id", F.filter("t", lambda x: x.isin(terms)).alias("t"), "dl")
+
+
 def fit(docs: DataFrame, k1: float = 1.5, b: float = 0.75, delta: float = 0.0, drop_stop_words: bool = True, only: DataFrame | None = None) -> Bm25:
     """Statistics of docs (doc_id, text). With only (term), postings are kept for these terms alone; while they are at most LITERAL, one pass over the texts leaves each document's length and its wanted words, and all else is made of these, so that the texts are read and split once."""
     t = docs.select("doc_id", tokens(F.col("text"), drop_stop_words).alias("t")).select("doc_id", "t", F.size("t").cast("long").alias("dl"))
@@ -51,7 +56,7 @@ def fit(docs: DataFrame, k1: float = 1.5, b: float = 0.75, delta: float = 0.0, d
         terms = only.select("term").where("term is not null").distinct()
         few = [r["term"] for r in terms.limit(LITERAL + 1).collect()]
         if len(few) <= LITERAL:  # looked up in a set, token by token
-            t = stored(t.select("doc_id", F.filter("t", lambda x: x.isin(few)).alias("t"), "dl"), "bm25-words")
+            t = stored(wanted_words(t, few), "bm25-words")
         else:
             wanted = few_or_merge(terms)
 
