@@ -16,8 +16,6 @@ from quillspark.sources import store
 from quillspark.sources.scratch import place
 from quillspark.streaming import stateful
 
-from .conftest import SF
-
 
 def plan(df):
     return df._jdf.queryExecution().toString()
@@ -53,13 +51,6 @@ def test_blockmax_blocks(spark, docs):
     assert blockmax.top_k(blockmax.build(bm25.fit(none)), spark.createDataFrame([(1, "w1")], "query_id long, query_text string")).count() == 0
 
 
-def test_bm25_reads_texts_once(spark):
-    d = spark.read.parquet(f"{SF}/documents.parquet")
-    q = spark.createDataFrame([(0, "the thand of")], "query_id long, query_text string")
-    p = plan(bm25.score(bm25.fit(d, only=bm25.query_terms(q)), q))
-    assert "documents.parquet" not in p and "regexp_extract_all" not in p.split("bm25-words")[-1].split("LocalTableScan")[0]
-
-
 @pytest.fixture(scope="module")
 def vectors(spark):
     """Tight groups, zeros, copies, and some with no group."""
