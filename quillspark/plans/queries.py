@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from ..operators.providers import embed
 from ..shipping import ship
 from ..sources import scratch, store
 from ..sources.loader import corpus_frame, spread
-from ..streaming import jobs, stateful
+from ..streaming import jobs, semantic, stateful
 from . import pipelines
 
 QUERY = "the thand of and pathetic"
@@ -178,9 +179,20 @@ def chunk_sliding(spark, d):
     return chunking.sliding_chunks(_docs(spark, d)).select("doc_id", "chunk_id", F.md5("content").alias("content_md5"), "start_char", "end_char")
 
 
-@register()
+_STRIPPED = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+_WINDOWS = r"list_transform(range(0, len(s), 4), lambda i: {'n': length(array_to_string(s[i + 1:i + 5], ' ')), 'st': CAST(NULL AS BIGINT)})"
+
+
+@register(rf"""WITH p AS (SELECT doc_id, text, i, p, length(p) AS n, strpos(text, p) - 1 AS st FROM (SELECT doc_id, text, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (SELECT doc_id, text, list_filter(list_transform(regexp_split_to_array({_STRIPPED.format('text')}, '\n\s*\n'), lambda x: {_STRIPPED.format('x')}), lambda x: x <> '') AS ps FROM documents))),
+w AS (SELECT *, CASE WHEN n > 1000 THEN {_WINDOWS} ELSE [] END AS w FROM (SELECT *, list_filter(string_split(regexp_replace(p, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x) <> '') AS s FROM p)),
+f AS (SELECT doc_id, list_reduce(list_concat([{{'c': [], 'n': CAST(0 AS BIGINT), 'st': CAST(0 AS BIGINT), 'w': []}}], list({{'c': CAST([] AS STRUCT(n BIGINT, st BIGINT)[]), 'n': n, 'st': CAST(st AS BIGINT), 'w': w}} ORDER BY i)),
+lambda a, b: CASE WHEN b.n > 1000 THEN {{'c': list_concat(list_concat(a.c, CASE WHEN a.n > 0 THEN [{{'n': a.n, 'st': a.st}}] ELSE [] END), b.w), 'n': 0, 'st': 0, 'w': []}}
+WHEN a.n > 0 AND a.n + b.n + 1 <= 1000 THEN {{'c': a.c, 'n': a.n + b.n + 2, 'st': a.st, 'w': []}}
+ELSE {{'c': list_concat(a.c, CASE WHEN a.n > 0 THEN [{{'n': a.n, 'st': a.st}}] ELSE [] END), 'n': b.n, 'st': b.st, 'w': []}} END) AS f FROM w GROUP BY doc_id),
+c AS (SELECT doc_id, CASE WHEN f.n = 0 THEN f.c WHEN f.n < 50 AND len(f.c) > 0 THEN list_concat(f.c[:-2], [{{'n': f.c[-1].n + 2 + f.n, 'st': f.c[-1].st}}]) ELSE list_concat(f.c, [{{'n': f.n, 'st': f.st}}]) END AS c FROM f)
+SELECT doc_id, CAST(k - 1 AS INTEGER) AS chunk_id, CAST(c.n AS INTEGER) AS n, CAST(coalesce(c.st, -1) AS INTEGER) AS start_char FROM (SELECT doc_id, unnest(c) AS c, generate_subscripts(c, 1) AS k FROM c)""")
 def paragraph_chunks(spark, d):
-    return chunking.paragraph_chunks(_docs(spark, d)).select("doc_id", "chunk_id", F.length("content").alias("n"), "start_char")
+    return chunking.paragraph_chunks(_docs(spark, d)).select("doc_id", "chunk_id", F.length("content").alias("n"), F.coalesce("start_char", F.lit(-1)).alias("start_char"))
 
 
 @register()
@@ -337,7 +349,10 @@ def ann_candidates(spark, d):
     return vector_search.candidates_or_zero(v, q, 10).select("query_id", "doc_id", _r("score").alias("score"))
 
 
-@register()
+@register(f"""WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_id) AS r FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS place FROM (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, {_COS} AS s, CAST(v.embedding AS DOUBLE[]) AS e FROM embeddings v, embeddings q WHERE q.vec_id % 20 = 0)) WHERE place <= 20),
+p AS (SELECT query_id, doc_id, s, 1 AS rank, [doc_id] AS picked, [e] AS vectors FROM c WHERE r = 1
+UNION ALL SELECT query_id, doc_id, s, rank, picked, vectors FROM (SELECT c.query_id, c.doc_id, c.s, p.rank + 1 AS rank, list_append(p.picked, c.doc_id) AS picked, list_append(p.vectors, c.e) AS vectors, row_number() OVER (PARTITION BY c.query_id ORDER BY round(0.5 * c.s - 0.5 * list_max(list_transform(p.vectors, lambda x: list_cosine_similarity(x, c.e))), 12) DESC, c.r) AS o FROM p JOIN c ON c.query_id = p.query_id AND NOT list_contains(p.picked, c.doc_id) WHERE p.rank < 5) WHERE o = 1)
+SELECT query_id, doc_id, round(s, 6) AS score, CAST(rank AS INTEGER) AS rank FROM p""")
 def mmr(spark, d):
     v = _vectors(spark, d)
     q = v.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
@@ -380,7 +395,15 @@ def multistage_bm25(spark, d):
     return fusion.top(two, 20).select("doc_id", _r("score").alias("score"))
 
 
-@register()
+# The stand-in for learned pair scores, of query tokens q and text tokens t.
+_PAIR = "CASE WHEN len(q) = 0 OR len(t) = 0 THEN 0.0 ELSE len(list_intersect(q, list_distinct(t))) / len(q) + CAST(0.1 AS DOUBLE) * len(list_filter(t, lambda x: list_contains(q, x))) / len(t) END"
+
+
+@register(_BM25.replace("{queries}", _BATCH) + f""", h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS place FROM scored) WHERE place <= 20),
+x AS (SELECT query_id, doc_id, score AS was, {_PAIR} AS again FROM (SELECT h.query_id, h.doc_id, h.score, list_distinct({TOKENS.format('b.text')}) AS q, {TOKENS.format('d.text')} AS t FROM h JOIN benchmark b ON b.item_id = h.query_id JOIN documents d USING (doc_id))),
+e AS (SELECT query_id, min(was) AS w0, max(was) AS w1, min(again) AS a0, max(again) AS a1 FROM x GROUP BY query_id),
+y AS (SELECT query_id, doc_id, CAST(0.3 AS DOUBLE) * CASE WHEN w1 > w0 THEN (was - w0) / (w1 - w0) ELSE was END + CAST(0.7 AS DOUBLE) * CASE WHEN a1 > a0 THEN (again - a0) / (a1 - a0) ELSE again END AS score FROM x JOIN e USING (query_id))
+SELECT query_id, doc_id, round(score, 6) AS score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM y) WHERE r <= 5""")
 def rerank_fusion(spark, d):
     q = _batch(spark, d)
     docs = _docs(spark, d)
@@ -632,7 +655,11 @@ def rag_context(spark, d):
     return rag.context(h).select(F.col("query_id").alias("source"), F.md5("context").alias("context_md5"))
 
 
-@register()
+@register(_BM25.replace("{queries}", _BATCH) + f""", h AS (SELECT query_id, r, text, coalesce(sum(length(text)) OVER (PARTITION BY query_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS r FROM scored) JOIN documents USING (doc_id) WHERE r <= 5),
+c AS (SELECT query_id, chr(10) || string_agg(concat('[Document ', r, ']', chr(10), substr(text, 1, CAST(4000 - before AS INTEGER))), chr(10) || chr(10) ORDER BY r) FILTER (before < 4000) || chr(10) || chr(10) AS context, count(*) AS n FROM h GROUP BY query_id),
+parts AS (SELECT query_id, n, s, i, list_distinct({TOKENS.format("b.text || ' answer'")}) AS q, {TOKENS.format('s')} AS t FROM (SELECT query_id, n, unnest(s) AS s, generate_subscripts(s, 1) AS i FROM (SELECT query_id, n, string_split(regexp_replace(regexp_replace(context, '([.!?])\\s+', '\\1' || chr(1), 'g'), '\\n+', chr(1), 'g'), chr(1)) AS s FROM c)) JOIN benchmark b ON b.item_id = query_id),
+best AS (SELECT query_id, n, s FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_PAIR} DESC, i) AS o FROM parts) WHERE o = 1)
+SELECT item_id AS query_id, CAST(CASE WHEN best.query_id IS NULL THEN length('No relevant documents found.') ELSE length(regexp_replace(s, '^\\s+|\\s+$', '', 'g')) END AS INTEGER) AS answer_length, CAST(n AS INTEGER) AS n_sources FROM benchmark LEFT JOIN best ON best.query_id = item_id""")
 def rag_answers(spark, d):
     q = _batch(spark, d)
     docs = _docs(spark, d)
@@ -662,6 +689,43 @@ def append_ids(spark, d):
     return store.with_ids(rows, start).select("page_id", "doc_id")
 
 
+_NORMAL = r"regexp_replace(regexp_replace(text, '\s+', ' ', 'g'), '^ | $', '', 'g')"
+_PLACED = "(SELECT *, row_number() OVER (ORDER BY source, text) - 1 AS i FROM documents)"
+
+
+def _corpus(spark, d, where: str = "true") -> DataFrame:
+    return _docs(spark, d).where(where).select(F.col("source").alias("source_path"), F.col("text").alias("content"))
+
+
+@register(f"WITH x AS (SELECT *, doc_id % 2 AS half FROM documents), y AS (SELECT *, row_number() OVER (PARTITION BY half ORDER BY source, text) - 1 + half * (SELECT count(*) FROM x WHERE half = 0) AS i FROM x) SELECT i AS doc_id, source AS source_path, md5({_NORMAL}) AS content_md5, CAST(length({_NORMAL}) AS INTEGER) AS char_count, CAST(384 AS INTEGER) AS dim FROM y")
+def store_appended(spark, d):
+    """A stored corpus of the even documents after the odd ones were added, each with its vector."""
+    with store.Store(spark, scratch.place(spark, "store")) as s:
+        s.replace(_corpus(spark, d, "doc_id % 2 = 0"))
+        s.add(_corpus(spark, d, "doc_id % 2 = 1"))
+        return s.read("docs").join(s.read("embeddings"), "doc_id").select("doc_id", "source_path", F.md5("content").alias("content_md5"), "char_count", F.size("embedding").alias("dim"))
+
+
+@register(f"""SELECT i AS doc_id, source AS source_path, CASE WHEN u.doc_id IS NULL THEN '' ELSE '{{"toxic":' || u.toxic || '}}' END AS metadata FROM {_PLACED} p LEFT JOIN labels u ON u.doc_id = p.i""")
+def store_metadata(spark, d):
+    """A stored corpus after metadata were set for the ids that labels have."""
+    with store.Store(spark, scratch.place(spark, "store")) as s:
+        s.replace(_corpus(spark, d))
+        s.set_metadata(table(spark, d, "labels").select("doc_id", F.to_json(F.struct("toxic")).alias("metadata")))
+        return s.read("docs").select("doc_id", "source_path", F.coalesce("metadata", F.lit("")).alias("metadata"))
+
+
+@register(f"SELECT row_number() OVER (ORDER BY source, {_NORMAL}) - 1 AS doc_id, source AS source_path, md5({_NORMAL}) AS content_md5 FROM documents")
+def store_exchanged(spark, d):
+    """A stored corpus written as JSON and indexed again from that."""
+    first, second = (store.Store(spark, scratch.place(spark, "store")).create() for _ in range(2))
+    first.replace(_corpus(spark, d))
+    out = scratch.place(spark, "export")
+    first.export_json(out)
+    second.import_json(out)
+    return second.read("docs").select("doc_id", "source_path", F.md5("content").alias("content_md5"))
+
+
 @register(r"SELECT doc_id, CAST(length(text) AS BIGINT) AS char_count, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS BIGINT) AS word_count FROM documents")
 def corpus_counts(spark, d):
     c = corpus_frame(_docs(spark, d).select("doc_id", F.col("text").alias("content"), F.col("source").alias("source_path")))
@@ -700,6 +764,20 @@ def semantic_cache(spark, d):
     return cache.semantic_lookup(e, q, 64, 0.95, F.lit("2025-01-01").cast("timestamp")).select("query_id", "key", _r("score").alias("score"), "results")
 
 
+@register(_SQL["semantic_cache"])
+def semantic_cache_stream(spark, d):
+    """The same by a stream of entries and lookups against keyed state."""
+    v = _vectors(spark, d)
+    label, day = F.col("label"), lambda t: F.lit(t).cast("timestamp")
+    e = v.select(day("2024-01-01").alias("ts"), F.lit(None).cast("long").alias("query_id"), F.col("doc_id").alias("key"), "embedding", label.cast("string").alias("results"), F.when(label < 5, day("2030-01-01")).otherwise(day("2020-01-01")).alias("expires_at"))
+    q = v.where("doc_id % 20 = 0").select(day("2025-01-01").alias("ts"), F.col("doc_id").alias("query_id"), F.lit(None).cast("long").alias("key"), "embedding", F.lit(None).cast("string").alias("results"), F.lit(None).cast("timestamp").alias("expires_at"))
+    source, out = scratch.place(spark, "cache-events"), scratch.place(spark, "cache-answers")
+    e.unionByName(q).write.parquet(source)
+    stream = spark.readStream.schema(semantic.EVENT).parquet(source)
+    semantic.answers(stream, out, 64, keep=None).option("checkpointLocation", scratch.place(spark, "cache-log")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(semantic.HIT).parquet(f"{out}/*").select("query_id", "key", _r("score").alias("score"), "results")
+
+
 @register("SELECT status, count(*) AS n FROM (SELECT user_id, arg_max(event_type, event_id) AS status FROM events GROUP BY 1) GROUP BY 1")
 def job_counts(spark, d):
     return jobs.job_counts(table(spark, d, "events").select(F.col("user_id").alias("job_id"), F.col("event_type").alias("status"), F.col("event_id").alias("updated_at")))
@@ -757,6 +835,32 @@ for _n, _o in (("basic", {}), ("chunked", {"strategy": "sentence"}), ("reranked"
 _SQL["pipe_bm25"] = _BM25.replace("{queries}", _ONE) + " SELECT CAST(0 AS BIGINT) AS query_id, doc_id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS rank FROM (SELECT doc_id, coalesce(score, 0) AS score FROM documents LEFT JOIN scored USING (doc_id)) ORDER BY round(score, 9) DESC, doc_id LIMIT 5"
 
 
+def letters(texts: list[str]) -> np.ndarray:
+    """Counts of the letters a to z: an embedding that SQL can make."""
+    return np.array([[t.count(c) for c in "abcdefghijklmnopqrstuvwxyz"] for t in texts], dtype=float).reshape(len(texts), 26)
+
+
+_LETTERS = "list_transform(range(97, 123), lambda i: CAST(length({0}) - length(replace({0}, chr(CAST(i AS INTEGER)), '')) AS DOUBLE))"
+_LETTERS_SEM = f"(SELECT doc_id, text, CASE WHEN list_sum(e) > 0 THEN list_cosine_similarity(e, {_LETTERS.format(repr(QUERY))}) ELSE 0 END AS s FROM (SELECT doc_id, text, {_LETTERS.format('text')} AS e FROM documents))"
+
+
+@register(_BM25.replace("{queries}", _ONE) + f", b AS (SELECT doc_id, s, coalesce(score, 0) AS l FROM {_LETTERS_SEM} LEFT JOIN scored USING (doc_id)), e AS (SELECT max(s) AS sm, max(l) AS lm FROM b), x AS (SELECT doc_id, 0.6 * s / CASE WHEN sm > 0 THEN sm ELSE 1 END + 0.4 * l / CASE WHEN lm > 0 THEN lm ELSE 1 END AS score FROM b, e) SELECT CAST(0 AS BIGINT) AS query_id, doc_id, round(score, 6) AS score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS r FROM x) WHERE r <= 5")
+def pipe_hybrid_bm25_letters(spark, d):
+    """The pipeline of vectors and BM25, texts as counts of letters."""
+    p = pipelines.create("hybrid_bm25", encode=letters).index(_docs(spark, d))
+    return p.search(_one_query(spark), 5).select("query_id", "doc_id", _r("score").alias("score"), "rank")
+
+
+@register(_BM25.replace("{queries}", _ONE) + f""", a AS (SELECT doc_id, text FROM {_LETTERS_SEM} ORDER BY round(s, 9) DESC, doc_id LIMIT 100),
+b AS (SELECT doc_id, text FROM a LEFT JOIN scored USING (doc_id) ORDER BY round(coalesce(score, 0), 9) DESC, doc_id LIMIT 20),
+x AS (SELECT doc_id, {_PAIR} AS score FROM (SELECT doc_id, list_distinct({TOKENS.format(repr(QUERY))}) AS q, {TOKENS.format('text')} AS t FROM b))
+SELECT CAST(0 AS BIGINT) AS query_id, doc_id, round(score, 6) AS score, CAST(r AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS r FROM x) WHERE r <= 5""")
+def pipe_multi_stage_letters(spark, d):
+    """Vectors, then BM25, then pair scores, texts as counts of letters."""
+    p = pipelines.create("multi_stage", encode=letters).index(_docs(spark, d))
+    return p.search(_one_query(spark), 5).select("query_id", "doc_id", _r("score").alias("score"), "rank")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five best documents of every benchmark text by BM25."""
     ship(spark)

@@ -66,6 +66,11 @@ class Limiter:
         self._windows.pop(self.key(identifier), None)
 
 
+def rocksdb(spark: SparkSession) -> None:
+    """Streams started from now on keep their state in RocksDB, which keyed state with timers and times to live needs."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
 def _seconds(s: pd.Series) -> list[float]:
     return (s.astype("datetime64[us]").astype("int64") / 1e6).tolist()
 
