@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_right
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,13 +12,14 @@ import pyarrow as pa
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import stored, tune
 from .components import connected_components
 
-#: Rows of one side of a block in a cell.
-BLOCK = 1024
+#: Rows of one side of a block, SHARE of a label's rows within these bounds, and rows that are compared at once in it.
+BLOCK, LARGEST, SHARE, TILE = 1024, 32768, 4, 1024
 #: Vectors the codebooks are fitted on, least hashes of the id first.
 SAMPLE = 4096
 
@@ -47,24 +49,34 @@ class Codebooks:
         a, b = (self.distances(k, h)[0].argmin(axis=1) for k, h in enumerate(self.halves(x)))
         return a * len(self.words[1]) + b
 
-    def visits(self, x: np.ndarray) -> Iterator[list[int]]:
-        """For each vector the cells to look into: multi-sequence traversal, nearest border sums first, until they pass reach."""
+    def visits(self, x: np.ndarray, firsts: list[int] | None = None) -> Iterator[list[int]]:
+        """For each vector the cells to look into: multi-sequence traversal, nearest border sums first, until they pass reach.
+
+        firsts: first cells of the shelves (runs of cells), ascending; then the shelves of these cells, and the traversal ends when it has met all.
+        """
         (_, ea), (_, eb) = (self.distances(k, h) for k, h in enumerate(self.halves(x)))
         width = len(self.words[1])
         for u, v in zip(ea, eb, strict=True):
             oa, ob = np.argsort(u, kind="stable").tolist(), np.argsort(v, kind="stable").tolist()
             su, sv = u[oa].tolist(), v[ob].tolist()
             out, heap, seen = [], [(su[0] + sv[0], 0, 0)], {(0, 0)}
+            shelves: set[int] = set()
             while heap:
                 d, i, j = heapq.heappop(heap)
                 if d > self.reach:
                     break
-                out.append(oa[i] * width + ob[j])
+                cell = oa[i] * width + ob[j]
+                if firsts is None:
+                    out.append(cell)
+                else:
+                    shelves.add(max(0, bisect_right(firsts, cell) - 1))
+                    if len(shelves) == len(firsts):
+                        break
                 for n in ((i + 1, j), (i, j + 1)):
                     if n[0] < len(oa) and n[1] < len(ob) and n not in seen:
                         seen.add(n)
                         heapq.heappush(heap, (su[n[0]] + sv[n[1]], *n))
-            yield out
+            yield out if firsts is None else sorted(shelves)
 
 
 def _kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -106,11 +118,29 @@ def fit(sample: np.ndarray, labels: np.ndarray, words: int, cosine: float, recal
     return book
 
 
+def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (node, least id of its component) that join what links (a, b) join."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        least = np.minimum(root[x], root[y])
+        new = root.copy()
+        np.minimum.at(new, root[x], least)
+        np.minimum.at(new, root[y], least)
+        new = new[new]
+        if (new == root).all():
+            break
+        root = new
+    cut = root != np.arange(len(nodes))
+    return nodes[cut], nodes[root[cut]]
+
+
 def near_vectors(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.9999, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Links between vectors of equal label with a cosine (double precision) of at least `cosine`.
 
     Returns one row for each row of vectors: vec_id, n_links (other vectors linked directly), component_id (least vec_id reachable), kept (vec_id = component_id).
-    Every row is in the index. Equal vectors of a label are one class; each class looks into the cells of the product grid that multi-sequence traversal finds within reach, and cosines are computed there in blocks of bounded size, so a crowded cell is many tasks; blocks return counts and a spanning forest, never pairs.
+    Every row is in the index. Equal vectors of a label are one class; cells of the product grid lie on shelves, runs of cells with a quarter of the label's classes each (1,024 at least, 32,768 at most). Each class looks once into each shelf that holds a cell which multi-sequence traversal finds within reach, and cosines with all of the shelf are computed there in blocks of bounded size, so a crowded cell is many tasks; blocks return counts and a spanning forest, never pairs. So a class is sent about eight times at most up to 130,000 classes a label, however many cells are within reach.
     Vectors that are null, empty, zero or hold null or non-finite components, rows with a null label and rows with a null id link with nothing (0 links, component vec_id, kept). Vectors of different length have no cosine. A row repeated with its id is one vector. An empty table gives an empty result; other columns are not looked at.
     """
     spark = vectors.sparkSession
@@ -148,52 +178,70 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, recall: float = 0.999
         for b in batches:
             raw = b.column(2).to_pylist()
             dims = np.array([len(u) // 8 for u in raw])
-            cell, visit = [0] * len(raw), [[0]] * len(raw)
+            cell = [0] * len(raw)
             for dim in np.unique(dims).tolist():
                 book = shared.value.get(dim)
                 if book is None:  # a length the sample lacks: one cell
                     continue
                 at = np.flatnonzero(dims == dim)
                 m = np.frombuffer(b"".join(raw[i] for i in at), dtype="<f8").reshape(len(at), dim)
-                for i, c, v in zip(at.tolist(), book.cells(m).tolist(), book.visits(m), strict=True):
-                    cell[i], visit[i] = c, v
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), b.column(3), pa.array(dims, pa.int32()), pa.array(cell, pa.int32()), pa.array(visit, pa.list_(pa.int32()))], ["id", "label", "u", "copies", "dim", "cell", "visit"])
-
-    placed = stored(classes.select("id", "label", "u", "copies").mapInArrow(place, "id long, label string, u binary, copies long, dim int, cell int, visit array<int>"), "vector-cells")
-    cellkey = ["label", "dim", "cell"]
-    stored_at = placed.select("id", "u", "copies", *cellkey)
-    asked = placed.select("id", "u", "label", "dim", F.explode("visit").alias("cell"))
-    sizes = stored_at.groupBy(*cellkey).agg(F.count(F.lit(1)).alias("mn"))
-    asks = asked.groupBy(*cellkey).agg(F.count(F.lit(1)).alias("pn"))
-    blocks = sizes.join(asks, cellkey).select(*cellkey, F.ceil(F.col("mn") / BLOCK).cast("int").alias("mb"), F.ceil(F.col("pn") / BLOCK).cast("int").alias("pb"))
-    m = stored_at.join(blocks, cellkey).select(*cellkey, F.pmod(F.hash("id"), F.col("mb")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("pb") - 1)).alias("j"), F.lit(False).alias("asks"), "id", "u", "copies")
-    p = asked.join(blocks, cellkey).select(*cellkey, F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("i"), F.pmod(F.hash("id"), F.col("pb")).alias("j"), F.lit(True).alias("asks"), "id", "u", F.lit(0).cast("long").alias("copies"))
+                for i, c in zip(at.tolist(), book.cells(m).tolist(), strict=True):
+                    cell[i] = c
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(dims, pa.int32()), pa.array(cell, pa.int32())], ["id", "label", "u", "copies", "dim", "cell"])
+
+    placed = stored(classes.select("id", "label", "u", "copies").mapInArrow(place, "id long, label string, u binary, copies long, dim int, cell int"), "vector-cells")
+    kind, key = ["label", "dim"], ["label", "dim", "shelf"]
+    # Shelves: cells in order, a new one at each multiple of the block's rows; only labels of several shelves come to the driver, with the first cell of each, in all a row for BLOCK classes at most.
+    cells = placed.groupBy(*kind, "cell").agg(F.count(F.lit(1)).alias("n"))
+    order = W.partitionBy(*kind)
+    cells = cells.withColumn("rows", F.least(F.lit(LARGEST), F.greatest(F.lit(BLOCK), F.ceil(F.sum("n").over(order) / SHARE)))).withColumn("run", F.floor((F.sum("n").over(order.orderBy("cell")) - F.col("n")) / F.col("rows")))
+    cells = stored(cells.withColumn("shelf", F.dense_rank().over(order.orderBy("run")) - 1).select(*kind, "cell", "shelf", "rows"), "vector-shelves")
+    starts = cells.groupBy(*key).agg(F.min("cell").alias("first"))
+    firsts: dict[tuple[str, int], list[int]] = {}
+    for r in starts.join(cells.where("shelf > 0").select(*kind).distinct(), kind, "left_semi").orderBy(*key).collect():
+        firsts.setdefault((r["label"], r["dim"]), []).append(r["first"])
+    runs = spark.sparkContext.broadcast(firsts)
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw, labels, dims = b.column(1).to_pylist(), np.array(b.column(2).to_pylist(), dtype=object), b.column(3).to_numpy()
+            visit = [[0]] * len(raw)
+            for label, dim in set(zip(labels.tolist(), dims.tolist(), strict=True)) & runs.value.keys():
+                at = np.flatnonzero((labels == label) & (dims == dim))
+                m = np.frombuffer(b"".join(raw[i] for i in at), dtype="<f8").reshape(len(at), dim)
+                for i, v in zip(at.tolist(), shared.value[dim].visits(m, runs.value[label, dim]), strict=True):
+                    visit[i] = v
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(visit, pa.list_(pa.int64()))], ["id", "u", "label", "dim", "visit"])
+
+    stored_at = placed.join(cells, [*kind, "cell"]).select("id", "u", "copies", *key, "rows")
+    asked = placed.select("id", "u", "label", "dim").mapInArrow(ask, "id long, u binary, label string, dim int, visit array<long>").select("id", "u", "label", "dim", F.explode("visit").alias("shelf"))
+    sizes = stored_at.groupBy(*key).agg(F.count(F.lit(1)).alias("mn"), F.first("rows").alias("rows"))
+    # Askers are dealt as if all of the label asked: no count of them is needed.
+    asks = sizes.groupBy(*kind).agg(F.sum("mn").alias("pn"))
+    blocks = sizes.join(asks, kind).select(*key, F.ceil(F.col("mn") / (2 * F.col("rows"))).cast("int").alias("mb"), F.ceil(F.col("pn") / F.col("rows")).cast("int").alias("pb"))
+    m = stored_at.join(blocks, key).select(*key, F.pmod(F.hash("id"), F.col("mb")).alias("i"), F.explode(F.sequence(F.lit(0), F.col("pb") - 1)).alias("j"), F.lit(False).alias("asks"), "id", "u", "copies")
+    p = asked.join(blocks, key).select(*key, F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("i"), F.pmod(F.hash("id"), F.col("pb")).alias("j"), F.lit(True).alias("asks"), "id", "u", F.lit(0).cast("long").alias("copies"))
 
     def compare(t: pa.Table) -> pa.Table:
         asks_ = t["asks"].to_numpy(zero_copy_only=False)
         ids, copies = t["id"].to_numpy(), t["copies"].to_numpy()
         v = np.frombuffer(b"".join(t["u"].to_pylist()), dtype="<f8").reshape(len(ids), -1)
         pi, mi = np.flatnonzero(asks_), np.flatnonzero(~asks_)
-        links = (v[pi] @ v[mi].T >= cosine) & (ids[pi][:, None] != ids[mi][None])
-        n = links @ copies[mi]
-        some_p, some_m = links.any(axis=1), links.any(axis=0)
-        links = links[some_p][:, some_m]
-        a, b = ids[pi][some_p], ids[mi][some_m]
-        top = np.iinfo(np.int64).max
-        la, lb = a.copy(), b.copy()
-        while links.size:
-            na = np.minimum(la, np.where(links, lb[None], top).min(axis=1))
-            nb = np.minimum(lb, np.where(links, na[:, None], top).min(axis=0))
-            if (na == la).all() and (nb == lb).all():
-                break
-            la, lb = na, nb
-        node, root = np.concatenate((a, b)), np.concatenate((la, lb))
-        cut = node != root
-        zero = np.zeros(len(pi), dtype=np.int64)
-        at = np.flatnonzero(n)
-        return pa.table({"a": np.concatenate((ids[pi][at], node[cut])), "b": np.concatenate((zero[at], root[cut])), "n": np.concatenate((n[at], np.full(cut.sum(), -1)))}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())]))
-
-    found = stored(m.unionByName(p).groupBy(*cellkey, "i", "j").applyInArrow(compare, "a long, b long, n long"), "vector-links")
+        n = np.zeros(len(pi), dtype=np.int64)
+        at, to = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        for lo in range(0, len(pi), TILE):
+            for first in range(0, len(mi), TILE):
+                x, y = pi[lo : lo + TILE], mi[first : first + TILE]
+                a, b = np.nonzero((v[x] @ v[y].T >= cosine) & (ids[x][:, None] != ids[y][None]))
+                np.add.at(n, lo + a, copies[y[b]])
+                one, two = _forest(ids[x[a]], ids[y[b]])
+                at.append(one)
+                to.append(two)
+        node, root = _forest(np.concatenate(at), np.concatenate(to))
+        some = np.flatnonzero(n)
+        return pa.table({"a": np.concatenate((ids[pi[some]], node)), "b": np.concatenate((np.zeros(len(some), dtype=np.int64), root)), "n": np.concatenate((n[some], np.full(len(node), -1)))}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())]))
+
+    found = stored(m.unionByName(p).groupBy(*key, "i", "j").applyInArrow(compare, "a long, b long, n long"), "vector-links")
     counts = found.where("n >= 0").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("others"))
     comp = connected_components(found.where("n < 0").select("a", "b").distinct().unionByName(members.where("vec_id <> id").select(F.col("vec_id").alias("a"), F.col("id").alias("b"))))
     per = members.join(counts, "id", "left").select("vec_id", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("n_links")).groupBy("vec_id").agg(F.sum("n_links").alias("n_links"))

@@ -156,6 +156,23 @@ def test_multi_index(spark):
     assert multi_index.near_vectors(df.limit(0)).count() == 0
 
 
+def test_multi_index_shelves(spark, monkeypatch):
+    """A vector is sent once for each shelf, not for each cell within reach; links are those of all pairs."""
+    monkeypatch.setattr(multi_index, "BLOCK", 40)
+    monkeypatch.setattr(multi_index, "TILE", 16)
+    r = np.random.default_rng(3)
+    x = r.standard_normal((300, 8))
+    x[100:140] = x[:40] + 0.05 * r.standard_normal((40, 8))
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    book = multi_index.fit(u, np.zeros(300, dtype=int), 8, 0.93, 0.9999)
+    firsts = sorted({0, 9, 20, 41})
+    for cells, shelves in zip(book.visits(u), book.visits(u, firsts), strict=True):
+        assert shelves == sorted({sum(f <= c for f in firsts) - 1 for c in cells})
+    got = multi_index.near_vectors(spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")).collect()
+    links = (u @ u.T >= 0.93) & ~np.eye(300, dtype=bool) & (np.arange(300)[:, None] % 2 == np.arange(300) % 2)
+    assert {g["vec_id"]: g["n_links"] for g in got} == dict(enumerate(links.sum(1).tolist())) and links.any()
+
+
 def test_compact_windows_cover():
     """Every run of at least `least` places lies in exactly one window, and that has its least hash."""
     r = np.random.default_rng(3)
