@@ -325,3 +325,46 @@ def test_suggestions_are_summed(spark, tmp_path):
 
 def test_places_differ(spark):
     assert place(spark, "x") != place(spark, "x")
+
+
+def test_nearest_in_bounded_products(spark, vectors, monkeypatch):
+    """No product of a task has more elements than the bound, however many queries there are; results stay those of all pairs."""
+    ids, scores = pairs(vectors)
+    sizes = []
+    best = nearest._best
+    monkeypatch.setattr(nearest, "SCORES", 1000)
+    monkeypatch.setattr(nearest, "HELD", 500)
+    monkeypatch.setattr(nearest, "_best", lambda i, x, qi, q, k: (sizes.append(len(i) * len(q)), best(i, x, qi, q, k))[1])
+    at = np.arange(len(ids))
+    rows = {r["doc_id"]: r["embedding"] for r in vectors.where("embedding is not null").collect()}
+    dim = len(rows[int(ids[0])])
+    u = nearest.units([rows[i] for i in ids.tolist()], dim)
+    batch = nearest.pa.RecordBatch.from_arrays([nearest.pa.array(ids), nearest.pa.array([rows[i] for i in ids.tolist()], nearest.pa.list_(nearest.pa.float64()))], ["doc_id", "embedding"])
+
+    class Sent:
+        value = (ids, u, None)
+
+    got = {}
+    for b in nearest._kernel(Sent, 5, False)([batch, batch.slice(0, 0)]):
+        for q, d, s in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            got.setdefault(q, []).append((d, round(s, 9)))
+    for i in at[::37].tolist():
+        assert sorted(got[int(ids[i])], key=lambda x: (-x[1], x[0])) == best_of(ids, scores, i, 5)
+    assert len(sizes) > 10 and max(sizes) <= 1000
+
+
+def test_bucket_pairs_are_not_shuffled(spark):
+    """Pairs that share a bucket are those of a join on buckets, each once; only results above the threshold pass a shuffle."""
+    r = np.random.default_rng(8)
+    x = r.standard_normal((200, 6))
+    x[150:] = x[:50] * 2
+    v = spark.createDataFrame([(i, a.tolist()) for i, a in enumerate(x)] + [(200, [0.0] * 6), (201, None)], "doc_id long, embedding array<double>")
+    q = v.where("doc_id % 3 = 0").select(F.col("doc_id").alias("query_id"), "embedding")
+    o = {"tables": 5, "bits": 3}
+    index = vector_search.lsh_index(v, 6, **o)
+    got = vector_search.lsh_query(index, q, 6, 0.5, limit=20, **o)
+    asked = vector_search.lsh_index(q.withColumnRenamed("query_id", "doc_id"), 6, **o).select("table", "bucket", F.col("doc_id").alias("query_id"), F.col("embedding").alias("e"))
+    want = asked.join(index, ["table", "bucket"]).dropDuplicates(["query_id", "doc_id"]).where(vector_search.cosine(F.col("embedding"), F.col("e")) >= 0.5)
+    rows = [(a["query_id"], a["doc_id"]) for a in got.collect()]
+    assert sorted(rows) == sorted((a["query_id"], a["doc_id"]) for a in want.collect()) and len(rows) > 100
+    assert not re.search("Join", plan(got))
