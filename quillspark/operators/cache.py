@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine
+from .nearest import nearest
 from .vector_search import lsh_index, lsh_query
 
 
@@ -137,15 +137,15 @@ def semantic_lookup(entries: DataFrame, queries: DataFrame, dim: int, threshold:
 
 
 def semantic_lookup_linear(entries: DataFrame, queries: DataFrame, threshold: float = 0.95, now: F.Column | None = None) -> DataFrame:
-    """The same by comparing with every live entry; entries are at most a cache's size."""
+    """The same by comparing with every live entry: matrix products where the entries lie, a row a query and task goes on. Equal scores (to 9 digits) go to the greater key."""
     live = entries.where(F.col("expires_at") > (now if now is not None else F.current_timestamp()))
-    q = queries.select("query_id", F.col("embedding").alias("_q"))
-    hits = live.crossJoin(q).select("query_id", F.col("key").alias("doc_id"), cosine(F.col("embedding"), F.col("_q")).alias("score")).where(F.col("score") >= threshold)
-    return _best(hits, live)
+    # nearest prefers the lesser id of equal scores.
+    hits = nearest(live.select((-F.col("key")).alias("doc_id"), "embedding"), queries, 1).where(F.col("score") >= threshold)
+    return _best(hits.select("query_id", (-F.col("doc_id")).alias("doc_id"), "score"), live)
 
 
 def _best(hits: DataFrame, live: DataFrame) -> DataFrame:
-    top = hits.groupBy("query_id").agg(F.max_by(F.struct("doc_id", "score"), F.struct(F.col("score"), F.col("doc_id"))).alias("x"))
+    top = hits.groupBy("query_id").agg(F.max_by(F.struct("doc_id", "score"), F.struct(F.round("score", 12), F.col("doc_id"))).alias("x"))
     return top.select("query_id", F.col("x.doc_id").alias("key"), F.col("x.score").alias("score")).join(live.select("key", "results"), "key")
 
 
