@@ -15,6 +15,21 @@ def per_query(retrieved: DataFrame, relevant: DataFrame, k: int = 10) -> DataFra
     """
     want = relevant.groupBy("query_id").agg(F.count(F.lit(1)).alias("wanted"))
     hit = retrieved.join(relevant.select("query_id", "doc_id").distinct().withColumn("hit", F.lit(1)), ["query_id", "doc_id"], "left")
+    return _metrics(hit, want, k)
+
+
+def per_query_by_label(retrieved: DataFrame, items: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """The same where all items (doc_id, label) of a query's label (query_id, label) are relevant but for the one of the query's own id. Relevant rows are counted by label and never written out, as there are as many as queries times items of a label."""
+    items = items.select("doc_id", "label").where("label is not null")
+    own = items.groupBy(F.col("doc_id").alias("query_id"), "label").agg(F.count(F.lit(1)).alias("own"))
+    sizes = items.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    want = queries.join(sizes, "label").join(own, ["query_id", "label"], "left").select("query_id", (F.col("n") - F.coalesce("own", F.lit(0))).alias("wanted")).where("wanted > 0")
+    same = retrieved.join(queries.select("query_id", "label"), "query_id", "left").join(items.distinct().withColumn("hit", F.lit(1)), ["doc_id", "label"], "left")
+    return _metrics(same.withColumn("hit", F.when(F.col("doc_id") != F.col("query_id"), F.col("hit"))), want, k)
+
+
+def _metrics(hit: DataFrame, want: DataFrame, k: int) -> DataFrame:
+    """METRICS of hit (query_id, doc_id, rank, hit: 1 or null) and want (query_id, wanted)."""
     inside = (F.col("rank") <= k) & (F.col("hit") == 1)
     got = hit.groupBy("query_id").agg(
         F.count_if(F.col("rank") <= k).alias("seen"),

@@ -58,6 +58,17 @@ def test_metrics_edges(spark):
     assert m[2]["recall"] == m[2]["precision"] == m[2]["ndcg"] == 0.0
 
 
+def test_metrics_by_label(spark):
+    """The same metrics as of the written-out relevant rows, which are not made."""
+    items = spark.createDataFrame([(i, [0, 1, 2, None][i % 4] if i < 20 else 3) for i in range(21)], "doc_id long, label int")
+    asked = items.where("doc_id in (0, 1, 3, 20)").withColumnRenamed("doc_id", "query_id")
+    found = spark.createDataFrame([(q, d, r + 1) for q in (0, 1, 3, 20) for r, d in enumerate([q, 4, 5, 8, 3, 16])], "query_id long, doc_id long, rank int")
+    want = items.join(asked, "label").where("doc_id <> query_id").select("query_id", "doc_id")
+    rows = lambda df: sorted((r["query_id"], *(round(r[m], 9) for m in evaluation.METRICS)) for r in df.collect())
+    got = evaluation.per_query_by_label(found, items, asked, 5)
+    assert rows(got) == rows(evaluation.per_query(found, want, 5)) and max(rows(got)[0][1:]) > 0
+
+
 def test_dedup_actions(spark):
     base = "the quick brown fox jumps over the lazy dog and runs away from the noisy farm at night " * 3
     rows = [(0, base, {"a": "1"}), (1, base + "!", {"b": "2", "a": "x"}), (2, "something else entirely, with other words", {}), (3, "", {})]
