@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import content_hash, shingles
-from ..sources.scratch import checkpoint
+from ..sources.scratch import checkpoint, stored
 from .fusion import top_per_query
 
 PERMUTATIONS = 128
@@ -66,13 +67,95 @@ def band_rows(signed: DataFrame, threshold: float = 0.9) -> DataFrame:
     return signed.where("signature is not null").select("doc_id", "signature", F.explode(cuts).alias("x")).select("doc_id", "signature", "x.band", "x.h")
 
 
+#: Rows of one side of a block of a bucket, and rows that are compared at once in it.
+BLOCK, TILE = 4096, 512
+
+
+def _packed(signed: DataFrame) -> DataFrame:
+    """(id, signature, sig) of distinct signatures and their least doc_id; sig: the signature's bytes."""
+
+    @F.pandas_udf("binary")
+    def pack(s: pd.Series) -> pd.Series:
+        return pd.Series([np.asarray(x, dtype="<i8").tobytes() for x in s])
+
+    return signed.where("signature is not null").groupBy("signature").agg(F.min("doc_id").alias("id")).select("id", "signature", pack("signature").alias("sig"))
+
+
+def like(left: DataFrame, right: DataFrame | None, threshold: float) -> DataFrame:
+    """(a, b, similarity) of ids of left and right (distinct signatures, see _packed) that share a band and whose signatures agree in a share of at least threshold; right None: left with itself, a > b.
+
+    A bucket is cut into pairs of blocks of BLOCK rows, which are compared in tasks: first a byte of each place, then the places themselves of what is left. A pair is told in the first band that it shares, so pairs are never brought together to be counted once.
+    """
+    bands, rows = banding(threshold)
+    key = ["band", "h"]
+
+    def cut(x: DataFrame) -> DataFrame:
+        hashes = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.slice("signature", i * rows + 1, rows)).alias("h")))
+        return x.select("id", "sig", F.explode(hashes).alias("x")).select("id", "sig", "x.band", "x.h")
+
+    x = cut(left)
+    n = x.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
+    if right is None:
+        n = n.where("n > 1").select(*key, "n", F.col("n").alias("m"))
+    else:
+        n = n.join(cut(right).groupBy(*key).agg(F.count(F.lit(1)).alias("m")), key)
+    parts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    n = n.select(*key, parts("n").alias("n"), parts("m").alias("m"))
+    part = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
+    x = x.join(n, key).withColumn("part", part("n"))
+    if right is None:
+        x = x.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(*key, F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), (F.col("part") <= F.col("o")).alias("first"), (F.col("part") >= F.col("o")).alias("second"), "id", "sig")
+    else:
+        y = cut(right).join(n, key).select(*key, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"), part("m").alias("j"), F.lit(False).alias("first"), F.lit(True).alias("second"), "id", "sig")
+        x = x.select(*key, "part", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"), F.lit(True).alias("first"), F.lit(False).alias("second"), "id", "sig").withColumnRenamed("part", "i").unionByName(y)
+    alone = right is None
+
+    def meet(t: pa.Table) -> pa.Table:
+        ids, band = t["id"].to_numpy(), t["band"][0].as_py()
+        raw = t["sig"].to_pylist()
+        sig = np.frombuffer(b"".join(raw), dtype="<i8").reshape(len(raw), -1)
+        p, q = (np.flatnonzero(t[c].to_numpy(zero_copy_only=False)) for c in ("first", "second"))
+        across = t["i"][0].as_py() != t["j"][0].as_py()
+        byte = np.ascontiguousarray((sig & 255).astype(np.uint8).T)
+        least = max(1, int(np.ceil(threshold * len(byte) - 1e-9)))
+        out = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0))]
+        for lo in range(0, len(p), TILE):
+            for at in range(0, len(q), TILE):
+                g, h = p[lo : lo + TILE], q[at : at + TILE]
+                same = np.zeros((len(g), len(h)), dtype=np.uint8 if len(byte) < 256 else np.uint16)
+                left, over = byte[:, g], byte[:, h]
+                for k in range(len(byte)):
+                    same += left[k][:, None] == over[k]
+                i, j = np.nonzero(same >= least)
+                if alone:
+                    up = (ids[g[i]] > ids[h[j]]) | across
+                    i, j = i[up], j[up]
+                for some in range(0, len(i), 1 << 14):
+                    u, v = g[i[some : some + (1 << 14)]], h[j[some : some + (1 << 14)]]
+                    eq = sig[u] == sig[v]
+                    share = eq.sum(axis=1) / eq.shape[1]
+                    shared = np.stack([eq[:, k * rows : (k + 1) * rows].all(axis=1) for k in range(bands)], axis=1)
+                    good = (share >= threshold) & (shared.argmax(axis=1) == band)
+                    u, v = ids[u[good]], ids[v[good]]
+                    out.append((np.maximum(u, v), np.minimum(u, v), share[good]) if alone else (u, v, share[good]))
+        a, b, s = (np.concatenate(c) for c in zip(*out, strict=True))
+        return pa.table({"a": a, "b": b, "similarity": s})
+
+    return x.groupBy(*key, "i", "j").applyInArrow(meet, "a long, b long, similarity double")
+
+
 def lookup(signed: DataFrame, index: DataFrame, threshold: float = 0.9) -> DataFrame:
-    """(doc_id, match_id, similarity) of candidates that share a band with estimate at or over threshold. Buckets of copies are joined on their distinct signatures."""
-    q = band_rows(signed, threshold)
-    sigs = index.where("signature is not null").groupBy("signature").agg(F.min("doc_id").alias("match_id"))
-    i = band_rows(sigs.select(F.col("match_id").alias("doc_id"), "signature"), threshold).select(F.col("doc_id").alias("match_id"), F.col("signature").alias("other"), "band", "h")
-    pairs = q.join(i, ["band", "h"]).where("doc_id <> match_id").dropDuplicates(["doc_id", "match_id"])
-    return pairs.select("doc_id", "match_id", estimate(F.col("signature"), F.col("other")).alias("similarity")).where(F.col("similarity") >= threshold)
+    """(doc_id, match_id, similarity) of candidates that share a band with estimate at or over threshold. Distinct signatures are compared, and copies of either side are told of their matches afterwards."""
+    own = _packed(signed)
+    if signed is index:
+        half = stored(like(own, None, threshold), "like")
+        pairs = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity")).unionByName(own.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity")))
+    else:
+        pairs = like(own, _packed(index), threshold)
+    # Copies of a signature, by 128 bits of it.
+    bits = [F.xxhash64("signature").alias("k1"), F.xxhash64(F.lit(1), "signature").alias("k2")]
+    members = signed.where("signature is not null").select("doc_id", *bits).join(own.select("id", *bits), ["k1", "k2"]).select("doc_id", F.col("id").alias("a"))
+    return members.join(pairs, "a").where("doc_id <> b").select("doc_id", F.col("b").alias("match_id"), "similarity")
 
 
 def verified(docs: DataFrame, threshold: float = 0.9, slack: float = 0.1) -> DataFrame:

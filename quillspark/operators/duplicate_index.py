@@ -44,9 +44,8 @@ class DuplicateIndex(Log):
         q = self._bands(signed)
         shards = [r["shard"] for r in q.select("shard").distinct().collect()]  # SHARDS at most
         held = self.read("bands", state).where(F.col("shard").isin(shards)).withColumnRenamed("doc_id", "match_id")
-        met = q.join(held, ["shard", "band", "h"]).select("doc_id", "signature", "match_id").where("doc_id <> match_id").dropDuplicates(["doc_id", "match_id"])
-        other = self.read("signatures", state).select(F.col("doc_id").alias("match_id"), F.col("signature").alias("other"))
-        return met.join(other, "match_id").select("doc_id", "match_id", dedup.estimate(F.col("signature"), F.col("other")).alias("similarity")).where(F.col("similarity") >= self.threshold)
+        met = held.join(q.select("shard", "band", "h").distinct(), ["shard", "band", "h"], "left_semi").select(F.col("match_id").alias("doc_id")).distinct()
+        return dedup.lookup(signed, self.read("signatures", state).join(met, "doc_id", "left_semi"), self.threshold)
 
     def take(self, docs: DataFrame) -> DataFrame:
         """Decide docs (doc_id, text): one goes if it is like a kept one of an earlier batch, or like a kept one of this batch with a lesser id. The decisions (doc_id, kept, canonical_doc_id: the best match, similarity).

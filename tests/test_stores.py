@@ -53,6 +53,27 @@ def test_duplicates_in_batches(spark, tmp_path):
     assert again.take(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_duplicates_in_blocks(spark, monkeypatch):
+    """Buckets are compared in blocks: each pair of distinct signatures once, with either side's copies told afterwards, the same as all pairs that share a band."""
+    monkeypatch.setattr(dedup, "BLOCK", 7)
+    monkeypatch.setattr(dedup, "TILE", 3)
+    s = dedup.fingerprints(spark.createDataFrame([*texts(70), (70, ""), (71, None)], DOCS)).localCheckpoint()
+    sig = {r["doc_id"]: r["signature"] for r in s.collect() if r["signature"]}
+    bands, rows = dedup.banding(0.9)
+    first = {i for i in sig if not any(sig[j] == sig[i] for j in sig if j < i)}
+
+    def pair(i, j):
+        eq = [x == y for x, y in zip(sig[i], sig[j], strict=True)]
+        return sum(eq) / 128 if any(all(eq[b * rows : (b + 1) * rows]) for b in range(bands)) else 0
+
+    want = sorted((i, j, pair(i, j)) for i in sig for j in first if i != j and pair(i, j) >= 0.9)
+    assert sorted(map(tuple, dedup.lookup(s, s, 0.9).collect())) == want and len(want) > 50
+    some = s.where("doc_id % 3 = 0")
+    assert sorted(map(tuple, dedup.lookup(some, s, 0.9).collect())) == [x for x in want if x[0] % 3 == 0]
+    n = dedup.like(dedup._packed(s), None, 0.9).count()
+    assert n == sum(i > j for i, j, _ in want if i in first)
+
+
 def test_duplicates_of_a_stream(spark, tmp_path):
     """Files that arrive one after the other are decided as batches."""
     rows = texts(24, seed=5)
