@@ -282,7 +282,8 @@ def with_ids(rows: DataFrame, start: int = 0) -> DataFrame:
     spark = rows.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     r = rows.repartitionByRange(n, *key).sortWithinPartitions(*key).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id())
-    r = r.withColumn("_i", F.col("_m") - F.shiftleft(F.col("_p").cast("long"), 33))
+    # Written once: evaluated again, the sample that ranges are cut by is another one, and places and sizes of the ranges would not go together.
+    r = stored(r.withColumn("_i", F.col("_m") - F.shiftleft(F.col("_p").cast("long"), 33)), "placed")
     sizes = r.groupBy("_p").agg((F.max("_i") + 1).alias("n"))
     starts = sizes.alias("a").join(sizes.alias("b"), F.col("b._p") < F.col("a._p"), "left").groupBy("a._p").agg(F.coalesce(F.sum("b.n"), F.lit(0)).alias("_s"))
     return r.join(F.broadcast(starts), "_p").withColumn("doc_id", F.col("_s") + F.col("_i") + start).drop("_p", "_m", "_i", "_s")

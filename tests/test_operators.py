@@ -162,6 +162,19 @@ def test_ids_and_engine(spark, tmp_path):
     assert Engine(spark, str(tmp_path / "two")).store.import_json(str(tmp_path / "out")).count() == 6
 
 
+def test_ids_whatever_the_ranges(spark):
+    """Ids are dense and in order although a small sample cuts the ranges, and another one whenever they are evaluated again."""
+    import random
+
+    spark.conf.set("spark.sql.execution.rangeExchange.sampleSizePerPartition", "2")
+    try:
+        names = [f"{x:06d}" for x in random.Random(4).sample(range(10**6), 5000)]
+        got = store.with_ids(spark.createDataFrame([(n, "", i) for i, n in enumerate(names)], "source_path string, content string, page_id long").repartition(5), 7).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.rangeExchange.sampleSizePerPartition")
+    assert {r["source_path"]: r["doc_id"] for r in got} == {n: i + 7 for i, n in enumerate(sorted(names))}
+
+
 def test_jobs():
     tries = []
 
