@@ -9,8 +9,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillspark.functions.fuzzy import gram_bound, gram_codes, partial_ratio, ratio
-from quillspark.operators import blockmax, bm25, dedup, fusion, lexical, nearest, vector_search
+from quillspark.functions.fuzzy import Pattern, gram_bound, gram_codes, partial_ratio, partial_ratios, ratio
+from quillspark.operators import blockmax, bm25, dedup, fusion, lexical, nearest, scan, vector_search
+from quillspark.operators.providers import embed
 from quillspark.plans.engine import Engine
 from quillspark.sources import store
 from quillspark.sources.scratch import place
@@ -368,3 +369,29 @@ def test_bucket_pairs_are_not_shuffled(spark):
     rows = [(a["query_id"], a["doc_id"]) for a in got.collect()]
     assert sorted(rows) == sorted((a["query_id"], a["doc_id"]) for a in want.collect()) and len(rows) > 100
     assert not re.search("Join", plan(got))
+
+
+def test_partial_ratios_of_many_texts():
+    rng = random.Random(5)
+    some = lambda n: "".join(rng.choice("abcde fgh éß\U0001f600") for _ in range(n))
+    for q in ("the thand of and pathetic", "ab", "a", "", some(105)):
+        texts = [some(rng.choice((0, 1, 5, 24, 25, 26, 60, 300))) for _ in range(100)] + [q, q + "a", "zz" + q, q[1:], "z" * 40]
+        assert partial_ratios(Pattern(q), texts).tolist() == [partial_ratio(q, t) for t in texts]
+
+
+@pytest.mark.parametrize("portion", [1, 2000])
+def test_scan_scores_each_pair_in_one_pass(spark, monkeypatch, portion):
+    """Same scores as the joins of all pairs; a text is embedded once, however many parts the queries have."""
+    monkeypatch.setattr(scan, "PORTION", portion)
+    texts = ["early bird gets", "the worm.", "", None, "Bird of the rows " * 30, "..."]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    q = spark.createDataFrame([(1, "early bird"), (2, "!"), (3, None)], "query_id long, query_text string").repartition(3)
+    e = lambda x: x.select(x.columns[0], embed(x.columns[1]).alias("embedding"))
+    sem = vector_search.cosine_scores(e(d), e(q.select("query_id", F.col("query_text"))))
+    lex = lexical.hybrid_lexical(d, q.fillna(""))
+    want = {(r["query_id"], r["doc_id"]): (r["s"], r["l"]) for r in sem.withColumnRenamed("score", "s").join(lex.withColumnRenamed("score", "l"), ["query_id", "doc_id"]).collect()}
+    out = scan.scores(d, q)
+    got = {(r["query_id"], r["doc_id"]): (r["s"], r["l"]) for r in out.collect()}
+    assert len(want) == 18 and got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    assert "CartesianProduct" not in out._jdf.queryExecution().toString() and "Join" not in out._jdf.queryExecution().executedPlan().toString()
