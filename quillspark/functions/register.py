@@ -17,10 +17,10 @@ SCALARS = {
     "vector_cosine(a ARRAY<DOUBLE>, b ARRAY<DOUBLE>) RETURNS DOUBLE": "CASE WHEN vector_dot(a, a) * vector_dot(b, b) = 0 THEN 0D ELSE vector_dot(a, b) / (sqrt(vector_dot(a, a)) * sqrt(vector_dot(b, b))) END",
     "token_overlap(q STRING, t STRING) RETURNS DOUBLE": "CASE WHEN size(text_tokens(q)) = 0 THEN 0D ELSE size(array_intersect(text_tokens(q), text_tokens(t))) / size(array_distinct(text_tokens(q))) END",
 }
-_SENTENCES = r"filter(split(regexp_replace(coalesce(t, ''), '(?U)^\\s+|\\s+$', ''), '(?U)(?<=[.!?])\\s+'), s -> length(regexp_replace(s, '(?U)^\\s+|\\s+$', '')) > 0)"
-#: Table functions of one text: SQL, too.
+_SENTENCES = r"filter(split(regexp_replace(coalesce(t, ''), '(?U)^\\s+|\\s+$', ''), '(?U)(?<=[.!?])\\s+'), s -> s RLIKE '(?U)\\S')"
+#: Table functions of one text: SQL, too. Each is a generator alone, which LATERAL makes rows of where the text lies; a subquery would be joined to its texts by the texts themselves.
 TABLES = {
-    "chunk_sentence(t STRING, most INT DEFAULT 3, overlap INT DEFAULT 1) RETURNS TABLE (chunk_id INT, content STRING, sentences INT)": f"SELECT pos, col.content, col.n FROM (SELECT posexplode(transform(sequence(0, size(s) - 1, most - overlap), i -> named_struct('content', array_join(slice(s, i + 1, most), ' '), 'n', least(most, size(s) - i)))) FROM (SELECT {_SENTENCES} AS s) WHERE size(s) > 0)",
+    "chunk_sentence(t STRING, most INT DEFAULT 3, overlap INT DEFAULT 1) RETURNS TABLE (chunk_id INT, content STRING, sentences INT)": f"SELECT * FROM inline(flatten(transform(array({_SENTENCES}), s -> transform(IF(size(s) > 0, sequence(0, size(s) - 1, most - overlap), array()), (i, k) -> named_struct('chunk_id', k, 'content', array_join(slice(s, i + 1, most), ' '), 'sentences', least(most, size(s) - i))))))",
 }
 
 

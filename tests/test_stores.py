@@ -258,3 +258,12 @@ def test_stats_of_an_external_cache():
 
 def test_summary_of_many_rows(spark):
     assert len(evaluation.summary(spark.range(1500)).split("\n")) == 1500
+
+
+def test_sql_chunks_make_rows_where_the_text_lies(spark):
+    register(spark)
+    spark.createDataFrame([(1, "A b. C d! E. F?"), (2, ""), (3, None), (4, " \n "), (5, "A b. C d! E. F?")], "doc_id long, text string").createOrReplaceTempView("sql_few")
+    out = spark.sql("SELECT doc_id, c.* FROM sql_few, LATERAL chunk_sentence(text) c")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
+    assert sorted(map(tuple, out.collect())) == [(i, *c) for i in (1, 5) for c in ((0, "A b. C d! E.", 3), (1, "E. F?", 2))]
