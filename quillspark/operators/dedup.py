@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import content_hash, shingles
+from ..functions.fuzzy import gram_codes
+from ..functions.text import content_hash, shingles, strip
 from ..sources.scratch import checkpoint, stored
 from .fusion import top_per_query
+from .lexical import few_or_merge
 
 PERMUTATIONS = 128
 #: Pairs at the very threshold that may share no band.
@@ -91,7 +93,11 @@ def like(left: DataFrame, right: DataFrame | None, threshold: float) -> DataFram
 
     def cut(x: DataFrame) -> DataFrame:
         hashes = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(i, F.slice("signature", i * rows + 1, rows)).alias("h")))
-        return x.select("id", "sig", F.explode(hashes).alias("x")).select("id", "sig", "x.band", "x.h")
+        return x.select("id", F.explode(hashes).alias("x")).select("id", "x.band", "x.h")
+
+    def shared(x: DataFrame) -> DataFrame:
+        """Rows of buckets where others may be, by ids; signatures come to these alone."""
+        return cut(x).join(n, key).join(x.select("id", "sig"), "id")
 
     x = cut(left)
     n = x.groupBy(*key).agg(F.count(F.lit(1)).alias("n"))
@@ -102,11 +108,11 @@ def like(left: DataFrame, right: DataFrame | None, threshold: float) -> DataFram
     parts = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
     n = n.select(*key, parts("n").alias("n"), parts("m").alias("m"))
     part = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
-    x = x.join(n, key).withColumn("part", part("n"))
+    x = shared(left).withColumn("part", part("n"))
     if right is None:
         x = x.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select(*key, F.least("part", "o").alias("i"), F.greatest("part", "o").alias("j"), (F.col("part") <= F.col("o")).alias("first"), (F.col("part") >= F.col("o")).alias("second"), "id", "sig")
     else:
-        y = cut(right).join(n, key).select(*key, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"), part("m").alias("j"), F.lit(False).alias("first"), F.lit(True).alias("second"), "id", "sig")
+        y = shared(right).select(*key, F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"), part("m").alias("j"), F.lit(False).alias("first"), F.lit(True).alias("second"), "id", "sig")
         x = x.select(*key, "part", F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("j"), F.lit(True).alias("first"), F.lit(False).alias("second"), "id", "sig").withColumnRenamed("part", "i").unionByName(y)
     alone = right is None
 
@@ -169,13 +175,54 @@ def verified(docs: DataFrame, threshold: float = 0.9, slack: float = 0.1) -> Dat
     s = checkpoint(fingerprints(d))
     # The least document of a signature stands for the others of it, which are its candidates, too.
     met = lookup(s, s, max(0.01, threshold - slack)).where("match_id < doc_id").select("doc_id", "match_id")
-    sets = d.select("doc_id", shingles(F.col("text")).alias("s"))
-    pairs = met.join(sets, "doc_id").join(sets.select(F.col("doc_id").alias("match_id"), F.col("s").alias("t")), "match_id")
-    common = F.size(F.array_intersect("s", "t"))
-    pairs = pairs.select("doc_id", "match_id", (common / (F.size("s") + F.size("t") - common)).alias("similarity")).where(F.col("similarity") >= threshold)
+    pairs = above(d, stored(met, "candidates"), threshold)
     return pairs.groupBy("doc_id").agg(F.min(F.struct("match_id", "similarity")).alias("x")).select("doc_id", "x.match_id", "x.similarity")
 
 
+#: Texts, and characters of them, of one side of a block of candidates.
+TEXTS, CHARACTERS = 512, 4 << 20
+
+
+def above(docs: DataFrame, met: DataFrame, threshold: float) -> DataFrame:
+    """(doc_id, match_id, similarity) of pairs met (doc_id, match_id) of unlike contents whose trigram sets have a Jaccard similarity of at least threshold, the one with the least match_id of each doc_id among them.
+
+    Documents are dealt into blocks by their least partner, several for a partner of many, and a text goes once to every two blocks that have a pair of it, not once to each of its pairs. Sets are made there, as sorted numbers.
+    """
+    ends = met.unionByName(met.select(F.col("match_id").alias("doc_id"), F.col("doc_id").alias("match_id"))).groupBy("doc_id").agg(F.least(F.min("match_id"), F.first("doc_id")).alias("root"))
+    texts = docs.select("doc_id", strip(F.lower(F.coalesce("text", F.lit("")))).alias("t")).join(few_or_merge(ends.select("doc_id")), "doc_id", "left_semi")
+    texts = stored(texts.join(ends, "doc_id"), "candidate-texts")
+    shares = texts.groupBy("root").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TEXTS, F.sum(F.length("t")) / CHARACTERS)).alias("shares"))
+    dealt = stored(texts.select("doc_id", "root").join(shares, "root").select("doc_id", "root", F.pmod(F.xxhash64("doc_id"), F.col("shares")).alias("share")), "candidate-blocks")
+    key = ["r", "p", "q", "o"]
+    left, right = dealt.toDF("doc_id", "r", "p"), dealt.toDF("match_id", "q", "o")
+    pairs = stored(met.join(left, "doc_id").join(right, "match_id").select(*key, "doc_id", "match_id"), "candidate-pairs")
+    need = pairs.select(*key, F.explode(F.array("doc_id", "match_id")).alias("doc_id")).distinct().toDF(*(f"{k}_" for k in key), "doc_id")
+    sent = need.join(texts.select("doc_id", "t"), "doc_id")
+
+    def compare(asked: pa.Table, rows: pa.Table) -> pa.Table:
+        text = dict(zip(rows["doc_id"].to_pylist(), rows["t"].to_pylist(), strict=True))
+        sets: dict[int, np.ndarray] = {}
+        out = []
+        found = None
+        for a, b in sorted(zip(asked["doc_id"].to_pylist(), asked["match_id"].to_pylist(), strict=True)):
+            if a == found:
+                continue
+            for x in (a, b):
+                if x not in sets:
+                    sets[x] = np.unique(gram_codes(text[x]))
+            m, n = len(sets[a]), len(sets[b])
+            if not m or not n or min(m, n) < threshold * max(m, n) - 1e-6:  # without a gram: its own shingle, unlike all others
+                continue
+            common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+            if common / (m + n - common) >= threshold:
+                out.append((a, b, common / (m + n - common)))
+                found = a
+        a, b, j = zip(*out, strict=True) if out else ((), (), ())
+        return pa.table({"doc_id": pa.array(a, pa.int64()), "match_id": pa.array(b, pa.int64()), "similarity": pa.array(j, pa.float64())})
+
+    return pairs.groupBy(*key).cogroup(sent.groupBy(*(f"{k}_" for k in key))).applyInArrow(compare, "doc_id long, match_id long, similarity double")
+
+
 def duplicate_list(docs: DataFrame, threshold: float = 0.9, most: int = 5) -> DataFrame:
     """For each document up to `most` matches, copies of itself included, best first."""
     s = checkpoint(fingerprints(docs))

@@ -267,3 +267,33 @@ def test_sql_chunks_make_rows_where_the_text_lies(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "Exchange" not in plan
     assert sorted(map(tuple, out.collect())) == [(i, *c) for i in (1, 5) for c in ((0, "A b. C d! E.", 3), (1, "E. F?", 2))]
+
+
+def test_candidates_of_one_cluster_get_a_text_once(spark, monkeypatch):
+    """All pairs of 60 like texts and one short: the least matches are those of sets, in small blocks, too, and a text goes to few blocks."""
+    rng = random.Random(2)
+    base = [rng.choice("abcdefgh \U0001f600") for _ in range(400)]
+    texts = {}
+    for i in range(60):
+        t = list(base)
+        for _ in range(rng.randrange(12)):
+            t[rng.randrange(400)] = rng.choice("xyz")
+        texts[i] = "".join(t).strip() + str(i)
+    texts[60] = "ab"
+    grams = {i: {t[k : k + 3] for k in range(len(t) - 2)} for i, t in texts.items()}
+    want = {}
+    for i in range(60):
+        for j in range(i):
+            s = len(grams[i] & grams[j]) / len(grams[i] | grams[j])
+            if s >= 0.9:
+                want[i] = (j, s)
+                break
+    docs = spark.createDataFrame(list(texts.items()), DOCS)
+    met = spark.createDataFrame([(i, j) for i in range(61) for j in range(i)], "doc_id long, match_id long")
+    for size in (512, 16):
+        monkeypatch.setattr(dedup, "TEXTS", size)
+        out = dedup.above(docs, met, 0.9)
+        got = {}
+        for r in sorted(map(tuple, out.collect())):
+            got.setdefault(r[0], r[1:])
+        assert got == want and 10 < len(want) < 60
