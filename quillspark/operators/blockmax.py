@@ -32,10 +32,11 @@ class Blocks:
     stats: DataFrame
     k1: float = 1.5
     b: float = 0.75
+    by_term: bool = False
 
     def save(self, path: str) -> None:
         """As Parquet below path, blocks sorted by term and range, so that a query's terms prune row groups and bounds are read without postings."""
-        self.blocks.repartition("term").sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/blocks")
+        (self.blocks if self.by_term else self.blocks.repartition("term")).sortWithinPartitions("term", "block").write.mode("overwrite").parquet(f"{path}/blocks")
         self.terms.write.mode("overwrite").parquet(f"{path}/terms")
         self.stats.selectExpr("*", f"{self.k1}D AS k1", f"{self.b}D AS b").write.mode("overwrite").parquet(f"{path}/stats")
 
@@ -57,7 +58,7 @@ def build(index: bm25.Bm25) -> Blocks:
     block = F.floor(F.col("doc_id") / RANGE).cast("long")
     grouped = postings.groupBy("term", block.alias("block")).agg(F.sort_array(F.collect_list(posting)).alias("p"), F.max(_part(index.k1, index.b, F.col("tf"), F.col("dl"))).alias("top"))
     blocks = grouped.select("term", "block", F.size("p").alias("n"), "top", F.col("p.doc_id").alias("docs"), F.col("p.tf").alias("tfs"), F.col("p.dl").alias("dls"))
-    return Blocks(blocks, index.terms, index.stats, index.k1, index.b)
+    return Blocks(blocks, index.terms, index.stats, index.k1, index.b, index.by_term)
 
 
 def _weights(index: Blocks, queries: DataFrame, drop_stop_words: bool) -> DataFrame:

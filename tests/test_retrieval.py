@@ -395,3 +395,14 @@ def test_scan_scores_each_pair_in_one_pass(spark, monkeypatch, portion):
     assert len(want) == 18 and got.keys() == want.keys()
     assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
     assert "CartesianProduct" not in out._jdf.queryExecution().toString() and "Join" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_take_one_shuffle_of_tokens(spark, docs):
+    made, same = blockmax.build(bm25.fit(docs, by_term=True)), blockmax.build(bm25.fit(docs))
+    assert plan(made.blocks).count("Exchange hashpartitioning") == 1
+    row = lambda r: (r["term"], r["block"], r["n"], round(r["top"], 9), r["docs"], r["tfs"], r["dls"])
+    assert sorted(map(row, made.blocks.collect())) == sorted(map(row, same.blocks.collect()))
+    path = place(spark, "by-term")
+    made.save(path)
+    got = blockmax.load(spark, path).blocks.withColumn("file", F.input_file_name()).groupBy("term").agg(F.count_distinct("file").alias("n"))
+    assert got.where("n > 1").count() == 0
