@@ -243,7 +243,7 @@ class Store(Log):
         return self.all()
 
     def _new(self, rows: DataFrame, start: int) -> DataFrame:
-        return with_ids(rows, start).transform(lambda d: corpus_frame(d.withColumn("content", normalise(F.col("content"))))).withColumn("indexed_at", F.localtimestamp()).withColumn("fingerprint", content_hash(F.col("content"))).withColumn("is_duplicate", F.lit(False))
+        return with_ids(rows, start).transform(lambda d: corpus_frame(d.withColumn("content", normalise(F.col("content"))), normal=True)).withColumn("indexed_at", F.localtimestamp()).withColumn("fingerprint", content_hash(F.col("content"))).withColumn("is_duplicate", F.lit(False))
 
     def all(self) -> DataFrame:
         return self.read("docs").orderBy("doc_id")
@@ -273,7 +273,7 @@ class Store(Log):
 
     def import_json(self, path: str) -> DataFrame:
         """Index the contents of an export; ids start again, vectors are made anew."""
-        return self.replace(self.spark.read.schema("doc_id long, content string, source_path string").json(path).orderBy("doc_id").select("content", "source_path"))
+        return self.replace(self.spark.read.schema("doc_id long, content string, source_path string").json(path).select("content", "source_path"))
 
 
 def with_ids(rows: DataFrame, start: int = 0) -> DataFrame:

@@ -1,6 +1,9 @@
 """Functions against their definitions."""
 
 import random
+import re
+import time
+from zlib import crc32
 
 import pytest
 from hypothesis import given, settings
@@ -8,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillspark.functions import chunking, filters, fuzzy, snippets, text
+from quillspark.operators import providers
 
 
 def dp(a, b):
@@ -106,3 +110,31 @@ def test_chunkers(spark):
     n = len("x" * 897)
     windows = chunking.sliding_chunks(spark.createDataFrame([(1, "x" * n)], "doc_id long, text string")).orderBy("chunk_id").collect()
     assert [(r["start_char"], r["end_char"]) for r in windows] == [(0, 512), (384, 896), (768, 897)]
+
+
+def test_white_space(spark):
+    """As the regular expressions of all white space have it, also in a text with a long run inside, which took its square before."""
+    r = random.Random(2)
+    chars = text.SPACES + "ab\x1c\x84᠎​⁠﻿Z"
+    rows = [(None,), ("",), ("a" + " " * 300_000 + "b",)] + [("".join(r.choices(chars, k=r.randrange(14))),) for _ in range(3000)]
+    rows += [(f"{chr(i)}a{chr(i)}{chr(i)}b{chr(i)}",) for i in range(0x3100)]
+    d, c = spark.createDataFrame(rows, "t string"), F.col("t")
+    short = d.where("length(t) < 99 or t is null")
+    edges = lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    want = edges(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
+    words = F.size(F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), lambda w: w != ""))
+    same = edges(c).eqNullSafe(text.strip(c)) & (want == text.normalise(c)) & (words == text.word_count(c)) & (words == text.word_count(text.normalise(c), normal=True))
+    assert short.where(~same).count() == 0
+    began = time.monotonic()
+    assert d.where("length(t) > 99").select(F.length(text.strip(c)), text.normalise(c), text.word_count(c)).collect() == [(300_002, "a b", 2)]
+    assert time.monotonic() - began < 20
+
+
+def test_hashed_tokens():
+    """Equal to one CRC a token."""
+    r = random.Random(3)
+    for _ in range(100):
+        texts = [None if r.random() < 0.1 else "".join(r.choices("abXYZ_09 \n.éİK　", k=r.choice([0, 1, 80]))) + r.choice(["", "a" * 64, "b" * 65, "c" * 500]) for _ in range(r.randrange(5))]
+        want = [(crc32(w.encode()), i) for i, t in enumerate(texts) for w in re.findall("[a-z0-9_]+", (t or "").lower())]
+        h, row = providers.hashed_tokens(texts)
+        assert list(zip(h.tolist(), row.tolist(), strict=True)) == want
