@@ -406,3 +406,17 @@ def test_blocks_take_one_shuffle_of_tokens(spark, docs):
     made.save(path)
     got = blockmax.load(spark, path).blocks.withColumn("file", F.input_file_name()).groupBy("term").agg(F.count_distinct("file").alias("n"))
     assert got.where("n > 1").count() == 0
+
+
+def test_vectors_of_pairs_are_sent_to_few_tasks(spark, vectors):
+    """Blocks lie on shelves, and a vector goes to a pair of shelves once, not to every pair of blocks."""
+    rows, centres = vector_search.blocks(vectors, 16)
+    shelves = centres.select("shelf").distinct().count()
+    assert 2 <= shelves <= 3 * vector_search.SHELVES < centres.count()
+    assert rows.groupBy("shelf").count().agg(F.max("count")).collect()[0][0] <= 2 * rows.count() / vector_search.SHELVES + 16
+    got = vector_search.cosine_pairs(vectors, 0.9, 16)
+    text = got._jdf.queryExecution().toString()
+    assert "shelf" in text and not re.search(r"FlatMapGroupsInArrow \[i#", text)
+    # A cell larger than a shelf lies on several.
+    first, many = vector_search._shelves(np.eye(3), np.array([10, 95, 7]), 20)
+    assert many.tolist() == [1, 5, 1] and sorted([first[0], first[1], first[2]])[0] == 0
