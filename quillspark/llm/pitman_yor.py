@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, discard, held_out, shuffle_width, stored
+from .common import checkpoint, collected, discard, held_out, shuffle_width, stored
 from .words import hash_words, mix
 
 #: Characters of text in a block, and blocks whose entries one bucket holds.
@@ -273,6 +273,7 @@ def score(docs: DataFrame, theta: float = THETA, samples: int = SAMPLES, burn_in
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
     discard(raw)
+    collected(spark)  # the shuffle that dealt the blocks out goes before the messages come
     buckets = 1 << max(0, (max(1, n_blocks) // BLOCKS_A_BUCKET).bit_length())
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,9 +301,10 @@ def score(docs: DataFrame, theta: float = THETA, samples: int = SAMPLES, burn_in
         p = (dish - discount0 * top + (theta + discount0 * totals[1]) * uniform) / (theta + totals[0])
         return own, p
 
-    def seats(x: Block, c2: np.ndarray, own: np.ndarray, p: np.ndarray, sample: int) -> np.ndarray:
-        alpha = (theta + discount * own[x.u]) * p[x.w]
-        return tables(c2, alpha, discount, x.keys, sample)
+    def seats(x: Block, c2: np.ndarray, own: np.ndarray, p: np.ndarray, sample: int, some: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Tables of the block's pairs, or of some of them: each is drawn from its own seed."""
+        alpha = (theta + discount * own[x.u[some]]) * p[x.w[some]]
+        return tables(c2[some], alpha, discount, x.keys[some], sample)
 
     def load(left: pa.Table, right: pa.Table) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray]:
         r = left.select(["held", "sizes", "tokens", "words"]).to_pylist()[0]
@@ -317,8 +319,9 @@ def score(docs: DataFrame, theta: float = THETA, samples: int = SAMPLES, burn_in
         def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
             x, c, c2, mine = load(left, right)
             tab, p = state0(x, c) if before is None else state(right, before, known[before])
-            t = seats(x, c2, tab, p, kind) * mine
-            return pa.Table.from_batches([_messages(kind, key[0].as_py(), x.words, 64, buckets, np.bincount(x.u, weights=t, minlength=len(x.words)), np.bincount(x.w, weights=t, minlength=len(x.words)))])
+            mine = np.flatnonzero(mine)
+            t = seats(x, c2, tab, p, kind, mine)
+            return pa.Table.from_batches([_messages(kind, key[0].as_py(), x.words, 64, buckets, np.bincount(x.u[mine], weights=t, minlength=len(x.words)), np.bincount(x.w[mine], weights=t, minlength=len(x.words)))])
 
         msgs = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(run, MESSAGE)
         base = (theta + discount0 * v) * uniform

@@ -272,3 +272,18 @@ def test_stages_on_odd_documents(spark):
             assert not rows[70_003, item] and not rows[None, item]
         if name == "minhash_near_dedup":
             assert rows[None, None] == 1 and rows[70_001, None] == 2 and rows[None, item] == 1
+
+
+def test_seats_of_some_pairs(spark, monkeypatch):
+    """Tables of a dish don't depend on which others are drawn, so a sweep draws those of its block's own pairs alone; and the shuffle that deals out blocks is let go before the counts."""
+    r = np.random.default_rng(4)
+    c, alpha, seed = r.integers(0, 400, 3000), r.random(3000) * 9, r.integers(0, 1 << 63, 3000).astype(np.uint64)
+    some = np.flatnonzero(r.random(3000) < 0.3)
+    assert (pitman_yor.tables(c, alpha, 0.6, seed, 2)[some] == pitman_yor.tables(c[some], alpha[some], 0.6, seed[some], 2)).all()
+    events = []
+    free, put = pitman_yor.collected, pitman_yor.stored
+    monkeypatch.setattr(pitman_yor, "collected", lambda s: (events.append("collected"), free(s))[1])
+    monkeypatch.setattr(pitman_yor, "stored", lambda d, name: (events.append(name), put(d, name))[1])
+    docs = spark.createDataFrame([(i, f"a b c{i % 3} a b", i % 4 == 0) for i in range(20)], "doc_id long, text string, held_out boolean")
+    assert pitman_yor.score(docs).count() == 20
+    assert events[:3] == ["model-blocks-raw", "collected", "model-counts"]
