@@ -328,6 +328,9 @@ def passages(a: np.ndarray, b: np.ndarray, seeds: np.ndarray | list[tuple[int, .
 BLOCK = 2048
 
 
+#: Pairs of windows that are looked at at once; an array of them has some hundred places each.
+PAIRS = 16_384
+
 #: Bits that stand for the shingles around a place, those of a first look, and how many of them the places of one passage without repetition share at least.
 BITS, LOOK, COMMON = 4096, 512, 36
 
@@ -360,7 +363,7 @@ def _dense(marks: np.ndarray, places: np.ndarray, size: np.ndarray, at: np.ndarr
     width = places.shape[1]
     held = marks[y[:, None], places[x]]
     p = np.zeros((len(x), width + 1), dtype=np.int32)
-    np.cumsum(np.where(held, 1, -8), axis=1, out=p[:, 1:])
+    np.cumsum(np.where(held, np.int32(1), np.int32(-8)), axis=1, out=p[:, 1:])
     p[np.arange(width + 1)[None] > size[x][:, None]] = -(1 << 30)
     top = np.maximum.accumulate(p[:, ::-1], axis=1)[:, ::-1]
     out = np.zeros(len(x), dtype=bool)
@@ -396,7 +399,7 @@ def _meet(group: np.ndarray, doc: np.ndarray, part: np.ndarray, wanted: np.ndarr
     out: list[tuple[int, int]] = []
     lo, total = 0, np.cumsum(n)
     while lo < len(later):
-        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + 200_000, side="right")))
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + PAIRS, side="right")))
         m = n[lo:hi]
         k = np.repeat(later[lo:hi], m)
         j = np.arange(len(k)) - np.repeat(np.cumsum(m) - m, m) + first[k]

@@ -16,6 +16,8 @@ from .words import hash_words
 SCHEMA = "doc_id long, score double, neighbours array<long>, similarities array<double>, evidence array<string>"
 #: Scores from here on count as toxic.
 THRESHOLD = 0.3
+#: Characters of the texts that drop_toxic scores at once: a megabyte takes some hundred MB more, and a job's later stages run beside what a worker has grown to.
+PORTION = 1 << 17
 
 
 def ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -275,7 +277,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> D
         m = shared.value
         for b in batches:
             lo = 0
-            for keys, texts in text_batches(iter([pa.RecordBatch.from_arrays([pa.nulls(b.num_rows), b.column(at)], ["i", "t"])]), 1 << 20):
+            for keys, texts in text_batches(iter([pa.RecordBatch.from_arrays([pa.nulls(b.num_rows), b.column(at)], ["i", "t"])]), PORTION):
                 yield b.slice(lo, len(keys)).filter(pa.array(m.scores(texts)[0] < threshold))
                 lo += len(keys)
 

@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -278,6 +279,24 @@ def test_shared_bits():
         assert compact_windows._shared(s, at) == min(compact_windows.COMMON, want)
 
 
+def test_large_groups_meet_in_bounded_memory():
+    """Pairs of a large group of windows that are nearly alike, none of which holds a passage of another, are looked at in portions; they are many, and all are looked at."""
+    r = np.random.default_rng(8)
+    base, n = r.integers(0, 1 << 16, 91), 500
+    # The place itself is another one in each, so that no pair is found and every pair is tried.
+    sets = [np.concatenate((base[:45], [k], base[46:])).astype(np.uint16) for k in range(n)]
+    two = [*sets, sets[0]]
+    args = lambda x: (np.zeros(len(x), dtype=np.int64), np.arange(len(x)), np.full(len(x), -1), np.ones(len(x), dtype=bool), x, np.full(len(x), 45))
+    tracemalloc.start()
+    try:
+        assert compact_windows._meet(*args(sets)) == []
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert compact_windows._meet(*args(two)) == [(n, 0)]
+    assert peak < 64 << 20
+
+
 def test_forest_lowest_band(spark):
     """A lower band whose slots are equal only in the sketches' bytes doesn't take a pair away from the bucket it shares."""
     tune(spark)

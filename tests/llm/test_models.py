@@ -274,6 +274,20 @@ def test_stages_on_odd_documents(spark):
             assert rows[None, None] == 1 and rows[70_001, None] == 2 and rows[None, item] == 1
 
 
+class Scale:
+    """Stands for a model: texts that are scored with over 200,000 characters at once count as toxic."""
+
+    def scores(self, texts):
+        return np.full(len(texts), float(sum(map(len, texts)) > 200_000)), None, None, None
+
+
+def test_toxic_rows_go_in_small_portions(spark):
+    """A stage of a larger job scores small portions of a batch, and still every row."""
+    tune(spark)
+    rows = spark.createDataFrame([(k, chr(97 + k % 26) * 2000) for k in range(500)], "doc_id long, text string").coalesce(1)
+    assert sorted(x["doc_id"] for x in toxicity.drop_toxic(rows, Scale()).collect()) == list(range(500))
+
+
 def test_seats_of_some_pairs(spark, monkeypatch):
     """Tables of a dish don't depend on which others are drawn, so a sweep draws those of its block's own pairs alone; and the shuffle that deals out blocks is let go before the counts."""
     r = np.random.default_rng(4)
