@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.fuzzy import gram_codes
 from ..functions.text import content_hash, shingles, strip
 from ..sources.scratch import checkpoint, stored
+from . import gram_sets
 from .fusion import top_per_query
 from .lexical import few_or_merge
 
@@ -164,19 +165,12 @@ def lookup(signed: DataFrame, index: DataFrame, threshold: float = 0.9) -> DataF
     return members.join(pairs, "a").where("doc_id <> b").select("doc_id", F.col("b").alias("match_id"), "similarity")
 
 
-def verified(docs: DataFrame, threshold: float = 0.9, slack: float = 0.1) -> DataFrame:
+def verified(docs: DataFrame, threshold: float = 0.9) -> DataFrame:
     """(doc_id, match_id, similarity): for each document its least earlier one with a Jaccard similarity of the trigram sets of at least threshold, copies of a content left out but for the first.
 
-    Signatures only pick the candidates, at `slack` below the threshold, over twice the deviation of an estimate; the sets themselves decide.
+    The sets themselves meet, in groups of near sizes (see gram_sets), so no pair is missed and no candidate is kept between steps.
     """
-    d = docs.select("doc_id", "text", content_hash(F.col("text")).alias("_hash"))
-    first = d.groupBy("_hash").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    d = d.join(first, "doc_id", "left_semi").select("doc_id", "text")
-    s = checkpoint(fingerprints(d))
-    # The least document of a signature stands for the others of it, which are its candidates, too.
-    met = lookup(s, s, max(0.01, threshold - slack)).where("match_id < doc_id").select("doc_id", "match_id")
-    pairs = above(d, stored(met, "candidates"), threshold)
-    return pairs.groupBy("doc_id").agg(F.min(F.struct("match_id", "similarity")).alias("x")).select("doc_id", "x.match_id", "x.similarity")
+    return gram_sets.earlier(docs, threshold)
 
 
 #: Texts, and characters of them, of one side of a block of candidates.
