@@ -22,7 +22,7 @@ from ..sources.scratch import stored
 #: Trigrams with a bit of their own, and bits for all others.
 WORDS, FOLDED = 4096, 1024
 #: Documents that the trigrams are chosen by, characters read of each, documents that the directions are fitted on, and directions.
-SAMPLE, HEAD, FITTED, DIRECTIONS = 2048, 1 << 15, 1024, 256
+SAMPLE, HEAD, FITTED, DIRECTIONS = 2048, 1 << 15, 2048, 512
 #: Sets, and bytes of them, of one share of a group of sizes.
 SETS, BYTES = 32768, 16 << 20
 #: Rows of either side of a product, pairs whose bits are compared at once, numbers that are sorted at once.
@@ -56,12 +56,12 @@ def fit(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     sets = [s for s in sets if len(s)][:FITTED]
     if len(sets) < 2:
         return words, np.zeros(WORDS + FOLDED, dtype=np.float32), np.zeros((WORDS + FOLDED, 0), dtype=np.float32)
-    x = np.unpackbits(np.stack([split(s, words)[0] for s in sets]), axis=1).astype(np.float64)
+    x = np.unpackbits(np.stack([split(s, words)[0] for s in sets]), axis=1).astype(np.float32)
     mean = x.mean(axis=0)
     x -= mean
     _, v = np.linalg.eigh(x @ x.T)
-    directions, _ = np.linalg.qr(x.T @ v[:, ::-1][:, :DIRECTIONS])
-    return words, mean.astype(np.float32), np.ascontiguousarray(directions.astype(np.float32))
+    directions, _ = np.linalg.qr((x.T @ v[:, ::-1][:, :DIRECTIONS]).astype(np.float64))
+    return words, mean, np.ascontiguousarray(directions.astype(np.float32))
 
 
 class Block:
@@ -79,17 +79,15 @@ class Block:
         self.size = np.array([len(x) for x in rest], dtype=np.int64)
         self.start = np.cumsum(self.size) - self.size
         self.names, self.rest = np.unique(np.concatenate(rest), return_inverse=True)
-        # A pair passes if the product of these is not below 0: half of what the limit leaves over the squared distance.
+        # A pair passes if the product of its points, the last two columns of one changed about, is not below 0: half of what the limit leaves over the squared distance.
         self.threshold, self.part = threshold, (1 - threshold) / (1 + threshold)
         k = directions.shape[1]
-        self.left, self.right = np.empty((2, len(t), k + 2), dtype=np.float32)
+        self.points, self.about = np.empty((len(t), k + 2), dtype=np.float32), [*range(k), k + 1, k]
         for lo in range(0, len(t), 1024):
             y = np.unpackbits(self.bits[lo : lo + 1024].view(np.uint8), axis=1).astype(np.float32)
-            self.left[lo : lo + 1024, :k] = (y - mean) @ directions
-        half = ((self.left[:, :k].astype(np.float64) ** 2).sum(axis=1) - self.part * self.n) / 2
-        self.right[:, :k] = self.left[:, :k]
-        self.left[:, k], self.left[:, k + 1] = -half, 1
-        self.right[:, k], self.right[:, k + 1] = 1, -half
+            self.points[lo : lo + 1024, :k] = (y - mean) @ directions
+        half = (np.einsum("ij,ij->i", self.points[:, :k], self.points[:, :k], dtype=np.float64) - self.part * self.n) / 2
+        self.points[:, k], self.points[:, k + 1] = -half, 1
         self.slack = -0.25 - 1e-5 * np.abs(half).max(initial=0)  # of single precision
         self.best, self.similarity = np.full(len(t), len(t)), np.zeros(len(t))
 
@@ -127,10 +125,11 @@ class Block:
         while lo < len(b):
             tile = b[lo : lo + step]
             lo, step = lo + step, min(2 * step, ROWS // 4)
+            other = self.points[tile][:, self.about].T
             a = a[(a > tile[0]) & (self.best[a] > tile[0])]
             for at in range(0, len(a), ROWS):
                 x = a[at : at + ROWS]
-                i, j = np.nonzero(self.left[x] @ self.right[tile].T >= self.slack)
+                i, j = np.nonzero(self.points[x] @ other >= self.slack)
                 u, v = x[i], tile[j]
                 m, n = self.n[u], self.n[v]
                 ok = (u > v) & (np.minimum(m, n) >= self.threshold * np.maximum(m, n) - 1e-6)
